@@ -24,6 +24,7 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 SHORT = 128
 CACHE_WORDS = 250_000
@@ -179,7 +180,7 @@ class _Cache(dict):
 _loaded: dict[int, WordBpe] = {}
 
 
-def _encoded(batches: Iterator[pa.RecordBatch], source) -> Iterator[pa.RecordBatch]:
+def _encoded(batches: Iterator[pa.RecordBatch], source, carry: tuple[str, ...]) -> Iterator[pa.RecordBatch]:
     if source.value["key"] not in _loaded:
         _loaded.clear()
         _loaded[source.value["key"]] = WordBpe(source.value["json"])
@@ -190,16 +191,17 @@ def _encoded(batches: Iterator[pa.RecordBatch], source) -> Iterator[pa.RecordBat
             both = [bpe.encode(t) for t in part.column("text").to_pylist()]
             ids = pa.array([x for x, _ in both], type=pa.binary())
             yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), pc.cast(pc.divide(pc.binary_length(ids), 4), pa.int64()), ids, pa.array([x for _, x in both], type=pa.string())],
-                names=["doc_id", "n_tokens", "ids", "decoded"],
+                [part.column("doc_id"), pc.cast(pc.divide(pc.binary_length(ids), 4), pa.int64()), ids, pa.array([x for _, x in both], type=pa.string())]
+                + [part.column(c) for c in carry],
+                names=["doc_id", "n_tokens", "ids", "decoded", *carry],
             )
 
 
-def encode_documents(docs: DataFrame, vocabulary: str) -> DataFrame:
+def encode_documents(docs: DataFrame, vocabulary: str, carry: tuple[str, ...] = ()) -> DataFrame:
     """Encode each text and decode it again.
 
-    docs: doc_id long and text string; other columns are ignored, whatever their names.
-    vocabulary: path, on the driver, of the vocabulary file; its bytes (a fixed size, about
+    docs: doc_id long and text string; other columns are ignored, whatever their names,
+    but those in carry are passed on. vocabulary: path, on the driver, of the vocabulary file; its bytes (a fixed size, about
     2 MB) are broadcast. Returns, for each row, doc_id, n_tokens, ids (binary, unsigned
     32-bit little-endian integers; ``ids_array`` unpacks them) and decoded.
 
@@ -209,9 +211,9 @@ def encode_documents(docs: DataFrame, vocabulary: str) -> DataFrame:
     with open(vocabulary, "rb") as f:
         source = f.read()
     shipped = docs.sparkSession.sparkContext.broadcast({"key": hash(source), "json": source})
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(
-        lambda batches: _encoded(batches, shipped), "doc_id long, n_tokens long, ids binary, decoded string"
-    )
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *carry)
+    schema = T.StructType.fromDDL("doc_id long, n_tokens long, ids binary, decoded string")
+    return texts.mapInArrow(lambda batches: _encoded(batches, shipped, carry), T.StructType(schema.fields + texts.schema.fields[2:]))
 
 
 def ids_array(ids: str = "ids"):

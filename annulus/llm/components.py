@@ -12,16 +12,21 @@ from pyspark.sql import functions as F
 from annulus.llm.storage import Store
 
 
+def _dealt_anew(least: DataFrame) -> DataFrame:
+    """The same rows, but no longer known to be dealt by u: the join then shuffles both sides itself and can split a hot u."""
+    return least.select(F.bitwise_not(F.bitwise_not("u")).alias("u"), "m")
+
+
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return both.join(_dealt_anew(least), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     least = down.groupBy("u").agg(F.min("v").alias("m"))
-    moved = down.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    moved = down.join(_dealt_anew(least), "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.union(least.select("u", F.col("m").alias("v")))
 
 

@@ -8,7 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from annulus.llm.bpe import encode_documents
+from annulus.llm.decontaminate import find_leaks
+from annulus.llm.line_dedup import dedup_lines
 from annulus.llm.minhash import near_duplicates
+from annulus.llm.toxicity import grade_toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +25,14 @@ def word_vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_lines(table(spark, sf_dir, "documents"))
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return grade_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -35,10 +46,19 @@ def op8_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    items = F.array_sort(F.array_distinct(F.col("passages.item_id")))
+    return found.select("doc_id", (F.size("passages") > 0).alias("contaminated"), items.alias("item_ids"), "passages")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_line_dedup": op1_line_dedup,
+        "op3_toxicity": op3_toxicity,
         "op5_minhash_near_dedup": op5_minhash_near_dedup,
         "op8_bpe_roundtrip": op8_bpe_roundtrip,
+        "op9_decontamination": op9_decontamination,
     }
 
 
