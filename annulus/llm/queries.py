@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from annulus.llm.bpe import encode_documents
 from annulus.llm.decontaminate import find_leaks
+from annulus.llm.langid import identify_languages
 from annulus.llm.line_dedup import dedup_lines
+from annulus.llm.media import decode_media, encode_media
 from annulus.llm.minhash import near_duplicates
 from annulus.llm.toxicity import grade_toxicity
 
@@ -37,6 +39,23 @@ def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op6_webp_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decode_media(encode_media(table(spark, sf_dir, "documents"))).select(
+        "doc_id",
+        "n_bytes",
+        F.length("payload").cast("long").alias("payload_bytes"),
+        F.sha2("payload", 256).alias("payload_sha256"),
+        F.crc32(F.substring("payload", -16, 16)).alias("tail_crc32"),
+        F.length("media").cast("long").alias("media_bytes"),
+        F.sha2("media", 256).alias("media_sha256"),
+        "feature",
+    )
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify_languages(table(spark, sf_dir, "documents"))
+
+
 def op8_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(table(spark, sf_dir, "documents"), word_vocabulary()).select(
         "doc_id",
@@ -57,6 +76,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_line_dedup": op1_line_dedup,
         "op3_toxicity": op3_toxicity,
         "op5_minhash_near_dedup": op5_minhash_near_dedup,
+        "op6_webp_media": op6_webp_media,
+        "op7_language_id": op7_language_id,
         "op8_bpe_roundtrip": op8_bpe_roundtrip,
         "op9_decontamination": op9_decontamination,
     }
