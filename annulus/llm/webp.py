@@ -238,12 +238,12 @@ class _Literals:
             p, places, following = self.bits.at - self.lo, [], self.next
             add = places.append
             if self.by_four is not None and most >= 64:
-                following, last = self.by_four, min(stop, self.size - 256)
+                by_four, last = self.by_four, min(stop, self.size - 256)
                 for _ in range(most >> 2):
                     if p >= last:
                         break
                     add(p)
-                    p = following[p]
+                    p = by_four[p]
                 if places:
                     first = np.array(places)
                     third = self.two[first]
