@@ -10,10 +10,14 @@ from pyspark.sql import functions as F
 from annulus.llm.bpe import encode_documents
 from annulus.llm.decontaminate import find_leaks
 from annulus.llm.langid import identify_languages
+from annulus.llm.licenses import scan_licenses
 from annulus.llm.line_dedup import dedup_lines
 from annulus.llm.media import decode_media, encode_media
 from annulus.llm.minhash import near_duplicates
+from annulus.llm.storage import Store
+from annulus.llm.token_counts import TOKENIZERS, TokenLedger, counted, deletes, inserts, revisions
 from annulus.llm.toxicity import grade_toxicity
+from annulus.llm.warc import ARCHIVE_PAGES, audit, records
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,10 +35,30 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(table(spark, sf_dir, "documents"))
 
 
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals after three batches, one of them committed twice: all documents come in, toxic ones go, and the texts of low quality are counted anew without digits."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
+    labels = table(spark, sf_dir, "labels").groupBy("doc_id").agg((F.max("toxic") == 1).alias("gone"), (F.min("quality") == 0).alias("poor"))
+    ledger = TokenLedger(spark, Store(spark, "ledger").root)
+    ledger.commit("load", inserts(counted(docs)))
+    labelled = docs.join(labels, "doc_id")
+    withdrawn = deletes(counted(labelled.where("gone")))
+    ledger.commit("withdraw", withdrawn)
+    ledger.commit("withdraw", withdrawn)
+    poor = labelled.where("poor AND NOT gone")
+    cleaned = poor.withColumn("text", F.translate("text", "0123456789", ""))
+    ledger.commit("recount", revisions(counted(poor), counted(cleaned)))
+    return ledger.totals()
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grade_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(table(spark, sf_dir, "documents"))
+
+
 def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -71,17 +95,67 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (F.size("passages") > 0).alias("contaminated"), items.alias("item_ids"), "passages")
 
 
+def op10_warc_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every record of the pages' archives, and whether the audit finds it damaged in a replica where some bodies have rotted."""
+    pages = table(spark, sf_dir, "pages")
+    rotten = F.substring(F.md5(F.coalesce(F.col("url"), F.lit("")).cast("binary")), 1, 2) == "00"
+    replica = pages.withColumn("html", F.when(rotten, F.concat(F.lit("~"), F.substring(F.coalesce("html", F.lit("")), 2, 1 << 30))).otherwise(F.col("html")))
+    store = Store(spark, "warc")
+    first, second = (store.keep(records(p).drop("record"), n) for p, n in ((pages, "records"), (replica, "replica")))
+    found = audit(first, second, store).select("archive", "place", "fault")
+    return first.join(found, ["archive", "place"], "left").select(
+        "page_id", "archive", "place", "offset", "length", F.col("digest").alias("record_sha256"), F.coalesce("fault", F.lit("intact")).alias("status")
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_line_dedup": op1_line_dedup,
+        "op2_token_counts": op2_token_counts,
         "op3_toxicity": op3_toxicity,
+        "op4_license_scan": op4_license_scan,
         "op5_minhash_near_dedup": op5_minhash_near_dedup,
         "op6_webp_media": op6_webp_media,
         "op7_language_id": op7_language_id,
         "op8_bpe_roundtrip": op8_bpe_roundtrip,
         "op9_decontamination": op9_decontamination,
+        "op10_warc_audit": op10_warc_audit,
     }
 
 
+OP2_SQL = """
+WITH judged AS (SELECT doc_id, max(toxic) = 1 AS gone, min(quality) = 0 AS poor FROM labels GROUP BY doc_id),
+docs AS (
+  SELECT source, lang, text, coalesce(gone, false) AS gone,
+         CASE WHEN coalesce(poor, false) AND NOT coalesce(gone, false) THEN translate(text, '0123456789', '') ELSE text END AS counted
+  FROM documents LEFT JOIN judged USING (doc_id)
+), counts AS (
+  SELECT source, lang, tokenizer, len(regexp_extract_all(counted, pattern)) AS n
+  FROM docs, (VALUES {values}) AS t(tokenizer, pattern) WHERE NOT gone
+)
+SELECT source, lang, tokenizer, CAST(count(*) AS BIGINT) AS n_docs, CAST(sum(coalesce(n, 0)) AS BIGINT) AS n_tokens
+FROM counts GROUP BY source, lang, tokenizer HAVING count(*) <> 0 OR sum(coalesce(n, 0)) <> 0
+""".replace("{values}", ", ".join(f"('{name}', '{pattern}')" for name, pattern in sorted(TOKENIZERS.items())))
+
+OP10_SQL = f"""
+WITH made AS (
+  SELECT page_id, url, encode('WARC/1.1' || chr(13) || chr(10) || 'WARC-Type: response' || chr(13) || chr(10)
+    || 'WARC-Record-ID: <urn:page:' || coalesce(CAST(page_id AS VARCHAR), '') || '>' || chr(13) || chr(10)
+    || 'WARC-Target-URI: ' || coalesce(url, '') || chr(13) || chr(10)
+    || 'Content-Type: text/html; charset=utf-8' || chr(13) || chr(10)
+    || 'Content-Length: ' || CAST(octet_length(encode(coalesce(html, ''))) AS VARCHAR) || chr(13) || chr(10) || chr(13) || chr(10)
+    || coalesce(html, '') || chr(13) || chr(10) || chr(13) || chr(10)) AS record
+  FROM pages
+), sized AS (
+  SELECT page_id, url, coalesce(CAST(floor(page_id / {ARCHIVE_PAGES}.0) AS BIGINT), -1) AS archive,
+         octet_length(record) AS length, sha256(record) AS record_sha256 FROM made
+)
+SELECT page_id, archive, row_number() OVER w - 1 AS place,
+       CAST(sum(length) OVER (w ROWS UNBOUNDED PRECEDING) - length AS BIGINT) AS "offset", length, record_sha256,
+       CASE WHEN substr(md5(coalesce(url, '')), 1, 2) = '00' THEN 'corrupt' ELSE 'intact' END AS status
+FROM sized WINDOW w AS (PARTITION BY archive ORDER BY page_id, record_sha256)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_token_counts": OP2_SQL, "op10_warc_audit": OP10_SQL}
