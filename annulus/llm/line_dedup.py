@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from annulus.llm.storage import Store
-from annulus.llm.textblocks import hash_words, mix64, powers, seeded
+from annulus.llm.textblocks import BLOCK_BYTES, hash_words, mix64, powers, seeded, utf8_parts
 
 #: Words from which a line is also compared for one edit.
 MIN_WORDS = 8
@@ -56,39 +56,49 @@ def line_key(words: np.ndarray) -> int:
     return int(_key(_sums(words)[-1:], len(words))[0])
 
 
-def half_keys(words: np.ndarray) -> list[int]:
-    """Keys of the halves that a line within one edit can share: of len // 2 and (len - 1) // 2 words at either end."""
-    n, sums = len(words), _sums(words)
-    keys = []
-    for q in {n // 2, (n - 1) // 2}:
-        ends = np.concatenate((sums[q : q + 1], (sums[n:] - sums[n - q : n - q + 1]) * powers(_BASE_INV, n + 1)[n - q]))
-        keys += (_key(ends, q) ^ _SIDES).tolist()
-    return keys
-
-
 def deletion_keys(words: np.ndarray) -> np.ndarray:
     """Key of the line without its i-th word, for each i."""
     sums = _sums(words)
     return _key(sums[:-1] + (sums[-1] - sums[1:]) * _U(_BASE_INV), len(words) - 1)
 
 
-def split_lines(text: str | None) -> list[str]:
-    return text.split("\n") if text else []
-
-
-def line_words(text: str | None) -> list[np.ndarray]:
-    """Word hashes of each line."""
-    raw = np.frombuffer((text or "").encode("utf-8"), dtype=np.uint8)
-    if not len(raw):
-        return []
-    ends = np.flatnonzero(raw == 10)
-    bounds = np.concatenate(([0], ends + 1, [len(raw)]))
-    words, begin = hash_words(raw, bounds)
-    return [words[begin[i] : begin[i + 1]] for i in range(len(bounds) - 1)]
+def line_tables(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Lines of blocks of whole documents, all hashed at once.
 
-
-def _signed(values: list[int]) -> pa.Array:
-    return pa.array(np.array(values, dtype=np.uint64).view(np.int64))
+    Yields the first document's index, the block's word hashes, where each line's words
+    begin (with the end), each document's first line (with the end), and the lines' keys.
+    """
+    offsets, data = utf8_parts(batch.column("text"))
+    at, n = 0, len(offsets) - 1
+    while at < n:
+        upto = max(at + 1, int(np.searchsorted(offsets, offsets[at] + BLOCK_BYTES, side="right")) - 1)
+        raw, lo = data[offsets[at] : offsets[upto]], offsets[at]
+        ends = np.flatnonzero(raw == 10) + 1
+        bounds = offsets[at : upto + 1] - lo
+        # each document begins a line, and so does what follows a line feed
+        starts = np.sort(np.concatenate((ends, bounds[:-1])), kind="stable")
+        first = np.searchsorted(ends, bounds[:-1], side="right") + np.arange(upto - at)
+        words, begin = hash_words(raw, np.append(starts, len(raw)))
+        sums = _sums(words)
+        length = np.diff(begin)
+        back = powers(_BASE_INV, len(words) + 1)
+        keys = _key((sums[begin[1:]] - sums[begin[:-1]]) * back[begin[:-1]], length)
+        yield at, words, begin, np.append(first, len(starts)), keys
+        at = upto
+
+
+def _halves(words: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Half keys of the lines long enough to have neighbours, one line's after another's, and their offsets."""
+    sums, length, back = _sums(words), np.diff(begin), powers(_BASE_INV, len(words) + 1)
+    lo, hi = begin[:-1], begin[1:]
+    columns, present = [], []
+    for q in (length // 2, np.maximum(length - 1, 0) // 2):
+        columns += [_key((sums[lo + q] - sums[lo]) * back[lo], q) ^ _SIDES[0], _key((sums[hi] - sums[hi - q]) * back[hi - q], q) ^ _SIDES[1]]
+        present += [length >= MIN_WORDS - 1] * 2
+    odd = length % 2 == 1  # then both halves have the same number of words
+    present[2], present[3] = present[2] & ~odd, present[3] & ~odd
+    chosen = np.stack(present, axis=1)
+    return np.stack(columns, axis=1)[chosen], np.concatenate(([0], np.cumsum(chosen.sum(axis=1)))).astype(np.int32)
 
 
 def _small(batches: Iterator[pa.RecordBatch], rows: int = 200) -> Iterator[pa.RecordBatch]:
@@ -97,46 +107,46 @@ def _small(batches: Iterator[pa.RecordBatch], rows: int = 200) -> Iterator[pa.Re
             yield batch.slice(lo, rows)
 
 
+def _places(first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Document (within the block) and line number of each line."""
+    count = np.diff(first)
+    return np.repeat(np.arange(len(count)), count), (np.arange(first[-1]) - np.repeat(first[:-1], count)).astype(np.int32)
+
+
 def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in _small(batches):
-        docs, places, keys, halves = [], [], [], []
-        for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-            for place, words in enumerate(line_words(text)):
-                if len(words):
-                    docs.append(doc)
-                    places.append(place)
-                    keys.append(line_key(words))
-                    halves.append(half_keys(words) if len(words) >= MIN_WORDS - 1 else [])
-        flat = np.array([k for ks in halves for k in ks], dtype=np.uint64).view(np.int64)
-        offsets = np.cumsum([0, *map(len, halves)]).astype(np.int32)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(docs, pa.int64()), pa.array(places, pa.int32()), _signed(keys), pa.ListArray.from_arrays(offsets, flat)],
-            names=["doc_id", "line", "h", "halves"],
-        )
+    for batch in batches:
+        ids = batch.column("doc_id").to_numpy()
+        for at, words, begin, first, keys in line_tables(batch):
+            doc, place = _places(first)
+            used = np.diff(begin) > 0
+            flat, offsets = _halves(words, begin)
+            halves = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.view(np.int64)))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(ids[at + doc]), pa.array(place), pa.array(keys.view(np.int64)), halves], names=["doc_id", "line", "h", "halves"]
+            ).filter(pa.array(used))
 
 
 def _wanted_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Word sequences of the wanted lines (their keys are in ``wanted``)."""
-    for batch in _small(batches):
-        docs, places, keys, rows = [], [], [], []
-        for doc, text, wanted in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "wanted"))):
-            left = set(wanted)
-            for place, words in enumerate(line_words(text)):
-                if len(words) >= MIN_WORDS - 1:
-                    key = line_key(words)
-                    signed = key - (1 << 64) if key >> 63 else key
-                    if signed in left:
-                        left.discard(signed)
-                        docs.append(doc)
-                        places.append(place)
-                        keys.append(key)
-                        rows.append(words)
-        flat = np.concatenate(rows).view(np.int64) if rows else np.empty(0, np.int64)
-        offsets = np.cumsum([0, *map(len, rows)]).astype(np.int32)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(docs, pa.int64()), pa.array(places, pa.int32()), _signed(keys), pa.ListArray.from_arrays(offsets, flat)],
-            names=["doc_id", "line", "h", "words"],
-        )
+    for batch in batches:
+        ids = batch.column("doc_id").to_numpy()
+        wanted = batch.column("wanted").to_pylist()
+        for at, words, begin, first, keys in line_tables(batch):
+            signed, rows, chosen = keys.view(np.int64), [], []
+            doc, place = _places(first)
+            for d in range(len(first) - 1):
+                lo, hi = first[d], first[d + 1]
+                found = lo + np.flatnonzero(np.isin(signed[lo:hi], wanted[at + d]))
+                found = found[np.sort(np.unique(signed[found], return_index=True)[1])]
+                chosen += found.tolist()
+                rows += [words[begin[i] : begin[i + 1]] for i in found]
+            flat = np.concatenate(rows).view(np.int64) if rows else np.empty(0, np.int64)
+            offsets = np.cumsum([0, *map(len, rows)]).astype(np.int32)
+            picked = np.array(chosen, dtype=np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(ids[at + doc[picked]]), pa.array(place[picked]), pa.array(signed[picked]), pa.ListArray.from_arrays(offsets, flat)],
+                names=["doc_id", "line", "h", "words"],
+            )
 
 
 def _variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -179,25 +189,29 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _kept(batches: Iterator[pa.RecordBatch], carry: tuple[str, ...]) -> Iterator[pa.RecordBatch]:
-    for batch in _small(batches):
-        texts, n_lines, n_kept = [], [], []
-        for doc, text, winners in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "winners"))):
-            lines, left, kept = split_lines(text), set(winners or ()), []
-            hashed = line_words(text)
-            for line, words in zip(lines, hashed):
-                if not len(words):
-                    kept.append(line)
-                    continue
-                key = line_key(words)
-                signed = key - (1 << 64) if key >> 63 else key
-                if doc is None or signed in left:
-                    left.discard(signed)
-                    kept.append(line)
-            n_lines.append(sum(1 for w in hashed if len(w)))
-            n_kept.append(sum(1 for line in kept if line.strip(" \t\n\v\f\r")))
-            texts.append(None if text is None else "\n".join(kept) if n_kept[-1] < n_lines[-1] else text)
+    for batch in _small(batches, 500):
+        ids, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
+        winners = batch.column("winners").to_pylist()
+        out, n_lines, n_kept = [], [], []
+        for at, _, begin, first, keys in line_tables(batch):
+            signed, used = keys.view(np.int64), np.diff(begin) > 0
+            for d in range(len(first) - 1):
+                lo, hi = first[d], first[d + 1]
+                own, filled, text = signed[lo:hi], used[lo:hi], texts[at + d]
+                keep = np.ones(hi - lo, bool)
+                if ids[at + d] is not None:
+                    keep = np.isin(own, winners[at + d] or [])
+                    keep[np.delete(np.arange(hi - lo), np.unique(own, return_index=True)[1])] = False
+                    keep |= ~filled
+                n_lines.append(int(filled.sum()))
+                n_kept.append(int((keep & filled).sum()))
+                if text is None or keep.all():
+                    out.append(text)
+                else:
+                    lines = text.split("\n")
+                    out.append("\n".join([lines[i] for i in np.flatnonzero(keep)]))
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), pa.array(texts, pa.string()), pa.array(n_lines, pa.int64()), pa.array(n_kept, pa.int64())]
+            [batch.column("doc_id"), pa.array(out, pa.string()), pa.array(n_lines, pa.int64()), pa.array(n_kept, pa.int64())]
             + [batch.column(c) for c in carry],
             names=["doc_id", "text", "n_lines", "n_kept", *carry],
         )
