@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from annulus.llm.storage import Store
+from annulus.llm.storage import Store, filtered_scans
 from annulus.llm.textblocks import BLOCK_BYTES, hash_words, mix64, powers, seeded, utf8_parts
 
 #: Words from which a line is also compared for one edit.
@@ -244,14 +244,17 @@ def dedup_lines(docs: DataFrame, store: Store | None = None, carry: tuple[str, .
     halves = first.select("h", F.explode("halves").alias("half"))
     shared = halves.groupBy("half").agg(F.count("*").alias("n")).where("n > 1").select(F.bitwise_not(F.bitwise_not("half")).alias("half"))
     near = halves.join(shared, "half").select("h").distinct()
-    wanted = first.select("h", "doc_id").join(near, "h", "left_semi").groupBy("doc_id").agg(F.collect_list("h").alias("wanted"))
-    words = store.keep(
-        placed.join(wanted, "doc_id").mapInArrow(_wanted_words, "doc_id long, line int, h long, words array<long>")
+    wanted = store.keep(
+        first.select("h", "doc_id").join(near, "h", "left_semi").groupBy("doc_id").agg(F.collect_list("h").alias("wanted")), "wanted"
+    )
+    words = (
+        placed.join(wanted.where(F.size("wanted") > 0), "doc_id").mapInArrow(_wanted_words, "doc_id long, line int, h long, words array<long>")
         # rows of one doc_id can hold a line at several places
         .groupBy("h").agg(F.min(F.struct("doc_id", "line")).alias("place"), F.first("words").alias("words"))
-        .select("h", "place.doc_id", "place.line", "words"),
-        "words",
+        .select("h", "place.doc_id", "place.line", "words")
     )
+    with filtered_scans(docs.sparkSession):  # few documents are wanted, so the others' texts stay where they are
+        words = store.keep(words, "words")
     long_enough = words.where(F.size("words") >= MIN_WORDS)
     variants = long_enough.mapInArrow(_variants, "key long, gap int, doc_id long, line int, h long")
     place = F.struct("doc_id", "line", "h")

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from annulus.llm.components import connected_components
-from annulus.llm.storage import Store
+from annulus.llm.storage import Store, filtered_scans
 from annulus.llm.textblocks import SHINGLE_WORDS, SIMILARITY_PERCENT, mix64, seeded, shingle_set, word_blocks
 
 BANDS = 48
@@ -275,7 +275,7 @@ def near_duplicates(
         groups.join(nodes, groups.node == nodes.rep).select("rep", F.col("label").alias("grp"), "sig", "n_shingles"), "groups"
     )
     sizes = groups.groupBy("grp").agg(F.ceil(F.sum("n_shingles") / SET_BLOCK).alias("blocks"))
-    needed = groups.join(sizes, "grp").select("rep", "grp", "sig", "blocks", "n_shingles")
+    needed = store.keep(groups.join(sizes, "grp").select("rep", "grp", "sig", "blocks"), "needed").where("blocks > 0")
     sets = (
         texts.join(needed, texts.doc_id == needed.rep)
         .select("grp", "rep", "sig", "blocks", "text")
@@ -288,7 +288,9 @@ def near_duplicates(
         .sortWithinPartitions("grp", "bi", "bj")
         .mapInArrow(partial(_confirmed, least=least, percent=percent), "u long, v long")
     )
-    labels = connected_components(links, store, "links")
+    with filtered_scans(docs.sparkSession):  # few texts are in a group, so the others stay where they are
+        links = store.keep(links, "links")
+    labels = connected_components(links, store, "linked")
     named = classes.join(labels, classes.rep == labels.node, "left").select(*key, F.coalesce("label", "rep").alias("component"))
     return (
         signed.drop("sig")
