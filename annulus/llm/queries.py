@@ -15,7 +15,7 @@ from annulus.llm.line_dedup import dedup_lines
 from annulus.llm.media import decode_media, encode_media
 from annulus.llm.minhash import near_duplicates
 from annulus.llm.storage import Store
-from annulus.llm.token_counts import TOKENIZERS, TokenLedger, counted, deletes, inserts, revisions
+from annulus.llm.token_counts import TOKENIZERS, TokenLedger, count_tokens, deletes, inserts, revisions
 from annulus.llm.toxicity import grade_toxicity
 from annulus.llm.warc import ARCHIVE_PAGES, audit, records
 
@@ -37,17 +37,20 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Totals after three batches, one of them committed twice: all documents come in, toxic ones go, and the texts of low quality are counted anew without digits."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
+    store = Store(spark, "ledger")
     labels = table(spark, sf_dir, "labels").groupBy("doc_id").agg((F.max("toxic") == 1).alias("gone"), (F.min("quality") == 0).alias("poor"))
-    ledger = TokenLedger(spark, Store(spark, "ledger").root)
-    ledger.commit("load", inserts(counted(docs)))
-    labelled = docs.join(labels, "doc_id")
-    withdrawn = deletes(counted(labelled.where("gone")))
+    # texts are counted where they are read; only counts are joined with labels
+    both = F.arrays_zip(count_tokens(F.col("text")).alias("was"), count_tokens(F.translate("text", "0123456789", "")).alias("now"))
+    counts = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", F.explode(both).alias("t"))
+    counts = store.keep(counts.select("doc_id", "source", "lang", "t.was.tokenizer", "t.was.n_tokens", F.col("t.now.n_tokens").alias("n_cleaned")), "counts")
+    ledger = TokenLedger(spark, store.path("batches"))
+    ledger.commit("load", inserts(counts))
+    labelled = counts.join(labels, "doc_id")
+    withdrawn = deletes(labelled.where("gone"))
     ledger.commit("withdraw", withdrawn)
     ledger.commit("withdraw", withdrawn)
     poor = labelled.where("poor AND NOT gone")
-    cleaned = poor.withColumn("text", F.translate("text", "0123456789", ""))
-    ledger.commit("recount", revisions(counted(poor), counted(cleaned)))
+    ledger.commit("recount", revisions(poor, poor.withColumn("n_tokens", F.col("n_cleaned"))))
     return ledger.totals()
 
 
