@@ -24,7 +24,7 @@ def fetch(intervals: DataFrame, genome: DataFrame) -> DataFrame:
 
 def read_fastq(spark: SparkSession, path: str) -> DataFrame:
     """name, seq and qual; records are told apart by their place in each file's four-line groups."""
-    lines = spark.read.option("wholetext", "true").text(path)
+    lines = spark.read.text(path, wholetext=True)
     groups = F.regexp_extract_all("value", F.lit("@[^\\n]*\\n[^\\n]*\\n\\+[^\\n]*\\n[^\\n]*"), F.lit(0))
     p = lines.select(F.explode(groups).alias("r")).select(F.split("r", "\\n").alias("p"))
     return p.select(F.substring(C("p")[0], 2, 1 << 20).alias("name"), C("p")[1].alias("seq"), C("p")[3].alias("qual"))
