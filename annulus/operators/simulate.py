@@ -72,7 +72,7 @@ def simulate_reads(made: DataFrame, genome: DataFrame, seed: int = 1, read_lengt
 
 def with_errors(seq: Column, seed: int, rate: float, *keys: Column) -> Column:
     """seq with bases substituted at the given rate."""
-    other = lambda b, i: F.substring(F.translate(F.lit("ACGT"), b, ""), (F.floor(uniform(seed + 1, i, *keys) * 3) + 1).cast("int"), F.lit(1))
+    other = lambda b, i: F.substring(F.replace(F.lit("ACGT"), b, F.lit("")), (F.floor(uniform(seed + 1, i, *keys) * 3) + 1).cast("int"), F.lit(1))
     changed = F.transform(F.split(seq, ""), lambda b, i: F.when(uniform(seed, i, *keys) < rate, other(b, i)).otherwise(b))
     return F.array_join(changed, "")
 
