@@ -7,18 +7,22 @@ Plan, for any input size:
    hashes. Documents of equal sets form a class; only the class's least doc_id goes on.
 2. The signature is cut into 48 bands of 5. At similarity 0.75 two texts miss all bands
    with probability below 3e-6. Buckets with several classes are dealt out in blocks of
-   bounded size (a bucket of m rows becomes about (m / 512)^2 / 2 block pairs), and each
-   task compares signatures and emits a spanning forest of the pairs whose estimate is
-   within four standard deviations of the limit, so rows grow with the members, not
-   with their pairs.
+   bounded size, and each task compares signatures and emits a spanning forest of the
+   pairs whose estimate is within four standard deviations of the limit, so rows grow
+   with the members, not with their pairs.
 3. The forest's components bound where links can be. Their full shingle sets are dealt
    out in blocks of bounded bytes; each task confirms candidate pairs on the full sets
    and emits a spanning forest of the confirmed links.
 4. Components of those links, by alternating large-star and small-star, label the
    classes, and each document takes the label of its class.
 
-Hot groups: copies collapse in step 1 by a partial aggregate; near copies are split in
-blocks; the join that brings labels back to documents is one that Spark splits when skewed.
+Hot groups: copies collapse in step 1 by a partial aggregate. In steps 2 and 3 a bucket
+or group of more than one block is first compared with ``PIVOTS`` of its own members, which
+takes work in proportion to its size; the largest component that this finds is its core.
+Members of the core are connected already, so only the rest is dealt out in pairs of
+blocks, against the rest and the core. No pair that could connect two components is left
+out; the work is quadratic only in what no pivot is near to. The join that brings labels
+back to documents is one that Spark splits when skewed.
 """
 
 from __future__ import annotations
@@ -28,7 +32,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from annulus.llm.components import connected_components
@@ -42,6 +46,8 @@ HASHES = BANDS * ROWS
 BUCKET_BLOCK = 512
 #: Shingles that one side of a task holds.
 SET_BLOCK = 400_000
+#: Members that all others of a bucket or group of several blocks are compared with first.
+PIVOTS = 16
 _U = np.uint64
 _MULTIPLIERS = seeded(21, HASHES) | _U(1)
 _ADDENDS = seeded(22, HASHES)
@@ -218,14 +224,58 @@ def _confirmed(batches: Iterator[pa.RecordBatch], least: float, percent: int) ->
         yield _edge_batch(u, v)
 
 
-def _dealt(df: DataFrame, seed: int) -> DataFrame:
-    """Each row once for each pair of blocks that its block is in: columns side, bi, bj from blocks and rep."""
-    side = df.withColumn("side", F.pmod(F.xxhash64("rep", F.lit(seed)), F.col("blocks")).cast("int"))
+def _anew(column: str) -> Column:
+    """The same values, but not known to be dealt by them: a join then shuffles both sides and can split a hot key."""
+    return F.bitwise_not(F.bitwise_not(column)).alias(column)
+
+
+def _star_plan(rows: DataFrame, key: str, limit: int) -> DataFrame:
+    """Where rows (key, rep, weight) of keys of several blocks go to meet their key's pivots: key, rep, side, lo, hi."""
+    hot = rows.groupBy(key).agg(F.ceil(F.sum("weight") / limit).cast("int").alias("blocks")).where("blocks > 1")
+    inside = rows.join(hot.select(_anew(key), "blocks"), key)
+    block = F.pmod(F.xxhash64("rep", F.lit(1)), F.col("blocks")).cast("int") + 1
+    members = inside.select(key, "rep", block.alias("side"), F.lit(0).alias("lo"), F.lit(0).alias("hi"))
+    pivots = inside.groupBy(key, F.pmod(F.xxhash64("rep", F.lit(2)), F.lit(PIVOTS)).alias("slot")).agg(
+        F.min(F.struct(F.xxhash64("rep", F.lit(3)).alias("h"), "rep")).alias("pivot"), F.max("blocks").alias("blocks")
+    )
+    return members.unionByName(
+        pivots.select(key, "pivot.rep", F.lit(0).alias("side"), F.lit(1).alias("lo"), F.col("blocks").alias("hi"))
+    )
+
+
+def _rest_plan(rows: DataFrame, key: str, limit: int, labels: DataFrame) -> DataFrame:
+    """Where rows (key, rep, weight) go so that each pair meets, but for pairs within the key's largest component of labels."""
+    known = rows.join(labels.withColumnRenamed("node", "rep"), "rep", "left")
+    parts = known.groupBy(key, "label").agg(F.sum("weight").alias("part"))
+    sizes = (
+        parts.groupBy(key)
+        .agg(F.max(F.when(F.col("label").isNotNull(), F.struct("part", "label"))).alias("largest"), F.sum("part").alias("total"))
+        .select(
+            _anew(key),
+            F.col("largest.label").alias("core"),
+            F.ceil((F.col("total") - F.coalesce("largest.part", F.lit(0))) / limit).cast("int").alias("rests"),
+            F.ceil(F.coalesce("largest.part", F.lit(0)) / limit).cast("int").alias("cores"),
+        )
+        .where("rests > 0")
+    )
+    h = F.xxhash64("rep", F.lit(4))
+    inside = known.join(sizes, key).withColumn("inner", F.coalesce(F.col("label") == F.col("core"), F.lit(False)))
+    return inside.select(
+        key,
+        "rep",
+        F.when(F.col("inner"), F.col("rests") + F.pmod(h, F.greatest("cores", F.lit(1)))).otherwise(F.pmod(h, "rests")).cast("int").alias("side"),
+        F.lit(0).alias("lo"),
+        (F.when(F.col("inner"), F.col("rests")).otherwise(F.col("rests") + F.col("cores")) - 1).alias("hi"),
+    )
+
+
+def _dealt(df: DataFrame) -> DataFrame:
+    """Each row once for each block, lo to hi, that its own (side) meets: columns side, bi, bj."""
     return (
-        side.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks").cast("int") - 1)))
+        df.withColumn("other", F.explode(F.sequence("lo", "hi")))
         .withColumn("bi", F.least("side", "other"))
         .withColumn("bj", F.greatest("side", "other"))
-        .drop("other", "blocks")
+        .drop("other", "lo", "hi")
     )
 
 
@@ -262,34 +312,47 @@ def near_duplicates(
         ).alias("bucket"),
     )
     shared = banded.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1")
-    members = banded.join(shared.withColumn("blocks", F.ceil(F.col("members") / BUCKET_BLOCK)), "bucket")
-    dealt = _dealt(members.select("bucket", "rep", "blocks"), 1).join(nodes.select("rep", "sig"), "rep")
-    pairs = (
-        dealt.select("bucket", "bi", "bj", "side", "rep", "sig")
-        .repartition("bucket", "bi", "bj")
-        .sortWithinPartitions("bucket", "bi", "bj")
-        .mapInArrow(partial(_candidates, least=least), "u long, v long")
-    )
+    members = store.keep(banded.join(shared.select(_anew("bucket")), "bucket").withColumn("weight", F.lit(1)), "members")
+
+    def agreeing(plan: DataFrame, name: str) -> DataFrame:
+        pairs = (
+            _dealt(plan.join(nodes.select("rep", "sig"), "rep"))
+            .select("bucket", "bi", "bj", "side", "rep", "sig")
+            .repartition("bucket", "bi", "bj")
+            .sortWithinPartitions("bucket", "bi", "bj")
+            .mapInArrow(partial(_candidates, least=least), "u long, v long")
+        )
+        return store.keep(pairs, name)
+
+    stars = agreeing(_star_plan(members, "bucket", BUCKET_BLOCK), "star-pairs")
+    rest = _rest_plan(members, "bucket", BUCKET_BLOCK, connected_components(stars, store, "stars"))
+    pairs = stars.union(agreeing(rest, "pairs"))
     groups = connected_components(pairs, store, "loose")
     groups = store.keep(
-        groups.join(nodes, groups.node == nodes.rep).select("rep", F.col("label").alias("grp"), "sig", "n_shingles"), "groups"
-    )
-    sizes = groups.groupBy("grp").agg(F.ceil(F.sum("n_shingles") / SET_BLOCK).alias("blocks"))
-    needed = store.keep(groups.join(sizes, "grp").select("rep", "grp", "sig", "blocks"), "needed").where("blocks > 0")
-    sets = (
-        texts.join(needed, texts.doc_id == needed.rep)
-        .select("grp", "rep", "sig", "blocks", "text")
-        .mapInArrow(partial(_shingle_rows, size=size), "grp long, rep long, sig binary, blocks long, shingles binary")
+        groups.join(nodes, groups.node == nodes.rep).select("rep", F.col("label").alias("grp"), "sig", F.col("n_shingles").alias("weight")), "groups"
     )
-    links = (
-        _dealt(sets, 2)
-        .select("grp", "bi", "bj", "side", "rep", "sig", "shingles")
-        .repartition("grp", "bi", "bj")
-        .sortWithinPartitions("grp", "bi", "bj")
-        .mapInArrow(partial(_confirmed, least=least, percent=percent), "u long, v long")
-    )
-    with filtered_scans(docs.sparkSession):  # few texts are in a group, so the others stay where they are
-        links = store.keep(links, "links")
+
+    def confirmed(plan: DataFrame, name: str) -> DataFrame:
+        needed = store.keep(plan.join(groups.select("rep", "sig"), "rep"), f"{name}-plan").where("hi >= lo")
+        sets = (
+            texts.join(needed, texts.doc_id == needed.rep)
+            .select("grp", "rep", "sig", "side", "lo", "hi", "text")
+            .mapInArrow(partial(_shingle_rows, size=size), "grp long, rep long, sig binary, side int, lo int, hi int, shingles binary")
+        )
+        found = (
+            _dealt(sets)
+            .select("grp", "bi", "bj", "side", "rep", "sig", "shingles")
+            .repartition("grp", "bi", "bj")
+            .sortWithinPartitions("grp", "bi", "bj")
+            .mapInArrow(partial(_confirmed, least=least, percent=percent), "u long, v long")
+        )
+        with filtered_scans(docs.sparkSession):  # few texts are in a group, so the others stay where they are
+            return store.keep(found, name)
+
+    small = groups.drop("sig")
+    stars = confirmed(_star_plan(small, "grp", SET_BLOCK), "star-links")
+    rest = _rest_plan(small, "grp", SET_BLOCK, connected_components(stars, store, "cores"))
+    links = stars.union(confirmed(rest, "links"))
     labels = connected_components(links, store, "linked")
     named = classes.join(labels, classes.rep == labels.node, "left").select(*key, F.coalesce("label", "rep").alias("component"))
     return (

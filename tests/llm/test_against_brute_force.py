@@ -65,6 +65,20 @@ def test_near_duplicates_equal_brute_force(spark, seed):
     assert all(r.kept == (r.doc_id == r.component_id) for r in got)
 
 
+@pytest.mark.parametrize("seed, block", [(3, 1), (4, 6)])
+def test_hot_groups_equal_brute_force(spark, monkeypatch, seed, block):
+    """Blocks so small that buckets and groups take several: pivots, core and rest."""
+    monkeypatch.setattr(minhash, "BUCKET_BLOCK", block)
+    monkeypatch.setattr(minhash, "SET_BLOCK", 150)
+    monkeypatch.setattr(minhash, "PIVOTS", 2)
+    docs = near_copies(seed)
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    store = storage.Store(spark, "hot")
+    got = minhash.near_duplicates(df, store=store).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute_components(docs)
+    assert spark.read.parquet(store.path("star-links")).count() > 0
+
+
 def test_near_duplicates_of_documents(spark):
     df = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text")
     got = minhash.near_duplicates(df).collect()
