@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 SHORT = 128
-CACHE_WORDS = 250_000
+CACHE_WORDS = 60_000
 NO_RANK = 1 << 60
 #: White space of the file's normaliser: Unicode White_Space.
 _SPACE = regex.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
