@@ -4,8 +4,8 @@ A text and a template are sequences of lower-case words. Around each place where
 of a template occurs, the region of the text that could hold the template is aligned with
 it: words that occur once in both are anchors, the longest increasing subsequence of
 their places is kept, and the gaps between anchors are aligned in the same way; a gap
-without anchors matches its equal ends and, where it is small, its longest common
-subsequence. Coverage is the share of template words that are matched.
+without anchors, of any size, matches its equal ends and its longest common subsequence.
+Coverage is the share of template words that are matched.
 
 A template needs ``COVERAGE`` of its words, so a text without any of its rarest
 1 - COVERAGE of words (and one more) can't hold it; one pass of an Aho-Corasick automaton
@@ -27,8 +27,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 COVERAGE = 0.8
-#: Cells of the table by which a gap without anchors is aligned.
-SMALL_GAP = 4096
+#: Cells of the table by which a gap without anchors is aligned; larger gaps are parted first.
+TABLE_CELLS = 1 << 20
 _WORD = re.compile(r"[^\W_]+")
 
 #: Notices of public licenses.
@@ -85,24 +85,48 @@ def increasing(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out[::-1]
 
 
-def _common(a: list[str], b: list[str]) -> list[tuple[int, int]]:
-    """A longest common subsequence of two short sequences."""
-    table = np.zeros((len(a) + 1, len(b) + 1), np.int32)
-    for i in range(len(a) - 1, -1, -1):
-        for j in range(len(b) - 1, -1, -1):
-            table[i, j] = table[i + 1, j + 1] + 1 if a[i] == b[j] else max(table[i + 1, j], table[i, j + 1])
+def _lengths(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Length of the longest common subsequence of b and each beginning of a."""
+    row = np.zeros(len(a) + 1, np.int32)
+    for word in b:
+        row[1:] = np.maximum.accumulate(np.maximum(row[1:], np.where(a == word, row[:-1] + 1, 0)))
+    return row
+
+
+def _common(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
+    """A longest common subsequence of two sequences of numbers.
+
+    Sequences over ``TABLE_CELLS`` are parted where both sides together are longest (Hirschberg), so
+    memory grows with their lengths alone.
+    """
+    if not len(a) or not len(b):
+        return []
+    if len(a) * len(b) > TABLE_CELLS and len(b) > 1:
+        half = len(b) // 2
+        cut = int((_lengths(a, b[:half]) + _lengths(a[::-1], b[half:][::-1])[::-1]).argmax())
+        return _common(a[:cut], b[:half]) + [(cut + i, half + j) for i, j in _common(a[cut:], b[half:])]
+    table = np.zeros((len(b) + 1, len(a) + 1), np.int32)
+    for j in range(len(b) - 1, -1, -1):
+        best = np.maximum(table[j + 1, :-1], np.where(a == b[j], table[j + 1, 1:] + 1, 0))
+        table[j, :-1] = np.maximum.accumulate(best[::-1])[::-1]
     out, i, j = [], 0, 0
     while i < len(a) and j < len(b):
         if a[i] == b[j]:
             out.append((i, j))
             i, j = i + 1, j + 1
-        elif table[i + 1, j] >= table[i, j + 1]:
+        elif table[j, i + 1] >= table[j + 1, i]:
             i += 1
         else:
             j += 1
     return out
 
 
+def _numbered(*parts: list[str]) -> list[np.ndarray]:
+    """Sequences of words as numbers, equal for equal words."""
+    known: dict[str, int] = {}
+    return [np.array([known.setdefault(w, len(known)) for w in part], np.int64) for part in parts]
+
+
 def patience(text: list[str], template: list[str]) -> list[tuple[int, int]]:
     """Matched places (in text, in template) of a patience alignment."""
     out: list[tuple[int, int]] = []
@@ -124,8 +148,8 @@ def patience(text: list[str], template: list[str]) -> list[tuple[int, int]]:
             out += anchors
             edges = [(a - 1, c - 1), *anchors, (b, d)]
             todo += [(x + 1, u, y + 1, v) for (x, y), (u, v) in zip(edges, edges[1:]) if x + 1 < u and y + 1 < v]
-        elif (b - a) * (d - c) <= SMALL_GAP:
-            out += [(a + i, c + j) for i, j in _common(text[a:b], template[c:d])]
+        else:
+            out += [(a + i, c + j) for i, j in _common(*_numbered(text[a:b], template[c:d]))]
     return sorted(out)
 
 

@@ -245,6 +245,34 @@ def test_licenses():
     assert licenses.increasing([(0, 3), (1, 1), (2, 2), (3, 0)]) == [(1, 1), (2, 2)]
 
 
+@pytest.mark.parametrize("name", ["MIT", "GPL-3.0"])
+def test_licenses_in_adjacent_copies(name):
+    """Where a notice stands several times no word of it is unique."""
+    notice, other = licenses.TEMPLATES[name][1], "before and after stands the text of another author " * 6
+    n, before = len(licenses.words_of(notice)), len(licenses.words_of(other))
+    for copies in (1, 2, 5):
+        for between in ("", "and again "):
+            found = licenses.Scanner().scan(other + (notice + " " + between) * copies + other)
+            assert [f for f in found if f[0] == name] == [(name, 1.0, before, before + n)]
+
+
+@pytest.mark.parametrize("cells", [1, 20, 1 << 20])
+def test_gaps_without_anchors_equal_full_table(monkeypatch, cells):
+    monkeypatch.setattr(licenses, "TABLE_CELLS", cells)
+    rng = random.Random(4)
+    for _ in range(100):
+        a, b = (rng.choices("abcde", k=rng.randrange(25)) for _ in range(2))
+        row = [0] * (len(b) + 1)
+        for x in a:
+            new = [0]
+            for j, y in enumerate(b):
+                new.append(row[j] + 1 if x == y else max(row[j + 1], new[-1]))
+            row = new
+        found = licenses._common(*licenses._numbered(a, b))
+        assert len(found) == row[-1] and all(a[i] == b[j] for i, j in found)
+        assert all(i < k and j < m for (i, j), (k, m) in zip(found, found[1:]))
+
+
 def test_pipeline_equals_its_stages_by_brute_force(spark, tmp_path):
     """Clean documents stay, planted ones go; the later stages are held against plain versions on the rows before them."""
     rng = random.Random(12)
