@@ -30,11 +30,12 @@ def parser() -> argparse.ArgumentParser:
             if f.type == "bool":
                 r.add_argument(f"--{f.name.replace('_', '-')}", action=argparse.BooleanOptionalAction, default=f.default)
             else:
-                r.add_argument(f"--{f.name.replace('_', '-')}", type={"int": int, "float": float}[f.type], default=f.default)
+                short = ["-cq"] if f.name == "coverage_quality" else []
+                r.add_argument(f"--{f.name.replace('_', '-')}", *short, type={"int": int, "float": float}[f.type], default=f.default)
     x = subs.add_parser("repeats")
     x.add_argument("-i", required=True)
     x.add_argument("-o", required=True)
-    for flag, kind, default in (("m", int, 2), ("f", float, 0.8), ("n", int, 20), ("r", float, 0.6), ("b", int, 200), ("E", int, 100)):
+    for flag, kind, default in (("m", int, 2), ("f", float, 0.8), ("n", int, 20), ("r", float, 0.6), ("b", int, 200), ("E", int, 100), ("cq", int, 0)):
         x.add_argument(f"-{flag}", type=kind, default=default)
     s = subs.add_parser("simulate")
     s.add_argument("-g", required=True)
@@ -54,7 +55,7 @@ def main(argv: list[str] | None = None) -> None:
         contigs = [(r.chrom, r.length) for r in bam.read_contigs(spark, a.i).orderBy("ref_id").collect()]
         bam.write_bam(P.extract(bam.read_bam(spark, a.i), a.q, not a.nd, not a.nsc, not a.nhc), a.o, contigs)
     elif a.command == "repeats":
-        text.write_bed(P.repeats(bam.read_bam(spark, a.i), bam.read_contigs(spark, a.i), a.m, a.f, a.n, a.r, a.b, a.E), a.o)
+        text.write_bed(P.repeats(bam.read_bam(spark, a.i), bam.read_contigs(spark, a.i), a.m, a.f, a.n, a.r, a.b, a.E, a.cq), a.o)
     elif a.command == "simulate":
         from annulus.operators.simulate import fastq
 

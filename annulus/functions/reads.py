@@ -39,6 +39,42 @@ def aligned_bases(cigar: str = "cigar") -> Column:
     return cigar_sum(cigar, S.MATCH)
 
 
+def aligned_blocks(pos: str = "pos", cigar: str = "cigar") -> Column:
+    """M, = and X operations as an array of (start on the chromosome, at in the read, len)."""
+    block = lambda t, c: F.array(F.struct(t["start"].alias("start"), t["at"].alias("at"), c["len"].cast("long").alias("len")))
+    moved = lambda at, c, *ops: at + F.when(c["op"].isin(*ops), c["len"]).otherwise(0)
+    none = F.array().cast("array<struct<start:bigint,at:bigint,len:bigint>>")
+    begin = F.struct(C(pos).cast("long").alias("start"), F.lit(0).cast("long").alias("at"), none.alias("blocks"))
+
+    def step(t: Column, c: Column) -> Column:
+        return F.struct(
+            moved(t["start"], c, S.MATCH, S.DELETION, S.SKIP, S.EQUAL, S.DIFFERENT).alias("start"),
+            moved(t["at"], c, S.MATCH, S.INSERTION, S.SOFT, S.EQUAL, S.DIFFERENT).alias("at"),
+            F.concat(t["blocks"], F.when(c["op"].isin(S.MATCH, S.EQUAL, S.DIFFERENT), block(t, c)).otherwise(none)).alias("blocks"),
+        )
+
+    return F.aggregate(cigar, begin, step, lambda t: t["blocks"])
+
+
+def runs_of_bases(seq: Column, qual: Column, at: Column, length: Column, quality: int = 0) -> Column:
+    """Runs (first, last) of the bases of a block of a read that are A, C, G or T, of the given quality if it is over 0."""
+    bases = F.upper(F.substring(seq, at.cast("int") + 1, length.cast("int")))
+    clean = (F.length(bases) == length) & ~bases.rlike("[^ACGT]")
+    counts = F.transform(F.split(bases, ""), lambda b: b.isin("A", "C", "G", "T"))
+    if quality > 0:
+        marks = F.slice(F.when(F.size(qual) == F.length(seq), qual), at.cast("int") + 1, length.cast("int"))
+        high = F.transform(marks, lambda q: F.coalesce(q >= quality, F.lit(False)))
+        clean = clean & (F.size(marks) == length) & F.forall(high, lambda h: h)
+        counts = F.zip_with(counts, high, lambda b, h: b & h)
+    places = F.filter(F.transform(counts, lambda c, i: F.when(c, i.cast("long"))), lambda i: i.isNotNull())
+    first = lambda p: F.filter(p, lambda i, k: (k == 0) | (F.get(p, k - 1) < i - 1))
+    last = lambda p: F.filter(p, lambda i, k: (k == F.size(p) - 1) | (F.get(p, k + 1) > i + 1))
+    # places are wrapped so that the inner functions see a value, not an expression to work out for each base
+    runs = F.flatten(F.transform(F.array(places), lambda p: F.zip_with(first(p), last(p), lambda a, b: F.struct(a.alias("first"), b.alias("last")))))
+    whole = F.array(F.struct(F.lit(0).cast("long").alias("first"), (length - 1).alias("last")))
+    return F.when(length > 0, F.when(F.coalesce(clean, F.lit(False)), whole).otherwise(runs))
+
+
 def query_length(cigar: str = "cigar", hard: bool = False) -> Column:
     """Bases of the read, with hard-clipped ones if asked for."""
     return cigar_sum(cigar, S.MATCH, S.INSERTION, S.SOFT, 7, 8, *([S.HARD] if hard else []))

@@ -12,9 +12,24 @@ from annulus.schema import DUPLICATE, QC_FAIL, SECONDARY, UNMAPPED
 C = F.col
 
 
-def covering_blocks(reads: DataFrame) -> DataFrame:
-    """Aligned spans of the reads that count for depth."""
-    return reads.where(C("flag").bitwiseAND(UNMAPPED | SECONDARY | QC_FAIL | DUPLICATE) == 0).select("chrom", C("pos").alias("start"), R.rightmost().alias("end"))
+def covering_spans(reads: DataFrame) -> DataFrame:
+    """Spans of the reads that count for depth, from their place to their rightmost base."""
+    return _counted(reads).select("chrom", C("pos").alias("start"), R.rightmost().alias("end"))
+
+
+def covering_blocks(reads: DataFrame, quality: int = 0) -> DataFrame:
+    """Aligned blocks (M, =, X) of the reads that count for depth, split where a base does not.
+
+    A base counts if it is one of A, C, G and T and its quality is at least the given one; at 0
+    qualities may be missing, over 0 a read without them has no depth. A read without bases has none.
+    """
+    cut = _counted(reads).select("chrom", F.explode(R.aligned_blocks()).alias("b"), C("seq").alias("_seq"), C("qual").alias("_qual"))
+    cut = cut.select("chrom", C("b.start").alias("_start"), F.explode(R.runs_of_bases(C("_seq"), C("_qual"), C("b.at"), C("b.len"), quality)).alias("r"))
+    return cut.select("chrom", (C("_start") + C("r.first")).alias("start"), (C("_start") + C("r.last") + 1).alias("end"))
+
+
+def _counted(reads: DataFrame) -> DataFrame:
+    return reads.where(C("flag").bitwiseAND(UNMAPPED | SECONDARY | QC_FAIL | DUPLICATE) == 0)
 
 
 def _within(lo: Column, hi: Column) -> Column:

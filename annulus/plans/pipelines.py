@@ -48,6 +48,7 @@ class Params:
     coverage: bool = True
     extension: int = 200
     inside: int = 100
+    coverage_quality: int = 0
 
 
 def extract(reads: DataFrame, mapq: int = 10, discordant: bool = True, soft: bool = True, hard: bool = True) -> DataFrame:
@@ -56,7 +57,7 @@ def extract(reads: DataFrame, mapq: int = 10, discordant: bool = True, soft: boo
 
 def _tiled(candidates: DataFrame, p: Params) -> DataFrame:
     """Reads by the tiles that they overlap; a read comes once for each tile."""
-    clusters = peaks(coverage_runs(cov.covering_blocks(candidates)), p.cluster_gap)
+    clusters = peaks(coverage_runs(cov.covering_spans(candidates)), p.cluster_gap)
     cut = tiles(clusters).withColumn("tile_id", F.xxhash64("chrom", "start", "end"))
     spans = candidates.where(C("mapq") >= p.mapq).withColumn("start", C("pos")).withColumn("end", R.rightmost())
     return overlap_join(spans, cut).drop("start", "end", "r_chrom", "r_start", "r_end")
@@ -121,7 +122,7 @@ def realign(candidates: DataFrame, qname_reads: DataFrame, all_reads: DataFrame,
     circles = ev.merge_circles(good, p.merge_share, p.splits)
     if not p.coverage:
         return circles
-    return cov.filter_by_ratio(cov.coverage_stats(circles, cov.covering_blocks(all_reads), contigs, p.extension, p.inside), p.ratio)
+    return cov.filter_by_ratio(cov.coverage_stats(circles, cov.covering_blocks(all_reads, p.coverage_quality), contigs, p.extension, p.inside), p.ratio)
 
 
 def realign_reads(candidates: DataFrame, qname_reads: DataFrame, contigs: DataFrame, genome: DataFrame, p: Params = Params()) -> DataFrame:  # noqa: B008
@@ -138,10 +139,10 @@ def realign_reads(candidates: DataFrame, qname_reads: DataFrame, contigs: DataFr
     return kept.unionByName(realigned.select(*kept.columns))
 
 
-def repeats(reads: DataFrame, contigs: DataFrame, most_edits: int = 2, share: float = 0.8, least: int = 20, ratio: float = 0.6, extension: int = 200, inside: int = 100) -> DataFrame:
-    """Circles between repeats."""
+def repeats(reads: DataFrame, contigs: DataFrame, most_edits: int = 2, share: float = 0.8, least: int = 20, ratio: float = 0.6, extension: int = 200, inside: int = 100, quality: int = 0) -> DataFrame:
+    """Circles between repeats; bases under the given quality do not count for coverage."""
     merged = ev.merge_repeats(ev.repeat_spans(reads, most_edits), share, least)
-    return cov.filter_by_ratio(cov.coverage_stats(merged, cov.covering_blocks(reads), contigs, extension, inside), ratio)
+    return cov.filter_by_ratio(cov.coverage_stats(merged, cov.covering_blocks(reads, quality), contigs, extension, inside), ratio)
 
 
 def simulate(spark: SparkSession, genome: DataFrame, n: int, seed: int = 1, read_length: int = 150, insert: int = 300, coverage: float = 30.0, exclude: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:

@@ -14,6 +14,6 @@ GENOME = "chrom string, seq string"
 
 #: CIGAR operations by code, and flag bits.
 CIGAR_OPS = "MIDNSHP=X"
-MATCH, INSERTION, DELETION, SKIP, SOFT, HARD = range(6)
+MATCH, INSERTION, DELETION, SKIP, SOFT, HARD, _, EQUAL, DIFFERENT = range(9)
 PROPER, UNMAPPED, MATE_UNMAPPED, REVERSE, MATE_REVERSE, READ1, READ2 = 2, 4, 8, 16, 32, 64, 128
 SECONDARY, QC_FAIL, DUPLICATE, SUPPLEMENTARY = 256, 512, 1024, 2048

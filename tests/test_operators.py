@@ -84,6 +84,55 @@ def test_coverage_stats_equal_base_by_base(spark):
     assert [r.start for r in coverage.filter_by_ratio(coverage.coverage_stats(circles, spark.createDataFrame(reads, "chrom string, start long, end long"), contigs, 20, 30), 0.1).collect()] == [15]
 
 
+def counted_bases(reads, quality):
+    """Depth by base as pysam's count_coverage has it."""
+    depth = {}
+    for r in reads:
+        if r["flag"] & (4 | 256 | 512 | 1024) or not r["seq"]:
+            continue
+        at, place = 0, r["pos"]
+        for c in r["cigar"]:
+            for k in range(c["len"]) if c["op"] in (0, 7, 8) else ():
+                if at + k < len(r["seq"]) and r["seq"][at + k].upper() in "ACGT" and (not quality or (r["qual"] and r["qual"][at + k] >= quality)):
+                    depth[r["chrom"], place + k] = depth.get((r["chrom"], place + k), 0) + 1
+            at += c["len"] if c["op"] in (0, 1, 4, 7, 8) else 0
+            place += c["len"] if c["op"] in (0, 2, 3, 7, 8) else 0
+    return depth
+
+
+@pytest.mark.parametrize("quality", [0, 20])
+def test_covering_blocks_equal_base_by_base(spark, quality):
+    """Reads with deletions, skips, =, X, clips, N bases, low or no qualities and no bases."""
+    rng = random.Random(11)
+    data = []
+    for k in range(80):
+        ops = [(5, 4)] * (k % 3 == 0) + [(4, 3)] * (k % 4 == 0) + [(rng.choice((0, 7, 8, 0, 1, 2, 3, 6)), rng.randrange(1, 9)) for _ in range(rng.randrange(1, 7))] + [(4, 2)] * (k % 5 == 0)
+        n = sum(x for o, x in ops if o in (0, 1, 4, 7, 8))
+        seq, qual = "".join(rng.choices("ACGTNRa", (9, 9, 9, 9, 2, 1, 1), k=n)), [rng.choice((10, 19, 20, 30, 30, 30)) for _ in range(n)]
+        data.append(dict(chrom=f"c{k % 2}", pos=rng.randrange(200), flag=rng.choice((0, 16, 0, 2048, 4, 256, 512, 1024)), cigar=[{"op": o, "len": x} for o, x in ops], seq=seq if k % 10 else None, qual=qual if k % 7 else None))
+    plain = dict(chrom="d", pos=5, flag=0, seq="ACGT" * 3, qual=[30] * 12)
+    data += [plain | {"cigar": [{"op": 7, "len": 5}, {"op": 8, "len": 1}, {"op": 2, "len": 4}, {"op": 7, "len": 6}]}, plain | {"cigar": [{"op": 0, "len": 12}], "qual": [9]}]
+    reads = spark.createDataFrame(data, "chrom string, pos long, flag int, cigar array<struct<op:int,len:int>>, seq string, qual array<int>")
+    blocks = coverage.covering_blocks(reads, quality)
+    data[-1]["qual"] = None
+    want = counted_bases(data, quality)
+    assert {(r.chrom, x): r.depth for r in intervals.coverage_runs(blocks).collect() for x in range(r.start, r.end)} == want
+    contigs = spark.createDataFrame([(0, "d", 400)], "ref_id int, chrom string, length long")
+    circle = spark.createDataFrame([("d", 5, 25)], "chrom string, start long, end long")
+    own = np.array([want.get(("d", x), 0) for x in range(5, 25)])
+    got = coverage.coverage_stats(circle, blocks, contigs).first()
+    assert (got.mean, got.std, got.continuity) == pytest.approx((own.mean(), own.std(), (own == 0).mean()))
+
+
+def test_coverage_quality_is_an_option():
+    from annulus.cli import parser
+
+    files = ["-i", "a", "-qbam", "b", "-fasta", "c", "-o", "d"]
+    assert parser().parse_args(["realign", "-sbam", "e", *files, "-cq", "7"]).coverage_quality == 7
+    assert parser().parse_args(["realign", "-sbam", "e", *files]).coverage_quality == pipelines.Params().coverage_quality == 0
+    assert parser().parse_args(["repeats", "-i", "a", "-o", "d", "-cq", "7"]).cq == 7
+
+
 def brute_infix(q, t):
     row = [0] * (len(t) + 1)
     for i, a in enumerate(q, 1):
