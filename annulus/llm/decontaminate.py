@@ -1,8 +1,10 @@
 """Benchmark decontamination by the q-gram lemma.
 
 Texts and items are compared lower-cased, with ASCII punctuation and white space as single
-blanks. Items are cut in windows of ``WINDOW`` characters that overlap by half; a window
-may be found with ``EDIT_RATE`` of its length as edits. Two strings within e edits share at
+blanks. Items are cut in windows of ``WINDOW`` characters that overlap by half, and again in
+short ones of ``SHORT`` characters every ``STRIDE``, so a verbatim passage of SHORT + STRIDE - 1
+characters holds a window wherever in its item it begins; a window may be found with
+``EDIT_RATE`` of its length as edits. Short windows are sought where no long one is found. Two strings within e edits share at
 least L - q + 1 - e q q-grams, on diagonals at most e apart. So one scan looks up each q-gram
 of a text among those of the items, counts hits of an item in overlapping diagonal bands of
 2 (e + 1), retains the windows whose count meets the bound, and verifies them by
@@ -28,6 +30,8 @@ from annulus.llm.textblocks import mix64, powers, seeded
 
 Q = 10
 WINDOW = 120
+SHORT = 60
+STRIDE = 10
 EDIT_RATE = 0.06
 BLOCK_CHARS = 4_000_000
 #: Characters of texts that are searched at once.
@@ -81,19 +85,21 @@ def band_alignment(patterns: np.ndarray, lengths: np.ndarray, regions: np.ndarra
 class ItemIndex:
     """Windows and q-grams of a block of benchmark items."""
 
-    def __init__(self, items: list[tuple[int, str]], q: int = Q, window: int = WINDOW, rate: float = EDIT_RATE):
+    def __init__(self, items: list[tuple[int, str]], q: int = Q, window: int = WINDOW, rate: float = EDIT_RATE, short: int = SHORT, stride: int = STRIDE):
         self.q, self.window = q, window
         self.width = int(rate * window) + 1
-        self.ids, self.chars, self.windows = [], [], []
+        self.ids, self.chars, self.windows, self.long = [], [], [], []
         hashes, owners, places = [], [], []
         for item, text in items:
             chars = normal(text)
             if len(chars) < q:
                 continue
-            spans = []
-            for lo in range(0, max(1, len(chars) - window // 2), window // 2):
-                hi = min(lo + window, len(chars))
-                lo = max(0, hi - window)
+            n, spans = len(chars), []
+            places_of = [(max(0, min(lo + window, n) - window), min(lo + window, n)) for lo in range(0, max(1, n - window // 2), window // 2)]
+            self.long.append(len(places_of))
+            if n > short:
+                places_of += [(lo, lo + short) for lo in (*range(0, n - short, stride), n - short)]
+            for lo, hi in places_of:
                 edits = min(int(rate * (hi - lo)), max(0, (hi - lo - q) // q - 1))
                 spans.append((lo, hi, edits, max(1, hi - lo - q + 1 - edits * q)))
             own = grams(chars, q)
@@ -132,14 +138,24 @@ class ItemIndex:
             return []
         order = np.argsort(back, kind="stable")
         begin = np.concatenate(([0], np.cumsum(hits)))
-        rows = []
+        long, short = [], []
         for g in found:
             item, b = divmod(int(keys[g]), span)
             places = place[order[begin[g] : begin[g + 1]] % len(place)]
             for w, (ws, we, edits, least) in enumerate(self.windows[item]):
                 if ((places >= ws) & (places <= we - self.q)).sum() >= least:
-                    rows.append((item, w, b * self.width - self.longest + ws))
-        return self._verify(chars, rows)
+                    (long if w < self.long[item] else short).append((item, w, b * self.width - self.longest + ws))
+        out = self._verify(chars, long)
+        if short:
+            seen: dict[int, list] = {}
+            for f in out:
+                seen.setdefault(f[0], []).append(f)
+            # a row's diagonal is one of 2 * width from its band's first
+            met = lambda i, w, s: any(
+                ws <= self.windows[i][w][0] and self.windows[i][w][1] <= we and abs(at - ws - (s - self.windows[i][w][0])) <= 2 * self.width for _, ws, we, at, _ in seen.get(self.ids[i], ())
+            )
+            out = sorted(out + self._verify(chars, [r for r in short if not met(*r)]))
+        return out
 
     def _verify(self, chars: np.ndarray, rows: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int, int]]:
         out: dict[tuple[int, int, int], tuple[int, int, int, int, int]] = {}
@@ -252,7 +268,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, block_chars: int = BLOCK_C
     docs: doc_id long and text string; benchmark: item_id long and text string; other
     columns are ignored, whatever their names. Returns, for each row of docs, doc_id and
     passages (array of item_id, item_start, item_end, text_start, edits; places count
-    characters of the normalised texts), empty where nothing is found.
+    characters of the normalised texts), empty where nothing is found. Each passage is a window of its item.
 
     Null and empty texts hold no passages. Items that are null, empty or, normalised, under
     Q characters are not searched for. Repeated items with one id count once. Repeated rows

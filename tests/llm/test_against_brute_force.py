@@ -233,6 +233,21 @@ def test_edited_passages_are_found():
     assert not index.find(decontaminate.normal(text[::-1]))
 
 
+@pytest.mark.parametrize("size", [75, 100, 121, 200, 333])
+def test_partial_passages_are_found_at_every_offset(size):
+    rng = random.Random(size)
+    words = lambda letters, n: " ".join("".join(rng.choices(letters, k=rng.randrange(2, 8))) for _ in range(n))[:size].strip()
+    item, other = words("abcdefghijk", 90), words("lmnopqrst", 90)
+    index = decontaminate.ItemIndex([(5, item)])
+    for n in {min(n, len(item)) for n in (decontaminate.SHORT + decontaminate.STRIDE - 1, 90, 130)}:
+        for lo in range(len(item) - n + 1):
+            text = decontaminate.normal(f"{other} {item[lo : lo + n]} {other}")
+            assert index.find(text), (lo, n)
+    # a whole item gives its long windows alone
+    assert {f[2] - f[1] for f in index.find(decontaminate.normal(f"{other} {item} {other}"))} == {min(len(item), decontaminate.WINDOW)}
+    assert not index.find(decontaminate.normal(other + " " + item[::-1]))
+
+
 def test_licenses():
     scanner = licenses.Scanner()
     mit = licenses.TEMPLATES["MIT"][1]
