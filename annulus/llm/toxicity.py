@@ -157,7 +157,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Ordinal
     """
     known = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg((F.max("toxic") > 0).alias("toxic"))
     sample = known.where("toxic").orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    sample = sample.union(known.where("NOT toxic").orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows))
+    sample = sample.union(known.where("NOT toxic").orderBy(F.xxhash64("doc_id"), "doc_id").limit(2 * rows))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     # the sample has 3 * rows rows at most, so it is broadcast
     got = texts.join(F.broadcast(sample), "doc_id").select("toxic", "text").distinct().mapInArrow(_feature_rows, "toxic boolean, ids array<int>").toArrow()

@@ -195,6 +195,15 @@ def test_toxicity_held_out(spark):
     assert (np.diff(model.cuts) > 0).all()
 
 
+def test_toxicity_takes_twice_as_many_others(spark, monkeypatch):
+    taken = []
+    monkeypatch.setattr(toxicity, "fit", lambda ids, toxic: taken.append(toxic))
+    docs = spark.range(60).selectExpr("id AS doc_id", "concat('text ', id) AS text")
+    for others in (50, 15):
+        toxicity.train(docs, spark.range(10 + others).selectExpr("id AS doc_id", "int(id < 10) AS toxic"), rows=8)
+    assert [(t.sum(), (~t).sum()) for t in taken] == [(8, 16), (8, 15)]
+
+
 def test_leaks_equal_brute_force(spark):
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{DATA}/benchmark.parquet").collect()]
     docs = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text")
