@@ -503,10 +503,10 @@ def simulate_reads(spark, sf_dir):
 
 @query()
 def realign_pipeline(spark, sf_dir):
-    """Circles of the proxy reads, without realignment (they have no true genome)."""
+    """Circles of the proxy reads, their clips realigned to the proxy genome."""
     reads = proxy_reads(spark, sf_dir)
     candidates = pp.extract(reads)
-    return pp.realign(candidates, reads, reads, proxy_contigs(spark), None, pp.Params(only_discordants=False, merge_share=0.9, insert_mapq=30))
+    return pp.realign(candidates, reads, reads, proxy_contigs(spark), proxy_genome(spark, sf_dir), pp.Params(only_discordants=False, merge_share=0.9, insert_mapq=30))
 
 
 @query()
