@@ -8,11 +8,14 @@ characters holds a window wherever in its item it begins; a window may be found
 least L - q + 1 - e q q-grams, on diagonals at most e apart. So one scan looks up each q-gram
 of a text among those of the items, counts hits of an item in overlapping diagonal bands of
 2 (e + 1), retains the windows whose count meets the bound, and verifies them by
-an alignment restricted to the band, free at both ends of the text region.
-
-The items are the query set: they go to all tasks in blocks of at most ``BLOCK_CHARS``
-characters, one after another, so what is broadcast has a fixed bound. Documents are
-never shuffled, unless the items need several blocks.
+an alignment restricted to the band, free at both ends of the text region. Items too short for
+the bound at ``Q`` take the largest q for which it holds; one under Q characters has no edits and is found
+as whole words alone.
+
+The items are the query set: they go to all tasks in blocks of about ``BLOCK_CHARS``
+characters (an item is never cut). Each block is searched for in a scan of its own and taken back before the
+next is sent, so what tasks hold does not grow with the number of items. Documents are
+never shuffled, unless the items need several blocks; then those with passages are joined back.
 """
 
 from __future__ import annotations
@@ -26,6 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from annulus.llm.storage import Store
 from annulus.llm.textblocks import mix64, powers, seeded
 
 Q = 10
@@ -36,6 +40,8 @@ EDIT_RATE = 0.06
 BLOCK_CHARS = 4_000_000
 #: Characters of texts that are searched at once.
 PIECE = 400_000
+#: Stands between texts that are searched together; no character.
+SEPARATOR = 0xFFFFFFFE
 _U = np.uint64
 _BASE = int(seeded(51, 1)[0]) | 1
 _BASE_INV = pow(_BASE, -1, 1 << 64)
@@ -83,25 +89,22 @@ def band_alignment(patterns: np.ndarray, lengths: np.ndarray, regions: np.ndarra
 
 
 class ItemIndex:
-    """Windows and q-grams of a block of benchmark items."""
+    """Windows and q-grams of benchmark items (id and normalised characters) that take one q."""
 
-    def __init__(self, items: list[tuple[int, str]], q: int = Q, window: int = WINDOW, rate: float = EDIT_RATE, short: int = SHORT, stride: int = STRIDE):
+    def __init__(self, items: list[tuple[int, np.ndarray]], q: int = Q, window: int = WINDOW, rate: float = EDIT_RATE, short: int = SHORT, stride: int = STRIDE):
         self.q, self.window = q, window
         self.width = int(rate * window) + 1
         self.ids, self.chars, self.windows, self.long = [], [], [], []
         hashes, owners, places = [], [], []
-        for item, text in items:
-            chars = normal(text)
-            if len(chars) < q:
-                continue
+        for item, chars in items:
             n, spans = len(chars), []
             places_of = [(max(0, min(lo + window, n) - window), min(lo + window, n)) for lo in range(0, max(1, n - window // 2), window // 2)]
             self.long.append(len(places_of))
             if n > short:
                 places_of += [(lo, lo + short) for lo in (*range(0, n - short, stride), n - short)]
             for lo, hi in places_of:
-                edits = min(int(rate * (hi - lo)), max(0, (hi - lo - q) // q - 1))
-                spans.append((lo, hi, edits, max(1, hi - lo - q + 1 - edits * q)))
+                edits = int(rate * (hi - lo))
+                spans.append((lo, hi, edits, hi - lo - q + 1 - edits * q))
             own = grams(chars, q)
             hashes.append(own)
             owners.append(np.full(len(own), len(self.ids)))
@@ -174,6 +177,8 @@ class ItemIndex:
             for r, (i, w, s) in enumerate(some):
                 ws, we, most, _ = self.windows[i][w]
                 if edits[r] <= most:
+                    if we - ws < Q and not self._whole_words(chars, s + int(where[r]), we - ws):
+                        continue
                     end = s + int(where[r]) + (we - ws)
                     key = (self.ids[i], ws, end // (2 * self.width))
                     new = (self.ids[i], ws, we, max(0, end - (we - ws)), int(edits[r]))
@@ -181,44 +186,64 @@ class ItemIndex:
                         out[key] = new
         return sorted(out.values())
 
+    @staticmethod
+    def _whole_words(chars: np.ndarray, lo: int, size: int) -> bool:
+        """Whether blanks, separators or ends stand on both sides of the text from lo on."""
+        edge = lambda i: not 0 <= i < len(chars) or chars[i] in (0x20, SEPARATOR)
+        return edge(lo - 1) and edge(lo + size)
+
+
+def indexes(items: list[tuple[int, str]], rate: float = EDIT_RATE) -> list[ItemIndex]:
+    """Indexes over all items that are not empty when normalised, by the largest q up to Q for which the lemma's bound holds."""
+    by_q: dict[int, list[tuple[int, np.ndarray]]] = {}
+    for item, text in items:
+        chars = normal(text)
+        if len(chars):
+            by_q.setdefault(min(Q, len(chars) // (int(rate * len(chars)) + 1)), []).append((item, chars))
+    return [ItemIndex(own, q, rate=rate) for q, own in sorted(by_q.items())]
+
+
+_PASSAGE = pa.struct([("item_id", pa.int64()), ("item_start", pa.int32()), ("item_end", pa.int32()), ("text_start", pa.int64()), ("edits", pa.int32())])
+
+
+def _found(found: list[ItemIndex], column: pa.Array) -> pa.Array:
+    """Passages of each text."""
+    texts = [normal(t) for t in column.to_pylist()]
+    passages: list[list] = [[] for _ in texts]
+    for index in found:
+        overlap = 2 * (index.longest + index.window)
+        group: list[tuple[int, int, np.ndarray]] = []
+        held = 0
+        for d, chars in enumerate(texts):
+            for lo in range(0, max(1, len(chars) - overlap), PIECE):
+                piece = chars[lo : lo + PIECE + overlap]
+                if held and held + len(piece) > PIECE:
+                    _search(index, group, passages)
+                    group, held = [], 0
+                group.append((d, lo, piece))
+                held += len(piece)
+        _search(index, group, passages)
+    names = [f.name for f in _PASSAGE]
+    return pa.array([[dict(zip(names, p)) for p in sorted(set(f))] for f in passages], type=pa.list_(_PASSAGE))
+
+
+def _small(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for lo in range(0, batch.num_rows, rows):
+            yield batch.slice(lo, rows)
+
 
 def _searched(batches: Iterator[pa.RecordBatch], shipped) -> Iterator[pa.RecordBatch]:
-    index: ItemIndex = shipped.value
-    overlap = 2 * (index.longest + index.window)
-    passage = pa.struct([("item_id", pa.int64()), ("item_start", pa.int32()), ("item_end", pa.int32()), ("text_start", pa.int64()), ("edits", pa.int32())])
-    for batch in batches:
-        for first in range(0, batch.num_rows, 1000):
-            part = batch.slice(first, 1000)
-            texts = [normal(t) for t in part.column("text").to_pylist()]
-            found: list[list] = [[] for _ in texts]
-            group: list[tuple[int, int, np.ndarray]] = []
-            held = 0
-            for d, chars in enumerate(texts):
-                for lo in range(0, max(1, len(chars) - overlap), PIECE):
-                    piece = chars[lo : lo + PIECE + overlap]
-                    if held and held + len(piece) > PIECE:
-                        _search(index, group, found)
-                        group, held = [], 0
-                    group.append((d, lo, piece))
-                    held += len(piece)
-            _search(index, group, found)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    part.column("doc_id"),
-                    pa.array(
-                        [[dict(zip(("item_id", "item_start", "item_end", "text_start", "edits"), p)) for p in sorted(set(f))] for f in found],
-                        type=pa.list_(passage),
-                    ),
-                ],
-                names=["doc_id", "passages"],
-            )
+    for batch in _small(batches):
+        rest = [c for c in batch.schema.names if c != "text"]
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), _found(shipped.value, batch.column("text"))], names=[*rest, "passages"])
 
 
 def _search(index: ItemIndex, group: list[tuple[int, int, np.ndarray]], found: list[list]) -> None:
     """Search the pieces joined by separators that no item has."""
     if not group:
         return
-    gap = np.full(index.longest + 4 * index.width + index.window, 0xFFFFFFFE, np.uint32)
+    gap = np.full(index.longest + 4 * index.width + index.window, SEPARATOR, np.uint32)
     parts, begin, at = [], [], 0
     for _, _, piece in group:
         begin.append(at)
@@ -231,38 +256,37 @@ def _search(index: ItemIndex, group: list[tuple[int, int, np.ndarray]], found: l
         found[d].append((item, ws, we, int(start - begin[g] + lo), edits))
 
 
-def _shipped_items(benchmark: DataFrame, block_chars: int) -> list:
-    """Broadcast indexes of the items, each of about block_chars characters."""
+def _blocks(benchmark: DataFrame, block_chars: int) -> Iterator[tuple[int, object]]:
+    """(number of blocks, broadcast indexes) of the items, a block of about block_chars characters at a time."""
     items = benchmark.where("item_id IS NOT NULL AND text IS NOT NULL").select(
         F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")
     )
     chars = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
     blocks = max(1, -(-chars // block_chars))
-    shipped = []
     for block in range(blocks):
         own = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == block).distinct()
-        index = ItemIndex(sorted((r.item_id, r.text) for r in own.collect()))
-        shipped.append(benchmark.sparkSession.sparkContext.broadcast(index))
-    return shipped
+        yield blocks, benchmark.sparkSession.sparkContext.broadcast(indexes(sorted((r.item_id, r.text) for r in own.collect())))
 
 
 def _unleaked(batches: Iterator[pa.RecordBatch], shipped) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for lo in range(0, batch.num_rows, 1000):
-            part = batch.slice(lo, 1000)
-            texts = pa.RecordBatch.from_arrays([pa.nulls(part.num_rows, pa.int64()), part.column("text")], names=["doc_id", "text"])
-            for found in _searched([texts], shipped):
-                yield part.filter(pc.equal(pc.list_value_length(found.column("passages")), 0))
+    for batch in _small(batches):
+        yield batch.filter(pc.equal(pc.list_value_length(_found(shipped.value, batch.column("text"))), 0))
 
 
-def drop_leaked(docs: DataFrame, benchmark: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
+def drop_leaked(docs: DataFrame, benchmark: DataFrame, block_chars: int = BLOCK_CHARS, store: Store | None = None) -> DataFrame:
     """The rows of docs, with all their columns, in which ``find_leaks`` finds nothing."""
-    for shipped in _shipped_items(benchmark, block_chars):
+    store = store or Store(docs.sparkSession, "unleaked")
+    for block, (blocks, shipped) in enumerate(_blocks(benchmark, block_chars)):
         docs = docs.mapInArrow(partial(_unleaked, shipped=shipped), docs.schema)
+        if blocks > 1:
+            docs = store.keep(docs, f"after-{block}")
+            shipped.destroy()
+            if block:
+                store.drop(f"after-{block - 1}")
     return docs
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, block_chars: int = BLOCK_CHARS, store: Store | None = None) -> DataFrame:
     """Benchmark passages in documents.
 
     docs: doc_id long and text string; benchmark: item_id long and text string; other
@@ -270,21 +294,24 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, block_chars: int = BLOCK_C
     passages (array of item_id, item_start, item_end, text_start, edits; places count
     characters of the normalised texts), empty where nothing is found. Each passage is a window of its item.
 
-    Null and empty texts hold no passages. Items that are null, empty or, normalised, under
-    Q characters are not searched for. Repeated items with one id count once. Repeated rows
-    give equal rows; a null doc_id stays null (with several blocks of items, too). Without
-    items every document is clean.
+    Null and empty texts hold no passages. Items that are null or, normalised, empty are not
+    searched for; one under Q characters is found as whole words and exactly. Repeated items with one id count
+    once. Repeated rows give equal rows; a null doc_id stays null. Without items every document is
+    clean. The number of blocks does not change the result.
     """
-    shipped = _shipped_items(benchmark, block_chars)
+    store = store or Store(docs.sparkSession, "leaks")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    schema = "doc_id long, passages array<struct<item_id:long,item_start:int,item_end:int,text_start:long,edits:int>>"
-    parts = [texts.mapInArrow(partial(_searched, shipped=s), schema) for s in shipped]
-    if len(parts) == 1:
-        return parts[0]
-    result = reduce(DataFrame.union, [p.where(F.size("passages") > 0) for p in parts])
-    merged = result.groupBy("doc_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("passages")))).alias("found"))
-    return (
-        texts.select("doc_id")
-        .join(merged.withColumnRenamed("doc_id", "other"), F.col("doc_id").eqNullSafe(F.col("other")), "left")
-        .select("doc_id", F.coalesce("found", F.array().cast(merged.schema["found"].dataType)).alias("passages"))
-    )
+    passages = "passages array<struct<item_id:long,item_start:int,item_end:int,text_start:long,edits:int>>"
+    # equal texts hold equal passages, so with several blocks a text's digest is the key of what is found in it
+    keyed = texts.select(F.sha2("text", 256).alias("key"), "text")
+    parts = []
+    for block, (blocks, shipped) in enumerate(_blocks(benchmark, block_chars)):
+        if blocks == 1:
+            return texts.mapInArrow(partial(_searched, shipped=shipped), f"doc_id long, {passages}")
+        found = keyed.where("text IS NOT NULL").mapInArrow(partial(_searched, shipped=shipped), f"key string, {passages}").where(F.size("passages") > 0)
+        parts.append(store.keep(found.distinct(), f"block-{block}"))
+        shipped.destroy()
+    every = reduce(DataFrame.union, parts)
+    merged = every.groupBy("key").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("passages")))).alias("found"))
+    rows = texts.select("doc_id", F.sha2("text", 256).alias("key"))
+    return rows.join(merged, "key", "left").select("doc_id", F.coalesce("found", F.array().cast(merged.schema["found"].dataType)).alias("passages"))

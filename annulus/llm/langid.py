@@ -3,8 +3,8 @@
 Subwords are the sequences of 2, 3 and 4 bytes of the lower-cased text, hashed to
 ``BUCKETS`` rows of an embedding. A text is the mean of its rows; a linear layer and a
 softmax over temperature give the languages. The model is trained on the driver with
-stochastic gradient descent in numpy, over a bounded sample (``TRAIN_ROWS`` documents of
-least hash); an eighth of it is left out to fit the temperature and the score under which
+stochastic gradient descent in numpy, over a bounded sample (``TRAIN_ROWS`` documents, in equal
+parts by language, those of least hash); an eighth of it is left out to fit the temperature and the score under which
 an answer is rejected. Prediction is one scan: the model's size is fixed.
 """
 
@@ -16,7 +16,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from annulus.llm.textblocks import seeded
@@ -170,13 +170,36 @@ def held_out(doc_id: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
+def quotas(counts: dict[str, int], rows: int) -> dict[str, int]:
+    """Rows to take of each language: equal parts; what rare ones leave is shared by the others."""
+    out, left = {}, rows
+    for k, (name, n) in enumerate(sorted(counts.items(), key=lambda c: (c[1], c[0]))):
+        out[name] = min(n, left // (len(counts) - k))
+        left -= out[name]
+    return out
+
+
 def train(docs: DataFrame, rows: int = TRAIN_ROWS) -> LanguageModel | None:
-    """Train on at most ``rows`` documents with text and language that are not held out, those of least hash of doc_id."""
+    """Train on about ``rows`` documents (never more) with text and language that are not held out.
+
+    Each language has an equal part of them, its documents of least hash of doc_id, and what rare ones
+    leave goes to the others; of more than ``rows`` languages the commonest count. Several rows of a
+    doc_id count as the one of least language and text. Texts without a letter are left out.
+    """
     known = docs.where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out())
-    chosen = known.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    # at most `rows` ids, so they are broadcast
-    texts = known.select("doc_id", "lang", "text").join(F.broadcast(chosen.distinct()), "doc_id").where(F.col("text").rlike("\\p{L}"))
-    got = texts.mapInArrow(_bags, "doc_id long, lang string, ids array<int>, counts array<int>").toArrow()
+    found = known.groupBy("lang").agg(F.approx_count_distinct("doc_id").alias("n")).orderBy(F.desc("n"), "lang").limit(rows).collect()
+    parts = quotas({r.lang: r.n for r in found}, rows)
+    # twice the wanted rows and a few have a hash under the limit, so the sample's size does not grow with the table
+    limits = [(r.lang, parts[r.lang], min(1.0, (2 * parts[r.lang] + 50) / max(1, r.n))) for r in found if parts[r.lang]]
+    if not limits:
+        return None
+    wanted = docs.sparkSession.createDataFrame(limits, "lang string, part int, share double")
+    low = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) < F.col("share") * F.lit(float(1 << 40))
+    drawn = known.select("doc_id", "lang", "text").join(F.broadcast(wanted), "lang").where(low)  # at most `rows` languages
+    single = drawn.groupBy("doc_id").agg(F.min(F.struct("lang", "text", "part")).alias("one")).select("doc_id", "one.*")
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)), "doc_id"))
+    texts = single.where(F.col("text").rlike("\\p{L}")).withColumn("rank", rank).where("rank <= part")
+    got = texts.select("doc_id", "lang", "text").mapInArrow(_bags, "doc_id long, lang string, ids array<int>, counts array<int>").toArrow()
     if not got.num_rows:
         return None
     got = got.sort_by([("doc_id", "ascending"), ("lang", "ascending")])

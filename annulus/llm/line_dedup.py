@@ -3,6 +3,7 @@
 A line is its sequence of words (A-Z lower-cased). A line goes if an earlier line, by
 (doc_id, line number), is equal to it or within one word edit of it (a word replaced,
 added or left out), the longer of the two having at least ``MIN_WORDS`` words.
+Lines are equal if two independent 61-bit keys over their words are.
 
 1. One scan hashes every line and the first and last halves of longer ones. A partial
    aggregate keeps the earliest place of each distinct line.
@@ -30,36 +31,82 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from annulus.llm.storage import Store, filtered_scans
-from annulus.llm.textblocks import BLOCK_BYTES, hash_words, mix64, powers, seeded, utf8_parts
+from annulus.llm.textblocks import SUM_BYTES, hash_words, mix64, seeded, utf8_parts
 
-#: Words from which a line is also compared for one edit.
+#: Words from which a line is also compared for one edit: in a shorter line one word is more than an eighth of it,
+#: and lines such as headings that differ in a number alone say different things.
 MIN_WORDS = 8
 _U = np.uint64
-_BASE = int(seeded(31, 1)[0]) | 1
-_BASE_INV = pow(_BASE, -1, 1 << 64)
-_LENGTHS = int(seeded(32, 1)[0]) | 1
+#: Keys are polynomials over words in the field of 2**61 - 1 elements: two lines of n words agree for n bases at most.
+PRIME = (1 << 61) - 1
+_BASES = tuple(int(x) % PRIME for x in seeded(31, 2))
+_LENGTHS = seeded(32, 2) | _U(1)
 _SIDES = seeded(33, 2)
+_KEPT = 1 << 15
+_powers: dict[int, np.ndarray] = {}
 
 
-def _sums(words: np.ndarray) -> np.ndarray:
-    """Prefix sums of word * BASE**place."""
-    sums = np.zeros(len(words) + 1, np.uint64)
-    np.cumsum(words * powers(_BASE, len(words)), out=sums[1:])
-    return sums
+def reduced(x: np.ndarray) -> np.ndarray:
+    """x modulo PRIME."""
+    x = (x & _U(PRIME)) + (x >> _U(61))
+    return np.where(x >= _U(PRIME), x - _U(PRIME), x)
 
 
-def _key(value: np.ndarray, length) -> np.ndarray:
-    return mix64(value ^ (np.asarray(length, np.uint64) * _U(_LENGTHS)))
+def times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a * b modulo PRIME, for values below it."""
+    half, low = _U(31), _U((1 << 31) - 1)
+    a1, a0, b1, b0 = a >> half, a & low, b >> half, b & low
+    middle = a1 * b0 + a0 * b1
+    return reduced(((a1 * b1) << _U(1)) + (middle >> _U(30)) + ((middle & _U((1 << 30) - 1)) << half) + a0 * b0)
+
+
+def field_powers(base: int, n: int) -> np.ndarray:
+    """base**0 .. base**(n-1) modulo PRIME; at most _KEPT of them stay in memory."""
+    have = _powers.get(base)
+    if have is None or len(have) < n:
+        have = np.ones(1, np.uint64)
+        while len(have) < max(n, 256):
+            have = np.concatenate((have, times(have, np.full(len(have), pow(base, len(have), PRIME), np.uint64))))
+        if n <= _KEPT:
+            _powers[base] = have
+    return have[:n]
+
+
+def _line_sums(words: np.ndarray, begin: np.ndarray, base: int) -> np.ndarray:
+    """Prefix sums, over all lines, of word * base**(place in its line); begin: where lines begin, with the end."""
+    length = np.diff(begin)
+    place = np.arange(len(words)) - np.repeat(begin[:-1], length)
+    terms = times(reduced(words), field_powers(base, int(length.max(initial=0)) or 1)[place])
+    high, low = (np.concatenate((np.zeros(1, np.uint64), np.cumsum(part, dtype=np.uint64))) for part in (terms >> _U(31), terms & _U((1 << 31) - 1)))
+    return reduced((high >> _U(30)) + ((high & _U((1 << 30) - 1)) << _U(31)) + low)
+
+
+def _less(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a - b modulo PRIME."""
+    return np.where(a >= b, a - b, a + _U(PRIME) - b)
+
+
+def _key(value: np.ndarray, length, which: int = 0) -> np.ndarray:
+    return mix64(value ^ (np.asarray(length, np.uint64) * _LENGTHS[which]))
+
+
+def _keys(words: np.ndarray, begin: np.ndarray, which: int = 0) -> np.ndarray:
+    """Key of each line, by the first or second base."""
+    sums = _line_sums(words, begin, _BASES[which])
+    return _key(_less(sums[begin[1:]], sums[begin[:-1]]), np.diff(begin), which)
 
 
 def line_key(words: np.ndarray) -> int:
-    return int(_key(_sums(words)[-1:], len(words))[0])
+    return int(_keys(words, np.array([0, len(words)]))[0])
 
 
-def deletion_keys(words: np.ndarray) -> np.ndarray:
-    """Key of the line without its i-th word, for each i."""
-    sums = _sums(words)
-    return _key(sums[:-1] + (sums[-1] - sums[1:]) * _U(_BASE_INV), len(words) - 1)
+def deletion_keys(words: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """For each word, the key of its line without it."""
+    sums, length = _line_sums(words, begin, _BASES[0]), np.diff(begin)
+    back = np.full(len(words), pow(_BASES[0], -1, PRIME), np.uint64)
+    first, last = (np.repeat(sums[x], length) for x in (begin[:-1], begin[1:]))
+    rest = times(_less(last, sums[1:]), back)
+    return _key(reduced(_less(sums[:-1], first) + rest), np.repeat(length - 1, length))
 
 
 def line_tables(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -71,7 +118,7 @@ def line_tables(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.nda
     offsets, data = utf8_parts(batch.column("text"))
     at, n = 0, len(offsets) - 1
     while at < n:
-        upto = max(at + 1, int(np.searchsorted(offsets, offsets[at] + BLOCK_BYTES, side="right")) - 1)
+        upto = max(at + 1, int(np.searchsorted(offsets, offsets[at] + SUM_BYTES, side="right")) - 1)
         raw, lo = data[offsets[at] : offsets[upto]], offsets[at]
         ends = np.flatnonzero(raw == 10) + 1
         bounds = offsets[at : upto + 1] - lo
@@ -79,22 +126,19 @@ def line_tables(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.nda
         starts = np.sort(np.concatenate((ends, bounds[:-1])), kind="stable")
         first = np.searchsorted(ends, bounds[:-1], side="right") + np.arange(upto - at)
         words, begin = hash_words(raw, np.append(starts, len(raw)))
-        sums = _sums(words)
-        length = np.diff(begin)
-        back = powers(_BASE_INV, len(words) + 1)
-        keys = _key((sums[begin[1:]] - sums[begin[:-1]]) * back[begin[:-1]], length)
-        yield at, words, begin, np.append(first, len(starts)), keys
+        yield at, words, begin, np.append(first, len(starts)), _keys(words, begin)
         at = upto
 
 
-def _halves(words: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _halves(words: np.ndarray, begin: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray]:
     """Half keys of the lines long enough to have neighbours, one line's after another's, and their offsets."""
-    sums, length, back = _sums(words), np.diff(begin), powers(_BASE_INV, len(words) + 1)
+    sums, length = _line_sums(words, begin, _BASES[0]), np.diff(begin)
+    back = field_powers(pow(_BASES[0], -1, PRIME), int(length.max(initial=0)) + 1)
     lo, hi = begin[:-1], begin[1:]
     columns, present = [], []
     for q in (length // 2, np.maximum(length - 1, 0) // 2):
-        columns += [_key((sums[lo + q] - sums[lo]) * back[lo], q) ^ _SIDES[0], _key((sums[hi] - sums[hi - q]) * back[hi - q], q) ^ _SIDES[1]]
-        present += [length >= MIN_WORDS - 1] * 2
+        columns += [_key(_less(sums[lo + q], sums[lo]), q) ^ _SIDES[0], _key(times(_less(sums[hi], sums[hi - q]), back[length - q]), q) ^ _SIDES[1]]
+        present += [length >= min_words - 1] * 2
     odd = length % 2 == 1  # then both halves have the same number of words
     present[2], present[3] = present[2] & ~odd, present[3] & ~odd
     chosen = np.stack(present, axis=1)
@@ -113,16 +157,17 @@ def _places(first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.repeat(np.arange(len(count)), count), (np.arange(first[-1]) - np.repeat(first[:-1], count)).astype(np.int32)
 
 
-def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _lines(batches: Iterator[pa.RecordBatch], min_words: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids = batch.column("doc_id").to_numpy()
         for at, words, begin, first, keys in line_tables(batch):
             doc, place = _places(first)
             used = np.diff(begin) > 0
-            flat, offsets = _halves(words, begin)
+            flat, offsets = _halves(words, begin, min_words)
             halves = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.view(np.int64)))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids[at + doc]), pa.array(place), pa.array(keys.view(np.int64)), halves], names=["doc_id", "line", "h", "halves"]
+                [pa.array(ids[at + doc]), pa.array(place), pa.array(keys.view(np.int64)), pa.array(_keys(words, begin, 1).view(np.int64)), halves],
+                names=["doc_id", "line", "h", "g", "halves"],
             ).filter(pa.array(used))
 
 
@@ -158,11 +203,12 @@ def _variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sizes = np.diff(offsets)
         if not len(sizes):
             continue
-        keys = [deletion_keys(flat[offsets[i] : offsets[i + 1]]) for i in range(len(sizes))]
-        gaps = [np.arange(n, dtype=np.int32) for n in sizes]
+        begin = (offsets - offsets[0]).astype(np.int64)
+        keys = deletion_keys(flat[offsets[0] : offsets[-1]], begin)
+        gaps = (np.arange(len(keys)) - np.repeat(begin[:-1], sizes)).astype(np.int32)
         repeat = np.repeat(np.arange(batch.num_rows), sizes)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(gaps))]
+            [pa.array(keys.view(np.int64)), pa.array(gaps)]
             + [batch.column(c).take(pa.array(repeat)) for c in ("doc_id", "line", "h")],
             names=["key", "gap", "doc_id", "line", "h"],
         )
@@ -185,7 +231,7 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         x, y = batch.column("x").to_pylist(), batch.column("y").to_pylist()
         good = [within_one_edit(np.array(a), np.array(b)) for a, b in zip(x, y)]
-        yield pa.RecordBatch.from_arrays([batch.column("later")], names=["h"]).filter(pa.array(good, pa.bool_()))
+        yield pa.RecordBatch.from_arrays([batch.column("later_id"), batch.column("later")], names=["doc_id", "h"]).filter(pa.array(good, pa.bool_()))
 
 
 def _kept(batches: Iterator[pa.RecordBatch], carry: tuple[str, ...]) -> Iterator[pa.RecordBatch]:
@@ -217,11 +263,12 @@ def _kept(batches: Iterator[pa.RecordBatch], carry: tuple[str, ...]) -> Iterator
         )
 
 
-def dedup_lines(docs: DataFrame, store: Store | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
+def dedup_lines(docs: DataFrame, store: Store | None = None, carry: tuple[str, ...] = (), min_words: int = MIN_WORDS) -> DataFrame:
     """Documents without the lines that repeat an earlier line, exactly or within one word edit.
 
     docs: doc_id long and text string; other columns are ignored, whatever their names,
     but those in carry are passed on (they may not be called n_lines, n_kept or winners).
+    min_words: from how many words on a line is compared for one edit, too (2 or more).
     Returns, for each row, doc_id, text (the lines kept, in order), n_lines and n_kept
     (lines with a word, before and after).
 
@@ -229,14 +276,16 @@ def dedup_lines(docs: DataFrame, store: Store | None = None, carry: tuple[str, .
     empty one empty, with no lines. Rows of one doc_id are one document: each keeps the
     first copy of the lines that the document may keep. A row without doc_id has no place in
     the order, so it keeps all its lines and takes none from others. Of equal lines in
-    one document the first stays. An empty table gives an empty result.
+    one document the first stays. An empty table gives an empty result. A text of any length
+    is one row of one task, whose memory grows with it.
     """
     store = store or Store(docs.sparkSession, "lines")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     placed = texts.where("doc_id IS NOT NULL")
-    lines = placed.mapInArrow(_lines, "doc_id long, line int, h long, halves array<long>")
+    lines = placed.mapInArrow(partial(_lines, min_words=min_words), "doc_id long, line int, h long, g long, halves array<long>")
+    # distinct lines are told apart by both keys; from here on a line is known by the document of its first place and h
     first = store.keep(
-        lines.groupBy("h")
+        lines.groupBy("h", "g")
         .agg(F.min(F.struct("doc_id", "line")).alias("place"), F.first("halves").alias("halves"))
         .select("h", "place.doc_id", "place.line", "halves"),
         "first",
@@ -250,12 +299,12 @@ def dedup_lines(docs: DataFrame, store: Store | None = None, carry: tuple[str, .
     words = (
         placed.join(wanted.where(F.size("wanted") > 0), "doc_id").mapInArrow(_wanted_words, "doc_id long, line int, h long, words array<long>")
         # rows of one doc_id can hold a line at several places
-        .groupBy("h").agg(F.min(F.struct("doc_id", "line")).alias("place"), F.first("words").alias("words"))
-        .select("h", "place.doc_id", "place.line", "words")
+        .groupBy("doc_id", "h").agg(F.min_by(F.struct("line", "words"), "line").alias("place"))
+        .select("h", "doc_id", "place.line", "place.words")
     )
     with filtered_scans(docs.sparkSession):  # few documents are wanted, so the others' texts stay where they are
         words = store.keep(words, "words")
-    long_enough = words.where(F.size("words") >= MIN_WORDS)
+    long_enough = words.where(F.size("words") >= min_words)
     variants = long_enough.mapInArrow(_variants, "key long, gap int, doc_id long, line int, h long")
     place = F.struct("doc_id", "line", "h")
     earliest = (
@@ -264,19 +313,21 @@ def dedup_lines(docs: DataFrame, store: Store | None = None, carry: tuple[str, .
         .where("n > 1")
         .select(F.bitwise_not(F.bitwise_not("key")).alias("key"), "gap", "first")
     )
-    replaced = variants.join(earliest, ["key", "gap"]).where("h <> first.h").select(F.col("h").alias("later"), F.col("first.h").alias("earlier"))
+    known = lambda later, earlier: [
+        later["doc_id"].alias("later_id"), later["h"].alias("later"), earlier["doc_id"].alias("earlier_id"), earlier["h"].alias("earlier")
+    ]
+    replaced = variants.join(earliest, ["key", "gap"]).select(place.alias("own"), "first").where("own <> first").select(*known(F.col("own"), F.col("first")))
     shorter = words.select(F.col("h").alias("key"), F.struct("doc_id", "line", "h").alias("short"))
-    left_out = variants.join(shorter, "key").select(place.alias("long"), "short").where("long.h <> short.h").select(
-        F.greatest("long", "short").getField("h").alias("later"), F.least("long", "short").getField("h").alias("earlier")
-    )
+    left_out = variants.join(shorter, "key").select(place.alias("long"), "short").where("long <> short")
+    left_out = left_out.select(*known(F.greatest("long", "short"), F.least("long", "short")))
     pairs = replaced.union(left_out).distinct()
     dropped = (
-        pairs.join(words.select(F.col("h").alias("later"), F.col("words").alias("x")), "later")
-        .join(words.select(F.col("h").alias("earlier"), F.col("words").alias("y")), "earlier")
-        .select("later", "x", "y")
-        .mapInArrow(_verified, "h long")
+        pairs.join(words.select(F.col("doc_id").alias("later_id"), F.col("h").alias("later"), F.col("words").alias("x")), ["later_id", "later"])
+        .join(words.select(F.col("doc_id").alias("earlier_id"), F.col("h").alias("earlier"), F.col("words").alias("y")), ["earlier_id", "earlier"])
+        .select("later_id", "later", "x", "y")
+        .mapInArrow(_verified, "doc_id long, h long")
     )
-    winners = first.select("h", "doc_id").join(dropped, "h", "left_anti").groupBy("doc_id").agg(F.collect_list("h").alias("winners"))
+    winners = first.select("h", "doc_id").join(dropped, ["doc_id", "h"], "left_anti").groupBy("doc_id").agg(F.collect_list("h").alias("winners"))
     wide = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *carry)
     schema = T.StructType.fromDDL("doc_id long, text string, n_lines long, n_kept long")
     return (

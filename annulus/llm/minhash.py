@@ -44,10 +44,13 @@ ROWS = 5
 HASHES = BANDS * ROWS
 #: Members of a bucket that one side of a task compares.
 BUCKET_BLOCK = 512
-#: Shingles that one side of a task holds.
+#: Shingles that one side of a task holds, and shingles that a smaller set counts as (so 2,000 sets are a side at most).
 SET_BLOCK = 400_000
+LEAST_WEIGHT = 200
 #: Members that all others of a bucket or group of several blocks are compared with first.
 PIVOTS = 16
+#: Nodes from here on are no documents but texts of documents that have several.
+ALIASES = 1 << 62
 _U = np.uint64
 _MULTIPLIERS = seeded(21, HASHES) | _U(1)
 _ADDENDS = seeded(22, HASHES)
@@ -89,12 +92,13 @@ def _signatures(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Rec
         yield pa.RecordBatch.from_arrays(
             [
                 batch.column("doc_id"),
+                batch.column("alias"),
                 pa.array(np.array(high, dtype=np.uint64).view(np.int64)),
                 pa.array(np.array(low, dtype=np.uint64).view(np.int64)),
                 pa.array(count, type=pa.int64()),
                 pa.array(sigs, type=pa.binary()),
             ],
-            names=["doc_id", "high", "low", "n_shingles", "sig"],
+            names=["doc_id", "alias", "high", "low", "n_shingles", "sig"],
         )
 
 
@@ -126,23 +130,16 @@ def _fixed_bytes(column: pa.ChunkedArray, width: int) -> np.ndarray:
 
 
 class Forest:
-    """Union-find over small integers."""
+    """Components of small integers; ``label`` has that of each."""
 
     def __init__(self, n: int):
-        self.parent = list(range(n))
-
-    def root(self, x: int) -> int:
-        parent = self.parent
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
+        self.label = np.arange(n)
 
     def join(self, x: int, y: int) -> bool:
-        x, y = self.root(x), self.root(y)
+        x, y = self.label[x], self.label[y]
         if x == y:
             return False
-        self.parent[max(x, y)] = min(x, y)
+        self.label[self.label == y] = x
         return True
 
 
@@ -169,18 +166,29 @@ def _candidates(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.
             own, forest = sigs[lo:hi], Forest(hi - lo)
             across = bi[lo] != bj[lo]
             for i in range(hi - lo - 1):
-                agree = (own[i] == own[i + 1 :]).mean(axis=1) >= least
+                rest = np.flatnonzero(forest.label[i + 1 :] != forest.label[i]) + i + 1
                 if across:
-                    agree &= side[lo + i] != side[lo + i + 1 : hi]
-                for j in np.flatnonzero(agree) + i + 1:
+                    rest = rest[side[lo + rest] != side[lo + i]]
+                for j in rest[(own[i] == own[rest]).mean(axis=1) >= least]:
                     if forest.join(i, int(j)):
                         u.append(reps[lo + i])
                         v.append(reps[lo + j])
         yield _edge_batch(u, v)
 
 
+def _without_repeats(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """The batch without rows whose set is dealt out just as in the row before (repeated rows of a document)."""
+    if batch.num_rows < 2:
+        return batch
+    same = np.ones(batch.num_rows - 1, bool)
+    for name in ("rep", "grp", "side", "lo", "hi"):
+        column = batch.column(name).to_numpy()
+        same &= column[1:] == column[:-1]
+    return batch.filter(pa.array(np.concatenate(([True], ~same))))
+
+
 def _shingle_rows(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in map(_without_repeats, batches):
         sets: list[bytes] = []
         for _, words, begin in word_blocks(batch.column("text")):
             sets += [shingle_set(words[begin[i] : begin[i + 1]], size).tobytes() for i in range(len(begin) - 1)]
@@ -206,13 +214,13 @@ def _confirmed(batches: Iterator[pa.RecordBatch], least: float, percent: int) ->
             own, forest = sigs[lo:hi], Forest(hi - lo)
             across = bi[lo] != bj[lo]
             for i in range(hi - lo - 1):
-                agree = (own[i] == own[i + 1 :]).mean(axis=1)
-                maybe = (agree >= least) & (100 * np.minimum(size[i], size[i + 1 :]) >= percent * np.maximum(size[i], size[i + 1 :]))
+                rest = np.flatnonzero(forest.label[i + 1 :] != forest.label[i]) + i + 1
+                rest = rest[100 * np.minimum(size[i], size[rest]) >= percent * np.maximum(size[i], size[rest])]
                 if across:
-                    maybe &= side[lo + i] != side[lo + i + 1 : hi]
-                found = np.flatnonzero(maybe)
-                for j in found[np.argsort(-agree[found], kind="stable")] + i + 1:
-                    if forest.root(i) == forest.root(int(j)):
+                    rest = rest[side[lo + rest] != side[lo + i]]
+                agree = (own[i] == own[rest]).mean(axis=1)
+                for j in rest[np.argsort(-agree, kind="stable")[: (agree >= least).sum()]]:
+                    if forest.label[i] == forest.label[j]:
                         continue
                     both = np.concatenate((full[i], full[j]))
                     both.sort(kind="stable")
@@ -289,21 +297,31 @@ def near_duplicates(
     links of at least percent % similarity) and kept (doc_id = component_id).
 
     A null or empty text, or one of white space, has no shingles and links with nothing.
-    Rows of one doc_id are one node. A row without doc_id links with nothing: its
-    component_id is null and it is kept. An empty table gives an empty result.
+    Rows of one doc_id are one node, whatever their texts: they have one component_id, by
+    the links of all of them, and each row its own n_shingles. Ids are under ``ALIASES``. A row
+    without doc_id links with nothing: its component_id is null and it is kept. An empty table
+    gives an empty result.
     """
     store = store or Store(docs.sparkSession, "minhash")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    aliased = texts.withColumn("alias", F.xxhash64("text").bitwiseAND(ALIASES - 1).bitwiseOR(ALIASES))
     least = least_estimate(percent)
     signed = store.keep(
-        texts.mapInArrow(partial(_signatures, size=size), "doc_id long, high long, low long, n_shingles long, sig binary"),
+        aliased.mapInArrow(partial(_signatures, size=size), "doc_id long, alias long, high long, low long, n_shingles long, sig binary"),
         "signatures",
     )
     key = ["high", "low", "n_shingles"]
-    classes = store.keep(
-        signed.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy(*key).agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig")),
-        "classes",
-    )
+    # documents whose rows have different sets; each such row's node is its alias, tied to the document's own node
+    several = signed.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min(F.struct(*key)).alias("least"), F.max(F.struct(*key)).alias("most"))
+    several = store.keep(several.where("least <> most").select("doc_id"), "several")
+    mixed = not several.isEmpty()
+    filled = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
+    if mixed:
+        filled = filled.join(several.select(_anew("doc_id"), F.lit(True).alias("mixed")), "doc_id", "left")
+        filled = filled.withColumn("node", F.when(F.col("mixed"), F.col("alias")).otherwise(F.col("doc_id")))
+    else:
+        filled = filled.withColumn("node", F.col("doc_id"))
+    classes = store.keep(filled.groupBy(*key).agg(F.min("node").alias("rep"), F.first("sig").alias("sig")), "classes")
     nodes = classes.select("rep", "sig", "n_shingles")
     banded = nodes.select(
         "rep",
@@ -329,15 +347,17 @@ def near_duplicates(
     pairs = stars.union(agreeing(rest, "pairs"))
     groups = connected_components(pairs, store, "loose")
     groups = store.keep(
-        groups.join(nodes, groups.node == nodes.rep).select("rep", F.col("label").alias("grp"), "sig", F.col("n_shingles").alias("weight")), "groups"
+        groups.join(nodes, groups.node == nodes.rep).select("rep", F.col("label").alias("grp"), "sig", F.greatest("n_shingles", F.lit(LEAST_WEIGHT)).alias("weight")), "groups"
     )
 
     def confirmed(plan: DataFrame, name: str) -> DataFrame:
         needed = store.keep(plan.join(groups.select("rep", "sig"), "rep"), f"{name}-plan").where("hi >= lo")
+        own = texts.join(needed, texts.doc_id == needed.rep).select("grp", "rep", "sig", "side", "lo", "hi", "text")
+        if mixed:
+            by_alias = needed.where(F.col("rep") >= ALIASES)
+            own = own.union(aliased.join(by_alias, F.col("alias") == F.col("rep")).select(*own.columns))
         sets = (
-            texts.join(needed, texts.doc_id == needed.rep)
-            .select("grp", "rep", "sig", "side", "lo", "hi", "text")
-            .mapInArrow(partial(_shingle_rows, size=size), "grp long, rep long, sig binary, side int, lo int, hi int, shingles binary")
+            own.mapInArrow(partial(_shingle_rows, size=size), "grp long, rep long, sig binary, side int, lo int, hi int, shingles binary")
         )
         found = (
             _dealt(sets)
@@ -353,15 +373,16 @@ def near_duplicates(
     stars = confirmed(_star_plan(small, "grp", SET_BLOCK), "star-links")
     rest = _rest_plan(small, "grp", SET_BLOCK, connected_components(stars, store, "cores"))
     links = stars.union(confirmed(rest, "links"))
+    if mixed:
+        links = links.union(filled.where("mixed").select("doc_id", *key).distinct().join(classes, key).select(F.col("doc_id").alias("u"), F.col("rep").alias("v")))
     labels = connected_components(links, store, "linked")
     named = classes.join(labels, classes.rep == labels.node, "left").select(*key, F.coalesce("label", "rep").alias("component"))
-    return (
-        signed.drop("sig")
-        .join(named, key, "left")
-        .select(
-            "doc_id",
-            "n_shingles",
-            F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"),
-        )
-        .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
-    )
+    out = signed.join(named, key, "left").select("doc_id", "n_shingles", "component")
+    if mixed:  # rows of such documents, those without shingles too, have the document's component
+        own = several.join(labels, several.doc_id == labels.node).select(_anew("doc_id"), F.col("label").alias("own"))
+        out = out.join(own, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("own", "component").alias("component"))
+    return out.select(
+        "doc_id",
+        "n_shingles",
+        F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"),
+    ).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

@@ -3,13 +3,14 @@
 Everything here works on the raw UTF-8 bytes of a batch with numpy, so that no
 Python code runs per word. A word is a maximal run of bytes outside
 ``[\\x20\\x09-\\x0D]``; its 64-bit hash is a polynomial of seeded per-byte values,
-finished with the splitmix64 mixer. Blocks hold at most ``BLOCK_BYTES`` of text
-(a longer document is cut at white space), so memory does not depend on the
-length of a document except for eight bytes a word.
+finished with the splitmix64 mixer. Polynomials modulo 2**64 can be made to agree for
+long words (whatever the base, in Thue-Morse order), so words over ``LONG_WORD`` bytes take
+BLAKE2b. Blocks hold whole documents of at most ``BLOCK_BYTES`` together, or one longer one.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,6 +18,11 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 BLOCK_BYTES = 1 << 20
+#: Bytes that are summed at a time, and over which a word is hashed by BLAKE2b.
+SUM_BYTES = 1 << 18
+LONG_WORD = 48
+#: Most powers of a base that a worker holds on to.
+KEPT_POWERS = 1 << 19
 #: Words that make up a shingle, and the similarity from which texts are near-duplicates.
 SHINGLE_WORDS = 5
 SIMILARITY_PERCENT = 75
@@ -54,12 +60,14 @@ _powers: dict[int, np.ndarray] = {}
 
 
 def powers(base: int, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64."""
+    """base**0 .. base**(n-1) modulo 2**64; at most KEPT_POWERS of them stay in memory."""
     have = _powers.get(base)
     if have is None or len(have) < n:
         steps = np.full(max(n, 1024), base, dtype=np.uint64)
         steps[0] = 1
-        have = _powers[base] = np.cumprod(steps, dtype=np.uint64)
+        have = np.cumprod(steps, dtype=np.uint64)
+        if n <= KEPT_POWERS:
+            _powers[base] = have
     return have[:n]
 
 
@@ -77,7 +85,8 @@ def utf8_parts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def hash_words(data: np.ndarray, bounds: np.ndarray, fold: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """Word hashes of data, and where each document's words begin (len(bounds) values).
 
-    bounds: byte offsets of the documents in data, with the end.
+    bounds: byte offsets of the documents in data, with the end. Beside the hashes this takes a
+    few bytes for each byte of data: sums are made for ``SUM_BYTES`` at a time.
     """
     n = len(data)
     if n == 0:
@@ -96,9 +105,20 @@ def hash_words(data: np.ndarray, bounds: np.ndarray, fold: bool = True) -> tuple
     word = ~space
     starts = np.flatnonzero(word & before)
     ends = np.flatnonzero(word & after) + 1
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum((_FOLDED_VALUES if fold else _BYTE_VALUES)[data] * powers(_BASE, n), out=sums[1:])
-    hashes = mix64((sums[ends] - sums[starts]) * powers(_BASE_INV, n)[starts])
+    hashes = np.empty(len(starts), np.uint64)
+    first = 0
+    while first < len(starts):
+        last = max(first + 1, int(np.searchsorted(starts, starts[first] + SUM_BYTES)))
+        lo, hi = int(starts[first]), min(n, int(starts[last - 1]) + LONG_WORD)
+        sums = np.zeros(hi - lo + 1, np.uint64)
+        np.cumsum((_FOLDED_VALUES if fold else _BYTE_VALUES)[data[lo:hi]] * powers(_BASE, hi - lo), out=sums[1:])
+        at = starts[first:last] - lo
+        hashes[first:last] = (sums[np.minimum(ends[first:last] - lo, hi - lo)] - sums[at]) * powers(_BASE_INV, hi - lo)[at]
+        first = last
+    hashes = mix64(hashes)
+    for i in np.flatnonzero(ends - starts > LONG_WORD):
+        raw = data[starts[i] : ends[i]]
+        hashes[i] = int.from_bytes(hashlib.blake2b((FOLD[raw] if fold else raw).tobytes(), digest_size=8).digest(), "little")
     return hashes, np.searchsorted(starts, bounds)
 
 
@@ -107,33 +127,13 @@ def word_blocks(column: pa.Array, fold: bool = True) -> Iterator[tuple[int, np.n
     offsets, data = utf8_parts(column)
     at, n = 0, len(offsets) - 1
     while at < n:
-        upto = int(np.searchsorted(offsets, offsets[at] + BLOCK_BYTES, side="right")) - 1
-        if upto > at:
-            lo = offsets[at]
-            hashes, begin = hash_words(data[lo : offsets[upto]], offsets[at : upto + 1] - lo, fold)
-        else:
-            upto = at + 1
-            hashes = _long_words(data[offsets[at] : offsets[upto]], fold)
-            begin = np.array([0, len(hashes)])
+        upto = max(at + 1, int(np.searchsorted(offsets, offsets[at] + BLOCK_BYTES, side="right")) - 1)
+        lo = offsets[at]
+        hashes, begin = hash_words(data[lo : offsets[upto]], offsets[at : upto + 1] - lo, fold)
         yield at, hashes, begin
         at = upto
 
 
-def _long_words(text: np.ndarray, fold: bool) -> np.ndarray:
-    parts, lo = [], 0
-    while lo < len(text):
-        hi = min(lo + BLOCK_BYTES, len(text))
-        while hi < len(text):  # the piece ends at white space
-            gaps = np.flatnonzero(SPACE[text[hi : hi + BLOCK_BYTES]])
-            if len(gaps):
-                hi += int(gaps[0])
-                break
-            hi = min(hi + BLOCK_BYTES, len(text))
-        parts.append(hash_words(text[lo:hi], np.array([0, hi - lo]), fold)[0])
-        lo = hi
-    return np.concatenate(parts) if parts else np.empty(0, np.uint64)
-
-
 def shingle_set(words: np.ndarray, size: int = SHINGLE_WORDS) -> np.ndarray:
     """Sorted distinct hashes of the word sequences of the given size; fewer words make one."""
     n = len(words)

@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from annulus.llm.textblocks import SPACE, mix64, powers, seeded
+from annulus.llm.textblocks import SPACE, SUM_BYTES, mix64, powers, seeded
 
 #: Most toxic documents that the model is fitted on, and twice as many others.
 TRAIN_ROWS = 3000
@@ -49,7 +49,7 @@ def text_features(text: str | None) -> np.ndarray:
     raw = (text or "").lower().encode("utf-8").translate(_TO_SPACE)
     lo = 0
     while lo < len(raw):
-        hi = lo + (1 << 20)
+        hi = lo + SUM_BYTES
         hi = len(raw) if hi >= len(raw) else (raw.find(b" ", hi) if raw.find(b" ", hi) >= 0 else len(raw))
         found.append(_piece_features(np.frombuffer(raw, np.uint8, hi - lo, lo)))
         lo = hi
@@ -85,6 +85,30 @@ class OrdinalModel:
         return np.diff(edges, axis=1)
 
 
+def cuts_of(raw: np.ndarray) -> np.ndarray:
+    """Ordered thresholds: the first, and steps made positive."""
+    return np.cumsum(np.concatenate((raw[:1], np.log1p(np.exp(raw[1:])))))
+
+
+def likelihood(w: np.ndarray, raw: np.ndarray, rows: np.ndarray, cols: np.ndarray, grade: np.ndarray, weight: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    """Negative log-likelihood of weighted rows, and its gradients by the shared weights and the raw thresholds.
+
+    rows and cols: where the sparse features are 1.
+    """
+    cuts = cuts_of(raw)
+    score = np.bincount(rows, weights=w[cols], minlength=len(grade))
+    below = 1 / (1 + np.exp(-np.clip(cuts[None, :] - score[:, None], -40, 40)))
+    edges = np.concatenate((np.zeros((len(score), 1)), below, np.ones((len(score), 1))), axis=1)
+    each = np.arange(len(grade))
+    p = np.maximum(edges[each, grade + 1] - edges[each, grade], 1e-9)
+    k = np.arange(len(cuts))
+    d_cut = ((k[None, :] == grade[:, None] - 1) * 1.0 - (k[None, :] == grade[:, None])) * below * (1 - below) / p[:, None] * weight[:, None]
+    later = np.cumsum(d_cut.sum(axis=0)[::-1])[::-1]
+    g_raw = np.concatenate((later[:1], later[1:] / (1 + np.exp(-raw[1:]))))
+    g_w = np.bincount(cols, weights=-d_cut.sum(axis=1)[rows], minlength=len(w))
+    return float(-(weight * np.log(p)).sum()), g_w, g_raw
+
+
 def fit(features: list[np.ndarray], toxic: np.ndarray, steps: int = 400, rate: float = 0.05, decay: float = 2e-4) -> OrdinalModel:
     """Fit by Adam on the negative log-likelihood with an L1 proximal step."""
     toxic = np.asarray(toxic, bool)
@@ -119,25 +143,13 @@ def fit(features: list[np.ndarray], toxic: np.ndarray, steps: int = 400, rate: f
     w, raw = np.zeros(len(chosen)), np.concatenate(([1.0], np.full(GRADES - 2, 0.5)))
     m1, m2 = np.zeros(len(w) + len(raw)), np.zeros(len(w) + len(raw))
     weight = np.where(toxic, 0.5 / n_bad, 0.5 / n_good)
-    k = np.arange(GRADES - 1)
     for step in range(1, steps + 1):
-        cuts = np.cumsum(np.concatenate((raw[:1], np.log1p(np.exp(raw[1:])))))
-        score = np.bincount(rows, weights=w[cols], minlength=len(grade))
-        below = 1 / (1 + np.exp(-np.clip(cuts[None, :] - score[:, None], -40, 40)))
-        edges = np.concatenate((np.zeros((len(score), 1)), below, np.ones((len(score), 1))), axis=1)
-        p = np.maximum(edges[np.arange(len(grade)), grade + 1] - edges[np.arange(len(grade)), grade], 1e-9)
-        slope = below * (1 - below)
-        d_cut = ((k[None, :] == grade[:, None] - 1) * 1.0 - (k[None, :] == grade[:, None])) * slope / p[:, None] * weight[:, None]
-        d_score = -d_cut.sum(axis=1)
-        g_cut = d_cut.sum(axis=0)
-        later = np.cumsum(g_cut[::-1])[::-1]
-        g_raw = np.concatenate((later[:1], later[1:] / (1 + np.exp(-raw[1:]))))
-        g = np.concatenate((np.bincount(cols, weights=d_score[rows], minlength=len(w)), g_raw))
+        g = np.concatenate(likelihood(w, raw, rows, cols, grade, weight)[1:])
         m1, m2 = 0.9 * m1 + 0.1 * g, 0.99 * m2 + 0.01 * g * g
         move = rate * (m1 / (1 - 0.9**step)) / (np.sqrt(m2 / (1 - 0.99**step)) + 1e-8)
         w, raw = w - move[: len(w)], raw - move[len(w) :]
         w = np.sign(w) * np.maximum(np.abs(w) - rate * decay, 0)
-    cuts = np.cumsum(np.concatenate((raw[:1], np.log1p(np.exp(raw[1:])))))
+    cuts = cuts_of(raw)
     used = np.abs(w) > 1e-6
     return OrdinalModel(chosen[used], w[used], cuts)
 

