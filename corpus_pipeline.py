@@ -3,11 +3,17 @@
 toxicity drops toxic documents; line_dedup takes out repeated lines, and documents of
 which nothing is left; near_dedup keeps one document of each group of near-duplicates;
 decontamination drops documents that hold benchmark passages; bpe encodes the texts.
+
+Every stage takes documents with doc_id and text, and any other columns whatever their names, which
+all but the last return as they are. Null and empty texts are clean, hold no lines and no passages, and are
+like no other, so they stay, with no tokens. Rows without doc_id stay as well, less toxic and
+leaked ones. Equal rows fare alike, and rows of one doc_id are one document to line_dedup and near_dedup. Ties go
+to the least doc_id. An empty table stays empty. A long text is one row throughout.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from annulus.llm.bpe import encode_documents
@@ -25,20 +31,34 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return drop_toxic(docs, table(ship(spark), sf_dir, "labels"))
 
 
+def _packed(docs: DataFrame) -> tuple[list[Column], tuple[str, ...]]:
+    """doc_id, text and all other columns as one struct, so that no name of theirs meets one of an operator; its name, if there is one."""
+    rest = [c for c in docs.columns if c.lower() not in ("doc_id", "text")]
+    own = [F.col("doc_id").cast("long").alias("doc_id"), "text"]
+    return (own + [F.struct(*[F.col(f"`{c}`") for c in rest]).alias("carried_columns")], ("carried_columns",)) if rest else (own, ())
+
+
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without repeated lines; one whose every line is a repeat goes. n_chars is brought up to date."""
+    """Documents without repeated lines; one whose every line is a repeat goes. n_chars, where there is one, is brought up to date."""
     ship(spark)
-    rest = tuple(c for c in docs.columns if c not in ("doc_id", "text", "n_chars"))
-    deduped = dedup_lines(docs, carry=(*rest, "n_chars"))
-    left = deduped.where("n_kept > 0 OR n_lines = 0")
-    n_chars = F.when(F.col("n_kept") < F.col("n_lines"), F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
-    return left.withColumn("n_chars", n_chars).select(*docs.columns)
+    own, carry = _packed(docs)
+    left = dedup_lines(docs.select(*own), carry=carry).where("n_kept > 0 OR n_lines = 0")
+
+    def column(name: str) -> Column:
+        if name.lower() in ("doc_id", "text"):
+            return F.col(name).cast(docs.schema[name].dataType).alias(name)
+        value = F.col(f"carried_columns.`{name}`")
+        if name.lower() == "n_chars":
+            value = F.when(F.col("n_kept") < F.col("n_lines"), F.length("text")).otherwise(value).cast(docs.schema[name].dataType)
+        return value.alias(name)
+
+    return left.select(*map(column, docs.columns))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of least doc_id of each group of near-duplicates."""
     dropped = near_duplicates(docs.select("doc_id", "text"), store=Store(ship(spark), "near")).where("NOT kept").select("doc_id").distinct()
-    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(dropped, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,9 +67,19 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each text, and the text that they decode to."""
+    """Token ids of each text, and the text that they decode to, with the other columns; one that is called like a new column gets the prefix doc_."""
     ship(spark)
-    return encode_documents(docs, word_vocabulary(), carry=tuple(c for c in docs.columns if c not in ("doc_id", "text")))
+    own, carry = _packed(docs)
+    coded = encode_documents(docs.select(*own), word_vocabulary(), carry=carry)
+    made, rest = ["doc_id", "n_tokens", "ids", "decoded"], [c for c in docs.columns if c.lower() not in ("doc_id", "text")]
+    names = {c: c for c in rest if c.lower() not in made}
+    for c in rest:
+        if c not in names:
+            name = f"doc_{c}"
+            while name.lower() in {n.lower() for n in names.values()}:
+                name = f"doc_{name}"
+            names[c] = name
+    return coded.select(*made, *[F.col(f"carried_columns.`{c}`").alias(names[c]) for c in rest])
 
 
 STAGES = [
