@@ -228,5 +228,14 @@ def simulated_name(number: Column, chrom: Column, left: Column, right: Column, k
 
 
 def parse_simulated_name(name: Column) -> Column:
+    """Parts of a simulated read's name; left and right as arrays of (start, end), two where the read runs over the join."""
     part = F.split(F.split(name, " ")[0], "\\|")
-    return F.struct(part[0].cast("long").alias("number"), part[1].alias("chrom"), part[2].alias("left"), part[3].alias("right"), part[4].cast("int").alias("kind"), F.regexp_extract(part[5], "^[0-9]+", 0).cast("int").alias("circle"))
+
+    def ranges(text: Column) -> Column:
+        each = lambda r: F.struct(F.split(r, ":")[0].cast("long").alias("start"), F.split(r, ":")[1].cast("long").alias("end"))
+        return F.transform(F.split(text, "-"), each)
+
+    return F.struct(
+        part[0].cast("long").alias("number"), part[1].alias("chrom"), ranges(part[2]).alias("left"), ranges(part[3]).alias("right"),
+        part[4].cast("int").alias("kind"), F.regexp_extract(part[5], "^[0-9]+", 0).cast("int").alias("circle"), F.regexp_extract(name, " ([12]):", 1).alias("mate"),
+    )

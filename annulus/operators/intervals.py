@@ -6,12 +6,16 @@ Intervals are half-open, [start, end), on a chromosome.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
 from annulus.functions.reads import reciprocal
 
+C = F.col
+
 #: Bases of a bin of the overlap join.
 BIN = 500
 
@@ -49,49 +53,87 @@ def point_depth(points: DataFrame, spans: DataFrame) -> DataFrame:
     return points.join(hits, ["chrom", "point"], "left").withColumn("depth", F.coalesce("depth", F.lit(0)))
 
 
-def islands(df: DataFrame, keys: list[str], order: list[str], begins: Callable[[Column, Column], Column]) -> DataFrame:
-    """Column island: a running number that rises where begins(lagged end, lagged start) holds for a row.
+#: Bases of the stretches by which a chromosome's rows are dealt out.
+STRETCH = 1_000_000
+
 
-    The rows of one key are compared in order with the row just before them.
-    """
-    window = Window.partitionBy(*keys).orderBy(*order)
-    new = begins(F.lag("start").over(window), F.lag("end").over(window))
-    flagged = df.withColumn("_new", F.coalesce(new, F.lit(True)).cast("int"))
-    running = window.rowsBetween(Window.unboundedPreceding, 0)
-    return flagged.withColumn("island", F.sum("_new").over(running)).drop("_new")
+def _numbered(flagged: DataFrame, keys: list[str], along: WindowSpec) -> DataFrame:
+    """flagged (_part, _new) with island: how many rows of the key up to this one are new."""
+    before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = flagged.groupBy(*keys, "_part").agg(F.sum("_new").alias("_n")).withColumn("_base", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    running = F.sum("_new").over(along.rowsBetween(Window.unboundedPreceding, 0))
+    return _with(flagged, counts.drop("_n"), keys).withColumn("island", C("_base") + running).drop("_new", "_base", "_part")
 
 
-def merge_within(df: DataFrame, gap: int = 0) -> DataFrame:
-    """Column island over (chrom): rows start one where they lie more than gap behind all before them."""
-    order = Window.partitionBy("chrom").orderBy("start", "end")
-    reach = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    flagged = df.withColumn("_new", F.coalesce(F.col("start") > reach + gap, F.lit(True)).cast("int"))
-    return flagged.withColumn("island", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
+def _with(df: DataFrame, parts: DataFrame, keys: list[str]) -> DataFrame:
+    """df with what parts says of its key and stretch; nulls are keys like others."""
+    names = [*keys, "_part"]
+    other = parts.select(*[C(k).alias(f"_of_{k}") for k in names], *[c for c in parts.columns if c not in names])
+    met = reduce(lambda x, y: x & y, [C(k).eqNullSafe(C(f"_of_{k}")) for k in names])
+    return df.join(other, met, "left").drop(*[f"_of_{k}" for k in names])
+
+
+def islands(df: DataFrame, keys: list[str], order: list[str], begins: Callable[[Column, Column], Column], stretch: int | None = None) -> DataFrame:
+    """Column island: a running number that rises where begins(lagged start, lagged end) holds for a row.
+
+    The rows of one key are compared in order with the row just before them. With a stretch (order
+    then begins with start and holds end) a key's rows are dealt out by it, and the first row of a stretch is compared with
+    the last one of the stretch before, so no key is a single task.
+    """
+    if stretch is None:
+        window = Window.partitionBy(*keys).orderBy(*order)
+        new = begins(F.lag("start").over(window), F.lag("end").over(window))
+        flagged = df.withColumn("_new", F.coalesce(new, F.lit(True)).cast("int"))
+        return flagged.withColumn("island", F.sum("_new").over(window.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
+    dealt = df.withColumn("_part", F.floor(C("start") / stretch))
+    along = Window.partitionBy(*keys, "_part").orderBy(*order)
+    parts = Window.partitionBy(*keys).orderBy("_part")
+    last = dealt.groupBy(*keys, "_part").agg(F.max(F.struct(*order)).alias("_l"))
+    carried = last.select(*keys, "_part", F.lag(F.struct("_l.start", "_l.end")).over(parts).alias("_carried"))
+    before = F.coalesce(F.lag(F.struct("start", "end")).over(along), C("_carried"))
+    flagged = _with(dealt, carried, keys).withColumn("_before", before)
+    flagged = flagged.withColumn("_new", F.coalesce(begins(C("_before.start"), C("_before.end")), F.lit(True)).cast("int"))
+    return _numbered(flagged.drop("_carried", "_before"), keys, along)
+
+
+def merge_within(df: DataFrame, gap: int = 0, stretch: int = STRETCH) -> DataFrame:
+    """Column island over (chrom): rows start one where they lie more than gap behind all before them.
+
+    A stretch's rows are compared with what lies before it by the farthest end of the stretches before.
+    """
+    dealt = df.withColumn("_part", F.floor(C("start") / stretch))
+    along = Window.partitionBy("chrom", "_part").orderBy("start", "end")
+    parts = Window.partitionBy("chrom").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    ends = dealt.groupBy("chrom", "_part").agg(F.max("end").alias("_e"))
+    carried = ends.select("chrom", "_part", F.max("_e").over(parts).alias("_carried"))
+    reach = F.greatest(F.max("end").over(along.rowsBetween(Window.unboundedPreceding, -1)), C("_carried"))
+    flagged = _with(dealt, carried, ["chrom"]).withColumn("_new", F.coalesce(C("start") > reach + gap, F.lit(True)).cast("int"))
+    return _numbered(flagged.drop("_carried"), ["chrom"], along)
 
 
 def interval_union(df: DataFrame, gap: int = 0) -> DataFrame:
     return merge_within(df, gap).groupBy("chrom", "island").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("island")
 
 
+def _stretch(keys: list[str]) -> int | None:
+    """Whole chromosomes are dealt out by stretches; keys with a tile are small."""
+    return STRETCH if list(keys) == ["chrom"] else None
+
+
 def touching_islands(df: DataFrame, keys: list[str]) -> DataFrame:
     """Islands of rows that begin at or before the end of the row before them."""
-    return islands(df, keys, ["start", "end"], lambda start, end: F.col("start") > end)
+    return islands(df, keys, ["start", "end"], lambda start, end: F.col("start") > end, _stretch(keys))
 
 
 def identical_islands(df: DataFrame, keys: list[str]) -> DataFrame:
     """Islands of rows with the span of the row before them."""
-    return islands(df, keys, ["start", "end"], lambda start, end: ~((F.col("start") == start) & (F.col("end") == end)))
+    return islands(df, keys, ["start", "end"], lambda start, end: ~((F.col("start") == start) & (F.col("end") == end)), _stretch(keys))
 
 
 def reciprocal_islands(df: DataFrame, share: float, keys: tuple[str, ...] = ("chrom",), order: tuple[str, ...] = ()) -> DataFrame:
     """Islands of rows whose overlap with the row before comes to 2 * share of the two lengths together."""
-    return islands(
-        df, list(keys), ["start", "end", *order], lambda start, end: reciprocal(start, end, F.col("start"), F.col("end")) < 2 * share
-    )
-
-
-#: Bases of the stretches by which a running sum over a chromosome is split.
-STRETCH = 1_000_000
+    apart = lambda start, end: reciprocal(start, end, F.col("start"), F.col("end")) < 2 * share
+    return islands(df, list(keys), ["start", "end", *order], lambda start, end: F.when(start.isNotNull(), apart(start, end)), _stretch(list(keys)))
 
 
 def coverage_runs(spans: DataFrame, stretch: int = STRETCH) -> DataFrame:

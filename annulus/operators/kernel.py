@@ -1,135 +1,220 @@
 """Realignment of clipped bases inside a mate interval.
 
 The kernel finds the clip in the interval by infix edit distance (free ends in the
-interval), scores each place with a position-specific matrix, masks it, and goes on to the
-next best until there are enough hits or a score falls under ``LEAST_SCORE``. It runs in an
-Arrow-batched UDF; everything around it is column expressions.
-
-Of equally good places the one that starts first counts. Bases other than A, C, G, T score 0.
+interval). Every equally good place is a hit, scored with a position-specific matrix, and
+masked; then the next best places follow, until there are enough hits or a score falls under
+``LEAST_SCORE``. A batch of clips is aligned at once with numpy, the clips on one axis; a clip
+none of whose parts stands in its interval (with e edits allowed one of e + 1 parts must)
+is never aligned. Everything around the Arrow-batched UDF is column expressions.
+
+Bases other than A, C, G, T match nothing and score 0. Of the alignments that end at one
+base the one that starts first counts; of the paths of a place, the one with most pairs.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 LEAST_SCORE = -10.0
+#: Cells (clips by interval bases) that are aligned at a time.
+CELLS = 1 << 20
 _CODES = np.zeros(256, np.int8)
 for _k, _b in enumerate(b"ACGT", 1):
     _CODES[_b] = _k
     _CODES[_b + 32] = _k
 _MASK = np.int8(9)
+_FAR = np.int64(1) << 40
 
 
 def encode(seq: str) -> np.ndarray:
     return _CODES[np.frombuffer(seq.encode("latin-1", "replace"), np.uint8)]
 
 
-def infix_align(query: np.ndarray, target: np.ndarray) -> tuple[int, int, int, list[tuple[str, int]]]:
-    """(edits, start, end inclusive, runs of =, X, I, D) of query's best place in target; masked bases match nothing."""
-    m, n = len(query), len(target)
-    columns = np.arange(n + 1)
-    table = np.zeros((m + 1, n + 1), np.int32)
-    for i in range(1, m + 1):
-        differs = (target != query[i - 1]) | (target == _MASK) | (target == 0)
-        row = np.empty(n + 1, np.int32)
-        row[0] = i
-        row[1:] = np.minimum(table[i - 1, :-1] + differs, table[i - 1, 1:] + 1)
-        table[i] = np.minimum.accumulate(row - columns) + columns
-    best = int(table[m].min())
-    found = None
-    for end in np.flatnonzero(table[m] == best)[:64]:
-        i, j, ops = m, int(end), []
-        while i:
-            same = j > 0 and query[i - 1] == target[j - 1] and target[j - 1] not in (0, _MASK)
-            if j and table[i, j] == table[i - 1, j - 1] + (not same):
-                ops.append("=" if same else "X")
-                i, j = i - 1, j - 1
-            elif table[i, j] == table[i - 1, j] + 1:
-                ops.append("I")
-                i -= 1
-            else:
-                ops.append("D")
-                j -= 1
-        if found is None or j < found[0]:
-            found = (j, int(end) - 1, ops[::-1])
-    runs: list[tuple[str, int]] = []
-    for op in found[2]:
-        if runs and runs[-1][0] == op:
-            runs[-1] = (op, runs[-1][1] + 1)
-        else:
-            runs.append((op, 1))
-    return best, found[0], found[1], runs
-
-
-def matrix_score(query: np.ndarray, errors: np.ndarray, runs: list[tuple[str, int]], background: np.ndarray, gap_open: float, gap_extend: float) -> float:
-    """Log-odds in bits of the aligned bases, less an affine penalty for each gap; background holds shares of A, C, G, T."""
-    total, at = 0.0, 0
-    for op, n in runs:
-        if op in "ID":
-            total -= gap_open + gap_extend * (n - 1)
-        if op == "D":
-            continue
-        if op != "I":
-            bases, e = query[at : at + n], errors[at : at + n]
-            known = bases > 0
-            share = np.maximum(background[np.maximum(bases, 1) - 1], 1e-9)
-            likely = 1 - e if op == "=" else e / 3
-            total += float(np.log2(np.maximum(likely, 1e-12) / share)[known].sum())
-        at += n
-    return total
+def _stacked(rows: list[np.ndarray], fill: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    size = np.array([len(r) for r in rows])
+    out = np.full((len(rows), int(size.max(initial=0))), fill, rows[0].dtype if rows else np.int8)
+    for k, r in enumerate(rows):
+        out[k, : len(r)] = r
+    return out, size
+
+
+def infix_ends(queries: np.ndarray, m: np.ndarray, targets: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(edits, first start) of the best alignment of each query that ends before each place of its target (0 to its length).
+
+    Rows are padded to equal lengths; m and n are the true ones. A cell holds edits and start as
+    one number, so the least of two is the better one and, if equal, the one that starts first.
+    """
+    width = targets.shape[1]
+    one = np.int64(width + 1)
+    place = np.arange(width + 1) * one
+    row = np.broadcast_to(np.arange(width + 1), (len(queries), width + 1)).copy()
+    known = (targets > 0) & (targets != _MASK)
+    last = row.copy()
+    for i in range(queries.shape[1]):
+        differs = ~((targets == queries[:, i : i + 1]) & known)
+        new = row + one
+        np.minimum(new[:, 1:], row[:, :-1] + differs * one, out=new[:, 1:])
+        new -= place
+        np.minimum.accumulate(new, axis=1, out=new)
+        row = new + place
+        done = m == i + 1
+        last[done] = row[done]
+    edits, starts = np.divmod(last, one)
+    edits[np.arange(width + 1) > n[:, None]] = _FAR
+    return edits, starts
+
+
+def paths(queries: np.ndarray, m: np.ndarray, regions: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """For each query base, how it is aligned to its whole region: = X I, or 0 past its end; in the last column the runs of D, as (number, bases).
+
+    Returns codes (rows by query bases) and, stacked behind them, runs and bases of deletions.
+    """
+    rows, wide, deep = len(queries), regions.shape[1], queries.shape[1]
+    table = np.zeros((deep + 1, rows, wide + 1), np.int32)
+    table[0] = np.arange(wide + 1)
+    known = (regions > 0) & (regions != _MASK)
+    place = np.arange(wide + 1)
+    for i in range(deep):
+        new = table[i] + 1
+        np.minimum(new[:, 1:], table[i][:, :-1] + ~((regions == queries[:, i : i + 1]) & known), out=new[:, 1:])
+        table[i + 1] = np.minimum.accumulate(new - place, axis=1) + place
+    each = np.arange(rows)
+    i, j = m.astype(np.int64).copy(), n.astype(np.int64).copy()
+    out = np.zeros((rows, deep + 2), np.int32)
+    before = np.zeros(rows, np.int8)
+    while ((i > 0) | (j > 0)).any():
+        up, left = np.maximum(i - 1, 0), np.maximum(j - 1, 0)
+        here = table[i, each, j]
+        same = (queries[each, up] == regions[each, left]) & known[each, left] if wide else np.zeros(rows, bool)
+        diagonal = (i > 0) & (j > 0) & (here == table[up, each, left] + ~same)
+        insertion = ~diagonal & (i > 0) & (here == table[up, each, j] + 1)
+        deletion = ~diagonal & ~insertion & (j > 0)
+        step = np.where(diagonal, np.where(same, ord("="), ord("X")), np.where(insertion, ord("I"), 0))
+        rowed = diagonal | insertion
+        out[each[rowed], up[rowed]] = step[rowed]
+        out[:, -2] += deletion & (before != 1)
+        out[:, -1] += deletion
+        before = np.where(deletion, 1, np.where(rowed, 0, before)).astype(np.int8)
+        i -= rowed
+        j -= diagonal | deletion
+    return out
+
+
+def matrix_scores(queries: np.ndarray, errors: np.ndarray, steps: np.ndarray, background: np.ndarray, gap_open: float, gap_extend: float) -> np.ndarray:
+    """Log-odds in bits of the aligned bases, less an affine penalty for each gap; background holds shares of A, C, G, T by row."""
+    codes = steps[:, :-2]
+    share = np.maximum(np.take_along_axis(background, np.maximum(queries, 1) - 1, axis=1), 1e-9)
+    likely = np.where(codes == ord("="), 1 - errors, errors / 3)
+    odds = np.log2(np.maximum(likely, 1e-12) / share)
+    total = np.where(((codes == ord("=")) | (codes == ord("X"))) & (queries > 0), odds, 0.0).sum(axis=1)
+    inside = codes == ord("I")
+    inserted = inside.sum(axis=1)
+    runs = (inside & ~np.concatenate((np.zeros((len(codes), 1), bool), inside[:, :-1]), axis=1)).sum(axis=1)
+    runs, bases = runs + steps[:, -2], inserted + steps[:, -1]
+    return total - gap_open * runs - gap_extend * (bases - runs)
 
 
 def posterior(scores: list[float]) -> float:
-    """Share of the best score among all, as powers of two; 0 without any."""
+    """Share of the first hit's score among all, as powers of two; 0 without any."""
     if not scores:
         return 0.0
     top = max(scores)
-    return float(1.0 / np.exp2(np.array(scores) - top).sum())
-
-
-def realign(clip: str, quality: np.ndarray, interval: str, hits: int, gap_open: float, gap_extend: float, most_edits: float) -> list[tuple[int, int, float, int]]:
-    """Hits (start, end inclusive, score, edits) in the order found; none if the best place has too many edits."""
-    query, target = encode(clip), encode(interval)
-    if not len(query) or not len(target):
-        return []
-    counts = np.bincount(target, minlength=10)[1:5]
-    background = counts / max(1, len(target))
-    errors = np.power(10.0, -np.asarray(quality, float) / 10)
-    found: list[tuple[int, int, float, int]] = []
-    while len(found) < hits:
-        edits, start, end, runs = infix_align(query, target)
-        if (not found and edits > most_edits) or end < start:
-            break
-        score = matrix_score(query, errors, runs, background, gap_open, gap_extend)
-        found.append((start, end, score, edits))
-        if score < LEAST_SCORE:
-            break
-        target[start : max(end, start + 1)] = _MASK  # the last base stays
+    return float(np.exp2(scores[0] - top) / np.exp2(np.array(scores) - top).sum())
+
+
+def could_stand(clip: str, interval: str, edits: int) -> bool:
+    """False only if the clip cannot be in the interval with so many edits: then one of edits + 1 parts is there unchanged."""
+    cut = [len(clip) * k // (edits + 1) for k in range(edits + 2)]
+    return any(clip[a:b] in interval for a, b in zip(cut, cut[1:]))
+
+
+def _chunks(order: np.ndarray, n: np.ndarray) -> Iterator[np.ndarray]:
+    lo = 0
+    while lo < len(order):
+        hi = lo + 1
+        while hi < len(order) and (hi + 1 - lo) * (n[order[hi]] + 1) <= CELLS:
+            hi += 1
+        yield order[lo:hi]
+        lo = hi
+
+
+Hit = tuple[int, int, float, int]
+
+
+def realign_all(clips: list, qualities: list, intervals: list, hits: int, gap_open: float, gap_extend: float, edit_share: float) -> list[list[Hit]]:
+    """Hits (start, end inclusive, score, edits) of each clip in its interval, in the order found; none if the best place has too many edits."""
+    found: list[list[Hit]] = [[] for _ in clips]
+    some = [
+        k for k, (c, q, s) in enumerate(zip(clips, qualities, intervals))
+        if c and s and q is not None and could_stand(c.upper(), s.upper(), int(len(c) * edit_share))
+    ]
+    lengths = np.array([len(s) if s else 0 for s in intervals])
+    order = np.array(some, np.int64)
+    order = order[np.argsort(lengths[order], kind="stable")]
+    for chunk in _chunks(order, lengths):
+        _realign_chunk(chunk, clips, qualities, intervals, hits, gap_open, gap_extend, edit_share, found)
     return found
 
 
+def _realign_chunk(chunk, clips, qualities, intervals, hits, gap_open, gap_extend, edit_share, found) -> None:
+    queries, m = _stacked([encode(clips[k]) for k in chunk])
+    targets, n = _stacked([encode(intervals[k]) for k in chunk])
+    errors = _stacked([np.power(10.0, -np.asarray(qualities[k], float)[: len(clips[k])] / 10) for k in chunk], 1)[0]
+    background = np.stack([(targets == b).sum(axis=1) for b in (1, 2, 3, 4)], axis=1) / n[:, None]
+    active = np.arange(len(chunk))
+    first = True
+    while len(active):
+        edits, starts = infix_ends(queries[active], m[active], targets[active], n[active])
+        best = edits.min(axis=1)
+        good = best <= m[active] * edit_share if first else np.ones(len(active), bool)
+        ends = (edits == best[:, None]) & (starts < np.arange(edits.shape[1]))
+        good &= ends.any(axis=1)
+        active, best, ends, starts = active[good], best[good], ends[good], starts[good]
+        if not len(active):
+            break
+        # the path of the first place scores all places of this round, as they have equal edits
+        end = ends.argmax(axis=1)
+        start = starts[np.arange(len(active)), end]
+        regions, size = _stacked([targets[r, a:b] for r, a, b in zip(active, start, end)])
+        steps = paths(queries[active], m[active], regions, size)
+        scores = matrix_scores(queries[active], errors[active], steps, background[active], gap_open, gap_extend)
+        on = np.zeros(len(active), bool)
+        for i, r in enumerate(active):
+            own = found[chunk[r]]
+            for e in np.flatnonzero(ends[i]):
+                s = int(starts[i, e])
+                own.append((s, int(e) - 1, float(scores[i]), int(best[i])))
+                targets[r, s : e - 1] = _MASK  # the last base stays
+            on[i] = len(own) < hits and scores[i] >= LEAST_SCORE
+        active, first = active[on], False
+
+
 _HITS = "struct<hits:array<struct<start:int,end:int,score:double,edits:int>>,probability:double>"
 
 
 def realign_column(clip: Column, quality: Column, interval: Column, hits: int = 10, gap_open: float = 5.0, gap_extend: float = 1.0, edit_share: float = 0.05) -> Column:
-    """Hits of a clip in an interval's sequence, and the best one's posterior; no hits where an argument is null."""
+    """Hits of a clip in an interval's sequence, and the first one's posterior; no hits where an argument is null."""
 
     @F.pandas_udf(_HITS)
     def kernel(clips: pd.Series, qualities: pd.Series, intervals: pd.Series) -> pd.DataFrame:
-        rows = []
-        for c, q, s in zip(clips, qualities, intervals):
-            found = realign(c, np.array(q), s, hits, gap_open, gap_extend, len(c) * edit_share) if c is not None and q is not None and s is not None else []
-            rows.append(([dict(zip(("start", "end", "score", "edits"), h)) for h in found], posterior([h[2] for h in found])))
-        return pd.DataFrame(rows, columns=["hits", "probability"])
+        rows = realign_all(list(clips), list(qualities), list(intervals), hits, gap_open, gap_extend, edit_share)
+        fields = ("start", "end", "score", "edits")
+        return pd.DataFrame({"hits": [[dict(zip(fields, h)) for h in r] for r in rows], "probability": [posterior([h[2] for h in r]) for r in rows]})
 
     return kernel(clip, quality, interval)
 
 
+def first_hit(result: str = "realigned") -> Column:
+    """The first hit; null without any."""
+    return F.get(F.col(result)["hits"], F.lit(0))
+
+
 def accepted(df: DataFrame, result: str = "realigned", least: float = 0.99, edit_share: float = 0.05) -> DataFrame:
-    """Rows whose best hit is likely and close enough."""
+    """Rows whose first hit is likely and close enough."""
     r = F.col(result)
-    first = F.try_element_at(r["hits"], F.lit(1))
-    return df.where((F.size(r["hits"]) > 0) & (r["probability"] >= least) & (first["edits"] <= F.length("clip") * edit_share))
+    return df.where((F.size(r["hits"]) > 0) & (r["probability"] >= least) & (first_hit(result)["edits"] <= F.length("clip") * edit_share))

@@ -7,6 +7,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -458,22 +460,35 @@ def coverage_ratio_filter(spark, sf_dir):
 # ---------------------------------------------------------------- kernel and simulation
 
 
-@query(WITH + " SELECT rid, round(1 / (1 + pow(CAST(2 AS DOUBLE), CAST((rid % 13) - (rid % 7 + 13) AS DOUBLE))), 9) AS probability FROM aln")
+@query(
+    WITH + " SELECT rid, round(pow(CAST(2 AS DOUBLE), rid % 13 - 20) / (pow(CAST(2 AS DOUBLE), rid % 13 - 20) + pow(CAST(2 AS DOUBLE), rid % 7 - 12) + pow(CAST(2 AS DOUBLE), rid % 5 - 20)), 9) AS probability FROM aln"
+)
 def posterior_prob(spark, sf_dir):
-    scores = F.array((C("rid") % 13).cast("double"), (C("rid") % 7 + 13).cast("double"))
-    best = F.array_max(scores)
-    total = F.aggregate(scores, F.lit(0.0), lambda t, s: t + F.pow(F.lit(2.0), s - best))
-    return aln(spark, sf_dir).select("rid", ROUND(F.lit(1.0) / total, 9).alias("probability"))
+    """The kernel's posterior of the first of three scores."""
+
+    @F.pandas_udf("double")
+    def share(a: pd.Series, b: pd.Series, c: pd.Series) -> pd.Series:
+        return pd.Series([kn.posterior(list(x)) for x in zip(a, b, c)], dtype=float)
+
+    scores = [(C("rid") % 13).cast("double"), (C("rid") % 7 + 8).cast("double"), (C("rid") % 5).cast("double")]
+    return aln(spark, sf_dir).select("rid", ROUND(share(*scores), 9).alias("probability"))
 
 
 @query(
-    WITH + " SELECT rid, round((length(seq) - length(replace(seq, 'A', ''))) * log2((1 - CAST(0.001 AS DOUBLE)) / CAST(0.25 AS DOUBLE)) + length(replace(seq, 'A', '')) * log2(CAST(0.001 AS DOUBLE) / 3 / CAST(0.25 AS DOUBLE)), 4) AS score FROM r"
+    WITH + " SELECT rid, round((length(seq) - length(replace(seq, 'A', ''))) * log2((1 - CAST(0.001 AS DOUBLE)) / CAST(0.25 AS DOUBLE)) + length(replace(seq, 'A', '')) * log2(CAST(0.001 AS DOUBLE) / 3 / CAST(0.25 AS DOUBLE)) - 7, 4) AS score FROM r"
 )
 def pssm_score(spark, sf_dir):
-    """Gap-free scores of each read against a stretch of A, at equal base shares."""
-    e = F.transform("qual", R.phred_to_prob)
-    each = F.zip_with(F.split("seq", ""), e, lambda b, p: F.when(b == "A", F.log2((F.lit(1.0) - p) / F.lit(0.25))).otherwise(F.log2(p / F.lit(3.0) / F.lit(0.25))))
-    return proxy_reads(spark, sf_dir).select(C("ordinal").alias("rid"), ROUND(F.aggregate(each, F.lit(0.0), lambda t, x: t + x), 4).alias("score"))
+    """The kernel's scores of each read against a stretch of A with one gap of three bases, at equal base shares."""
+
+    @F.pandas_udf("double")
+    def score(seqs: pd.Series, quals: pd.Series) -> pd.Series:
+        queries, _ = kn._stacked([kn.encode(x) for x in seqs])
+        errors, _ = kn._stacked([np.power(10.0, -np.asarray(q, float) / 10) for q in quals], 1)
+        steps = np.where(queries == 1, ord("="), ord("X"))
+        steps = np.concatenate((steps, np.tile([1, 3], (len(steps), 1))), axis=1)
+        return pd.Series(kn.matrix_scores(queries, errors, steps, np.full((len(queries), 4), 0.25), 5.0, 1.0))
+
+    return proxy_reads(spark, sf_dir).select(C("ordinal").alias("rid"), ROUND(score("seq", "qual"), 4).alias("score"))
 
 
 @query()
@@ -481,7 +496,18 @@ def realign_kernel(spark, sf_dir):
     """Clips put back into the sequence of the read that they come from."""
     r = proxy_reads(spark, sf_dir).withColumn("c", R.longest_clip()).where("length(c.seq) >= 8")
     done = r.select(C("ordinal").alias("rid"), C("c.seq").alias("clip"), C("c.qual").alias("q"), "seq").withColumn("realigned", kn.realign_column(C("clip"), C("q"), C("seq")))
-    return kn.accepted(done, least=0.5).select("rid", C("realigned.hits")[0]["start"].alias("start"), C("realigned.hits")[0]["edits"].alias("edits"))
+    return kn.accepted(done, least=0.5).withColumn("hit", kn.first_hit()).select("rid", "hit.start", "hit.edits")
+
+
+@query(
+    WITH + ", c AS (SELECT rid, CASE WHEN cl >= cr THEN substring(seq, 1, CAST(cl AS INT)) ELSE substring(seq, CAST(101 - cr AS INT), CAST(cr AS INT)) END AS clip, seq FROM r WHERE cl + cr > 0 AND NOT hard AND greatest(cl, cr) >= 8 AND greatest(cl, cr) < 20)"
+    " SELECT rid, CAST(strpos(seq, clip) - 1 AS INT) AS start, CAST(strpos(seq, clip) + length(clip) - 2 AS INT) AS stop, CAST(0 AS INT) AS edits FROM c"
+)
+def exact_hits(spark, sf_dir):
+    """First hits of clips of under 20 bases, for which no edit is allowed: the clip's first place in its read."""
+    r = proxy_reads(spark, sf_dir).withColumn("c", R.longest_clip()).where("length(c.seq) >= 8 AND length(c.seq) < 20")
+    done = r.select(C("ordinal").alias("rid"), C("c.seq").alias("clip"), C("c.qual").alias("q"), "seq").withColumn("realigned", kn.realign_column(C("clip"), C("q"), C("seq")))
+    return done.withColumn("hit", kn.first_hit()).select("rid", "hit.start", C("hit.end").alias("stop"), "hit.edits")
 
 
 @query(WITH + ", n AS (SELECT chrom, count(*) AS length FROM aln GROUP BY chrom) SELECT chrom, length, round(length / CAST(sum(length) OVER () AS DOUBLE), 9) AS weight, round(sum(length) OVER (ORDER BY chrom) / CAST(sum(length) OVER () AS DOUBLE), 9) AS hi FROM n")
@@ -498,7 +524,7 @@ def proxy_genome(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def simulate_reads(spark, sf_dir):
-    return pp.simulate(spark, proxy_genome(spark, sf_dir), 200)[1].select("name", "kind", "seq1", "seq2")
+    return pp.simulate(spark, proxy_genome(spark, sf_dir), 3000)[1].select("name", "kind", "seq1", "seq2")
 
 
 @query()
@@ -510,8 +536,30 @@ def realign_pipeline(spark, sf_dir):
 
 
 @query()
+def realign_reads(spark, sf_dir):
+    """Reads that support circles, with the SA tags that realignment gives."""
+    reads = proxy_reads(spark, sf_dir)
+    found = pp.realign_reads(pp.extract(reads), reads, proxy_contigs(spark), proxy_genome(spark, sf_dir), pp.Params(only_discordants=False, insert_mapq=30))
+    return found.select(C("ordinal").alias("rid"), "qname", "chrom", "pos", "sa", "mq")
+
+
+_BASES = """, e AS (SELECT chrom, pos AS place, 1 AS d FROM r WHERE NOT unmapped UNION ALL SELECT chrom, pos + 100 - cl - cr, -1 FROM r WHERE NOT unmapped),
+net AS (SELECT chrom, place, sum(d) AS d FROM e GROUP BY chrom, place HAVING sum(d) <> 0),
+runs AS (SELECT chrom, place AS start, CAST(lead(place) OVER w AS BIGINT) AS "end", CAST(sum(d) OVER (w ROWS UNBOUNDED PRECEDING) AS BIGINT) AS depth FROM net WINDOW w AS (PARTITION BY chrom ORDER BY place)),
+g AS (SELECT * FROM runs WHERE depth > 0)"""
+
+
+@query(
+    WITH + _BASES + """, z AS (SELECT chrom, CASE WHEN xa_pos < pos THEN xa_pos ELSE pos END AS start, CASE WHEN xa_pos < pos THEN pos + 100 ELSE xa_pos - 1 + 102 END AS "end", CAST(1 AS BIGINT) AS item
+ FROM r WHERE has_xa AND NOT two_xa AND nm <= 2), """ + _reciprocal("w", "z", 0.8)
+    + ', o AS (SELECT chrom, min(start) AS start, max("end") AS "end", CAST(sum(item) AS BIGINT) AS item FROM wi GROUP BY chrom, island HAVING sum(item) >= 2), ' + _reciprocal("v", "o", 0.8)
+    + ', ci AS (SELECT chrom, min(start) AS start, max({\'a\': start, \'b\': "end"}).b AS "end", CAST(sum(item) AS BIGINT) AS item FROM vi GROUP BY chrom, island)' + _STATS.replace(_CIRCLES, "")
+    + ' SELECT st.chrom, st.start, st."end", item, round(mean, 5) AS mean, round(std, 5) AS std, round(start_ratio, 5) AS start_ratio, round(end_ratio, 5) AS end_ratio, round(continuity, 5) AS continuity'
+    ' FROM st JOIN ci ON st.chrom = ci.chrom AND st.start = ci.start AND st."end" = ci."end" WHERE start_ratio > CAST(0.3 AS DOUBLE) OR end_ratio > CAST(0.3 AS DOUBLE)'
+)
 def repeats_pipeline(spark, sf_dir):
-    return pp.repeats(proxy_reads(spark, sf_dir), proxy_contigs(spark), least=2, ratio=0.3)
+    found = pp.repeats(proxy_reads(spark, sf_dir), proxy_contigs(spark), least=2, ratio=0.3)
+    return found.select("chrom", "start", "end", "item", *[ROUND(c, 5).alias(c) for c in ("mean", "std", "start_ratio", "end_ratio", "continuity")])
 
 
 def queries() -> dict[str, Query]:

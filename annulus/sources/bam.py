@@ -1,13 +1,22 @@
-"""BAM files. Spark's binary reader fetches them, so any store works; each file is one task.
+"""BAM files, read and written by ranges and parts, each in a task of its own.
 
-A BAM file is a chain of BGZF blocks (gzip members of at most 64 KB) over a header and records.
+A BAM file is a chain of BGZF blocks (gzip members of at most 64 KB) over a header and records. A
+file is cut in ranges of ``RANGE`` bytes. A task looks for the first block of its range (where
+several blocks follow one another), and in it for the first record (where several records that make
+sense do), and reads all records that begin in its blocks; the last one may run on into the next range. Files
+are opened by pyarrow's file systems (local, HDFS, S3, GCS) in the tasks and listed by Spark.
 """
 
 from __future__ import annotations
 
+import re
 import struct
+import uuid
+import warnings
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -16,30 +25,72 @@ from pyspark.sql import DataFrame, SparkSession
 from annulus.schema import CIGAR_OPS, CONTIGS, READS
 
 _BASES = "=ACMGRSVTWYHKDBN"
+_HEX_BASES = str.maketrans("0123456789abcdef", _BASES)
+_BLOCK = 0xFF00
 _END = bytes.fromhex("1f8b08040000000000ff0600424302001b0003000000000000000000")
 _SIZES = {"A": 1, "c": 1, "C": 1, "s": 2, "S": 2, "i": 4, "I": 4, "f": 4}
 _KINDS = {"c": "b", "C": "B", "s": "h", "S": "H", "i": "i", "I": "I", "f": "f"}
 
 
+#: Bytes of a file that a task reads, records that must follow one another where a range begins, and the largest block.
+RANGE = 32 << 20
+PROOF = 6
+MOST_BLOCK = 1 << 16
+
+
+def block_size(data: bytes, at: int) -> int:
+    """Bytes of the BGZF block that begins at a place, or 0 if none does."""
+    if data[at : at + 4] != b"\x1f\x8b\x08\x04" or len(data) < at + 18:
+        return 0
+    extra = struct.unpack_from("<H", data, at + 10)[0]
+    p = at + 12
+    while p + 4 <= min(len(data), at + 12 + extra):
+        size = struct.unpack_from("<H", data, p + 2)[0]
+        if data[p : p + 2] == b"BC" and size == 2 and p + 6 <= len(data):
+            return struct.unpack_from("<H", data, p + 4)[0] + 1
+        p += 4 + size
+    return 0
+
+
+def blocks(data: bytes, at: int = 0) -> Iterator[tuple[int, bytes]]:
+    """(place, content) of the whole BGZF blocks from a place on. Time and memory grow with the data alone."""
+    view = memoryview(data)
+    while at < len(data):
+        size = block_size(data, at)
+        if not size or at + size > len(data):
+            return
+        extra = struct.unpack_from("<H", data, at + 10)[0]
+        yield at, zlib.decompress(view[at + 12 + extra : at + size - 8], -15, MOST_BLOCK)
+        at += size
+
+
 def inflate(data: bytes) -> bytes:
-    """All BGZF blocks (or gzip members) of a file."""
-    out = []
-    while data:
-        member = zlib.decompressobj(31)
-        out.append(member.decompress(data))
-        data = member.unused_data
-    return b"".join(out)
+    """The content of all BGZF blocks."""
+    return b"".join(content for _, content in blocks(data))
+
+
+def first_block(data: bytes, whole: bool) -> int:
+    """Where the first block begins in bytes from the middle of a file; whole: whether they end with the file. -1 without any."""
+    at = data.find(b"\x1f\x8b\x08\x04")
+    while at >= 0:
+        p, seen = at, 0
+        while seen < 3 and p < len(data) and (size := block_size(data, p)):
+            p, seen = p + size, seen + 1
+        if seen == 3 or (seen and (p == len(data) if whole else p > len(data) - 18)):
+            return at
+        at = data.find(b"\x1f\x8b\x08\x04", at + 1)
+    return -1
 
 
 def deflate(data: bytes) -> bytes:
-    """BGZF blocks of the data, with the end block."""
+    """BGZF blocks of the data, without the end block."""
     out = []
-    for lo in range(0, len(data), 0xFF00):
-        part = data[lo : lo + 0xFF00]
+    for lo in range(0, len(data), _BLOCK):
+        part = data[lo : lo + _BLOCK]
         squeeze = zlib.compressobj(6, zlib.DEFLATED, -15)
         body = squeeze.compress(part) + squeeze.flush()
         out.append(bytes.fromhex("1f8b08040000000000ff060042430200") + struct.pack("<H", len(body) + 25) + body + struct.pack("<II", zlib.crc32(part), len(part)))
-    return b"".join(out) + _END
+    return b"".join(out)
 
 
 def parse_header(raw: bytes) -> tuple[str, list[tuple[str, int]], int]:
@@ -87,12 +138,44 @@ def _tags(raw: bytes, at: int, end: int) -> dict[str, str]:
     return out
 
 
+def _sensible(raw: bytes, at: int, contigs: int) -> int:
+    """Bytes of the record that may begin at a place; 0 if it makes no sense, -1 if the data ends before that can be told."""
+    if at + 36 > len(raw):
+        return -1
+    size, ref, pos, n_name, _, _, n_cigar, _, n_seq, next_ref, next_pos, _ = struct.unpack_from("<iiiBBHHHiiii", raw, at)
+    if not (-1 <= ref < contigs and -1 <= next_ref < contigs and pos >= -1 and next_pos >= -1 and n_name > 0 and n_seq >= 0):
+        return 0
+    if size < 32 + n_name + 4 * n_cigar + (n_seq + 1) // 2 + n_seq or size > 1 << 26:
+        return 0
+    if at + 36 + n_name > len(raw):
+        return -1
+    name = raw[at + 36 : at + 36 + n_name]
+    if name[-1] or not all(33 <= c <= 126 for c in name[:-1]):
+        return 0
+    cigar = raw[at + 36 + n_name : at + 36 + n_name + 4 * n_cigar]
+    if any(c & 15 > 8 for c in cigar[::4]):
+        return 0
+    return size + 4
+
+
+def first_record(raw: bytes, contigs: int, limit: int) -> int:
+    """Where the first record begins in data from the middle of a stream, before the limit; -1 without any."""
+    for at in range(min(limit, len(raw))):
+        p, seen = at, 0
+        while seen < PROOF and p < len(raw) and (size := _sensible(raw, p, contigs)) > 0:
+            p, seen = p + size, seen + 1
+        if seen == PROOF or (seen and (p == len(raw) or p > len(raw) or _sensible(raw, p, contigs) < 0)):
+            return at
+    return -1
+
+
 def parse_reads(raw: bytes, contigs: list[tuple[str, int]], at: int) -> Iterator[dict]:
-    """Records as dicts of the reads schema, in file order."""
+    """Records as dicts of the reads schema, in file order, until the data ends; ordinal is the place in the data."""
     name_of = lambda r: contigs[r][0] if r >= 0 else None
-    ordinal = 0
-    while at < len(raw):
+    while at + 4 <= len(raw):
         size = struct.unpack_from("<i", raw, at)[0]
+        if at + 4 + size > len(raw):
+            return
         ref, pos, n_name, mapq, _, n_cigar, flag, n_seq, next_ref, next_pos, tlen = struct.unpack_from("<iiBBHHHiiii", raw, at + 4)
         p, end = at + 36, at + 4 + size
         name = raw[p : p + n_name - 1].decode()
@@ -100,17 +183,17 @@ def parse_reads(raw: bytes, contigs: list[tuple[str, int]], at: int) -> Iterator
         cigar = [{"op": c & 15, "len": c >> 4} for c in struct.unpack_from(f"<{n_cigar}I", raw, p)]
         p += 4 * n_cigar
         packed = raw[p : p + (n_seq + 1) // 2]
-        seq = "".join(_BASES[b >> 4] + _BASES[b & 15] for b in packed)[:n_seq]
+        seq = packed.hex().translate(_HEX_BASES)[:n_seq]
         p += len(packed)
         qual = list(raw[p : p + n_seq]) if n_seq and raw[p] != 255 else None
         tags = _tags(raw, p + n_seq, end)
         number = lambda k: int(tags[k]) if k in tags else None  # noqa: B023, E731
         yield {
-            "ordinal": ordinal, "qname": name, "flag": flag, "ref_id": ref, "chrom": name_of(ref), "pos": pos, "mapq": mapq, "cigar": cigar, "next_ref_id": next_ref,
+            "ordinal": at, "qname": name, "flag": flag, "ref_id": ref, "chrom": name_of(ref), "pos": pos, "mapq": mapq, "cigar": cigar, "next_ref_id": next_ref,
             "next_chrom": name_of(next_ref), "next_pos": next_pos, "tlen": tlen, "seq": seq, "qual": qual, "sa": tags.get("SA"), "xa": tags.get("XA"), "nm": number("NM"), "mq": number("MQ"),
             "tags": list(tags.items()),
         }
-        ordinal, at = ordinal + 1, end
+        at = end
 
 
 _CIGAR = pa.list_(pa.struct([("op", pa.int32()), ("len", pa.int32())]))
@@ -121,13 +204,93 @@ _ARROW = pa.schema(
 )
 
 
+def _opened(path: str):
+    """The file system and the path in it of a Hadoop path."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(path if "://" in path else re.sub("^(file:)?/*", "file:///", path))
+
+
+def _bytes(path: str, lo: int, hi: int) -> bytes:
+    system, name = _opened(path)
+    with system.open_input_file(name) as f:
+        return f.read_at(hi - lo, lo)
+
+
+def header(path: str) -> tuple[str, list[tuple[str, int]], int, int]:
+    """Header text and contigs of a file, and the place in the file and in its block where the records begin."""
+    size, head = MOST_BLOCK * 4, b""
+    while True:
+        raw = _bytes(path, 0, size)
+        found = list(blocks(raw))
+        head = b"".join(content for _, content in found)
+        try:
+            text, contigs, at = parse_header(head)
+            if at <= len(head):
+                break
+        except (struct.error, IndexError):
+            pass
+        if len(raw) < size:
+            raise ValueError("not a whole BAM file")
+        size *= 4
+    done = 0
+    for place, content in found:
+        if at < done + len(content):
+            return text, contigs, place, at - done
+        done += len(content)
+    last = found[-1][0]
+    return text, contigs, last + block_size(raw, last), 0
+
+
+def _rows(path: str, lo: int, hi: int, size: int) -> Iterator[dict]:
+    """Records that begin in the blocks that begin in a file's bytes [lo, hi); ordinal is the virtual offset."""
+    _, contigs, first, inside = header(path)
+    if hi <= first:
+        return
+    at = max(lo, first)
+    begun = at == first
+    tail = 4 * MOST_BLOCK
+    raw = _bytes(path, at, min(size, hi + tail))
+    start = 0 if begun else first_block(raw, at + len(raw) == size)
+    if start < 0 or at + start >= hi:
+        return
+    places, parts, total = [], [], 0
+    stop = None
+    while True:
+        consumed = start
+        for place, content in blocks(raw, start):
+            if at + place >= hi and stop is None:
+                stop = total  # records that begin from here on belong to the next range
+            places.append((total, at + place))
+            parts.append(content)
+            total += len(content)
+            consumed = place + block_size(raw, place)
+        data = b"".join(parts)
+        where = inside if begun else first_record(data, len(contigs), len(data) if stop is None else stop)
+        if where < 0:
+            return
+        limit = len(data) if stop is None else stop
+        done = where
+        while done + 4 <= len(data) and done < limit:
+            done += 4 + struct.unpack_from("<i", data, done)[0]
+        if done <= len(data) or at + len(raw) >= size:
+            break
+        more = _bytes(path, at + len(raw), min(size, at + len(raw) + tail))  # the last record runs on
+        raw, start, tail = raw + more, consumed, 4 * tail
+    begins = [t for t, _ in places]
+    for row in parse_reads(data, contigs, where):
+        if row["ordinal"] >= limit:
+            return
+        k = bisect_right(begins, row["ordinal"]) - 1
+        row["ordinal"] = (places[k][1] << 16) | (row["ordinal"] - begins[k])
+        yield row
+
+
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for content in batch.column("content").to_pylist():
-            raw = inflate(content)
-            _, contigs, at = parse_header(raw)
+        for path, lo, hi, size in zip(*(batch.column(c).to_pylist() for c in ("path", "lo", "hi", "size"))):
             rows = []
-            for row in parse_reads(raw, contigs, at):
+            for row in _rows(path, lo, hi, size):
                 rows.append(row)
                 if len(rows) == 5000:
                     yield pa.RecordBatch.from_pylist(rows, schema=_ARROW)
@@ -135,30 +298,42 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_pylist(rows, schema=_ARROW)
 
 
-def read_bam(spark: SparkSession, path: str) -> DataFrame:
-    """Reads of BAM files; ordinal counts the records of a file."""
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(_read, READS)
+def _files(spark: SparkSession, path: str) -> list[tuple[str, int]]:
+    """(path, size) of the files that a path, folder or pattern names; their bytes are not read."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = []
+    for status in system.globStatus(target) or []:
+        inner = system.listStatus(status.getPath()) if status.isDirectory() else [status]
+        found += [(x.getPath().toString(), x.getLen()) for x in inner if x.isFile() and not x.getPath().getName().startswith(("_", "."))]
+    if not found:
+        raise FileNotFoundError(path)
+    return sorted(found)
 
 
-def read_contigs(spark: SparkSession, path: str) -> DataFrame:
-    """Contigs of BAM files' headers."""
+def ranges(spark: SparkSession, path: str, size: int = RANGE) -> DataFrame:
+    """Ranges (path, lo, hi, size of the file) of BAM files, each a partition."""
+    rows = [(name, lo, min(lo + size, n), n) for name, n in _files(spark, path) for lo in range(0, n, size)]
+    return spark.createDataFrame(rows, "path string, lo long, hi long, size long").repartitionByRange(len(rows), "path", "lo")
 
-    def parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for content in batch.column("content").to_pylist():
-                contigs = parse_header(inflate(content))[1]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(range(len(contigs)), pa.int32()), pa.array([c for c, _ in contigs], pa.string()), pa.array([n for _, n in contigs], pa.int64())], names=["ref_id", "chrom", "length"]
-                )
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(parsed, CONTIGS)
+def read_bam(spark: SparkSession, path: str, range_bytes: int = RANGE) -> DataFrame:
+    """Reads of BAM files; ordinal is a record's virtual offset, which rises along a file."""
+    return ranges(spark, path, range_bytes).mapInArrow(_read, READS)
+
+
+def read_contigs(spark: SparkSession, path: str) -> DataFrame:
+    """Contigs of a BAM file's header (of several files, the first one's: parts of a file share theirs); nothing else of it is read."""
+    contigs = header(_files(spark, path)[0][0])[1]
+    return spark.createDataFrame([(i, c, n) for i, (c, n) in enumerate(contigs)], CONTIGS)
 
 
 def require_order(spark: SparkSession, path: str, wanted: str) -> None:
-    """Raise unless the file's header names the wanted sort order; nothing else here depends on it."""
-    content = spark.read.format("binaryFile").load(path).select("content").first()[0]
-    found = sort_order(parse_header(inflate(bytes(content)))[0])
-    if found != wanted:
+    """Raise if the header names another sort order than the wanted one; warn if it names none."""
+    found = sort_order(header(_files(spark, path)[0][0])[0])
+    if found in ("unknown", "unsorted") and found != wanted:
+        warnings.warn(f"the header of {path} does not say that the reads are sorted by {wanted}", stacklevel=2)
+    elif found != wanted:
         raise ValueError(f"the reads are sorted by {found}, not {wanted}")
 
 
@@ -168,26 +343,31 @@ def _tag_bytes(name: str, value: str) -> bytes:
     return name.encode() + b"Z" + str(value).encode() + b"\0"
 
 
-def bam_bytes(rows: list[dict], contigs: list[tuple[str, int]], order: str = "unsorted") -> bytes:
-    """A BAM file of reads."""
+def header_bytes(contigs: list[tuple[str, int]], order: str = "unsorted") -> bytes:
     text = (f"@HD\tVN:1.6\tSO:{order}\n" + "".join(f"@SQ\tSN:{c}\tLN:{n}\n" for c, n in contigs)).encode()
     out = [b"BAM\x01", struct.pack("<i", len(text)), text, struct.pack("<i", len(contigs))]
-    out += [struct.pack("<i", len(c) + 1) + c.encode() + b"\0" + struct.pack("<i", n) for c, n in contigs]
+    return b"".join(out + [struct.pack("<i", len(c) + 1) + c.encode() + b"\0" + struct.pack("<i", n) for c, n in contigs])
+
+
+def record_bytes(r: dict, index: dict[str, int]) -> bytes:
+    cigar, seq, name = r["cigar"] or [], r["seq"] or "", r["qname"].encode() + b"\0"
+    codes = np.array([_BASES.find(b) for b in seq.upper()] + [0] * (len(seq) & 1), np.int16)
+    codes = np.where((codes > 15) | (codes < 0), 15, codes).astype(np.uint8)
+    packed = ((codes[::2] << 4) | codes[1::2]).tobytes()
+    qual = bytes(r["qual"]) if r["qual"] else b"\xff" * len(seq)
+    tags = dict(r.get("tags") or {}) | {k: r[c] for k, c in (("SA", "sa"), ("XA", "xa"), ("NM", "nm"), ("MQ", "mq")) if r.get(c) is not None}
+    span = sum(c["len"] for c in cigar if CIGAR_OPS[c["op"]] in "MDN=X")
+    body = struct.pack(
+        "<iiBBHHHiiii", index.get(r["chrom"], -1), r["pos"], len(name), r["mapq"], _bin(r["pos"], r["pos"] + max(1, span)), len(cigar), r["flag"], len(seq), index.get(r["next_chrom"], -1), r["next_pos"], r["tlen"]
+    )
+    body += name + b"".join(struct.pack("<I", (c["len"] << 4) | c["op"]) for c in cigar) + packed + qual + b"".join(_tag_bytes(k, v) for k, v in sorted(tags.items()))
+    return struct.pack("<i", len(body)) + body
+
+
+def bam_bytes(rows: list[dict], contigs: list[tuple[str, int]], order: str = "unsorted") -> bytes:
+    """A BAM file of reads."""
     index = {c: i for i, (c, _) in enumerate(contigs)}
-    for r in rows:
-        cigar, seq, name = r["cigar"] or [], r["seq"] or "", r["qname"].encode() + b"\0"
-        codes = np.array([_BASES.find(b) for b in seq.upper()] + [0] * (len(seq) & 1), np.uint8)
-        codes = np.where(codes > 15, 15, codes)
-        packed = ((codes[::2] << 4) | codes[1::2]).tobytes()
-        qual = bytes(r["qual"]) if r["qual"] else b"\xff" * len(seq)
-        tags = dict(r.get("tags") or {}) | {k: r[c] for k, c in (("SA", "sa"), ("XA", "xa"), ("NM", "nm"), ("MQ", "mq")) if r.get(c) is not None}
-        span = sum(c["len"] for c in cigar if CIGAR_OPS[c["op"]] in "MDN=X")
-        body = struct.pack(
-            "<iiBBHHHiiii", index.get(r["chrom"], -1), r["pos"], len(name), r["mapq"], _bin(r["pos"], r["pos"] + max(1, span)), len(cigar), r["flag"], len(seq), index.get(r["next_chrom"], -1), r["next_pos"], r["tlen"]
-        )
-        body += name + b"".join(struct.pack("<I", (c["len"] << 4) | c["op"]) for c in cigar) + packed + qual + b"".join(_tag_bytes(k, v) for k, v in sorted(tags.items()))
-        out += [struct.pack("<i", len(body)), body]
-    return deflate(b"".join(out))
+    return deflate(header_bytes(contigs, order) + b"".join(record_bytes(r, index) for r in rows)) + _END
 
 
 def _bin(start: int, end: int) -> int:
@@ -199,26 +379,48 @@ def _bin(start: int, end: int) -> int:
     return 0
 
 
-def bam_files(reads: DataFrame, contigs: list[tuple[str, int]], order: str = "unsorted") -> DataFrame:
-    """One BAM file a partition, as rows (part, content); saveable as Parquet or by ``write_bam``."""
-
-    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
+def _written(batches: Iterator[pa.RecordBatch], path: str, contigs: list[tuple[str, int]], order: str) -> Iterator[pa.RecordBatch]:
+    """Write a partition to a file of this attempt's own; says where."""
+    from pyspark import TaskContext
 
-        rows = [r for batch in batches for r in batch.to_pylist()]
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([bam_bytes(rows, contigs, order)], pa.binary())], names=["part", "content"])
-
-    return reads.mapInArrow(packed, "part int, content binary")
+    index = {c: i for i, (c, _) in enumerate(contigs)}
+    part = TaskContext.get().partitionId()
+    system, base = _opened(path)
+    name = f"_attempts/part-{part:05d}-{uuid.uuid4().hex}"
+    out, held, rows = None, bytearray(header_bytes(contigs, order)), 0
+    for batch in batches:
+        for row in batch.to_pylist():
+            held += record_bytes(row, index)
+            rows += 1
+            if len(held) >= 64 * _BLOCK:
+                out = out or system.open_output_stream(f"{base}/{name}")
+                whole = len(held) // _BLOCK * _BLOCK
+                out.write(deflate(bytes(held[:whole])))
+                del held[:whole]
+    if not rows and part:  # the first partition makes a file even without reads
+        return
+    out = out or system.open_output_stream(f"{base}/{name}")
+    out.write(deflate(bytes(held)) + _END)
+    out.close()
+    yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([name])], names=["part", "name"])
 
 
 def write_bam(reads: DataFrame, path: str, contigs: list[tuple[str, int]], order: str = "unsorted") -> None:
-    """Write path/part-NNNNN.bam through Hadoop's file system, a file a partition."""
+    """Write path/part-NNNNN.bam, a file a partition.
+
+    Tasks write files of their own, deflated as they go; when all have ended, the driver renames one
+    attempt of each partition, so attempts that were lost or ran twice leave nothing behind.
+    """
     spark = reads.sparkSession
     base = spark._jvm.org.apache.hadoop.fs.Path(path)
     system = base.getFileSystem(spark._jsc.hadoopConfiguration())
-    system.mkdirs(base)
-    for row in bam_files(reads, contigs, order).toLocalIterator():
-        stream = system.create(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/part-{row.part:05d}.bam"), True)
-        stream.write(bytes(row.content))
-        stream.close()
+    base = system.makeQualified(base)
+    of = lambda name: spark._jvm.org.apache.hadoop.fs.Path(base, name)
+    system.mkdirs(of("_attempts"))
+    done = reads.mapInArrow(partial(_written, path=base.toString(), contigs=contigs, order=order), "part int, name string").collect()
+    for row in done:
+        target = of(f"part-{row.part:05d}.bam")
+        system.delete(target, False)
+        if not system.rename(of(row.name), target):
+            raise OSError(f"could not commit {row.name}")
+    system.delete(of("_attempts"), True)

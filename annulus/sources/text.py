@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import partial
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,10 +20,39 @@ def read_fasta(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.regexp_extract("value", "^([^\\s]+)", 1).alias("chrom"), F.regexp_replace(F.regexp_replace("value", "^[^\\n]*\\n?", ""), "\\s", "").alias("seq"))
 
 
-def fetch(intervals: DataFrame, genome: DataFrame) -> DataFrame:
-    """intervals with the bases of [start, end), cut at the contig's end."""
-    found = intervals.join(genome.withColumnRenamed("seq", "_seq"), "chrom")
-    return found.withColumn("bases", F.substring("_seq", C("start") + 1, (C("end") - C("start")).cast("int"))).drop("_seq")
+#: Bases of a chunk of a contig.
+CHUNK = 1 << 16
+
+
+def _cut(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for chrom, seq in zip(batch.column("chrom").to_pylist(), batch.column("seq")):
+            raw = memoryview(seq.as_buffer() or b"")
+            for lo in range(0, len(raw), size * 64):
+                parts = [bytes(raw[at : at + size]) for at in range(lo, min(lo + size * 64, len(raw)), size)]
+                numbers = range(lo // size, lo // size + len(parts))
+                yield pa.RecordBatch.from_arrays([pa.array([chrom] * len(parts), pa.string()), pa.array(numbers, pa.int64()), pa.array(parts, pa.binary()).cast(pa.string())], names=["chrom", "chunk", "bases"])
+
+
+def chunks(genome: DataFrame, size: int = CHUNK) -> DataFrame:
+    """Contigs (chrom, seq; bases are ASCII) in chunks: chrom, chunk (from 0) and bases. A contig is read once, by one task."""
+    return genome.where("chrom IS NOT NULL AND seq IS NOT NULL").select("chrom", "seq").mapInArrow(partial(_cut, size=size), "chrom string, chunk long, bases string")
+
+
+def fetch(intervals: DataFrame, cut: DataFrame, size: int = CHUNK) -> DataFrame:
+    """intervals with the bases of [start, end), cut at the contig's ends; cut: the genome in ``chunks`` of the given size.
+
+    Each interval meets the chunks that it reaches, so what is shuffled follows the intervals, not the
+    contigs. Intervals without any base of the genome are left out.
+    """
+    spans = intervals.select("chrom", "start", "end").distinct().where("end > start AND end > 0")
+    reached = F.sequence(F.floor(F.greatest(C("start"), F.lit(0)) / size), F.floor((C("end") - 1) / size))
+    pieces = spans.withColumn("chunk", F.explode(reached)).join(cut.withColumnRenamed("bases", "_bases"), ["chrom", "chunk"])
+    first = F.greatest(C("start") - C("chunk") * size, F.lit(0))
+    part = F.substring("_bases", first.cast("int") + 1, (F.least(C("end") - C("chunk") * size, F.lit(size)) - first).cast("int"))
+    pieces = pieces.select("chrom", "start", "end", F.struct("chunk", part.alias("part")).alias("p")).where("p.part <> ''")
+    joined = pieces.groupBy("chrom", "start", "end").agg(F.array_join(F.array_sort(F.collect_list("p"))["part"], "").alias("bases"))
+    return intervals.join(joined, ["chrom", "start", "end"]).select(*intervals.columns, "bases")
 
 
 def read_fastq(spark: SparkSession, path: str) -> DataFrame:

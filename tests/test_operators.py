@@ -130,34 +130,127 @@ def test_coverage_quality_is_an_option():
     files = ["-i", "a", "-qbam", "b", "-fasta", "c", "-o", "d"]
     assert parser().parse_args(["realign", "-sbam", "e", *files, "-cq", "7"]).coverage_quality == 7
     assert parser().parse_args(["realign", "-sbam", "e", *files]).coverage_quality == pipelines.Params().coverage_quality == 0
-    assert parser().parse_args(["repeats", "-i", "a", "-o", "d", "-cq", "7"]).cq == 7
+    assert parser().parse_args(["repeats", "-i", "a", "-o", "d", "-cq", "7"]).base_quality == 7
 
 
-def brute_infix(q, t):
-    row = [0] * (len(t) + 1)
-    for i, a in enumerate(q, 1):
-        new = [i]
+def test_short_options_and_switches():
+    from annulus.cli import parser
+
+    files = ["-i", "a", "-qbam", "b", "-fasta", "c", "-o", "d"]
+    short = "-n 4 -p 0.5 -m 9 -g 6 -e 2 -q 11 -d 0.1 -Q 1.5 -iq 30 -sd 3 -s 50 -f 0.8 -P 0.2 -K 400 -F 0.3 -S 2 -O 4 -r 0.1 -b 100 -cq 5 -E 50 -t 2 -dir x -v 1".split()
+    a = parser().parse_args(["realign", "-sbam", "e", *files, *short, "-R", "-D", "-N"])
+    assert (a.hits, a.probability, a.min_clip, a.gap_open, a.gap_extend, a.mapq, a.edit_share, a.least_score) == (4, 0.5, 9, 6, 2, 11, 0.1, 1.5)
+    assert (a.insert_mapq, a.std_extension, a.sample, a.merge_share, a.interval_probability, a.cluster_gap, a.allele_frequency) == (30, 3, 50, 0.8, 0.2, 400, 0.3)
+    assert (a.splits, a.discordants, a.ratio, a.extension, a.coverage_quality, a.inside, a.threads, a.directory, a.verbose) == (2, 4, 0.1, 100, 5, 50, 2, "x", 1)
+    assert (a.remap_splits, a.only_discordants, a.coverage) == (True, False, False)
+    b = parser().parse_args(["realign-reads", *files])
+    assert (b.remap_splits, b.only_discordants, hasattr(b, "coverage")) == (False, True, False)
+    c = parser().parse_args(["simulate", "-g", "g", "-N", "7", "-e", "-v", "-ir", "0.1"])
+    assert (c.read_number, c.error, c.variants, c.insRate, c.substitution) == (7, True, True, 0.1, 1e-4)
+
+
+def brute_ends(q, t):
+    """(edits, first start) of the best alignment of q that ends before each place of t."""
+    row = [(0, j) for j in range(len(t) + 1)]
+    for a in q:
+        new = [(row[0][0] + 1, row[0][1])]
         for j, b in enumerate(t, 1):
-            new.append(min(row[j - 1] + (a != b), row[j] + 1, new[-1] + 1))
+            new.append(min((row[j - 1][0] + (a != b or a == "N"), row[j - 1][1]), (row[j][0] + 1, row[j][1]), (new[-1][0] + 1, new[-1][1])))
         row = new
-    return min(row)
+    return row
 
 
 def test_infix_alignment_equals_brute_force():
     rng = random.Random(3)
+    draw = lambda most: "".join(rng.choices("ACGTN", (9, 9, 9, 9, 1), k=rng.randrange(1, most)))
+    qs, ts = [draw(15) for _ in range(150)], [draw(40) for _ in range(150)]
+    queries, m = kernel._stacked([kernel.encode(q) for q in qs])
+    targets, n = kernel._stacked([kernel.encode(t) for t in ts])
+    edits, starts = kernel.infix_ends(queries, m, targets, n)
+    want = [brute_ends(q, t) for q, t in zip(qs, ts)]
+    for k, w in enumerate(want):
+        assert list(zip(edits[k][: len(w)].tolist(), starts[k][: len(w)].tolist())) == w
+    end = edits.argmin(axis=1)
+    some = [k for k in range(150) if starts[k, end[k]] < end[k]]
+    regions, size = kernel._stacked([targets[k, starts[k, end[k]] : end[k]] for k in some])
+    steps = kernel.paths(queries[some], m[some], regions, size)
+    for row, k, wide in zip(steps, some, size):
+        codes = row[: m[k]]
+        assert (codes > 0).all() and (codes != ord("=")).sum() + row[-1] == edits[k, end[k]]
+        assert (codes != ord("I")).sum() + row[-1] == wide and row[-2] <= row[-1]
+
+
+def plain_realign(clip, quality, interval, hits, gap_open, gap_extend, share):
+    """The rounds of the search written out: best places, one path, one score, masks."""
+    target, found = list(interval), []
+    freq = {b: interval.count(b) / len(interval) for b in "ACGT"}
+    while True:
+        row = brute_ends(clip, target)
+        best = min(row)[0]
+        if not found and best > len(clip) * share:
+            return found
+        ends = [j for j, c in enumerate(row) if c[0] == best and c[1] < j]
+        if not ends:
+            return found
+        s, e = row[ends[0]][1], ends[0]
+        table = [[j for j in range(e - s + 1)]]
+        for i, a in enumerate(clip):
+            table.append([i + 1])
+            for j in range(e - s):
+                table[-1].append(min(table[i][j] + (a != target[s + j] or a == "N"), table[i][j + 1] + 1, table[-1][j] + 1))
+        i, j, ops = len(clip), e - s, []
+        while i or j:
+            same = i and j and clip[i - 1] == target[s + j - 1] and clip[i - 1] != "N"
+            if i and j and table[i][j] == table[i - 1][j - 1] + (not same):
+                i, j = i - 1, j - 1
+                ops.append(("=" if same else "X", i))
+            elif i and table[i][j] == table[i - 1][j] + 1:
+                i -= 1
+                ops.append(("I", i))
+            else:
+                j -= 1
+                ops.append(("D", i))
+        score, last = 0.0, ""
+        for op, i in ops:
+            error = 10 ** (-quality[i] / 10) if op != "D" else 0
+            if op in "=X" and clip[i] in freq:
+                score += np.log2(max(1 - error if op == "=" else error / 3, 1e-12) / max(freq[clip[i]], 1e-9))
+            elif op in "ID":
+                score -= gap_extend if op == last else gap_open
+            last = op
+        for j in ends:
+            found.append((row[j][1], j - 1, pytest.approx(score), best))
+            target[row[j][1] : j - 1] = "x" * max(0, j - 1 - row[j][1])
+        if len(found) >= hits or score < -10:
+            return found
+
+
+def test_kernel_equals_a_plain_version():
+    rng = random.Random(7)
+    clips, quals, intervals = [], [], []
     for _ in range(60):
-        q, t = ("".join(rng.choices("ACGT", k=n)) for n in (rng.randrange(1, 15), rng.randrange(1, 40)))
-        edits, start, end, runs = kernel.infix_align(kernel.encode(q), kernel.encode(t))
-        assert edits == brute_infix(q, t)
-        assert sum(n for op, n in runs if op != "=") == edits and sum(n for op, n in runs if op != "D") == len(q)
-        assert sum(n for op, n in runs if op != "I") == end - start + 1
-
-
-def test_kernel_finds_and_masks(spark):
+        t = "".join(rng.choices("ACGT", k=rng.randrange(20, 90)))
+        lo = rng.randrange(len(t) - 10)
+        q = list(t[lo : lo + rng.randrange(8, 45)])
+        for _ in range(rng.randrange(3)):
+            i = rng.randrange(len(q))
+            q[i : i + 1] = rng.choice(([], ["A"], [q[i], "C"], ["N"]))
+        clips.append("".join(q)), quals.append([rng.randrange(2, 41) for _ in q])
+        intervals.append(t + t[lo : lo + 30] * rng.randrange(2) + "ACAC" * rng.randrange(3))
+    for share in (0.05, 0.3):
+        got = kernel.realign_all(clips, quals, intervals, 5, 5, 1, share)
+        assert got == [plain_realign(c, q, t, 5, 5, 1, share) for c, q, t in zip(clips, quals, intervals)] and sum(map(bool, got)) > 10
+
+
+def test_kernel_takes_all_equal_places_and_the_first_ones_posterior():
     clip, other = "ACGTTGCAACGGTACCATGA", "TTTTGGGGCCCCAAAATTTTGGGG"
-    found = kernel.realign(clip, np.full(20, 30), other + clip + other, 10, 5, 1, 1)
-    assert found[0][0] == len(other) and found[0][3] == 0 and kernel.posterior([h[2] for h in found]) > 0.99
-    assert kernel.realign(clip, np.full(20, 30), other, 10, 5, 1, 1) == []
+    run = lambda interval: kernel.realign_all([clip], [np.full(20, 30)], [interval], 10, 5, 1, 0.05)[0]
+    found = run(other + clip + other)
+    assert found[0][:2] == (len(other), len(other) + 19) and found[0][3] == 0 and kernel.posterior([h[2] for h in found]) > 0.99
+    twice = run(other + clip + other + clip)
+    assert [h[0] for h in twice[:2]] == [24, 68] and kernel.posterior([h[2] for h in twice]) == pytest.approx(0.5)
+    assert run(other) == [] and kernel.posterior([]) == 0
+    assert kernel.posterior([1.0, 9.0]) == pytest.approx(2 / (2 + 512))
 
 
 def test_pairing_takes_the_last_first_read(spark):
@@ -182,11 +275,57 @@ def test_bam_round_trip(spark, tmp_path):
     bam.require_order(spark, str(tmp_path / "x.bam"), "queryname")
     with pytest.raises(ValueError):
         bam.require_order(spark, str(tmp_path / "x.bam"), "coordinate")
+    (tmp_path / "u.bam").write_bytes(bam.bam_bytes(some_reads(), contigs))
+    with pytest.warns(UserWarning):
+        bam.require_order(spark, str(tmp_path / "u.bam"), "queryname")
     bam.write_bam(got.coalesce(1), str(tmp_path / "out"), contigs)
     again = bam.read_bam(spark, str(tmp_path / "out"))
     assert rows(again, "qname", "pos", "seq") == rows(got, "qname", "pos", "seq")
 
 
+@pytest.mark.parametrize("size", [3_000, 70_000, 1 << 25])
+def test_bam_ranges_give_each_record_once(spark, tmp_path, size):
+    """Ranges smaller than a block, over a block and over the file; some records run over several blocks."""
+    rng = random.Random(size)
+    data = []
+    for k in range(3000):
+        n = 90_000 if k in (700, 2999) else rng.randrange(20, 200)
+        data.append(some_reads()[0] | {"qname": f"read{k}", "pos": k, "seq": "".join(rng.choices("ACGT", k=n)), "qual": [rng.randrange(2, 41) for _ in range(n)], "cigar": [{"op": 0, "len": n}]})
+    contigs = [(f"contig{i}", 10_000 + i) for i in range(9_000)] + [("c1", 1000), ("c2", 2000)]  # the header takes several blocks
+    (tmp_path / "x.bam").write_bytes(bam.bam_bytes(data, contigs))
+    reads = bam.read_bam(spark, str(tmp_path / "x.bam"), size)
+    assert reads.rdd.getNumPartitions() == -(-(tmp_path / "x.bam").stat().st_size // size)
+    got = reads.orderBy("ordinal").select("qname", "pos", "chrom", F.length("seq").alias("n")).collect()
+    assert [tuple(r) for r in got] == [(d["qname"], d["pos"], "c1", len(d["seq"])) for d in data]
+    assert bam.read_contigs(spark, str(tmp_path / "x.bam")).count() == 9_002
+
+
+def test_sequences_over_chunks(spark):
+    rng = random.Random(2)
+    seqs = {f"c{i}": "".join(rng.choices("ACGT", k=n)) for i, n in enumerate((700, 64, 3))}
+    cut = text.chunks(spark.createDataFrame(list(seqs.items()), "chrom string, seq string"), 32)
+    where = [(c, lo, lo + n, k) for c in seqs for lo in (0, 1, 31, 32, 63, 400) for k, n in enumerate((1, 31, 33, 200))] * 2
+    df = spark.createDataFrame([*where, ("c0", -5, 3, 9), ("x", 0, 5, 9), ("c0", 5, 5, 9)], "chrom string, start long, end long, k long")
+    got = sorted(tuple(r) for r in text.fetch(df, cut, 32).collect())
+    assert got == sorted((c, lo, hi, k, s) for c, lo, hi, k in [*where, ("c0", -5, 3, 9)] if (s := seqs[c][max(lo, 0) : hi]))
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_stretches_do_not_change_islands(spark, seed, monkeypatch):
+    data = [(c, s, e, k % 5) for k, (c, s, e) in enumerate(spans(150, seed))]
+    df = spark.createDataFrame(data, "chrom string, start long, end long, item long")
+
+    def all_of():
+        out = [rows(intervals.interval_union(df, gap), "chrom", "start", "end") for gap in (0, 30)]
+        out += [rows(evidence.merge_repeats(df, share, 1), "chrom", "start", "end", "item") for share in (0.2, 0.6)]
+        return out + [rows(evidence.discordant_islands(df), "chrom", "start", "end", "discordants")]
+
+    whole = all_of()
+    monkeypatch.setattr(intervals, "STRETCH", 200)
+    monkeypatch.setattr(intervals.merge_within, "__defaults__", (0, 200))
+    assert all_of() == whole
+
+
 def test_sam_fastq_fasta_and_bed(spark, tmp_path):
     (tmp_path / "x.bam").write_bytes(bam.bam_bytes(some_reads(), [("c1", 1000), ("c2", 2000)]))
     reads = bam.read_bam(spark, str(tmp_path / "x.bam"))
@@ -202,25 +341,46 @@ def test_sam_fastq_fasta_and_bed(spark, tmp_path):
     genome = text.read_fasta(spark, str(tmp_path / "g.fa"))
     assert rows(genome, "chrom", "seq") == [("c1", "ACGTACG"), ("c2", "TT")]
     where = spark.createDataFrame([("c1", 2, 5), ("c2", 1, 9)], "chrom string, start long, end long")
-    assert rows(text.fetch(where, genome), "bases") == [("GTA",), ("T",)]
+    assert rows(text.fetch(where, text.chunks(genome)), "bases") == [("GTA",), ("T",)]
     text.write_bed(where, str(tmp_path / "bed"))
     assert rows(text.read_bed(spark, str(tmp_path / "bed")), "chrom", "start", "end") == rows(where, "chrom", "start", "end")
 
 
-def test_simulated_reads_lie_on_their_circle(spark):
+def test_simulated_reads_lie_on_their_circle(spark, tmp_path):
     rng = random.Random(5)
     genome = spark.createDataFrame([(f"c{i}", "".join(rng.choices("ACGT", k=900))) for i in range(2)], "chrom string, seq string")
-    made, reads = pipelines.simulate(spark, genome, 12, read_length=60, insert=120, coverage=8.0)
+    made, reads = pipelines.simulate(spark, genome, 150, read_length=60, insert=120, coverage=8.0)
     seqs = {r.circle: (r.chrom, r.start, r.end) for r in made.collect()}
     genomes = {r.chrom: r.seq for r in genome.collect()}
-    assert len(seqs) == 12
-    for r in reads.collect():
+    found = reads.withColumn("n", R.parse_simulated_name(F.col("name"))).collect()
+    assert len(found) > 150 >= len(found) - (350 * 8) // 120  # whole circles until there are more
+    for r in found:
         c, s, e = seqs[r.circle]
         ring = genomes[c][s:e] * 3
         assert ring[r.left : r.left + 60] == r.seq1 and ring[r.right : r.right + 60] == r.seq2[::-1].translate(str.maketrans("ACGT", "TGCA"))
         assert (r.kind == 1) == (r.left + 60 > e - s)
-    assert rows(reads, "name") == rows(pipelines.simulate(spark, genome.repartition(7), 12, read_length=60, insert=120, coverage=8.0)[1], "name")
-    assert simulate.fastq(reads, error_rate=0.1).where("length(seq) <> length(qual)").count() == 0
+        for at, seq in ((r.n.left, r.seq1), (r.n.right, r.seq2[::-1].translate(str.maketrans("ACGT", "TGCA")))):
+            assert "".join(genomes[c][x.start : x.end] for x in at) == seq
+        assert len(r.n.left) == 1 + (r.kind == 1) and (r.n.kind, r.n.circle, r.n.chrom) == (r.kind, r.circle, c)
+    assert rows(reads, "name") == rows(pipelines.simulate(spark, genome.repartition(7), 150, read_length=60, insert=120, coverage=8.0)[1], "name")
+    skipped, _ = pipelines.simulate(spark, genome, 150, read_length=60, insert=120, coverage=8.0, exclude=spark.createDataFrame([("c0", 0, 900)], "chrom string, start long, end long"))
+    assert {r.chrom for r in skipped.collect()} == {"c1"}
+    perfect = simulate.fastq(reads).collect()
+    assert all(r.name.endswith(f"  {r.mate}:N:0:CGCTGTG") and set(r.qual) == {"I"} for r in perfect)
+    seen = simulate.fastq(reads, errors=True, insertions=(0.02, 0.02), deletions=(0.02, 0.02), read_length=60)
+    text.write_fastq(seen.where("mate = 1"), str(tmp_path / "fq"))
+    back = text.read_fastq(spark, str(tmp_path / "fq")).collect()
+    first = {r.name: r.seq for r in perfect if r.mate == 1}
+    assert len(back) == len(found) and all(len(r.seq) == len(r.qual) for r in back) and 0 < sum(first[r.name] != r.seq for r in back)
+    changed = simulate.mutate(genome, 1, 0.05, 0.02).collect()
+    assert all(c.seq != genomes[c.chrom] and abs(len(c.seq) - 900) < 60 for c in changed)
+
+
+def test_names_of_simulated_reads_are_parsed(spark):
+    names = ["0|chr7|143914458:143914558|143914642:143914742|0|0  1:N:0:CGCTGTG", "12|chr7|5:60-1:46|70:170|1|3  2:N:0:CGCTGTG-1"]
+    got = [r.n for r in spark.createDataFrame([(n,) for n in names], "name string").select(R.parse_simulated_name(F.col("name")).alias("n")).collect()]
+    assert [tuple(x) for x in got[0].left] == [(143914458, 143914558)] and (got[0].kind, got[0].circle, got[0].mate) == (0, 0, "1")
+    assert [tuple(x) for x in got[1].left] == [(5, 60), (1, 46)] and (got[1].number, got[1].kind, got[1].circle, got[1].mate) == (12, 1, 3, "2")
 
 
 def test_realign_recovers_a_planted_circle(spark):

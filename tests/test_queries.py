@@ -31,5 +31,5 @@ def test_query_equals_sql(spark, tables, name):
 
 
 @pytest.mark.parametrize("name", sorted(set(queries()) - set(oracle_sql()) - {"realign_pipeline"}))
-def test_other_queries_run(spark, name):
-    assert queries()[name](spark, str(DATA)).count() >= 0
+def test_other_queries_give_rows(spark, name):
+    assert queries()[name](spark, str(DATA)).count() > 0
