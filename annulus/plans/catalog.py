@@ -253,10 +253,11 @@ PRIORS = f""", k AS (SELECT *, {TILE}, cl + cr > 0 AND NOT hard AS soft, cl + cr
  CASE WHEN hard THEN 100 - cl - cr ELSE 100 END AS qlen FROM r WHERE mapq >= 20),
 c AS (SELECT *, CASE WHEN soft AND has_sa THEN CASE WHEN agrees AND pos > sa_pos THEN 'SA-L' WHEN agrees AND pos < sa_pos THEN 'SA-R' END
  WHEN NOT unmapped AND NOT munmapped AND rev AND NOT mrev AND pos < mpos THEN 'DR-R' WHEN NOT unmapped AND NOT munmapped AND NOT rev AND mrev AND mpos < pos THEN 'DR-L'
- WHEN NOT unmapped AND NOT munmapped AND rev = mrev AND soft AND NOT has_sa THEN 'SC-LR' END AS rule FROM k),
-pri AS (SELECT tile_id, qid, chrom, CASE WHEN rule LIKE 'SA%' THEN sa_pos - sa_m WHEN rule LIKE 'DR%' THEN mpos ELSE 1 END AS start,
- CASE WHEN rule LIKE 'SA%' THEN sa_pos + sa_m WHEN rule LIKE 'DR%' THEN mpos + qlen ELSE {CONTIG_LENGTH} END AS "end", substring(rule, 1, 2) AS read_type, substring(rule, 4, 2) AS orientation,
- CASE WHEN rule LIKE 'SA%' THEN sw WHEN rule LIKE 'DR%' THEN mw ELSE 0 END AS probability FROM c WHERE rule IS NOT NULL)"""
+ WHEN NOT unmapped AND NOT munmapped AND rev = mrev AND soft AND NOT has_sa THEN 'SC-LR'
+ WHEN NOT unmapped AND NOT munmapped AND rev = mrev AND hardc AND has_sa AND agrees THEN CASE WHEN pos > sa_pos THEN 'HA-L' WHEN pos < sa_pos THEN 'HA-R' END END AS rule FROM k),
+pri AS (SELECT tile_id, qid, chrom, CASE WHEN rule LIKE 'SA%' THEN sa_pos - sa_m WHEN rule LIKE 'HA%' THEN sa_pos - 2 * sa_m WHEN rule LIKE 'DR%' THEN mpos ELSE 1 END AS start,
+ CASE WHEN rule LIKE 'SA%' THEN sa_pos + sa_m WHEN rule LIKE 'HA%' THEN sa_pos + 2 * sa_m WHEN rule LIKE 'DR%' THEN mpos + qlen ELSE {CONTIG_LENGTH} END AS "end", CASE WHEN rule LIKE 'HA%' THEN 'SA' ELSE substring(rule, 1, 2) END AS read_type, substring(rule, 4, 2) AS orientation,
+ CASE WHEN rule LIKE 'SA%' OR rule LIKE 'HA%' THEN sw WHEN rule LIKE 'DR%' THEN mw ELSE 0 END AS probability FROM c WHERE rule IS NOT NULL)"""
 
 
 def tiled(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -314,7 +315,7 @@ def noncolinearity(spark, sf_dir):
 
 SPLITS = f""", ev AS (SELECT concat(chrom, ':', CAST(pos - pos % 300 AS STRING)) AS tile_id, rid % 3 AS iteration, chrom, CASE WHEN pos < sa_pos THEN pos ELSE sa_pos - 1 END AS start,
  CASE WHEN pos < sa_pos THEN sa_pos - 1 + sa_m + sa_d - 1 ELSE pos + 100 - cl - cr END AS "end", CAST(qid AS STRING) AS read, round(greatest(cl, cr) * (1 - pow(CAST(10 AS DOUBLE), -sa_mapq / CAST(10 AS DOUBLE))), 2) AS score
- FROM r WHERE has_sa AND cl + cr > 0 AND pos <> sa_pos AND sa_mapq > 20 AND sa_strand = CASE WHEN rev THEN '-' ELSE '+' END)"""
+ FROM r WHERE has_sa AND NOT hard AND cl + cr > 0 AND pos <> sa_pos AND sa_mapq > 20 AND sa_strand = CASE WHEN rev THEN '-' ELSE '+' END)"""
 SUPPORT = ', sup AS (SELECT tile_id, iteration, chrom, start, "end", count(DISTINCT read) AS sc, sum(score) AS score FROM ev GROUP BY ALL)'
 DISC = """, ds AS (SELECT concat(chrom, ':', CAST(pos - pos % 300 AS STRING)) AS tile_id, chrom, least(pos, mpos) AS start, greatest(pos, mpos) + CASE WHEN hard THEN 100 - cl - cr ELSE 100 END AS "end", CAST(qid AS STRING) AS read
  FROM r WHERE NOT munmapped AND (rev AND NOT mrev AND NOT is_read1 AND pos < mpos OR NOT rev AND mrev AND is_read1 AND mpos < pos))"""
@@ -322,7 +323,7 @@ DISC = """, ds AS (SELECT concat(chrom, ':', CAST(pos - pos % 300 AS STRING)) AS
 
 @query(
     WITH + ', iv AS (SELECT DISTINCT tile_id, CAST(1 AS BIGINT) AS iteration, chrom, a AS start, b AS "end" FROM (SELECT concat(chrom, \':\', CAST(pos - pos % 300 AS STRING)) AS tile_id, chrom, pos - pos % 300 - 200 AS a, pos - pos % 300 + 500 AS b FROM aln))'
-    + SPLITS + ' SELECT ev.tile_id, ev.chrom, ev.start, ev."end", read, score FROM ev JOIN r ON CAST(r.qid AS STRING) = ev.read AND r.has_sa AND r.cl + r.cr > 0 AND ev.start = CASE WHEN r.pos < r.sa_pos THEN r.pos ELSE r.sa_pos - 1 END'
+    + SPLITS + ' SELECT ev.tile_id, ev.chrom, ev.start, ev."end", read, score FROM ev JOIN r ON CAST(r.qid AS STRING) = ev.read AND r.has_sa AND NOT r.hard AND r.cl + r.cr > 0 AND ev.start = CASE WHEN r.pos < r.sa_pos THEN r.pos ELSE r.sa_pos - 1 END'
     ' AND ev."end" = CASE WHEN r.pos < r.sa_pos THEN r.sa_pos - 1 + r.sa_m + r.sa_d - 1 ELSE r.pos + 100 - r.cl - r.cr END AND r.rid % 3 = ev.iteration JOIN iv ON iv.tile_id = ev.tile_id AND iv.start < r.sa_pos AND r.sa_pos < iv."end"'
 )
 def circle_from_sa(spark, sf_dir):

@@ -26,7 +26,7 @@ READS_SQL = f"""
 SELECT a.rid, a.qid, a.is_read1, a.chrom, a.pos, a.mapq, a.rev, a.cl, a.cr, a.hard, a.unmapped,
        m.pos AS mpos, m.rev AS mrev, m.mapq AS mmapq, m.unmapped AS munmapped,
        CASE WHEN a.rid % 19 <> 0 THEN m.mapq END AS mq,
-       a.cl + a.cr > 15 AND NOT a.hard AS has_sa,
+       a.cl + a.cr > 15 AND (NOT a.hard OR a.rid % 2 = 0) AS has_sa,
        CASE WHEN a.pos + (a.rid % 9 - 4) * 150 < 1 THEN 1 ELSE a.pos + (a.rid % 9 - 4) * 150 END AS sa_pos,
        CASE WHEN a.rid % 3 = 0 THEN '+' WHEN a.rev THEN '-' ELSE '+' END AS sa_strand,
        a.cl + a.cr AS sa_m, a.rid % 4 AS sa_d, 10 + a.rid % 50 AS sa_mapq,

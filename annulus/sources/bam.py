@@ -9,7 +9,6 @@ are opened by pyarrow's file systems (local, HDFS, S3, GCS) in the tasks and lis
 
 from __future__ import annotations
 
-import re
 import struct
 import uuid
 import warnings
@@ -23,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from annulus.schema import CIGAR_OPS, CONTIGS, READS
+from annulus.sources.ranges import RANGE, files, opened, ranges, read_bytes
 
 _BASES = "=ACMGRSVTWYHKDBN"
 _HEX_BASES = str.maketrans("0123456789abcdef", _BASES)
@@ -32,8 +32,7 @@ _SIZES = {"A": 1, "c": 1, "C": 1, "s": 2, "S": 2, "i": 4, "I": 4, "f": 4}
 _KINDS = {"c": "b", "C": "B", "s": "h", "S": "H", "i": "i", "I": "I", "f": "f"}
 
 
-#: Bytes of a file that a task reads, records that must follow one another where a range begins, and the largest block.
-RANGE = 32 << 20
+#: Records that must follow one another where a range begins, and the largest block.
 PROOF = 6
 MOST_BLOCK = 1 << 16
 
@@ -204,24 +203,11 @@ _ARROW = pa.schema(
 )
 
 
-def _opened(path: str):
-    """The file system and the path in it of a Hadoop path."""
-    from pyarrow import fs
-
-    return fs.FileSystem.from_uri(path if "://" in path else re.sub("^(file:)?/*", "file:///", path))
-
-
-def _bytes(path: str, lo: int, hi: int) -> bytes:
-    system, name = _opened(path)
-    with system.open_input_file(name) as f:
-        return f.read_at(hi - lo, lo)
-
-
 def header(path: str) -> tuple[str, list[tuple[str, int]], int, int]:
     """Header text and contigs of a file, and the place in the file and in its block where the records begin."""
     size, head = MOST_BLOCK * 4, b""
     while True:
-        raw = _bytes(path, 0, size)
+        raw = read_bytes(path, 0, size)
         found = list(blocks(raw))
         head = b"".join(content for _, content in found)
         try:
@@ -250,7 +236,7 @@ def _rows(path: str, lo: int, hi: int, size: int) -> Iterator[dict]:
     at = max(lo, first)
     begun = at == first
     tail = 4 * MOST_BLOCK
-    raw = _bytes(path, at, min(size, hi + tail))
+    raw = read_bytes(path, at, min(size, hi + tail))
     start = 0 if begun else first_block(raw, at + len(raw) == size)
     if start < 0 or at + start >= hi:
         return
@@ -275,7 +261,7 @@ def _rows(path: str, lo: int, hi: int, size: int) -> Iterator[dict]:
             done += 4 + struct.unpack_from("<i", data, done)[0]
         if done <= len(data) or at + len(raw) >= size:
             break
-        more = _bytes(path, at + len(raw), min(size, at + len(raw) + tail))  # the last record runs on
+        more = read_bytes(path, at + len(raw), min(size, at + len(raw) + tail))  # the last record runs on
         raw, start, tail = raw + more, consumed, 4 * tail
     begins = [t for t, _ in places]
     for row in parse_reads(data, contigs, where):
@@ -298,25 +284,6 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_pylist(rows, schema=_ARROW)
 
 
-def _files(spark: SparkSession, path: str) -> list[tuple[str, int]]:
-    """(path, size) of the files that a path, folder or pattern names; their bytes are not read."""
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    system = target.getFileSystem(spark._jsc.hadoopConfiguration())
-    found = []
-    for status in system.globStatus(target) or []:
-        inner = system.listStatus(status.getPath()) if status.isDirectory() else [status]
-        found += [(x.getPath().toString(), x.getLen()) for x in inner if x.isFile() and not x.getPath().getName().startswith(("_", "."))]
-    if not found:
-        raise FileNotFoundError(path)
-    return sorted(found)
-
-
-def ranges(spark: SparkSession, path: str, size: int = RANGE) -> DataFrame:
-    """Ranges (path, lo, hi, size of the file) of BAM files, each a partition."""
-    rows = [(name, lo, min(lo + size, n), n) for name, n in _files(spark, path) for lo in range(0, n, size)]
-    return spark.createDataFrame(rows, "path string, lo long, hi long, size long").repartitionByRange(len(rows), "path", "lo")
-
-
 def read_bam(spark: SparkSession, path: str, range_bytes: int = RANGE) -> DataFrame:
     """Reads of BAM files; ordinal is a record's virtual offset, which rises along a file."""
     return ranges(spark, path, range_bytes).mapInArrow(_read, READS)
@@ -324,13 +291,13 @@ def read_bam(spark: SparkSession, path: str, range_bytes: int = RANGE) -> DataFr
 
 def read_contigs(spark: SparkSession, path: str) -> DataFrame:
     """Contigs of a BAM file's header (of several files, the first one's: parts of a file share theirs); nothing else of it is read."""
-    contigs = header(_files(spark, path)[0][0])[1]
+    contigs = header(files(spark, path)[0][0])[1]
     return spark.createDataFrame([(i, c, n) for i, (c, n) in enumerate(contigs)], CONTIGS)
 
 
 def require_order(spark: SparkSession, path: str, wanted: str) -> None:
     """Raise if the header names another sort order than the wanted one; warn if it names none."""
-    found = sort_order(header(_files(spark, path)[0][0])[0])
+    found = sort_order(header(files(spark, path)[0][0])[0])
     if found in ("unknown", "unsorted") and found != wanted:
         warnings.warn(f"the header of {path} does not say that the reads are sorted by {wanted}", stacklevel=2)
     elif found != wanted:
@@ -385,7 +352,7 @@ def _written(batches: Iterator[pa.RecordBatch], path: str, contigs: list[tuple[s
 
     index = {c: i for i, (c, _) in enumerate(contigs)}
     part = TaskContext.get().partitionId()
-    system, base = _opened(path)
+    system, base = opened(path)
     name = f"_attempts/part-{part:05d}-{uuid.uuid4().hex}"
     out, held, rows = None, bytearray(header_bytes(contigs, order)), 0
     for batch in batches:

@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import partial
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from annulus.functions.reads import parse_cigar
+from annulus.schema import FASTQ
+from annulus.sources.ranges import RANGE, files, ranges, read_bytes
 
 C = F.col
 
@@ -55,12 +58,55 @@ def fetch(intervals: DataFrame, cut: DataFrame, size: int = CHUNK) -> DataFrame:
     return intervals.join(joined, ["chrom", "start", "end"]).select(*intervals.columns, "bases")
 
 
-def read_fastq(spark: SparkSession, path: str) -> DataFrame:
-    """name, seq and qual; records are told apart by their place in each file's four-line groups."""
-    lines = spark.read.text(path, wholetext=True)
-    groups = F.regexp_extract_all("value", F.lit("@[^\\n]*\\n[^\\n]*\\n\\+[^\\n]*\\n[^\\n]*"), F.lit(0))
-    p = lines.select(F.explode(groups).alias("r")).select(F.split("r", "\\n").alias("p"))
-    return p.select(F.substring(C("p")[0], 2, 1 << 20).alias("name"), C("p")[1].alias("seq"), C("p")[3].alias("qual"))
+def _whole_record(lines: list[bytes]) -> bool:
+    return len(lines) >= 4 and lines[0][:1] == b"@" and lines[2][:1] == b"+" and len(lines[1].rstrip(b"\r")) == len(lines[3].rstrip(b"\r"))
+
+
+def _fastq_records(path: str, lo: int, hi: int, size: int) -> Iterator[tuple[bytes, bytes, bytes]]:
+    """Records that begin in a file's bytes [lo, hi). A line of qualities may begin with @, but then its record is not whole from there."""
+    begin, tail = max(0, lo - 1), 1 << 16
+    raw = read_bytes(path, begin, min(size, hi + tail))
+    while begin + len(raw) < size and raw.count(b"\n", hi - begin) < 8:  # the last record, and proof of where the first one begins
+        raw += read_bytes(path, begin + len(raw), min(size, begin + len(raw) + tail))
+        tail *= 2
+    lines = raw.split(b"\n")
+    at = begin
+    if lo:
+        at += len(lines[0]) + 1
+        lines = lines[1:]
+        skip = next((k for k in range(4) if _whole_record(lines[k : k + 4])), None)
+        if skip is None:
+            return
+        at += sum(len(x) + 1 for x in lines[:skip])
+        lines = lines[skip:]
+    k = 0
+    while at < hi and k + 4 <= len(lines):
+        own = lines[k : k + 4]
+        if not _whole_record(own):
+            if not any(x.strip() for x in lines[k:]):
+                return
+            raise ValueError(f"no FASTQ record at byte {at} of {path}")
+        yield own[0][1:].rstrip(b"\r"), own[1].rstrip(b"\r"), own[3].rstrip(b"\r")
+        at += sum(len(x) + 1 for x in own)
+        k += 4
+
+
+def _fastq(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for path, lo, hi, size in zip(*(batch.column(c).to_pylist() for c in ("path", "lo", "hi", "size"))):
+            records = _fastq_records(path, lo, hi, size)
+            while rows := list(islice(records, 10_000)):
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()).cast(pa.string()) for x in zip(*rows)], names=["name", "seq", "qual"])
+
+
+def read_fastq(spark: SparkSession, path: str, range_bytes: int = RANGE) -> DataFrame:
+    """name, seq and qual of FASTQ files' records, read by ranges; a compressed file is read by one task."""
+    if any(name.endswith((".gz", ".bz2", ".zst")) for name, _ in files(spark, path)):
+        lines = spark.read.text(path, wholetext=True)
+        groups = F.regexp_extract_all("value", F.lit("@[^\\n]*\\n[^\\n]*\\n\\+[^\\n]*\\n[^\\n]*"), F.lit(0))
+        p = lines.select(F.explode(groups).alias("r")).select(F.split("r", "\\n").alias("p"))
+        return p.select(F.substring(C("p")[0], 2, 1 << 20).alias("name"), C("p")[1].alias("seq"), C("p")[3].alias("qual"))
+    return ranges(spark, path, range_bytes).mapInArrow(_fastq, FASTQ)
 
 
 def write_fastq(rows: DataFrame, path: str) -> None:

@@ -300,6 +300,15 @@ def test_bam_ranges_give_each_record_once(spark, tmp_path, size):
     assert bam.read_contigs(spark, str(tmp_path / "x.bam")).count() == 9_002
 
 
+@pytest.mark.parametrize("size", [40, 1000, 1 << 25])
+def test_fastq_ranges_give_each_record_once(spark, tmp_path, size):
+    """Qualities that begin with @ and +, and ranges of less than a record."""
+    rng = random.Random(4)
+    data = [(f"r{k}", "".join(rng.choices("ACGT", k=(n := rng.randrange(1, 60)))), rng.choice("@+I") + "".join(rng.choices("@+I#", k=n - 1))) for k in range(200 if size < 100 else 3000)]
+    (tmp_path / "x.fastq").write_text("".join(f"@{n}\n{s}\n+\n{q}\n" for n, s, q in data))
+    assert rows(text.read_fastq(spark, str(tmp_path / "x.fastq"), size), "name", "seq", "qual") == sorted(data)
+
+
 def test_sequences_over_chunks(spark):
     rng = random.Random(2)
     seqs = {f"c{i}": "".join(rng.choices("ACGT", k=n)) for i, n in enumerate((700, 64, 3))}
