@@ -9,7 +9,8 @@ Coverage is the share of template words that are matched.
 
 A template needs ``COVERAGE`` of its words, so a text without any of its rarest
 1 - COVERAGE of words (and one more) can't hold it; one pass of an Aho-Corasick automaton
-finds the texts that go on to alignment. Templates are a fixed list, sent with the code.
+finds the texts that go on to alignment. Templates are the fixed list of
+``license_texts``, whole texts among them, sent with the code.
 """
 
 from __future__ import annotations
@@ -26,37 +27,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from annulus.llm.license_texts import TEMPLATES
+
 COVERAGE = 0.8
 #: Cells of the table by which a gap without anchors is aligned; larger gaps are parted first.
 TABLE_CELLS = 1 << 20
 _WORD = re.compile(r"[^\W_]+")
 
-#: Notices of public licenses.
-TEMPLATES = {
-    "MIT": [
-        "Released under the MIT License.",
-        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation"
-        " files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy,"
-        " modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the"
-        " Software is furnished to do so, subject to the following conditions:",
-    ],
-    "Apache-2.0": [
-        "Licensed under the Apache License, Version 2.0.",
-        "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the"
-        " License. You may obtain a copy of the License at",
-    ],
-    "GPL-3.0": [
-        "This work is licensed under the GNU General Public License, version 3.",
-        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as"
-        " published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
-    ],
-    "BSD-3-Clause": [
-        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following"
-        " conditions are met:",
-    ],
-    "CC-BY-NC-4.0": ["Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."],
-    "CC-BY-4.0": ["This work is licensed under a Creative Commons Attribution 4.0 International License."],
-}
 #: Words that are never taken as a template's rare ones while it has others.
 COMMON = frozenset("a an and any are at by copy following for free general in is it may not of on or software source terms that the this to use version with work you 0 2 3 4".split())
 

@@ -1,9 +1,10 @@
 """Texts as media: payload bytes in lossless WebP images, and back to pixel arrays.
 
 A payload is stored as the green samples of images ``ROW`` pixels wide, one byte a pixel.
-Very long payloads take several images, one file behind the other. An image whose rows
+Very long payloads (over 3.1 MB) take several images, one file behind the other. An image whose rows
 mostly repeat the row above is stored with the predictor transform, and one of at most 16
-different bytes with the palette transform.
+different bytes with the palette transform; in others, lines of ``COPY`` bytes and more that
+stood before in the image are back-references.
 """
 
 from __future__ import annotations
@@ -27,6 +28,28 @@ def padded(raw: bytes) -> bytes:
     return raw + b" " * ((-len(raw)) % ROW or (0 if raw else ROW))
 
 
+#: Bytes from which on a line that comes again is a back-reference, and the most that one reference copies.
+COPY, MOST_COPY = 64, 4096
+
+
+def repeated_lines(raw: bytes) -> list[tuple[int, int, int]]:
+    """(place, length, distance) of the lines, with their line feed, that come again; runs of lines at one distance are one copy."""
+    seen: dict[bytes, int] = {}
+    found: list[tuple[int, int, int]] = []
+    at = 0
+    for line in raw.splitlines(keepends=True) if b"\n" in raw else ():
+        n = len(line)
+        if n >= COPY:
+            before = seen.setdefault(line, at)
+            if before < at:
+                if found and found[-1][0] + found[-1][1] == at and found[-1][2] == at - before:
+                    found[-1] = (found[-1][0], found[-1][1] + n, at - before)
+                else:
+                    found.append((at, n, at - before))
+        at += n
+    return [(place + lo, min(MOST_COPY, n - lo), far) for place, n, far in found for lo in range(0, n, MOST_COPY)]
+
+
 def to_media(payload: bytes) -> bytes:
     """WebP files that hold a payload of whole rows."""
     files = []
@@ -37,6 +60,8 @@ def to_media(payload: bytes) -> bytes:
             options = Options(palette=True)
         elif len(samples) > ROW and (samples[ROW:] == samples[:-ROW]).mean() > 0.5:
             options = Options(modes=np.full(-(-len(samples) // (ROW << 9)), 2), block=9)
+        else:
+            options = Options(copies=repeated_lines(samples.tobytes()))
         files.append(encode(ROW, len(samples) // ROW, (samples.astype(np.uint32) << np.uint32(8)) | OPAQUE, options))
     return b"".join(files)
 

@@ -17,7 +17,7 @@ from annulus.llm.minhash import near_duplicates
 from annulus.llm.storage import Store
 from annulus.llm.token_counts import TOKENIZERS, TokenLedger, count_tokens, deletes, inserts, revisions
 from annulus.llm.toxicity import grade_toxicity
-from annulus.llm.warc import ARCHIVE_PAGES, audit, records
+from annulus.llm.warc import ARCHIVE_PAGES, audit, records, segments, stored_records
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -99,12 +99,19 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_warc_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every record of the pages' archives, and whether the audit finds it damaged in a replica where some bodies have rotted."""
+    """Every record of the pages' stored archives, and whether the audit finds it damaged in a replica where some stored records have a byte overwritten."""
     pages = table(spark, sf_dir, "pages")
-    rotten = F.substring(F.md5(F.coalesce(F.col("url"), F.lit("")).cast("binary")), 1, 2) == "00"
-    replica = pages.withColumn("html", F.when(rotten, F.concat(F.lit("~"), F.substring(F.coalesce("html", F.lit("")), 2, 1 << 30))).otherwise(F.col("html")))
     store = Store(spark, "warc")
-    first, second = (store.keep(records(p).drop("record"), n) for p, n in ((pages, "records"), (replica, "replica")))
+    stored = store.keep(segments(records(pages)), "archives")
+    rotten = lambda x: F.substring(F.sha2(F.concat(F.lit("rot:"), x["page_ids"].cast("string")), 256), 1, 2) == "00"
+    # the fifth byte from the end of a record is the last one of its body
+    cuts = F.filter(F.arrays_zip("page_ids", "offsets", "lengths"), rotten)
+    damaged = F.aggregate(
+        F.transform(cuts, lambda x: (x["offsets"] + x["lengths"] - F.col("offsets")[0] - 4).cast("int")), F.col("content"),
+        lambda content, at: F.overlay(content, F.lit(b"\x00"), at, F.lit(1)),
+    )
+    replica = store.keep(stored.withColumn("content", damaged), "copies")
+    first, second = (store.keep(stored_records(x), n) for x, n in ((stored, "records"), (replica, "replica")))
     found = audit(first, second, store).select("archive", "place", "fault")
     return first.join(found, ["archive", "place"], "left").select(
         "page_id", "archive", "place", "offset", "length", F.col("digest").alias("record_sha256"), F.coalesce("fault", F.lit("intact")).alias("status")
@@ -155,7 +162,7 @@ WITH made AS (
 )
 SELECT page_id, archive, row_number() OVER w - 1 AS place,
        CAST(sum(length) OVER (w ROWS UNBOUNDED PRECEDING) - length AS BIGINT) AS "offset", length, record_sha256,
-       CASE WHEN substr(md5(coalesce(url, '')), 1, 2) = '00' THEN 'corrupt' ELSE 'intact' END AS status
+       CASE WHEN substr(sha256('rot:' || CAST(page_id AS VARCHAR)), 1, 2) = '00' THEN 'corrupt' ELSE 'intact' END AS status
 FROM sized WINDOW w AS (PARTITION BY archive ORDER BY page_id, record_sha256)
 """
 

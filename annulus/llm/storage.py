@@ -1,39 +1,15 @@
-"""Tables in the folder that driver and executors share.
-
-Long jobs cut their lineage here: ``Store.keep`` writes a DataFrame as Parquet and
-reads it back, so a lost executor costs its tasks only and never a recomputation
-of everything before. The folder is ``spark.checkpoint.dir``; one of our own is
-used only where the session names none (tests).
-"""
+"""Scans that leave out rows which a join does not want; tables of a run are kept in ``annulus.shared``."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The shared folder that the session names, or a fresh local one."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        named = "file://" + tempfile.mkdtemp(prefix="shared-")
-        spark.conf.set("spark.checkpoint.dir", named)
-    return named.rstrip("/")
-
-
-def exists(spark: SparkSession, path: str) -> bool:
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
-
+from pyspark.sql import SparkSession
 
-def remove(spark: SparkSession, path: str) -> None:
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+from annulus.shared import Store, exists, remove, shared_dir
 
+__all__ = ["Store", "exists", "filtered_scans", "remove", "shared_dir"]
 
 #: Spark drops rows of a scan that a Bloom filter of the join's other side rules out. The filter has 8 MB at most
 #: (spark.sql.optimizer.runtime.bloomFilter.maxNumBits), and the join still decides.
@@ -55,21 +31,3 @@ def filtered_scans(spark: SparkSession) -> Iterator[None]:
     finally:
         for k, v in before.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
-
-
-class Store:
-    """Parquet tables of one run, under a folder of their own."""
-
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark = spark
-        self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-    def path(self, name: str) -> str:
-        return f"{self.root}/{name}"
-
-    def keep(self, df: DataFrame, name: str) -> DataFrame:
-        df.write.mode("overwrite").parquet(self.path(name))
-        return self.spark.read.schema(df.schema).parquet(self.path(name))
-
-    def drop(self, name: str) -> None:
-        remove(self.spark, self.path(name))

@@ -1,11 +1,11 @@
 """WARC records and a Merkle audit of their replicas.
 
-A replica is a table of records (archive, place, offset, length, digest). The leaves of an
+Archives are stored as segments of a few records' bytes; a replica's records (archive, place,
+offset, length, digest) are read from its stored bytes, range by range. The leaves of an
 archive's tree hash each record's digest with its offset range, in order; a node hashes
 ``FANOUT`` children and covers their range. The audit compares the roots of two replicas and
 goes down only below nodes that differ, one level at a time, so a damaged record costs a
-few nodes a level, and an intact archive one row. Every level is a DataFrame; archives hold
-``ARCHIVE_PAGES`` pages, so no group grows with the data.
+few nodes a level, and an intact archive one row. Every level is a DataFrame of ``FANOUT`` times fewer rows.
 """
 
 from __future__ import annotations
@@ -22,6 +22,8 @@ from annulus.llm.storage import Store
 
 ARCHIVE_PAGES = 4096
 FANOUT = 16
+#: Bytes of an archive whose records are stored as one row.
+SEGMENT = 1 << 18
 _HEAD = re.compile(rb"WARC/1\.[01]\r\n(.*?)\r\n\r\n", re.S)
 
 
@@ -47,29 +49,57 @@ def records(pages: DataFrame) -> DataFrame:
 
     pages: page_id, url and html; other columns are ignored, whatever their names. Returns
     archive, place (from 0), page_id, offset, length, digest (SHA-256 of the record) and record, in
-    the order of page_id, then digest. Repeated rows are records of their own; pages
-    without page_id make the archive -1.
+    the order of page_id, then digest. Repeated rows are records of their own. Pages without page_id
+    are dealt out over 65,536 archives, -1 and down, by the first four hex digits of their digest.
+
+    Places are counted along the rows of one page_id and first four hex digits (for pages without
+    page_id, the first eight), on top of what lies before them in the archive, so pages of one id do not
+    meet in one task unless they are equal.
     """
     made = pages.select(F.col("page_id").cast("long").alias("page_id"), record_bytes(F.col("page_id"), F.col("url"), F.col("html")).alias("record"))
+    made = made.select("page_id", F.length("record").cast("long").alias("length"), F.sha2("record", 256).alias("digest"), "record")
+    lost = -1 - F.conv(F.substring("digest", 1, 4), 16, 10).cast("long")
     made = made.select(
-        F.coalesce(F.floor(F.col("page_id") / ARCHIVE_PAGES), F.lit(-1)).cast("long").alias("archive"),
-        "page_id",
-        F.length("record").cast("long").alias("length"),
-        F.sha2("record", 256).alias("digest"),
-        "record",
+        F.coalesce(F.floor(F.col("page_id") / ARCHIVE_PAGES), lost).cast("long").alias("archive"),
+        F.when(F.col("page_id").isNull(), F.substring("digest", 1, 8)).otherwise(F.substring("digest", 1, 4)).alias("lot"),
+        "*",
     )
-    order = Window.partitionBy("archive").orderBy("page_id", "digest")
-    return made.select(
+    lots = ["archive", "page_id", "lot"]
+    within = Window.partitionBy("archive").orderBy("page_id", "lot").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = made.groupBy(*lots).agg(F.count("*").alias("n"), F.sum("length").alias("bytes"))
+    before = lambda c: F.coalesce(F.sum(c).over(within), F.lit(0))
+    base = sizes.select("archive", F.col("page_id").alias("of_page"), "lot", before("n").alias("places"), before("bytes").alias("start"))
+    along = Window.partitionBy(*lots).orderBy("digest")
+    counted = made.withColumn("k", F.row_number().over(along) - 1).withColumn("upto", F.sum("length").over(along.rowsBetween(Window.unboundedPreceding, 0)))
+    return counted.join(base, ["archive", "lot"]).where(F.col("page_id").eqNullSafe(F.col("of_page"))).select(
         "archive",
-        (F.row_number().over(order) - 1).cast("long").alias("place"),
+        (F.col("places") + F.col("k")).cast("long").alias("place"),
         "page_id",
-        (F.sum("length").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("length")).alias("offset"),
+        (F.col("start") + F.col("upto") - F.col("length")).alias("offset"),
         "length",
         "digest",
         "record",
     )
 
 
+def segments(made: DataFrame) -> DataFrame:
+    """The archives' bytes as they are stored: the records that begin in the same SEGMENT bytes as one content, with their places, offsets, ids and lengths."""
+    own = F.struct("place", "offset", "page_id", "length", "record")
+    grouped = made.groupBy("archive", F.floor(F.col("offset") / SEGMENT).alias("segment")).agg(F.array_sort(F.collect_list(own)).alias("r"))
+    content = F.unhex(F.array_join(F.transform(F.col("r.record"), F.hex), ""))
+    lists = [F.col(f"r.{c}").alias(f"{c}s") for c in ("place", "offset", "page_id", "length")]
+    return grouped.select("archive", *lists, content.alias("content"))
+
+
+def stored_records(stored: DataFrame) -> DataFrame:
+    """Records (without their bytes) as they are found in stored segments: the digest is that of the bytes of each offset range."""
+    body = lambda x: F.substring("content", (x["offsets"] - F.col("offsets")[0] + 1).cast("int"), x["lengths"].cast("int"))
+    read = F.transform(F.arrays_zip("places", "page_ids", "offsets", "lengths"), lambda x: F.struct(x.alias("at"), F.sha2(body(x), 256).alias("digest")))
+    return stored.select("archive", F.explode(read).alias("r")).select(
+        "archive", F.col("r.at.places").alias("place"), F.col("r.at.page_ids").alias("page_id"), F.col("r.at.offsets").alias("offset"), F.col("r.at.lengths").alias("length"), "r.digest"
+    )
+
+
 def leaves(replica: DataFrame) -> DataFrame:
     """Level 0 of the trees: archive, node, lo, hi (the offset range) and hash."""
     hashed = F.sha2(F.concat_ws(":", F.lit("leaf"), F.col("offset").cast("string"), F.col("length").cast("string"), "digest"), 256)
@@ -156,7 +186,7 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
 
 
 def archives(made: DataFrame) -> DataFrame:
-    """The bytes of each archive: its records one behind the other, and their number."""
+    """The bytes of each archive: its records one behind the other, and their number. An archive is one row, so it must fit in memory."""
     ordered = F.array_sort(F.collect_list(F.struct("place", "record")))
-    joined = F.aggregate(F.col("r.record"), F.lit(b""), lambda out, x: F.concat(out, x))
+    joined = F.unhex(F.array_join(F.transform(F.col("r.record"), F.hex), ""))
     return made.groupBy("archive").agg(ordered.alias("r")).select("archive", F.size("r").alias("records"), joined.alias("content"))

@@ -477,6 +477,14 @@ def decode(data: bytes) -> tuple[int, int, np.ndarray]:
     has_alpha, version = bits.read(1), bits.read(3)
     if version:
         raise WebpError("unknown version")
+    pixels = decode_stream(bits, width, height)
+    if not has_alpha:
+        pixels = pixels | np.uint32(0xFF000000)
+    return width, height, pixels
+
+
+def decode_stream(bits: BitReader, width: int, height: int) -> np.ndarray:
+    """Pixels of an image stream, transforms first, as it stands behind a file's header (and alone in the alpha chunk of a lossy file)."""
     undo, now_width, seen = [], width, set()
     while bits.read(1):
         kind = bits.read(2)
@@ -508,9 +516,7 @@ def decode(data: bytes) -> tuple[int, int, np.ndarray]:
             pixels = _subtract_green(pixels, False)
         else:
             pixels = _unbundle(pixels, own_width, height, inner)
-    if not has_alpha:
-        pixels = pixels | np.uint32(0xFF000000)
-    return width, height, pixels
+    return pixels
 
 
 # ---------------------------------------------------------------- encoder
@@ -596,60 +602,91 @@ def _prefix_symbol(value: int) -> tuple[int, int, int]:
     return 2 * high + second, value & ((1 << (high - 1)) - 1), high - 1
 
 
-def _write_image(out: BitWriter, pixels: np.ndarray, main: bool, cache_bits: int = 0, copies: list[tuple[int, int, int]] = ()) -> None:
-    """copies: (place, length, distance) of back-references, in order."""
+def _write_runs(out: BitWriter, channels: np.ndarray, copies: list[tuple[int, int, int]]) -> None:
+    """Codes and tokens of an image of literal pixels and back-references, without a colour cache; a token is one value of at most 60 bits."""
+    covered = np.zeros(len(channels), bool)
+    for place, length, _ in copies:
+        covered[place : place + length] = True
+    literal = np.flatnonzero(~covered)
+    own = channels[literal]
+    pairs = [(_prefix_symbol(length), _prefix_symbol(distance + 120)) for _, length, distance in copies]
+    streams = [np.concatenate((own[:, 1].astype(np.int64), [256 + x[0] for x, _ in pairs])).astype(np.int64), own[:, 2], own[:, 0], own[:, 3], np.array([y[0] for _, y in pairs], np.int64)]
+    stated = [code_lengths(np.bincount(s, minlength=n), 15) for s, n in zip(streams, (280, 256, 256, 256, 40))]
+    for own_lengths in stated:
+        _write_code(out, own_lengths)
+    codes = [reversed_codes(x) for x in stated]
+    lengths = [x if np.count_nonzero(x) > 1 else np.zeros_like(x) for x in stated]  # a single symbol takes no bits
+    values, sizes = np.zeros(len(literal), np.int64), np.zeros(len(literal), np.int64)
+    for s, code, size in zip((streams[0][: len(literal)], *streams[1:4]), codes, lengths):
+        values |= np.where(size[s] > 0, code[s], 0) << sizes
+        sizes += size[s]
+    if copies:
+        more, wide = [], []
+        for (symbol, extra, bits), (far, far_extra, far_bits) in pairs:
+            value, size = 0, 0
+            for v, n in ((int(codes[0][256 + symbol]), int(lengths[0][256 + symbol])), (extra, bits), (int(codes[4][far]), int(lengths[4][far])), (far_extra, far_bits)):
+                value, size = value | (v << size if n else 0), size + n
+            more.append(value)
+            wide.append(size)
+        order = np.argsort(np.concatenate((literal, [place for place, _, _ in copies])), kind="stable")
+        values, sizes = np.concatenate((values, more))[order], np.concatenate((sizes, wide))[order]
+    out.write_many(values.astype(np.int64), sizes.astype(np.int64))
+
+
+def _write_image(
+    out: BitWriter, pixels: np.ndarray, main: bool, cache_bits: int = 0, copies: list[tuple[int, int, int]] = (), groups: np.ndarray | None = None, group_bits: int = 2, width: int = 0
+) -> None:
+    """copies: (place, length, distance) of back-references, in order; groups: the code group of each block of 2**group_bits pixels a side."""
     cache_size = 1 << cache_bits if cache_bits else 0
     out.write(1 if cache_bits else 0, 1)
     if cache_bits:
         out.write(cache_bits, 4)
     if main:
-        out.write(0, 1)
+        out.write(0 if groups is None else 1, 1)
+        if groups is not None:
+            out.write(group_bits - 2, 3)
+            _write_image(out, (np.asarray(groups, np.uint32) << np.uint32(8)) | np.uint32(0xFF000000), False)
     channels = _channels(pixels)
-    if not cache_bits and not copies:
-        streams = [channels[:, 1], channels[:, 2], channels[:, 0], channels[:, 3]]
-        lengths = [code_lengths(np.bincount(s, minlength=n), 15) for s, n in zip(streams, (280, 256, 256, 256))]
-        for own in (*lengths, np.zeros(40, np.int64)):
-            _write_code(out, own)
-        values, sizes = np.zeros(len(pixels), np.int64), np.zeros(len(pixels), np.int64)
-        for s, own in zip(streams, lengths):
-            if np.count_nonzero(own) > 1:
-                values |= reversed_codes(own)[s] << sizes
-                sizes += own[s]
-        out.write_many(values, sizes)
+    if not cache_bits and groups is None:
+        _write_runs(out, channels, list(copies))
         return
-    tokens: list[list[tuple[int, int, int, int]]] = []  # (code, symbol, extra, size)
+    across = (width + (1 << group_bits) - 1) >> group_bits
+    group_of = lambda at: 0 if groups is None else int(groups[(at // width >> group_bits) * across + (at % width >> group_bits)])
+    tokens: list[tuple[int, list[tuple[int, int, int, int]]]] = []  # code group, and (code, symbol, extra, size)
     cache, at = {}, 0
     starts = {p: (n, d) for p, n, d in copies}
     while at < len(pixels):
         if at in starts:
             n, d = starts[at]
-            tokens.append([(0, 256 + (s := _prefix_symbol(n))[0], s[1], s[2]), (4, (s := _prefix_symbol(d + 120))[0], s[1], s[2])])
+            token = [(0, 256 + (s := _prefix_symbol(n))[0], s[1], s[2]), (4, (s := _prefix_symbol(d + 120))[0], s[1], s[2])]
             step = n
         else:
             value = int(pixels[at])
             slot = ((value * HASH) & 0xFFFFFFFF) >> (32 - cache_bits) if cache_bits else 0
             if cache_bits and cache.get(slot) == value:
-                tokens.append([(0, 280 + slot, 0, 0)])
+                token = [(0, 280 + slot, 0, 0)]
             else:
                 b, g, r, a = channels[at].tolist()
-                tokens.append([(0, g, 0, 0), (1, r, 0, 0), (2, b, 0, 0), (3, a, 0, 0)])
+                token = [(0, g, 0, 0), (1, r, 0, 0), (2, b, 0, 0), (3, a, 0, 0)]
             step = 1
+        tokens.append((group_of(at), token))
         if cache_bits:
             for v in pixels[at : at + step].tolist():
                 cache[((v * HASH) & 0xFFFFFFFF) >> (32 - cache_bits)] = v
         at += step
-    counts = [np.zeros(n, np.int64) for n in (280 + cache_size, 256, 256, 256, 40)]
-    for token in tokens:
+    counts = [[np.zeros(n, np.int64) for n in (280 + cache_size, 256, 256, 256, 40)] for _ in range(1 if groups is None else int(np.max(groups)) + 1)]
+    for group, token in tokens:
         for code, symbol, _, _ in token:
-            counts[code][symbol] += 1
-    lengths = [code_lengths(c, 15) for c in counts]
-    codes = [reversed_codes(x) for x in lengths]
+            counts[group][code][symbol] += 1
+    lengths = [[code_lengths(c, 15) for c in own] for own in counts]
+    codes = [[reversed_codes(x) for x in own] for own in lengths]
     for own in lengths:
-        _write_code(out, own)
-    for token in tokens:
+        for each in own:
+            _write_code(out, each)
+    for group, token in tokens:
         for code, symbol, extra, size in token:
-            if np.count_nonzero(lengths[code]) > 1:
-                out.write(int(codes[code][symbol]), int(lengths[code][symbol]))
+            if np.count_nonzero(lengths[group][code]) > 1:
+                out.write(int(codes[group][code][symbol]), int(lengths[group][code][symbol]))
             out.write(extra, size)
 
 
@@ -657,7 +694,7 @@ def _write_image(out: BitWriter, pixels: np.ndarray, main: bool, cache_bits: int
 class Options:
     """What the encoder applies, in this order: palette alone, or cross-colour, subtract-green and predictor.
 
-    modes and factors have a value for each block of 2**block pixels a side.
+    modes and factors have a value for each block of 2**block pixels a side, groups (of prefix codes) for each of 2**group_bits.
     """
 
     palette: bool = False
@@ -667,6 +704,8 @@ class Options:
     block: int = 9
     cache_bits: int = 0
     copies: list[tuple[int, int, int]] = field(default_factory=list)
+    groups: np.ndarray | None = None
+    group_bits: int = 2
 
 
 def encode(width: int, height: int, pixels: np.ndarray, options: Options = Options()) -> bytes:  # noqa: B008
@@ -710,7 +749,7 @@ def encode(width: int, height: int, pixels: np.ndarray, options: Options = Optio
             _write_image(out, np.asarray(inner, np.uint32) | np.uint32(0xFF000000), False)
             pixels = _cross_colour(pixels, width, height, np.asarray(inner, np.uint32), options.block, True)
     out.write(0, 1)
-    _write_image(out, pixels, True, options.cache_bits, options.copies)
+    _write_image(out, pixels, True, options.cache_bits, options.copies, options.groups, options.group_bits, wide if options.palette else width)
     chunk = b"\x2f" + out.bytes()
     body = b"WEBPVP8L" + struct.pack("<I", len(chunk)) + chunk + bytes(len(chunk) & 1)
     return b"RIFF" + struct.pack("<I", len(body)) + body

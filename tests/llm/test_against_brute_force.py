@@ -1,8 +1,12 @@
 """Operators against plain versions of themselves, libraries, exact round trips and held-out labels."""
 
+import base64
+import hashlib
+import itertools
 import random
 import re
 import struct
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -10,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from annulus.llm import bpe, components, decontaminate, langid, licenses, line_dedup, minhash, storage, textblocks, toxicity, webp
+from annulus.llm import bpe, components, decontaminate, langid, licenses, line_dedup, media, minhash, queries, storage, textblocks, toxicity, webp
 from annulus.llm.queries import word_vocabulary
 
 DATA = "/root/testdata/sf0.001"
@@ -216,6 +220,10 @@ def test_webp_round_trips():
     cases += [(pixels, webp.Options(modes=modes, factors=factors, subtract_green=True, block=2, cache_bits=4))]
     cases += [(rng.choice(image(rng, k), w * h), webp.Options(palette=True)) for k in (1, 2, 3, 5, 16, 17, 200)]
     cases += [(few, webp.Options(cache_bits=6)), (few, webp.Options(copies=copies)), (few, webp.Options(copies=copies, cache_bits=3))]
+    groups = rng.integers(0, 5, 12 * 9)
+    groups[:5] = range(5)
+    cases += [(p, webp.Options(groups=groups, copies=c, cache_bits=b)) for p, c, b in ((pixels, [], 0), (few, copies, 0), (few, copies, 5), (few, [], 2))]
+    cases += [(pixels, webp.Options(groups=np.arange(2 * 2), group_bits=5, modes=modes, block=2, subtract_green=True))]
     for p, options in cases:
         data = webp.encode(w, h, p, options)
         got = webp.decode(data)
@@ -224,6 +232,47 @@ def test_webp_round_trips():
             webp.decode(data[: len(data) // 2])
 
 
+#: Alpha planes that another encoder compressed as lossless image streams: of a 16 by 16 icon, and of one pixel (a whole file).
+ICON_ALPHA = (
+    "J6KokSTleucYX+ffKpmImP90cY3gJjDi4Yt3MsjBEVyDKzDosHgVjnhRNcEIDAJPkqBqsFUZHNa2bUYvTsZ2PLbtd/uvKa4hov9J0f2PkPe6REkkGzolkTTzFG0Ox9PlFiD0CxS+kOGDtxoynjaCfx0pfk52CPuInrOR75lz"
+    "Rugygtv4zEiy90UwfSD9NheMITJWLaXWayO8XeOlWRXVnIGk2W6WdYoYMQ+KqixQNPowgt+6a1BSKbUtz+lUFAoBAAA="
+)
+ICON_ROWS = {
+    0: [0, 0, 0, 0, 175, 237, 255, 255, 255, 247, 146, 11, 3, 0, 0, 0],
+    4: [189, 255, 255, 255, 255, 255, 255, 255, 255, 255, 255, 72, 255, 247, 130, 10],
+    11: [8, 33, 60, 53, 255, 255, 255, 170, 169, 169, 169, 169, 169, 121, 65, 32],
+    15: [0, 0, 0, 0, 8, 29, 53, 66, 71, 69, 56, 31, 8, 0, 0, 0],
+}
+ONE_PIXEL = "UklGRhoAAABXRUJQVlA4TA0AAAAvAAAAEAcQERGIiP4HAA=="
+
+
+def test_webp_of_another_encoder():
+    assert [x.tolist() if hasattr(x, "tolist") else x for x in webp.decode(base64.b64decode(ONE_PIXEL))] == [1, 1, [0]]
+    alpha = ((webp.decode_stream(webp.BitReader(base64.b64decode(ICON_ALPHA)), 16, 16) >> 8) & 255).reshape(16, 16)
+    for y, row in ICON_ROWS.items():
+        assert alpha[y].tolist() == row
+
+
+def test_media_query_round_trips_whole_texts(spark, tmp_path):
+    """Repeated lines, few bytes, equal rows, several images and empty texts; against the contract's columns worked out plainly."""
+    rng = random.Random(9)
+    line = lambda: "".join(rng.choices("abcdefghij klmnopqé", k=rng.randrange(40, 200)))
+    lines = [line() for _ in range(30)]
+    texts = [None, "", "a", "x" * 5000, "ab" * 4000, "".join(rng.choices("01", k=700)), "\n".join(rng.choices(lines, k=200)), "\n".join(lines * 40), ("r" * 191 + "\n") * 50]
+    texts += ["\n".join(line() for _ in range(31_000)), texts[6]]
+    assert max(len((t or "").encode()) for t in texts) > media.ROW * webp.MOST_SIDE
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in queries.op6_webp_media(spark, str(tmp_path)).collect()}
+    for k, text in enumerate(texts):
+        raw = (text or "").encode()
+        payload = raw + b" " * (max(192, -(-len(raw) // 192) * 192) - len(raw))
+        r = got[k]
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:])), k
+    assert got[6].media_sha256 == got[10].media_sha256 and got[6].feature == got[10].feature
+    assert got[6].media_bytes < len(texts[6]) / 4 and got[7].media_bytes < len(texts[7]) / 8  # back-references
+    assert len(media.from_media(media.to_media(media.padded(texts[9].encode())))) == 2
+
+
 def test_languages_held_out(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = langid.identify_languages(docs).join(docs.select("doc_id", "lang"), "doc_id").where("held_out")
@@ -376,11 +425,61 @@ def test_licenses():
     for filler in ("", "the software of the license " * 50):
         found = scanner.scan(filler + changed + " end. " + filler)
         assert [f[0] for f in found] == ["MIT"] and 0.9 < found[0][1] < 1
+        assert scanner.scan(filler + licenses.TEMPLATES["MIT"][2] + filler)[0][:2] == ("MIT", 1.0)
     assert scanner.scan("the license of the work is under this version") == [] and scanner.scan(None) == []
     assert licenses.patience("a b c d e".split(), "a x c d y e".split()) == [(0, 0), (2, 2), (3, 3), (4, 5)]
     assert licenses.increasing([(0, 3), (1, 1), (2, 2), (3, 0)]) == [(1, 1), (2, 2)]
 
 
+def plain_patience(a, b):
+    """The numbers of matches that a patience alignment may have (by the choice among longest chains), from the definition."""
+    if not a or not b:
+        return {0}
+    if a[0] == b[0]:
+        return {1 + n for n in plain_patience(a[1:], b[1:])}
+    if a[-1] == b[-1]:
+        return {1 + n for n in plain_patience(a[:-1], b[:-1])}
+    unique = sorted((a.index(w), b.index(w)) for w in b if a.count(w) == b.count(w) == 1)
+    if not unique:
+        row = [0] * (len(b) + 1)
+        for x in a:
+            new = [0]
+            for j, y in enumerate(b):
+                new.append(row[j] + 1 if x == y else max(row[j + 1], new[-1]))
+            row = new
+        return {row[-1]}
+    chains = [c for n in range(len(unique), 0, -1) for c in itertools.combinations(unique, n) if all(p[1] < q[1] for p, q in zip(c, c[1:]))]
+    results = set()
+    for chain in (c for c in chains if len(c) == len(chains[0])):
+        edges, sums = [(-1, -1), *chain, (len(a), len(b))], {len(chain)}
+        for (x, y), (u, v) in zip(edges, edges[1:]):
+            sums = {s + n for s in sums for n in plain_patience(a[x + 1 : u], b[y + 1 : v])}
+        results |= sums
+    return results
+
+
+def test_patience_equals_a_plain_version():
+    rng = random.Random(5)
+    for _ in range(400):
+        letters = "abcdefghijklmnop"[: rng.randrange(2, 16)]
+        a, b = (rng.choices(letters, k=rng.randrange(1, 13)) for _ in range(2))
+        found = licenses.patience(a, b)
+        assert all(a[i] == b[j] for i, j in found) and all(i < u and j < v for (i, j), (u, v) in zip(found, found[1:]))
+        assert len(found) in plain_patience(a, b), (a, b)
+
+
+@pytest.mark.parametrize("name", ["MIT", "BSD-3-Clause", "GPL-3.0", "Zlib"])
+def test_whole_license_texts_are_covered(name):
+    text = licenses.TEMPLATES[name][-1]
+    n = len(licenses.words_of(text))
+    body = "code comes before " * 40 + text.replace("software", "program", 1) + " and code behind " * 40
+    scanner = licenses.Scanner({name: [text]})
+    found = scanner.scan(body)
+    assert found[0][0] == name and 1 - 3 / n <= found[0][1] <= 1 and found[0][2] == 120
+    words = body.split()
+    assert not scanner.scan(" ".join(words[: 120 + n // 2]))  # half of it is not it
+
+
 @pytest.mark.parametrize("name", ["MIT", "GPL-3.0"])
 def test_licenses_in_adjacent_copies(name):
     """Where a notice stands several times no word of it is unique."""

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from annulus.llm import bpe, decontaminate, langid, licenses, line_dedup, media, minhash, toxicity, warc
 from annulus.llm.queries import word_vocabulary
-from annulus.llm.token_counts import TokenLedger, count_tokens, deletes, inserts, revisions
+from annulus.llm.token_counts import TokenLedger, count_tokens, counted, counted_bpe, deletes, inserts, revisions
 
 SCHEMA = "doc_id long, text string, lang string, source string, rep long, label string, sig string, winners string, u long, kept string"
 LONG = "one two three four five six seven eight nine ten " * 3000
@@ -108,8 +108,17 @@ def test_ledger_is_idempotent(spark, tmp_path):
     assert ledger.commit("a", inserts(counts)) and not ledger.commit("a", inserts(counts))
     once = sorted(map(str, ledger.totals().collect()))
     assert ledger.totals().agg(F.sum("n_docs")).first()[0] == 2 * len(ROWS)
-    (tmp_path / "ledger" / "cut").mkdir()  # a batch that was never finished
+    (tmp_path / "ledger" / "batches" / "cut").mkdir()  # a batch that was never finished
     assert sorted(map(str, ledger.totals().collect())) == once
+    with pytest.raises(ValueError):
+        ledger.commit("a", inserts(counts.limit(3)))
+    again = TokenLedger(spark, f"file://{tmp_path}/ledger")
+    again._fold = lambda: None  # a commit that ends before the totals are written anew
+    again.commit("late", inserts(counts))
+    assert ledger.totals().agg(F.sum("n_docs")).first()[0] == 4 * len(ROWS)
+    ledger.commit("undo", deletes(counts))
+    assert sorted(map(str, ledger.totals().collect())) == once and ledger._latest()[2] == {"a", "late", "undo"}
+    assert len(ledger._names("folded")) <= 2
     ledger.commit("r", revisions(counts, counts.withColumn("n_tokens", F.col("n_tokens") * 2)))
     assert ledger.totals().where("tokenizer = 'words-1'").agg(F.sum("n_tokens")).first()[0] == 2 * sum(len((r[1] or "").split()) for r in ROWS)
     ledger.commit("d", deletes(counts.withColumn("n_tokens", F.col("n_tokens") * 2)))
@@ -118,6 +127,52 @@ def test_ledger_is_idempotent(spark, tmp_path):
         ledger.commit("../x", inserts(counts))
 
 
+def test_ledger_takes_bpe_counts(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    docs = made(spark, ROWS)
+    ledger = TokenLedger(spark, f"file://{tmp_path}/ledger")
+    ledger.commit("a", inserts(counted(docs)))
+    ledger.commit("b", inserts(counted_bpe(docs, word_vocabulary(), "word-bpe-49k")))
+    library = Tokenizer.from_file(word_vocabulary())
+    want = sum(len(library.encode(r[1] or "", add_special_tokens=False).ids) for r in ROWS)
+    assert {r.tokenizer: r.n for r in ledger.totals().groupBy("tokenizer").agg(F.sum("n_tokens").alias("n")).collect()}["word-bpe-49k"] == want
+
+
+def test_queries_equal_their_sql(spark):
+    import duckdb
+
+    from annulus.llm import queries
+
+    con = duckdb.connect()
+    for name in ("documents", "labels", "pages"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '/root/testdata/sf0.001/{name}.parquet'")
+    for name, sql in queries.oracle_sql().items():
+        found = con.execute(sql)
+        names = [c[0] for c in found.description]
+        got = queries.queries()[name](spark, "/root/testdata/sf0.001")
+        assert sorted(got.columns) == sorted(names)
+        assert sorted(str([r[c] for c in names]) for r in got.collect()) == sorted(str(list(r)) for r in found.fetchall()), name
+
+
+def test_damage_in_stored_bytes_is_found(spark, monkeypatch):
+    """Segments of few bytes, pages without id, of one id and equal ones; a long page."""
+    monkeypatch.setattr(warc, "SEGMENT", 1000)
+    rows = [(i, f"http://x/{i}", "<p>é%d" % i) for i in range(300)] + [(7, "a", "b%d" % i) for i in range(200)] + [(None, "u", "v%d" % i) for i in range(300)] + [(None, "u", "v")] * 50 + [(12, "l", "long " * 300_000), (13, None, None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    made_ = warc.records(pages).cache()
+    stored = warc.segments(made_).cache()
+    read = warc.stored_records(stored)
+    columns = ["archive", "place", "page_id", "offset", "length", "digest"]
+    assert sorted(map(str, read.select(*columns).collect())) == sorted(map(str, made_.select(*columns).collect())) and made_.count() == len(rows)
+    assert made_.groupBy("archive").agg((F.max("place") + 1 == F.count("*")).alias("x"), (F.max(F.col("offset") + F.col("length")) == F.sum("length")).alias("y")).where("NOT x OR NOT y").count() == 0
+    assert warc.audit(read, read).count() == 0
+    hit = stored.withColumn("content", F.when(F.array_contains("page_ids", 250), F.overlay("content", F.lit(b"\x00"), F.lit(70), F.lit(1))).otherwise(F.col("content")))
+    found = warc.audit(read, warc.stored_records(hit)).collect()
+    assert len(found) == 1 and found[0].archive == 0 and found[0].fault == "corrupt"
+    assert read.where("archive < 0").select("archive").distinct().count() > 200
+
+
 def test_warc_audit_and_round_trip(spark, tmp_path):
     schema = "page_id long, url string, html string, place long, hash string"
     pages = spark.createDataFrame([(i, f"http://x/{i}", "<p>é%d" % i, 1, "h") for i in range(5000)] + [(None, None, None, 0, None), (7, "http://x/7", "<p>é7", 1, "h")], schema)
