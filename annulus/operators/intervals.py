@@ -10,7 +10,6 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.window import WindowSpec
 
 from annulus.functions.reads import reciprocal
 
@@ -57,8 +56,12 @@ def point_depth(points: DataFrame, spans: DataFrame) -> DataFrame:
 STRETCH = 1_000_000
 
 
-def _numbered(flagged: DataFrame, keys: list[str], along: WindowSpec) -> DataFrame:
-    """flagged (_part, _new) with island: how many rows of the key up to this one are new."""
+def _numbered(flagged: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """flagged (_part, _new) with island: how many rows of the key up to this one are new.
+
+    Of rows that are equal in order only the first can be new, so the new one is put first again.
+    """
+    along = Window.partitionBy(*keys, "_part").orderBy(*order, C("_new").desc())
     before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     counts = flagged.groupBy(*keys, "_part").agg(F.sum("_new").alias("_n")).withColumn("_base", F.coalesce(F.sum("_n").over(before), F.lit(0)))
     running = F.sum("_new").over(along.rowsBetween(Window.unboundedPreceding, 0))
@@ -93,7 +96,7 @@ def islands(df: DataFrame, keys: list[str], order: list[str], begins: Callable[[
     before = F.coalesce(F.lag(F.struct("start", "end")).over(along), C("_carried"))
     flagged = _with(dealt, carried, keys).withColumn("_before", before)
     flagged = flagged.withColumn("_new", F.coalesce(begins(C("_before.start"), C("_before.end")), F.lit(True)).cast("int"))
-    return _numbered(flagged.drop("_carried", "_before"), keys, along)
+    return _numbered(flagged.drop("_carried", "_before"), keys, order)
 
 
 def merge_within(df: DataFrame, gap: int = 0, stretch: int = STRETCH) -> DataFrame:
@@ -108,7 +111,7 @@ def merge_within(df: DataFrame, gap: int = 0, stretch: int = STRETCH) -> DataFra
     carried = ends.select("chrom", "_part", F.max("_e").over(parts).alias("_carried"))
     reach = F.greatest(F.max("end").over(along.rowsBetween(Window.unboundedPreceding, -1)), C("_carried"))
     flagged = _with(dealt, carried, ["chrom"]).withColumn("_new", F.coalesce(C("start") > reach + gap, F.lit(True)).cast("int"))
-    return _numbered(flagged.drop("_carried"), ["chrom"], along)
+    return _numbered(flagged.drop("_carried"), ["chrom"], ["start", "end"])
 
 
 def interval_union(df: DataFrame, gap: int = 0) -> DataFrame:

@@ -536,6 +536,54 @@ def realign_pipeline(spark, sf_dir):
     return pp.realign(candidates, reads, reads, proxy_contigs(spark), proxy_genome(spark, sf_dir), pp.Params(only_discordants=False, merge_share=0.9, insert_mapq=30))
 
 
+_BASES = """, e AS (SELECT chrom, pos AS place, 1 AS d FROM r WHERE NOT unmapped UNION ALL SELECT chrom, pos + 100 - cl - cr, -1 FROM r WHERE NOT unmapped),
+net AS (SELECT chrom, place, sum(d) AS d FROM e GROUP BY chrom, place HAVING sum(d) <> 0),
+runs AS (SELECT chrom, place AS start, CAST(lead(place) OVER w AS BIGINT) AS "end", CAST(sum(d) OVER (w ROWS UNBOUNDED PRECEDING) AS BIGINT) AS depth FROM net WINDOW w AS (PARTITION BY chrom ORDER BY place)),
+g AS (SELECT * FROM runs WHERE depth > 0)"""
+_EXTRACTED = f""", o AS (SELECT *, NOT u1 AND NOT u2 AND {OUT.format(q=10)} AS d FROM p), chosen AS ({_side('1', '2')} UNION ALL {_side('2', '1')}),
+ cd AS (SELECT r.* EXCLUDE (mq), chosen.mq FROM r JOIN chosen USING (rid)),
+ f AS (SELECT p2 + 100 - p1 AS t FROM p WHERE m1 >= 30 AND m2 >= 30 AND NOT v1 AND v2 AND c1 = 0 AND c2 = 0 AND p2 + 100 - p1 > 0 ORDER BY id2 LIMIT 100000),
+ size AS (SELECT avg(CAST(t AS DOUBLE)) AS mean, stddev_pop(CAST(t AS DOUBLE)) AS std FROM f)"""
+_TILED = """, ce AS (SELECT chrom, pos AS place, 1 AS d FROM cd WHERE NOT unmapped UNION ALL SELECT chrom, pos + 100 - cl - cr, -1 FROM cd WHERE NOT unmapped),
+ cs AS (SELECT DISTINCT chrom, pos AS start, pos + 100 - cl - cr AS "end" FROM cd WHERE NOT unmapped),
+ cm AS (SELECT *, max("end") OVER (PARTITION BY chrom ORDER BY start, "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM cs),
+ cg AS (SELECT *, sum(CASE WHEN reach IS NULL OR start > reach + 500 THEN 1 ELSE 0 END) OVER (PARTITION BY chrom ORDER BY start, "end" ROWS UNBOUNDED PRECEDING) AS island FROM cm),
+ cl AS (SELECT chrom, min(start) AS start, max("end") AS "end" FROM cg GROUP BY chrom, island), steps AS (SELECT * FROM (SELECT unnest(range(0, 100)) AS k)),
+ tl AS (SELECT chrom, start + 300 * k AS t0, start + 300 * k + 300 AS t1 FROM cl, steps WHERE "end" - start > 500 AND start + 300 * k < "end" UNION ALL SELECT chrom, start, "end" FROM cl WHERE "end" - start <= 500),
+ t AS (SELECT cd.*, concat(cd.chrom, ':', CAST(t0 AS STRING)) AS tile_id FROM cd JOIN tl ON tl.chrom = cd.chrom AND pos < t1 AND pos + 100 - cd.cl - cd.cr > t0 WHERE mapq >= 20)"""
+_FOUND = """, orient AS (SELECT tile_id, max(CASE WHEN orientation LIKE '%R%' THEN 1 ELSE 0 END) AS pr FROM pri GROUP BY tile_id),
+ ints AS (SELECT tile_id, row_number() OVER (PARTITION BY tile_id ORDER BY start, "end") AS iteration, chrom, greatest(0, start - CAST(round_even(mean + 4 * std, 0) AS BIGINT)) AS start,
+  "end" + CASE WHEN pr = 1 THEN CAST(round_even(mean + 4 * std, 0) AS BIGINT) ELSE 0 END AS "end" FROM nm JOIN orient USING (tile_id), size WHERE probability >= CAST(0.01 AS DOUBLE)),
+ ev AS (SELECT t.tile_id, i.iteration, t.chrom, CASE WHEN pos < sa_pos THEN pos ELSE sa_pos - 1 END AS start, CASE WHEN pos < sa_pos THEN sa_pos - 1 + sa_m + sa_d - 1 ELSE pos + 100 - cl - cr END AS "end",
+  CAST(qid AS STRING) AS read, round(greatest(cl, cr) * (1 - pow(CAST(10 AS DOUBLE), -sa_mapq / CAST(10 AS DOUBLE))), 2) AS score FROM t JOIN ints i ON i.tile_id = t.tile_id AND i.chrom = t.chrom AND i.start < sa_pos AND sa_pos < i."end"
+  WHERE has_sa AND NOT hard AND cl + cr > 0 AND pos <> sa_pos AND sa_mapq > 20 AND sa_strand = CASE WHEN rev THEN '-' ELSE '+' END)""" + SUPPORT + """,
+ ds AS (SELECT tile_id, chrom, least(pos, mpos) AS start, greatest(pos, mpos) + CASE WHEN hard THEN 100 - cl - cr ELSE 100 END AS "end" FROM t
+  WHERE NOT munmapped AND (rev AND NOT mrev AND NOT is_read1 AND pos < mpos OR NOT rev AND mrev AND is_read1 AND mpos < pos) AND tile_id IN (SELECT tile_id FROM ints)),
+ asg AS (SELECT s.tile_id, s.iteration, s.chrom, s.start, s."end", s.sc, s.score, count(d.chrom) AS discordants FROM (SELECT * FROM sup, size) s LEFT JOIN ds d ON d.tile_id = s.tile_id AND d.chrom = s.chrom
+  AND d.start > s.start AND d.start - s.start < s.mean + 5 * s.std AND d."end" < s."end" AND s."end" - d."end" < s.mean + 5 * s.std GROUP BY ALL),
+ lone AS (SELECT *, lag("end") OVER (PARTITION BY tile_id, chrom ORDER BY start, "end") AS before FROM ds WHERE tile_id NOT IN (SELECT tile_id FROM ev)),
+ loni AS (SELECT *, sum(CASE WHEN before IS NULL OR start > before THEN 1 ELSE 0 END) OVER (PARTITION BY tile_id, chrom ORDER BY start, "end" ROWS UNBOUNDED PRECEDING) AS island FROM lone),
+ every AS (SELECT chrom, start, "end", sc, score, discordants FROM asg
+  UNION ALL SELECT chrom, min(start), max({'a': start, 'b': "end"}).b, 0, 0.0, count(*) FROM loni GROUP BY tile_id, chrom, island),
+ af AS (SELECT a.*, (SELECT count(*) FROM aln x WHERE x.chrom = a.chrom AND x.pos <= a.start AND a.start < x.pos + 100 - x.cl - x.cr) AS ds0, (SELECT count(*) FROM aln x WHERE x.chrom = a.chrom AND x.pos <= a."end" - 1 AND a."end" - 1 < x.pos + 100 - x.cl - x.cr) AS de0 FROM every a),
+ z AS (SELECT chrom, start, "end", sc, score, discordants, row_number() OVER () AS rn FROM af WHERE CASE WHEN sc <> 0 THEN score > 0 AND 2 * sc / ((ds0 + de0 + CAST(0.01 AS DOUBLE)) / 2) >= CAST(0.1 AS DOUBLE)
+  ELSE discordants >= 3 AND discordants / ((ds0 + de0 + CAST(0.01 AS DOUBLE)) / 2) >= CAST(0.1 AS DOUBLE) END), """
+_CALLED = """, calls AS (SELECT chrom, CASE WHEN min(start) <> 0 THEN min(start) + 1 ELSE 0 END AS start, max("end") AS "end", CAST(max(discordants) AS BIGINT) AS discordants, CAST(sum(sc) AS BIGINT) AS sc, round(sum(score), 4) AS score FROM wi GROUP BY chrom, island),
+ ci AS (SELECT DISTINCT chrom, start, "end" FROM calls)"""
+
+
+@query(
+    WITH + PAIRS + _EXTRACTED + _TILED + PRIORS.replace(f"{TILE}, ", "").replace("FROM r WHERE mapq >= 20", "FROM t") + MERGED + _FOUND + _reciprocal("w", "z", 0.9, ", sc, score, rn") + _CALLED + _BASES
+    + _STATS.replace(_CIRCLES, "") + ' SELECT calls.chrom, calls.start, calls."end", discordants, sc, score, round(mean, 5) AS mean, round(std, 5) AS std, round(start_ratio, 5) AS start_ratio, round(end_ratio, 5) AS end_ratio,'
+    ' round(continuity, 5) AS continuity FROM st JOIN calls ON st.chrom = calls.chrom AND st.start = calls.start AND st."end" = calls."end" WHERE start_ratio > 0 OR end_ratio > 0'
+)
+def realign_splits_pipeline(spark, sf_dir):
+    """The whole workflow without a genome, so without realigned clips: from reads to circles with their coverage."""
+    reads = proxy_reads(spark, sf_dir)
+    found = pp.realign(pp.extract(reads), reads, reads, proxy_contigs(spark), None, pp.Params(only_discordants=False, merge_share=0.9, insert_mapq=30))
+    return found.withColumns({"score": ROUND("score", 4)} | {c: ROUND(c, 5) for c in ("mean", "std", "start_ratio", "end_ratio", "continuity")})
+
+
 @query()
 def realign_reads(spark, sf_dir):
     """Reads that support circles, with the SA tags that realignment gives."""
@@ -544,12 +592,6 @@ def realign_reads(spark, sf_dir):
     return found.select(C("ordinal").alias("rid"), "qname", "chrom", "pos", "sa", "mq")
 
 
-_BASES = """, e AS (SELECT chrom, pos AS place, 1 AS d FROM r WHERE NOT unmapped UNION ALL SELECT chrom, pos + 100 - cl - cr, -1 FROM r WHERE NOT unmapped),
-net AS (SELECT chrom, place, sum(d) AS d FROM e GROUP BY chrom, place HAVING sum(d) <> 0),
-runs AS (SELECT chrom, place AS start, CAST(lead(place) OVER w AS BIGINT) AS "end", CAST(sum(d) OVER (w ROWS UNBOUNDED PRECEDING) AS BIGINT) AS depth FROM net WINDOW w AS (PARTITION BY chrom ORDER BY place)),
-g AS (SELECT * FROM runs WHERE depth > 0)"""
-
-
 @query(
     WITH + _BASES + """, z AS (SELECT chrom, CASE WHEN xa_pos < pos THEN xa_pos ELSE pos END AS start, CASE WHEN xa_pos < pos THEN pos + 100 ELSE xa_pos - 1 + 102 END AS "end", CAST(1 AS BIGINT) AS item
  FROM r WHERE has_xa AND NOT two_xa AND nm <= 2), """ + _reciprocal("w", "z", 0.8)

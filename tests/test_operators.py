@@ -321,7 +321,7 @@ def test_sequences_over_chunks(spark):
 
 @pytest.mark.parametrize("seed", range(2))
 def test_stretches_do_not_change_islands(spark, seed, monkeypatch):
-    data = [(c, s, e, k % 5) for k, (c, s, e) in enumerate(spans(150, seed))]
+    data = [(c, s, e, k % 5) for k, (c, s, e) in enumerate(spans(150, seed) * 2)]  # each span twice
     df = spark.createDataFrame(data, "chrom string, start long, end long, item long")
 
     def all_of():
