@@ -74,11 +74,12 @@ def discordant_pairs(spark, sf_dir):
     return pairs.select(C("r1.qname").cast("long").alias("qid"), C("r1.chrom").alias("chrom"), C("r1.pos").alias("p1"), C("r2.pos").alias("p2"))
 
 
-def _side(read: str, mate: str) -> str:
+def _side(read: str, mate: str, discordant: bool = True, soft: bool = True, hard: bool = True) -> str:
     c, h, m, q, u = f"c{read}", f"h{read}", f"m{read}", f"q{read}", f"u{read}"
-    clip = f"(NOT u1 AND NOT u2 OR u1 <> u2 AND NOT {u}) AND ({c} > 0 AND NOT {h} AND {m} >= 10 OR {c} > 0 AND {h} AND ({m} >= 10 OR {q} IS NOT NULL))"
+    kept = f"({c} > 0 AND NOT {h} AND {m} >= 10 AND {soft} OR {c} > 0 AND {h} AND ({m} >= 10 OR {q} IS NOT NULL) AND {hard})"
+    clip = f"(NOT u1 AND NOT u2 OR u1 <> u2 AND NOT {u}) AND {kept}"
     mq = f"CASE WHEN d THEN m{mate} WHEN {q} IS NOT NULL THEN {q} WHEN u1 <> u2 THEN {m} ELSE m{mate} END"
-    return f"SELECT id{read} AS rid, CAST({mq} AS INT) AS mq FROM o WHERE d OR {clip}"
+    return f"SELECT id{read} AS rid, CAST({mq} AS INT) AS mq FROM o WHERE " + (f"d OR {clip}" if discordant else f"NOT d AND {clip}")
 
 
 @query(WITH + PAIRS + f", o AS (SELECT *, NOT u1 AND NOT u2 AND {OUT.format(q=10)} AS d FROM p) {_side('1', '2')} UNION ALL {_side('2', '1')}")
@@ -86,6 +87,19 @@ def clip_routing(spark, sf_dir):
     return pp.extract(proxy_reads(spark, sf_dir)).select(C("ordinal").alias("rid"), "mq")
 
 
+_O = f", o AS (SELECT *, NOT u1 AND NOT u2 AND {OUT.format(q=10)} AS d FROM p) "
+
+
+@query(WITH + PAIRS + _O + _side("1", "2", discordant=False, soft=False) + " UNION ALL " + _side("2", "1", discordant=False, soft=False))
+def clip_routing_hard_alone(spark, sf_dir):
+    return pp.extract(proxy_reads(spark, sf_dir), discordant=False, soft=False).select(C("ordinal").alias("rid"), "mq")
+
+
+@query(WITH + PAIRS + _O + _side("1", "2", hard=False) + " UNION ALL " + _side("2", "1", hard=False))
+def clip_routing_without_hard(spark, sf_dir):
+    return pp.extract(proxy_reads(spark, sf_dir), hard=False).select(C("ordinal").alias("rid"), "mq")
+
+
 @query(
     WITH + PAIRS + ", f AS (SELECT p2 + 100 - p1 AS t FROM p WHERE m1 >= 30 AND m2 >= 30 AND NOT v1 AND v2 AND c1 = 0 AND c2 = 0 AND p2 + 100 - p1 > 0 ORDER BY id2 LIMIT 1000)"
     " SELECT count(*) AS pairs, round(avg(CAST(t AS DOUBLE)), 6) AS mean, round(stddev_pop(CAST(t AS DOUBLE)), 6) AS std FROM f"
