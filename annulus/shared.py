@@ -11,6 +11,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -41,15 +44,33 @@ def remove(spark: SparkSession, path: str) -> None:
     system.delete(target, True)
 
 
+_opened: ContextVar[list[Store] | None] = ContextVar("opened", default=None)
+
+
+@contextmanager
+def closing_stores() -> Iterator[None]:
+    """Close, at the end, every store that was made within: for a step whose result has been kept elsewhere by then."""
+    own: list[Store] = []
+    token = _opened.set(own)
+    try:
+        yield
+    finally:
+        _opened.reset(token)
+        for store in own:
+            store.close()
+
+
 class Store:
     """Parquet tables of one run, under a folder of their own.
 
-    Results read them, so they stay until ``drop`` or ``close``.
+    Results read them, so they stay until ``drop`` or ``close``, or the end of ``closing_stores``.
     """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        if (opened := _opened.get()) is not None:
+            opened.append(self)
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
