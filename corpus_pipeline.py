@@ -24,6 +24,7 @@ from annulus.llm.queries import table, word_vocabulary
 from annulus.llm.storage import Store
 from annulus.llm.toxicity import drop_toxic
 from annulus.session import ship
+from annulus.shared import closing_stores
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -95,11 +96,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents table, each but the last written to the shared folder."""
+    """All stages over the documents table, each but the last written to the shared folder; what a stage is done with is removed."""
     store = Store(ship(spark), "pipeline")
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k + 1 < len(STAGES):
-            docs = store.keep(docs, f"{k}-{name}")
+        if k + 1 == len(STAGES):
+            return stage(spark, docs, sf_dir)
+        with closing_stores():
+            docs = store.keep(stage(spark, docs, sf_dir), f"{k}-{name}")
+        if before:
+            store.drop(before)
+        before = f"{k}-{name}"
     return docs
