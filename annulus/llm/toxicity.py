@@ -23,6 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from annulus.llm.storage import Store
 from annulus.llm.textblocks import SPACE, SUM_BYTES, mix64, powers, seeded
 
 #: Most toxic documents that the model is fitted on, and twice as many others.
@@ -109,20 +110,11 @@ def likelihood(w: np.ndarray, raw: np.ndarray, rows: np.ndarray, cols: np.ndarra
     return float(-(weight * np.log(p)).sum()), g_w, g_raw
 
 
-def fit(features: list[np.ndarray], toxic: np.ndarray, steps: int = 400, rate: float = 0.05, decay: float = 2e-4) -> OrdinalModel:
-    """Fit by Adam on the negative log-likelihood with an L1 proximal step."""
-    toxic = np.asarray(toxic, bool)
-    if not len(toxic) or toxic.all() or not toxic.any():
-        far = 40.0 if not toxic.any() else -40.0
-        return OrdinalModel(np.empty(0, np.int64), np.empty(0), far + np.arange(GRADES - 1.0))
-    rows = np.repeat(np.arange(len(features)), [len(f) for f in features])
-    ids = np.concatenate(features)
-    size = 1 << BITS
-    bad, good = np.bincount(ids[toxic[rows]], minlength=size), np.bincount(ids[~toxic[rows]], minlength=size)
-    n_bad, n_good = toxic.sum(), (~toxic).sum()
+def choose(bad: np.ndarray, good: np.ndarray, n_bad: int, n_good: int) -> tuple[np.ndarray, np.ndarray]:
+    """Features (ids, in order) whose share differs beyond chance, and which of them are cues; bad and good: documents with each."""
     odds = np.log((bad + 0.5) / (n_bad + 1)) - np.log((good + 0.5) / (n_good + 1))
-    share = (bad + good) / len(toxic)
-    ratio = np.zeros(size)
+    share = (bad + good) / (n_bad + n_good)
+    ratio = np.zeros(len(bad))
     for part, expected in (
         (bad, share * n_bad),
         (good, share * n_good),
@@ -131,10 +123,28 @@ def fit(features: list[np.ndarray], toxic: np.ndarray, steps: int = 400, rate: f
     ):
         ratio += 2 * part * np.log(np.where(part > 0, part / np.maximum(expected, 1e-12), 1))
     chosen = np.flatnonzero(ratio > LEAST_RATIO)
+    return chosen, odds[chosen] > CUE_ODDS
+
+
+def fit(
+    features: list[np.ndarray], toxic: np.ndarray, picked: tuple[np.ndarray, np.ndarray] | None = None, steps: int = 400, rate: float = 0.05, decay: float = 2e-4
+) -> OrdinalModel:
+    """Fit by Adam on the negative log-likelihood with an L1 proximal step; picked: features and cues, if they are chosen already."""
+    toxic = np.asarray(toxic, bool)
+    if not len(toxic) or toxic.all() or not toxic.any():
+        far = 40.0 if not toxic.any() else -40.0
+        return OrdinalModel(np.empty(0, np.int64), np.empty(0), far + np.arange(GRADES - 1.0))
+    rows = np.repeat(np.arange(len(features)), [len(f) for f in features])
+    ids = np.concatenate(features)
+    size = 1 << BITS
+    n_bad, n_good = int(toxic.sum()), int((~toxic).sum())
+    if picked is None:
+        picked = choose(np.bincount(ids[toxic[rows]], minlength=size), np.bincount(ids[~toxic[rows]], minlength=size), n_bad, n_good)
+    chosen, cues_of = picked
     place = np.full(size, -1)
     place[chosen] = np.arange(len(chosen))
     cue = np.zeros(size, bool)
-    cue[chosen] = odds[chosen] > CUE_ODDS
+    cue[chosen] = cues_of
     cues = np.bincount(rows[cue[ids]], minlength=len(features))
     limits = np.quantile(cues[toxic], [(g / (GRADES - 1)) for g in range(1, GRADES - 1)])
     grade = np.where(toxic, 1 + (cues[:, None] > limits[None, :]).sum(axis=1), 0)
@@ -162,19 +172,40 @@ def _feature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         )
 
 
-def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> OrdinalModel:
+def _chosen_rows(batches: Iterator[pa.RecordBatch], chosen: np.ndarray) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        ids = batch.column("ids")
+        offsets, flat = ids.offsets.to_numpy(), ids.values.to_numpy()
+        inside = np.concatenate(([0], np.cumsum(np.isin(flat, chosen))))
+        kept = pa.array(flat[np.diff(inside).astype(bool)], pa.int32())
+        yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.ListArray.from_arrays(pa.array(inside[offsets] - inside[offsets[0]], pa.int32()), kept.slice(int(inside[offsets[0]])))], names=["toxic", "ids"])
+
+
+def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, store: Store | None = None) -> OrdinalModel:
     """Fit on at most ``rows`` toxic documents and twice as many others, those of least hash of doc_id.
 
-    Several labels of a document count as the worst of them; nulls are left out.
+    Several labels of a document count as the worst of them; nulls are left out. Features are counted by
+    Spark; the driver gets two numbers for each feature (2**BITS at most) and then, of each document, the
+    chosen features alone, so what it gets does not grow with the texts' lengths.
     """
+    store = store or Store(docs.sparkSession, "toxicity")
     known = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg((F.max("toxic") > 0).alias("toxic"))
     sample = known.where("toxic").orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     sample = sample.union(known.where("NOT toxic").orderBy(F.xxhash64("doc_id"), "doc_id").limit(2 * rows))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     # the sample has 3 * rows rows at most, so it is broadcast
-    got = texts.join(F.broadcast(sample), "doc_id").select("toxic", "text").distinct().mapInArrow(_feature_rows, "toxic boolean, ids array<int>").toArrow()
-    ids = [np.asarray(x, dtype=np.int64) for x in got.column("ids").combine_chunks().to_numpy(zero_copy_only=False)]
-    return fit(ids, got.column("toxic").to_numpy())
+    found = store.keep(texts.join(F.broadcast(sample), "doc_id").select("toxic", "text").distinct().mapInArrow(_feature_rows, "toxic boolean, ids array<int>"), "features")
+    counts = found.select("toxic", F.explode("ids").alias("id")).groupBy("id").agg(F.sum(F.col("toxic").cast("long")).alias("bad"), F.count("*").alias("n")).toArrow()
+    bad, both = np.zeros(1 << BITS, np.int64), np.zeros(1 << BITS, np.int64)
+    ids = counts.column("id").to_numpy()
+    bad[ids], both[ids] = counts.column("bad").to_numpy(), counts.column("n").to_numpy()
+    n_bad, n = found.agg(F.coalesce(F.sum(F.col("toxic").cast("long")), F.lit(0)), F.count("*")).first()
+    picked = choose(bad, both - bad, n_bad, n - n_bad) if 0 < n_bad < n else (np.empty(0, np.int64), np.empty(0, bool))
+    got = found.mapInArrow(partial(_chosen_rows, chosen=picked[0]), "toxic boolean, ids array<int>").toArrow()
+    own = [np.asarray(x, dtype=np.int64) for x in got.column("ids").combine_chunks().to_numpy(zero_copy_only=False)]
+    model = fit(own, got.column("toxic").to_numpy(), picked=picked)
+    store.close()
+    return model
 
 
 def _scored(batches: Iterator[pa.RecordBatch], model: OrdinalModel) -> Iterator[pa.RecordBatch]:

@@ -319,6 +319,16 @@ def test_ordinal_likelihood_and_gradient_equal_plain_versions():
         assert g_raw[at] == pytest.approx((loss(w, raw + step) - loss(w, raw - step)) / 2e-6, abs=1e-5)
 
 
+def test_features_chosen_by_spark_give_the_same_model(spark):
+    rng = random.Random(4)
+    words = [f"word{i}" for i in range(60)]
+    rows = [(i, " ".join(rng.choices(words, k=30) + ["vile", "awful"][: rng.randrange(3)] * (i % 3 == 0))) for i in range(150)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    model = toxicity.train(docs, spark.createDataFrame([(i, int(i % 3 == 0)) for i, _ in rows], "doc_id long, toxic int"))
+    plain = toxicity.fit([toxicity.text_features(t) for _, t in rows], np.array([i % 3 == 0 for i, _ in rows]))
+    assert len(plain.ids) and (model.ids == plain.ids).all() and np.allclose(model.weights, plain.weights) and np.allclose(model.cuts, plain.cuts)
+
+
 def test_weights_are_shared_and_severity_is_the_mean_grade():
     model = toxicity.OrdinalModel(np.array([3]), np.array([2.0]), np.array([0.0, 1.0, 3.0]))
     p = model.grades(np.array([0.0, 2.0]))
@@ -331,7 +341,7 @@ def test_weights_are_shared_and_severity_is_the_mean_grade():
 
 def test_toxicity_takes_twice_as_many_others(spark, monkeypatch):
     taken = []
-    monkeypatch.setattr(toxicity, "fit", lambda ids, toxic: taken.append(toxic))
+    monkeypatch.setattr(toxicity, "fit", lambda ids, toxic, picked: taken.append(toxic))
     docs = spark.range(60).selectExpr("id AS doc_id", "concat('text ', id) AS text")
     for others in (50, 15):
         toxicity.train(docs, spark.range(10 + others).selectExpr("id AS doc_id", "int(id < 10) AS toxic"), rows=8)
