@@ -22,6 +22,7 @@ from annulus.operators import priors as pi
 from annulus.operators import simulate as sm
 from annulus.plans import pipelines as pp
 from annulus.plans.proxies import ALN_SQL, CONTIG_LENGTH, READS_SQL, orders_view, proxy_contigs, proxy_reads
+from annulus.shared import Store
 
 C = F.col
 Query = Callable[[SparkSession, str], DataFrame]
@@ -376,7 +377,8 @@ _WIDE = ", dd AS (SELECT chrom, pos + 10 AS start, pos + 90 AS \"end\", CAST(qid
 
 def assigned(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = proxy_reads(spark, sf_dir).select("chrom", (C("pos") + 10).alias("start"), (C("pos") + 90).alias("end"))
-    return ev.assign_discordants(ev.support(evidence(spark, sf_dir)), d, 50, ())
+    supported = Store(spark, "supported").keep(ev.support(evidence(spark, sf_dir)), "spans")
+    return ev.assign_discordants(supported, d, 50, ())
 
 
 @query(WITH + SPLITS + SUPPORT + _WIDE + _ASSIGNED + ' SELECT tile_id, iteration, chrom, start, "end", sc, discordants FROM asg')
