@@ -17,7 +17,7 @@ from annulus.llm.minhash import near_duplicates
 from annulus.llm.storage import Store
 from annulus.llm.token_counts import TOKENIZERS, TokenLedger, count_tokens, deletes, inserts, revisions
 from annulus.llm.toxicity import grade_toxicity
-from annulus.llm.warc import ARCHIVE_PAGES, audit, records, segments, stored_records
+from annulus.llm.warc import ARCHIVE_PAGES, audit, records, stored_records
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -102,15 +102,11 @@ def op10_warc_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every record of the pages' stored archives, and whether the audit finds it damaged in a replica where some stored records have a byte overwritten."""
     pages = table(spark, sf_dir, "pages")
     store = Store(spark, "warc")
-    stored = store.keep(segments(records(pages)), "archives")
-    rotten = lambda x: F.substring(F.sha2(F.concat(F.lit("rot:"), x["page_ids"].cast("string")), 256), 1, 2) == "00"
+    stored = store.keep(records(pages).drop("digest", "length"), "archives")
+    rotten = F.substring(F.sha2(F.concat(F.lit("rot:"), F.col("page_id").cast("string")), 256), 1, 2) == "00"
     # the fifth byte from the end of a record is the last one of its body
-    cuts = F.filter(F.arrays_zip("page_ids", "offsets", "lengths"), rotten)
-    damaged = F.aggregate(
-        F.transform(cuts, lambda x: (x["offsets"] + x["lengths"] - F.col("offsets")[0] - 4).cast("int")), F.col("content"),
-        lambda content, at: F.overlay(content, F.lit(b"\x00"), at, F.lit(1)),
-    )
-    replica = store.keep(stored.withColumn("content", damaged), "copies")
+    damaged = F.overlay("record", F.lit(b"\x00"), F.length("record") - 4, F.lit(1))
+    replica = store.keep(stored.withColumn("record", F.when(rotten, damaged).otherwise(F.col("record"))), "copies")
     first, second = (store.keep(stored_records(x), n) for x, n in ((stored, "records"), (replica, "replica")))
     found = audit(first, second, store).select("archive", "place", "fault")
     return first.join(found, ["archive", "place"], "left").select(

@@ -1,7 +1,7 @@
 """WARC records and a Merkle audit of their replicas.
 
-Archives are stored as segments of a few records' bytes; a replica's records (archive, place,
-offset, length, digest) are read from its stored bytes, range by range. The leaves of an
+Archives are stored record by record, with the places of their bytes; a replica's records (archive, place,
+offset, length, digest) are made from its stored bytes. The leaves of an
 archive's tree hash each record's digest with its offset range, in order; a node hashes
 ``FANOUT`` children and covers their range. The audit compares the roots of two replicas and
 goes down only below nodes that differ, one level at a time, so a damaged record costs a
@@ -22,8 +22,6 @@ from annulus.llm.storage import Store
 
 ARCHIVE_PAGES = 4096
 FANOUT = 16
-#: Bytes of an archive whose records are stored as one row.
-SEGMENT = 1 << 18
 _HEAD = re.compile(rb"WARC/1\.[01]\r\n(.*?)\r\n\r\n", re.S)
 
 
@@ -64,40 +62,31 @@ def records(pages: DataFrame) -> DataFrame:
         F.when(F.col("page_id").isNull(), F.substring("digest", 1, 8)).otherwise(F.substring("digest", 1, 4)).alias("lot"),
         "*",
     )
+    # the records' bytes are dealt out once, by archive and lot, which serves the windows and the join alike
+    dealt = made.repartition("archive", "lot")
     lots = ["archive", "page_id", "lot"]
     within = Window.partitionBy("archive").orderBy("page_id", "lot").rowsBetween(Window.unboundedPreceding, -1)
     sizes = made.groupBy(*lots).agg(F.count("*").alias("n"), F.sum("length").alias("bytes"))
     before = lambda c: F.coalesce(F.sum(c).over(within), F.lit(0))
-    base = sizes.select("archive", F.col("page_id").alias("of_page"), "lot", before("n").alias("places"), before("bytes").alias("start"))
+    base = sizes.select("archive", "lot", F.struct(F.col("page_id").alias("of"), before("n").alias("places"), before("bytes").alias("start")).alias("b"))
+    base = base.groupBy("archive", "lot").agg(F.collect_list("b").alias("bases"))  # the ids of an archive that share a lot: 4,096 at most
     along = Window.partitionBy(*lots).orderBy("digest")
-    counted = made.withColumn("k", F.row_number().over(along) - 1).withColumn("upto", F.sum("length").over(along.rowsBetween(Window.unboundedPreceding, 0)))
-    return counted.join(base, ["archive", "lot"]).where(F.col("page_id").eqNullSafe(F.col("of_page"))).select(
+    counted = dealt.withColumn("k", F.row_number().over(along) - 1).withColumn("upto", F.sum("length").over(along.rowsBetween(Window.unboundedPreceding, 0)))
+    own = F.filter("bases", lambda b: b["of"].eqNullSafe(F.col("page_id")))[0]
+    return counted.join(base, ["archive", "lot"]).withColumn("own", own).select(
         "archive",
-        (F.col("places") + F.col("k")).cast("long").alias("place"),
+        (F.col("own.places") + F.col("k")).cast("long").alias("place"),
         "page_id",
-        (F.col("start") + F.col("upto") - F.col("length")).alias("offset"),
+        (F.col("own.start") + F.col("upto") - F.col("length")).alias("offset"),
         "length",
         "digest",
         "record",
     )
 
 
-def segments(made: DataFrame) -> DataFrame:
-    """The archives' bytes as they are stored: the records that begin in the same SEGMENT bytes as one content, with their places, offsets, ids and lengths."""
-    own = F.struct("place", "offset", "page_id", "length", "record")
-    grouped = made.groupBy("archive", F.floor(F.col("offset") / SEGMENT).alias("segment")).agg(F.array_sort(F.collect_list(own)).alias("r"))
-    content = F.unhex(F.array_join(F.transform(F.col("r.record"), F.hex), ""))
-    lists = [F.col(f"r.{c}").alias(f"{c}s") for c in ("place", "offset", "page_id", "length")]
-    return grouped.select("archive", *lists, content.alias("content"))
-
-
 def stored_records(stored: DataFrame) -> DataFrame:
-    """Records (without their bytes) as they are found in stored segments: the digest is that of the bytes of each offset range."""
-    body = lambda x: F.substring("content", (x["offsets"] - F.col("offsets")[0] + 1).cast("int"), x["lengths"].cast("int"))
-    read = F.transform(F.arrays_zip("places", "page_ids", "offsets", "lengths"), lambda x: F.struct(x.alias("at"), F.sha2(body(x), 256).alias("digest")))
-    return stored.select("archive", F.explode(read).alias("r")).select(
-        "archive", F.col("r.at.places").alias("place"), F.col("r.at.page_ids").alias("page_id"), F.col("r.at.offsets").alias("offset"), F.col("r.at.lengths").alias("length"), "r.digest"
-    )
+    """Records (without their bytes) as they are found in storage: length and digest are those of the stored bytes."""
+    return stored.select("archive", "place", "page_id", "offset", F.length("record").cast("long").alias("length"), F.sha2("record", 256).alias("digest"))
 
 
 def leaves(replica: DataFrame) -> DataFrame:
