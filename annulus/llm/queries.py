@@ -8,12 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from annulus.llm.bpe import encode_documents
+from annulus.llm.conversations import damage, repair_conversations
 from annulus.llm.decontaminate import find_leaks
 from annulus.llm.langid import identify_languages
 from annulus.llm.licenses import scan_licenses
 from annulus.llm.line_dedup import dedup_lines
 from annulus.llm.media import decode_media, encode_media
 from annulus.llm.minhash import near_duplicates
+from annulus.llm.ranks import joined_sha256, same
 from annulus.llm.storage import Store
 from annulus.llm.token_counts import TOKENIZERS, TokenLedger, count_tokens, deletes, inserts, revisions
 from annulus.llm.toxicity import grade_toxicity
@@ -114,6 +116,19 @@ def op10_warc_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation's faults after damage, the cheapest repair and the digest of its repaired turns."""
+    convs = table(spark, sf_dir, "conversations")
+    audits, turns = repair_conversations(damage(convs))
+    texts = turns.select("conv_id", "place", F.concat("role", F.lit(":"), "text").alias("line"))
+    digests = joined_sha256(texts, "conv_id", "place", "line", "\n")
+    every = convs.select(F.col("conv_id").cast("long").alias("conv_id")).distinct()
+    found = every.join(audits, same(every, audits, "conv_id"), "left").drop(audits["conv_id"])
+    found = found.join(digests, same(found, digests, "conv_id"), "left").drop(digests["conv_id"])
+    numbers = (F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost"))
+    return found.select("conv_id", *numbers, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("sha256", F.sha2(F.lit(b""), 256)).alias("repaired_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_line_dedup": op1_line_dedup,
@@ -126,6 +141,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_bpe_roundtrip": op8_bpe_roundtrip,
         "op9_decontamination": op9_decontamination,
         "op10_warc_audit": op10_warc_audit,
+        "op12_conversation_repair": op12_conversation_repair,
     }
 
 
