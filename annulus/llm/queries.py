@@ -11,6 +11,7 @@ from annulus.llm.bpe import encode_documents
 from annulus.llm.conversations import damage, repair_conversations
 from annulus.llm.decontaminate import find_leaks
 from annulus.llm.langid import identify_languages
+from annulus.llm.late_rows import DailyLayout, epoch_micros, with_resent
 from annulus.llm.licenses import scan_licenses
 from annulus.llm.line_dedup import dedup_lines
 from annulus.llm.media import decode_media, encode_media
@@ -116,6 +117,29 @@ def op10_warc_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_late_overwrite(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The files of the daily layout of sales, of rows before 2024-03-20 at first, after the later ones have been put in."""
+    sales = table(spark, sf_dir, "sales")
+    # a folder of its own, in which nothing but the layout's files stays
+    layout = DailyLayout(sales, Store(spark, "sales-layout").root, "sale_id", "sold_at", "arrived_at", 1 + sales.count() // 1100)
+    rows, early = with_resent(sales), F.coalesce(F.col("arrived_at") < F.lit("2024-03-20 00:00:00").cast("timestamp_ntz"), F.lit(False))
+    layout.create(rows.where(early))
+    started = Store(spark, "sales-start").keep(layout.files(), "files")
+    layout.overwrite(rows.where(~early))
+
+    stored = layout.read()
+    cents = F.coalesce(F.floor(100 * F.col("total") + 0.5), F.lit(0))
+    parts = (F.coalesce(c.cast("string"), F.lit("")) for c in (F.col("sale_id"), epoch_micros("sold_at"), epoch_micros("arrived_at")))
+    crc = F.crc32(F.concat_ws(":", *parts).cast("binary"))
+    files = stored.groupBy("path", "day", "file_no").agg(F.count("*").alias("n_rows"), F.sum(cents).cast("long").alias("cents"), F.sum(crc).cast("long").alias("rows_crc"))
+    digests = joined_sha256(stored, "path", "row_index", "sale_id", ",").withColumnRenamed("sha256", "ids_sha256")
+    found = files.join(digests, "path").join(started.withColumn("untouched", F.lit(True)), "path", "left")
+    names = ",".join(layout.stored_columns())
+    return found.select(
+        "day", "file_no", "n_rows", "cents", "rows_crc", "path", F.lit(names).alias("columns"), "ids_sha256", F.col("untouched").isNull().alias("rewritten")
+    )
+
+
 def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every conversation's faults after damage, the cheapest repair and the digest of its repaired turns."""
     convs = table(spark, sf_dir, "conversations")
@@ -141,6 +165,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_bpe_roundtrip": op8_bpe_roundtrip,
         "op9_decontamination": op9_decontamination,
         "op10_warc_audit": op10_warc_audit,
+        "op11_late_overwrite": op11_late_overwrite,
         "op12_conversation_repair": op12_conversation_repair,
     }
 
