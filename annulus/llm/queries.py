@@ -16,6 +16,7 @@ from annulus.llm.licenses import scan_licenses
 from annulus.llm.line_dedup import dedup_lines
 from annulus.llm.media import decode_media, encode_media
 from annulus.llm.minhash import near_duplicates
+from annulus.llm.packing import pack_documents
 from annulus.llm.ranks import joined_sha256, same
 from annulus.llm.storage import Store
 from annulus.llm.token_counts import TOKENIZERS, TokenLedger, count_tokens, deletes, inserts, revisions
@@ -153,6 +154,14 @@ def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("conv_id", *numbers, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("sha256", F.sha2(F.lit(b""), 256)).alias("repaired_sha256"))
 
 
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces of all documents, each closed by id 1, in sequences of 2,048 tokens or a power of two."""
+    pieces = pack_documents(table(spark, sf_dir, "documents"), word_vocabulary(), 1)
+    return pieces.select(
+        "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "loss_tokens"
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_line_dedup": op1_line_dedup,
@@ -167,6 +176,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_warc_audit": op10_warc_audit,
         "op11_late_overwrite": op11_late_overwrite,
         "op12_conversation_repair": op12_conversation_repair,
+        "op13_packing": op13_packing,
     }
 
 

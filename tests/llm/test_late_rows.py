@@ -37,7 +37,8 @@ def resent(rows):
 
 
 def latest(rows):
-    order = lambda x: (x["arrived_at"] is not None, x["arrived_at"] or EPOCH, *((v is not None, str(v)) for k, v in x.items() if k == "note"))
+    low = {"arrived_at": EPOCH, "sold_at": EPOCH, "total": 0.0}
+    order = lambda x: tuple((x.get(k) is not None, x.get(k) if x.get(k) is not None else low.get(k, "")) for k in ("arrived_at", "total", "sold_at", "note"))
     best = {}
     for x in rows:
         if x["sale_id"] not in best or order(x) > order(best[x["sale_id"]]):
