@@ -92,8 +92,8 @@ def _connection():
 
     con = duckdb.connect(config={"threads": 1})
     columns = zip(*_moves())
-    moves = pa.table(dict(zip(("state", "kind", "next", "cost", "edits"), map(list, columns))))  # noqa: F841  (read by name)
-    con.execute("CREATE TABLE moves AS SELECT * FROM moves")
+    con.register("given", pa.table(dict(zip(("state", "kind", "next", "cost", "edits"), map(list, columns)))))
+    con.execute("CREATE TABLE moves AS SELECT * FROM given")
     return con
 
 
@@ -111,8 +111,8 @@ def _walk_batch(con, batch: pa.RecordBatch) -> pa.RecordBatch:
     initial = np.array(batch.column("initial").to_pylist(), dtype=object)
     pair = np.array([a + b not in ("su", "ua", "au") for a, b in zip(initial[:-1], initial[1:])], dtype=bool)
     illegal = np.add.reduceat(np.append(False, pair & ~new[1:]).astype(np.int64), begin)
-    turns = pa.table({"segment": number, "place": place, "kind": kind, "opening": cut == 0})  # noqa: F841  (read by name)
-    con.execute("CREATE OR REPLACE TABLE turns AS SELECT * FROM turns")
+    con.register("given", pa.table({"segment": number, "place": place, "kind": kind, "opening": cut == 0}))
+    con.execute("CREATE OR REPLACE TABLE turns AS SELECT * FROM given")
     found = con.sql(_WALK).to_arrow_table()
     at = found.column("segment").to_numpy()
     end = np.append(begin[1:], len(cut)) - 1
@@ -130,7 +130,7 @@ def _walk_batch(con, batch: pa.RecordBatch) -> pa.RecordBatch:
     return out.combine_chunks().to_batches()[0]
 
 
-def _walked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _walked(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
     con, held = _connection(), []
 
     def whole(rows: pa.Table, last: bool) -> tuple[pa.Table, pa.Table]:
@@ -148,9 +148,9 @@ def _walked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield _walk_batch(con, rows.combine_chunks().to_batches()[0])
 
     for batch in batches:
-        for lo in range(0, batch.num_rows, BATCH_TURNS):
-            held.append(batch.slice(lo, BATCH_TURNS))
-            if sum(b.num_rows for b in held) >= BATCH_TURNS:
+        for lo in range(0, batch.num_rows, most):
+            held.append(batch.slice(lo, most))
+            if sum(b.num_rows for b in held) >= most:
                 ended, rest = whole(pa.Table.from_batches(held), False)
                 yield from of(ended)
                 held = rest.to_batches()
@@ -247,7 +247,7 @@ def damage(convs: DataFrame) -> DataFrame:
     return rows.select("conv_id", "turn", role.alias("role"), text.alias("text"), F.explode(times)).drop("col")
 
 
-def repair_conversations(convs: DataFrame, store: Store | None = None, segment_turns: int = SEGMENT_TURNS) -> Repaired:
+def repair_conversations(convs: DataFrame, store: Store | None = None, segment_turns: int = SEGMENT_TURNS, batch_turns: int = BATCH_TURNS) -> Repaired:
     """Bring conversations into the grammar at the least cost.
 
     convs: conv_id long, turn long, role string and text string; other columns are ignored.
@@ -282,7 +282,7 @@ def repair_conversations(convs: DataFrame, store: Store | None = None, segment_t
     state = F.when(F.col("fault").isNull(), _WHOLE).when(F.col("fault") == "truncated", _CUT).otherwise(_GONE)
     role = F.when(F.col("initial") == "s", 0).when(F.col("initial") == "u", 1).when(F.col("initial") == "a", 2).otherwise(3)
     turns = faulty.select("conv_id", F.expr(f"place div {int(segment_turns)}").alias("segment"), "place", (3 * role + state).cast("int").alias("kind"), "initial")
-    walks = turns.repartition("conv_id", "segment").sortWithinPartitions("conv_id", "segment", "place").drop("place").mapInArrow(_walked, _WALKED)
+    walks = turns.repartition("conv_id", "segment").sortWithinPartitions("conv_id", "segment", "place").drop("place").mapInArrow(lambda batches: _walked(batches, batch_turns), _WALKED)
     folded = store.keep(walks.repartition("conv_id").sortWithinPartitions("conv_id", "segment").mapInArrow(_folded, _FOLDED), "audits")
 
     audits = folded.join(counts, same(folded, counts, "conv_id")).select(

@@ -92,10 +92,9 @@ def in_order(rows):
 
 
 @pytest.mark.parametrize("seed, segment", [(1, 256), (2, 1), (3, 3)])
-def test_equals_search_over_all_edits(spark, monkeypatch, seed, segment):
-    monkeypatch.setattr(conversations, "BATCH_TURNS", 7)
+def test_equals_search_over_all_edits(spark, seed, segment):
     rows = invented(seed)
-    got = result(repair_conversations(spark.createDataFrame(rows, SCHEMA), segment_turns=segment))
+    got = result(repair_conversations(spark.createDataFrame(rows, SCHEMA), segment_turns=segment, batch_turns=7))
     assert got == {c: plain(v) for c, v in in_order(rows).items()}
 
 
