@@ -64,7 +64,7 @@ _LOWERED = regex.compile("[" + "".join(map(chr, _LOWER)) + "]")
 #: Bytes of a word that is merged with others of its length, slots of the table of ranks, and text bytes of a batch.
 TOGETHER = 48
 SLOTS = 1 << 19
-BATCH_BYTES = 1 << 21
+BATCH_BYTES = 1 << 22
 
 
 def byte_characters() -> list[str]:
@@ -304,16 +304,16 @@ def slices(batch: pa.RecordBatch, text: str = "text", rows: int = 256) -> Iterat
 
 
 class _Cache:
-    """Ids and strings of what stands between white space. When CACHE_WORDS are held, those that the next texts don't have go."""
+    """Ids and strings of what stands between white space. When so many (``most``) are held, those that the next texts don't have go."""
 
-    def __init__(self, bpe: WordBpe):
-        self.bpe = bpe
+    def __init__(self, bpe: WordBpe, most: int = CACHE_WORDS):
+        self.bpe, self.most = bpe, most
         self.ids: dict[str, bytes] = {}
         self.strings: dict[str, str] = {}
 
     def hold(self, chunks: set[str]) -> None:
         """Hold at least these."""
-        if len(self.ids) >= CACHE_WORDS:
+        if len(self.ids) >= self.most:
             self.ids, held = {c: self.ids[c] for c in chunks.intersection(self.ids)}, self.strings
             self.strings = {c: held[c] for c in self.ids.keys() & held.keys()}
         new = list(chunks.difference(self.ids))

@@ -30,6 +30,8 @@ MAX_SEGMENTS = 256
 #: Examples and tokens that make a pool; a longer example is a pool of its own.
 POOL_ITEMS = 2048
 POOL_TOKENS = 1 << 21
+#: Words whose ids a worker holds, some 80 MB.
+CACHE_WORDS = 400_000
 #: Sequence ids of a task: its number is above these bits, the second round's tasks above all of the first.
 TASK_BITS, ROUND = 32, 1 << 60
 
@@ -39,11 +41,11 @@ _PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long, le
 class Pool:
     """Examples that wait for a place: what each has left, from ``start`` on."""
 
-    def __init__(self, tokens: int, segments: int, loss: int):
+    def __init__(self, tokens: int, segments: int, loss: int, most: int = POOL_ITEMS):
         self.limits = np.array([tokens, segments, loss], np.float64)
         self.tokens, self.segments, self.loss = tokens, segments, loss
         self.items: list[tuple] = []  # (doc_id, ids, start of ids in the document, tokens of the document, lead)
-        self.size = 0
+        self.size, self.most = 0, most
 
     def add(self, doc_id: int | None, ids: bytes, start: int, doc_tokens: int, lead: int) -> None:
         """lead: tokens of the document, from its beginning, that bear no loss."""
@@ -52,7 +54,7 @@ class Pool:
             self.size += len(ids) // 4
 
     def full(self) -> bool:
-        return len(self.items) >= POOL_ITEMS or self.size >= POOL_TOKENS
+        return len(self.items) >= self.most or self.size >= POOL_TOKENS
 
     def sequences(self, last: bool) -> Iterator[list[tuple]]:
         """Lists of (item, from, to), ids of items counted from 0. The rest, short of a sequence, stays in the pool unless it is the last."""
@@ -118,7 +120,7 @@ def _pieces(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=[x.split()[0] for x in _PIECES.split(", ")])
 
 
-def _packed(examples: Iterator[tuple], limits: tuple[int, int, int], first: int, last: bool) -> Iterator[pa.RecordBatch]:
+def _packed(examples: Iterator[tuple], limits: tuple[int, ...], first: int, last: bool) -> Iterator[pa.RecordBatch]:
     """examples: the arguments of ``Pool.add``. Without last, the rest comes with no sequence_id."""
     pool, sequence = Pool(*limits), first
 
@@ -151,7 +153,7 @@ def _first(of: int) -> int:
     return of + (TaskContext.get().partitionId() << TASK_BITS)
 
 
-def pack(examples: DataFrame, max_tokens: int = SEQUENCE_TOKENS, max_segments: int = MAX_SEGMENTS, max_loss_tokens: int | None = None, store: Store | None = None) -> DataFrame:
+def pack(examples: DataFrame, max_tokens: int = SEQUENCE_TOKENS, max_segments: int = MAX_SEGMENTS, max_loss_tokens: int | None = None, store: Store | None = None, pool_items: int = POOL_ITEMS) -> DataFrame:
     """Place examples in sequences of at most max_tokens, max_segments pieces and max_loss_tokens (None: max_tokens) loss-bearing tokens.
 
     examples: doc_id long, ids binary (little-endian unsigned 32-bit integers) and lead long: so
@@ -163,7 +165,7 @@ def pack(examples: DataFrame, max_tokens: int = SEQUENCE_TOKENS, max_segments: i
     An example without ids, or null ids, has no piece. Repeated rows are examples of their own; a null doc_id
     stays. Limits are at least 1. Which examples meet depends on how the rows are dealt out. Other columns are ignored.
     """
-    limits = (int(max_tokens), int(max_segments), int(max_tokens if max_loss_tokens is None else max_loss_tokens))
+    limits = (int(max_tokens), int(max_segments), int(max_tokens if max_loss_tokens is None else max_loss_tokens), int(pool_items))
     if min(limits) < 1:
         raise ValueError("limits are at least 1")
 
@@ -175,7 +177,7 @@ def pack(examples: DataFrame, max_tokens: int = SEQUENCE_TOKENS, max_segments: i
     return _finished(items.mapInArrow(begin, _PIECES), limits, store or Store(examples.sparkSession, "packing"))
 
 
-def _finished(pieces: DataFrame, limits: tuple[int, int, int], store: Store) -> DataFrame:
+def _finished(pieces: DataFrame, limits: tuple[int, ...], store: Store) -> DataFrame:
     """The second round: what the first has left, from all its tasks."""
     pieces = store.keep(pieces, "pieces")
 
@@ -192,15 +194,16 @@ def pack_documents(docs: DataFrame, vocabulary: str, end_id: int, max_segments:
 
     A document's first token has nothing before it, so it bears no loss.
     """
-    shipped, limits = broadcast_vocabulary(docs.sparkSession, vocabulary), (SEQUENCE_TOKENS, int(max_segments), SEQUENCE_TOKENS)
+    shipped, limits = broadcast_vocabulary(docs.sparkSession, vocabulary), (SEQUENCE_TOKENS, int(max_segments), SEQUENCE_TOKENS, POOL_ITEMS)
     closing = int(end_id).to_bytes(4, "little")
 
     def begin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = loaded(shipped)
+        bpe.cache.most = CACHE_WORDS
 
         def examples() -> Iterator[tuple]:
             for batch in batches:
-                for part in slices(batch):
+                for part in slices(batch, rows=512):
                     for doc_id, ids in zip(part.column("doc_id").to_pylist(), bpe.ids(part.column("text").to_pylist())):
                         ids += closing
                         yield doc_id, ids, 0, len(ids) // 4, 1

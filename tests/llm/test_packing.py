@@ -8,7 +8,6 @@ import numpy as np
 import pyarrow.parquet as pq
 import pytest
 
-from annulus.llm import packing
 from annulus.llm.packing import Pool, pack, pack_documents
 from annulus.llm.queries import op13_packing, word_vocabulary
 
@@ -42,12 +41,11 @@ def whole(pieces, examples, limits):
 
 
 @pytest.mark.parametrize("seed, limits", [(1, (64, 5, 64)), (2, (100, 9, 40)), (3, (16, 1, 3)), (4, (1, 1, 1))])
-def test_limits_and_ids(spark, monkeypatch, seed, limits):
-    monkeypatch.setattr(packing, "POOL_ITEMS", 17)
+def test_limits_and_ids(spark, seed, limits):
     rng = random.Random(seed)
     examples = {d: ([rng.randrange(50_000) for _ in range(rng.choice((0, 1, 2, 5, 30, 90, 700)))], rng.choice((0, 1, 20))) for d in range(150)}
     df = spark.createDataFrame([(d, bytearray(packed(i)), m, "x") for d, (i, m) in examples.items()], "doc_id long, ids binary, lead long, start string")
-    whole(pack(df.repartition(3), *limits).collect(), examples, limits)
+    whole(pack(df.repartition(3), *limits, pool_items=17).collect(), examples, limits)
 
 
 def test_sequences_are_full(spark):
