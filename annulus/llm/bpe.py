@@ -162,10 +162,12 @@ class WordBpe:
 
     def words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of pre-tokenised words, one behind the other, and where each word's begin (one more value than words)."""
-        raw = [w.encode("utf-8") for w in words]
-        sizes = np.fromiter(map(len, raw), np.int64, len(raw))
-        ends = np.cumsum(sizes)
-        data = np.frombuffer(b"".join(raw), np.uint8)
+        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)))
+        text = "".join(words)
+        data = np.frombuffer(text.encode("utf-8"), np.uint8)
+        if not text.isascii():  # from characters to bytes
+            ends = np.append(np.flatnonzero((data & 0xC0) != 0x80), len(data))[ends]
+        sizes = np.diff(ends, prepend=0)
         inner, last = self._tables()[:2]
         parts = inner[data]
         parts[ends - 1] = last[data[ends - 1]]
@@ -255,7 +257,10 @@ class WordBpe:
 
     def _held(self, texts: list[str | None]) -> list[list[list[str] | str]]:
         parts = [self._parts(t) for t in texts]
-        self.cache.hold({c for of in parts for p in of if isinstance(p, list) for c in p})
+        chunks: set[str] = set()
+        for p in (p for of in parts for p in of if isinstance(p, list)):
+            chunks.update(p)
+        self.cache.hold(chunks)
         return parts
 
     def _ids(self, parts: list[list[str] | str]) -> bytes:
