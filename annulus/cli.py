@@ -95,7 +95,7 @@ def main(argv: list[str] | None = None) -> None:
         bam.require_order(spark, a.i, "queryname")
         contigs = [(r.chrom, r.length) for r in bam.read_contigs(spark, a.i).orderBy("ref_id").collect()]
         reads = bam.read_bam(spark, a.i)
-        bam.write_bam(P.extract(reads, a.quality, not a.nodiscordant, not a.nosoftclipped, not a.nohardclipped), at(a.output), contigs)
+        bam.write_bam(P.extract(reads, a.quality, not a.nodiscordant, not a.nosoftclipped, not a.nohardclipped), at(a.output), contigs, text=bam.header_text(spark, a.i))
         says(f"{P.unpaired(reads).count()} reads have no mate before or behind them in the file")
     elif a.command == "repeats":
         text.write_bed(P.repeats(bam.read_bam(spark, a.i), bam.read_contigs(spark, a.i), a.mismatch, a.fraction, a.read_number, a.ratio, a.bases, a.extension, a.base_quality), at(a.output))
@@ -122,7 +122,7 @@ def main(argv: list[str] | None = None) -> None:
             bam.require_order(spark, a.sbam, "coordinate")
             text.write_bed(P.realign(candidates, named, bam.read_bam(spark, a.sbam), contigs, genome, p), at(a.output))
         else:
-            bam.write_bam(P.realign_reads(candidates, named, contigs, genome, p), at(a.output), [(r.chrom, r.length) for r in contigs.orderBy("ref_id").collect()])
+            bam.write_bam(P.realign_reads(candidates, named, contigs, genome, p), at(a.output), [(r.chrom, r.length) for r in contigs.orderBy("ref_id").collect()], text=bam.header_text(spark, a.i))
 
 
 if __name__ == "__main__":

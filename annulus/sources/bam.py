@@ -13,7 +13,6 @@ import struct
 import uuid
 import warnings
 import zlib
-from bisect import bisect_right
 from collections.abc import Iterator
 from functools import partial
 
@@ -23,13 +22,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from annulus.schema import CIGAR_OPS, CONTIGS, READS
 from annulus.sources.ranges import RANGE, files, opened, ranges, read_bytes
+from annulus.sources.records import BASES, NUMBERS, decoded
 
-_BASES = "=ACMGRSVTWYHKDBN"
-_HEX_BASES = str.maketrans("0123456789abcdef", _BASES)
 _BLOCK = 0xFF00
 _END = bytes.fromhex("1f8b08040000000000ff0600424302001b0003000000000000000000")
-_SIZES = {"A": 1, "c": 1, "C": 1, "s": 2, "S": 2, "i": 4, "I": 4, "f": 4}
-_KINDS = {"c": "b", "C": "B", "s": "h", "S": "H", "i": "i", "I": "I", "f": "f"}
 
 
 #: Records that must follow one another where a range begins, and the largest block.
@@ -118,25 +114,6 @@ def sort_order(text: str) -> str:
     return "unknown"
 
 
-def _tags(raw: bytes, at: int, end: int) -> dict[str, str]:
-    out = {}
-    while at < end:
-        name, kind = raw[at : at + 2].decode(), chr(raw[at + 2])
-        at += 3
-        if kind in "ZH":
-            stop = raw.index(0, at)
-            out[name], at = raw[at:stop].decode(), stop + 1
-        elif kind == "A":
-            out[name], at = chr(raw[at]), at + 1
-        elif kind == "B":
-            sub, n = chr(raw[at]), struct.unpack_from("<i", raw, at + 1)[0]
-            values = struct.unpack_from(f"<{n}{_KINDS[sub]}", raw, at + 5)
-            out[name], at = ",".join(map(str, (sub, *values))), at + 5 + n * _SIZES[sub]
-        else:
-            out[name], at = str(struct.unpack_from("<" + _KINDS[kind], raw, at)[0]), at + _SIZES[kind]
-    return out
-
-
 def _sensible(raw: bytes, at: int, contigs: int) -> int:
     """Bytes of the record that may begin at a place; 0 if it makes no sense, -1 if the data ends before that can be told."""
     if at + 36 > len(raw):
@@ -168,41 +145,6 @@ def first_record(raw: bytes, contigs: int, limit: int) -> int:
     return -1
 
 
-def parse_reads(raw: bytes, contigs: list[tuple[str, int]], at: int) -> Iterator[dict]:
-    """Records as dicts of the reads schema, in file order, until the data ends; ordinal is the place in the data."""
-    name_of = lambda r: contigs[r][0] if r >= 0 else None
-    while at + 4 <= len(raw):
-        size = struct.unpack_from("<i", raw, at)[0]
-        if at + 4 + size > len(raw):
-            return
-        ref, pos, n_name, mapq, _, n_cigar, flag, n_seq, next_ref, next_pos, tlen = struct.unpack_from("<iiBBHHHiiii", raw, at + 4)
-        p, end = at + 36, at + 4 + size
-        name = raw[p : p + n_name - 1].decode()
-        p += n_name
-        cigar = [{"op": c & 15, "len": c >> 4} for c in struct.unpack_from(f"<{n_cigar}I", raw, p)]
-        p += 4 * n_cigar
-        packed = raw[p : p + (n_seq + 1) // 2]
-        seq = packed.hex().translate(_HEX_BASES)[:n_seq]
-        p += len(packed)
-        qual = list(raw[p : p + n_seq]) if n_seq and raw[p] != 255 else None
-        tags = _tags(raw, p + n_seq, end)
-        number = lambda k: int(tags[k]) if k in tags else None  # noqa: B023, E731
-        yield {
-            "ordinal": at, "qname": name, "flag": flag, "ref_id": ref, "chrom": name_of(ref), "pos": pos, "mapq": mapq, "cigar": cigar, "next_ref_id": next_ref,
-            "next_chrom": name_of(next_ref), "next_pos": next_pos, "tlen": tlen, "seq": seq, "qual": qual, "sa": tags.get("SA"), "xa": tags.get("XA"), "nm": number("NM"), "mq": number("MQ"),
-            "tags": list(tags.items()),
-        }
-        at = end
-
-
-_CIGAR = pa.list_(pa.struct([("op", pa.int32()), ("len", pa.int32())]))
-_ARROW = pa.schema(
-    [("ordinal", pa.int64()), ("qname", pa.string()), ("flag", pa.int32()), ("ref_id", pa.int32()), ("chrom", pa.string()), ("pos", pa.int64()), ("mapq", pa.int32()), ("cigar", _CIGAR),
-     ("next_ref_id", pa.int32()), ("next_chrom", pa.string()), ("next_pos", pa.int64()), ("tlen", pa.int64()), ("seq", pa.string()), ("qual", pa.list_(pa.int32())), ("sa", pa.string()),
-     ("xa", pa.string()), ("nm", pa.int32()), ("mq", pa.int32()), ("tags", pa.map_(pa.string(), pa.string()))]
-)
-
-
 def header(path: str) -> tuple[str, list[tuple[str, int]], int, int]:
     """Header text and contigs of a file, and the place in the file and in its block where the records begin."""
     size, head = MOST_BLOCK * 4, b""
@@ -228,17 +170,23 @@ def header(path: str) -> tuple[str, list[tuple[str, int]], int, int]:
     return text, contigs, last + block_size(raw, last), 0
 
 
-def _rows(path: str, lo: int, hi: int, size: int) -> Iterator[dict]:
-    """Records that begin in the blocks that begin in a file's bytes [lo, hi); ordinal is the virtual offset."""
+def located(path: str, lo: int, hi: int, size: int, begin: int | None = None, end: int = 0) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Records that begin in the blocks that begin in a file's bytes [lo, hi): their data, where they start in it, and virtual offsets.
+
+    With begin, the virtual offset of a record, what is read begins there, and ends before the virtual offset end.
+    """
     _, contigs, first, inside = header(path)
-    if hi <= first:
-        return
-    at = max(lo, first)
-    begun = at == first
+    if begin is not None:
+        at, inside, hi = begin >> 16, begin & 0xFFFF, end >> 16
+    else:
+        if hi <= first:
+            return
+        at = max(lo, first)
+    begun = begin is not None or at == first
     tail = 4 * MOST_BLOCK
     raw = read_bytes(path, at, min(size, hi + tail))
     start = 0 if begun else first_block(raw, at + len(raw) == size)
-    if start < 0 or at + start >= hi:
+    if start < 0 or (begin is None and at + start >= hi):
         return
     places, parts, total = [], [], 0
     stop = None
@@ -246,7 +194,8 @@ def _rows(path: str, lo: int, hi: int, size: int) -> Iterator[dict]:
         consumed = start
         for place, content in blocks(raw, start):
             if at + place >= hi and stop is None:
-                stop = total  # records that begin from here on belong to the next range
+                # records that begin from here on are another's
+                stop = total + (end & 0xFFFF if at + place == hi else 0)
             places.append((total, at + place))
             parts.append(content)
             total += len(content)
@@ -256,32 +205,46 @@ def _rows(path: str, lo: int, hi: int, size: int) -> Iterator[dict]:
         if where < 0:
             return
         limit = len(data) if stop is None else stop
-        done = where
+        starts, done = [], where
         while done + 4 <= len(data) and done < limit:
+            starts.append(done)
             done += 4 + struct.unpack_from("<i", data, done)[0]
         if done <= len(data) or at + len(raw) >= size:
             break
         more = read_bytes(path, at + len(raw), min(size, at + len(raw) + tail))  # the last record runs on
         raw, start, tail = raw + more, consumed, 4 * tail
-    begins = [t for t, _ in places]
-    for row in parse_reads(data, contigs, where):
-        if row["ordinal"] >= limit:
-            return
-        k = bisect_right(begins, row["ordinal"]) - 1
-        row["ordinal"] = (places[k][1] << 16) | (row["ordinal"] - begins[k])
-        yield row
+    if done > len(data) and starts:
+        starts.pop()
+    if starts:
+        begins, of = (np.array(x, np.int64) for x in zip(*places))
+        found = np.array(starts, np.int64)
+        block = np.searchsorted(begins, found, side="right") - 1
+        yield np.frombuffer(data, np.uint8), found, (of[block] << 16) | (found - begins[block])
+
+
+#: Records, and bytes of them, that are decoded at a time.
+TOGETHER, TOGETHER_BYTES = 5000, 1 << 23
+
+
+def batches_of(data: np.ndarray, starts: np.ndarray, ordinals: np.ndarray, contigs: pa.Array) -> Iterator[pa.RecordBatch]:
+    lo = 0
+    while lo < len(starts):
+        hi = min(lo + TOGETHER, max(lo + 1, int(np.searchsorted(starts, starts[lo] + TOGETHER_BYTES))))
+        last = int(starts[hi]) if hi < len(starts) else len(data)
+        first = int(starts[lo])
+        yield decoded(data[first:last], starts[lo:hi] - first, ordinals[lo:hi], contigs)
+        lo = hi
+
+
+def contig_names(path: str) -> pa.Array:
+    return pa.array([c for c, _ in header(path)[1]], pa.string())
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for path, lo, hi, size in zip(*(batch.column(c).to_pylist() for c in ("path", "lo", "hi", "size"))):
-            rows = []
-            for row in _rows(path, lo, hi, size):
-                rows.append(row)
-                if len(rows) == 5000:
-                    yield pa.RecordBatch.from_pylist(rows, schema=_ARROW)
-                    rows = []
-            yield pa.RecordBatch.from_pylist(rows, schema=_ARROW)
+            for found in located(path, lo, hi, size):
+                yield from batches_of(*found, contig_names(path))
 
 
 def read_bam(spark: SparkSession, path: str, range_bytes: int = RANGE) -> DataFrame:
@@ -295,46 +258,78 @@ def read_contigs(spark: SparkSession, path: str) -> DataFrame:
     return spark.createDataFrame([(i, c, n) for i, (c, n) in enumerate(contigs)], CONTIGS)
 
 
+def header_text(spark: SparkSession, path: str) -> str:
+    """The header's text (of several files, the first one's)."""
+    return header(files(spark, path)[0][0])[0]
+
+
 def require_order(spark: SparkSession, path: str, wanted: str) -> None:
-    """Raise if the header names another sort order than the wanted one; warn if it names none."""
+    """Raise if the header names another sort order than the wanted one (``unsorted`` among them); warn if it names none."""
     found = sort_order(header(files(spark, path)[0][0])[0])
-    if found in ("unknown", "unsorted") and found != wanted:
+    if found == "unknown":
         warnings.warn(f"the header of {path} does not say that the reads are sorted by {wanted}", stacklevel=2)
     elif found != wanted:
         raise ValueError(f"the reads are sorted by {found}, not {wanted}")
 
 
-def _tag_bytes(name: str, value: str) -> bytes:
-    if name in ("NM", "MQ", "AS", "XS"):
-        return name.encode() + b"i" + struct.pack("<i", int(value))
-    return name.encode() + b"Z" + str(value).encode() + b"\0"
-
-
-def header_bytes(contigs: list[tuple[str, int]], order: str = "unsorted") -> bytes:
-    text = (f"@HD\tVN:1.6\tSO:{order}\n" + "".join(f"@SQ\tSN:{c}\tLN:{n}\n" for c, n in contigs)).encode()
-    out = [b"BAM\x01", struct.pack("<i", len(text)), text, struct.pack("<i", len(contigs))]
+def tag_bytes(name: str, typed: str) -> bytes:
+    """A tag from its name and its type and value as SAM text has them."""
+    kind, value = typed[0], typed[2:]
+    head = name.encode() + kind.encode()
+    if kind in "ZH":
+        return head + value.encode() + b"\0"
+    if kind == "A":
+        return head + value.encode()
+    if kind == "B":
+        of, *values = value.split(",")
+        return head + of.encode() + struct.pack("<i", len(values)) + np.array([float(v) if of == "f" else int(v) for v in values], NUMBERS[of]).tobytes()
+    if kind == "f":
+        return head + np.float32(value).tobytes()
+    number = int(value)
+    if kind not in "cCsSiI":
+        raise ValueError(f"a tag of type {kind}")
+    fits = "i" if number < 1 << 31 else "I"
+    return name.encode() + fits.encode() + struct.pack("<" + fits, number)
+
+
+def ordered_header(text: str, order: str) -> str:
+    """A header's text with the given sort order in its first line; the other lines stay."""
+    lines = [x for x in text.splitlines() if x and not x.startswith("@HD")]
+    old = next((x.split("\t") for x in text.splitlines() if x.startswith("@HD")), ["@HD", "VN:1.6"])
+    return "\n".join(["\t".join([*(x for x in old if not x.startswith(("SO:", "GO:", "SS:"))), f"SO:{order}"]), *lines]) + "\n"
+
+
+def header_bytes(contigs: list[tuple[str, int]], order: str = "unsorted", text: str | None = None) -> bytes:
+    """text: of another file's header, whose lines are kept but for the sort order; without it the contigs alone are named."""
+    if text is None:
+        text = "".join(f"@SQ\tSN:{c}\tLN:{n}\n" for c, n in contigs)
+    raw = ordered_header(text, order).encode()
+    out = [b"BAM\x01", struct.pack("<i", len(raw)), raw, struct.pack("<i", len(contigs))]
     return b"".join(out + [struct.pack("<i", len(c) + 1) + c.encode() + b"\0" + struct.pack("<i", n) for c, n in contigs])
 
 
 def record_bytes(r: dict, index: dict[str, int]) -> bytes:
     cigar, seq, name = r["cigar"] or [], r["seq"] or "", r["qname"].encode() + b"\0"
-    codes = np.array([_BASES.find(b) for b in seq.upper()] + [0] * (len(seq) & 1), np.int16)
+    codes = np.array([BASES.find(b) for b in seq.upper()] + [0] * (len(seq) & 1), np.int16)
     codes = np.where((codes > 15) | (codes < 0), 15, codes).astype(np.uint8)
     packed = ((codes[::2] << 4) | codes[1::2]).tobytes()
     qual = bytes(r["qual"]) if r["qual"] else b"\xff" * len(seq)
-    tags = dict(r.get("tags") or {}) | {k: r[c] for k, c in (("SA", "sa"), ("XA", "xa"), ("NM", "nm"), ("MQ", "mq")) if r.get(c) is not None}
+    tags = dict(r.get("tags") or {})
+    for k, c, kind in (("SA", "sa", "Z"), ("XA", "xa", "Z"), ("NM", "nm", "i"), ("MQ", "mq", "i")):
+        if r.get(c) is not None:  # in the place of the one that was read
+            tags[k] = f"{kind}:{r[c]}"
     span = sum(c["len"] for c in cigar if CIGAR_OPS[c["op"]] in "MDN=X")
     body = struct.pack(
         "<iiBBHHHiiii", index.get(r["chrom"], -1), r["pos"], len(name), r["mapq"], _bin(r["pos"], r["pos"] + max(1, span)), len(cigar), r["flag"], len(seq), index.get(r["next_chrom"], -1), r["next_pos"], r["tlen"]
     )
-    body += name + b"".join(struct.pack("<I", (c["len"] << 4) | c["op"]) for c in cigar) + packed + qual + b"".join(_tag_bytes(k, v) for k, v in sorted(tags.items()))
+    body += name + b"".join(struct.pack("<I", (c["len"] << 4) | c["op"]) for c in cigar) + packed + qual + b"".join(tag_bytes(k, v) for k, v in tags.items())
     return struct.pack("<i", len(body)) + body
 
 
-def bam_bytes(rows: list[dict], contigs: list[tuple[str, int]], order: str = "unsorted") -> bytes:
+def bam_bytes(rows: list[dict], contigs: list[tuple[str, int]], order: str = "unsorted", text: str | None = None) -> bytes:
     """A BAM file of reads."""
     index = {c: i for i, (c, _) in enumerate(contigs)}
-    return deflate(header_bytes(contigs, order) + b"".join(record_bytes(r, index) for r in rows)) + _END
+    return deflate(header_bytes(contigs, order, text) + b"".join(record_bytes(r, index) for r in rows)) + _END
 
 
 def _bin(start: int, end: int) -> int:
@@ -346,7 +341,7 @@ def _bin(start: int, end: int) -> int:
     return 0
 
 
-def _written(batches: Iterator[pa.RecordBatch], path: str, contigs: list[tuple[str, int]], order: str) -> Iterator[pa.RecordBatch]:
+def _written(batches: Iterator[pa.RecordBatch], path: str, contigs: list[tuple[str, int]], order: str, text: str | None) -> Iterator[pa.RecordBatch]:
     """Write a partition to a file of this attempt's own; says where."""
     from pyspark import TaskContext
 
@@ -354,7 +349,7 @@ def _written(batches: Iterator[pa.RecordBatch], path: str, contigs: list[tuple[s
     part = TaskContext.get().partitionId()
     system, base = opened(path)
     name = f"_attempts/part-{part:05d}-{uuid.uuid4().hex}"
-    out, held, rows = None, bytearray(header_bytes(contigs, order)), 0
+    out, held, rows = None, bytearray(header_bytes(contigs, order, text)), 0
     for batch in batches:
         for row in batch.to_pylist():
             held += record_bytes(row, index)
@@ -372,8 +367,8 @@ def _written(batches: Iterator[pa.RecordBatch], path: str, contigs: list[tuple[s
     yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([name])], names=["part", "name"])
 
 
-def write_bam(reads: DataFrame, path: str, contigs: list[tuple[str, int]], order: str = "unsorted") -> None:
-    """Write path/part-NNNNN.bam, a file a partition.
+def write_bam(reads: DataFrame, path: str, contigs: list[tuple[str, int]], order: str = "unsorted", text: str | None = None) -> None:
+    """Write path/part-NNNNN.bam, a file a partition; text: of the header that the files continue (read groups, programs, comments).
 
     Tasks write files of their own, deflated as they go; when all have ended, the driver renames one
     attempt of each partition, so attempts that were lost or ran twice leave nothing behind.
@@ -384,7 +379,7 @@ def write_bam(reads: DataFrame, path: str, contigs: list[tuple[str, int]], order
     base = system.makeQualified(base)
     of = lambda name: spark._jvm.org.apache.hadoop.fs.Path(base, name)
     system.mkdirs(of("_attempts"))
-    done = reads.mapInArrow(partial(_written, path=base.toString(), contigs=contigs, order=order), "part int, name string").collect()
+    done = reads.mapInArrow(partial(_written, path=base.toString(), contigs=contigs, order=order, text=text), "part int, name string").collect()
     for row in done:
         target = of(f"part-{row.part:05d}.bam")
         system.delete(target, False)

@@ -105,7 +105,7 @@ def read_fastq(spark: SparkSession, path: str, range_bytes: int = RANGE) -> Data
         lines = spark.read.text(path, wholetext=True)
         groups = F.regexp_extract_all("value", F.lit("@[^\\n]*\\n[^\\n]*\\n\\+[^\\n]*\\n[^\\n]*"), F.lit(0))
         p = lines.select(F.explode(groups).alias("r")).select(F.split("r", "\\n").alias("p"))
-        return p.select(F.substring(C("p")[0], 2, 1 << 20).alias("name"), C("p")[1].alias("seq"), C("p")[3].alias("qual"))
+        return p.select(F.right(C("p")[0], F.length(C("p")[0]) - 1).alias("name"), C("p")[1].alias("seq"), C("p")[3].alias("qual"))
     return ranges(spark, path, range_bytes).mapInArrow(_fastq, FASTQ)
 
 
@@ -126,11 +126,12 @@ def read_sam(spark: SparkSession, path: str) -> DataFrame:
     """Records of SAM text: name, flag, chrom, 0-based pos, mapq, cigar, mate, template length, bases, qualities and tags."""
     p = F.split("value", "\t")
     tags = F.map_from_entries(
-        F.transform(F.slice(p, F.lit(12), F.greatest(F.size(p) - 11, F.lit(0))), lambda t: F.struct(F.substring(t, 1, 2).alias("k"), F.substring(t, 6, 1 << 20).alias("v")))
+        F.transform(F.slice(p, F.lit(12), F.greatest(F.size(p) - 11, F.lit(0))), lambda t: F.struct(F.left(t, F.lit(2)).alias("k"), F.right(t, F.length(t) - 3).alias("v")))
     )
     rows = spark.read.text(path).where("value NOT LIKE '@%' AND value <> ''").select(p.alias("p"), tags.alias("tags"))
     x = lambda i: C("p")[i]
-    tag = lambda k: F.try_element_at(C("tags"), F.lit(k))
+    typed = lambda k: F.try_element_at(C("tags"), F.lit(k))
+    tag = lambda k: F.right(typed(k), F.length(typed(k)) - 2)
     return rows.select(
         x(0).alias("qname"), x(1).cast("int").alias("flag"), x(2).alias("chrom"), (x(3).cast("long") - 1).alias("pos"), x(4).cast("int").alias("mapq"), parse_cigar(x(5)).alias("cigar"),
         F.when(x(6) == "=", x(2)).otherwise(x(6)).alias("next_chrom"), (x(7).cast("long") - 1).alias("next_pos"), x(8).cast("long").alias("tlen"), x(9).alias("seq"),
@@ -142,10 +143,11 @@ def sam_lines(reads: DataFrame) -> DataFrame:
     """Reads as SAM lines."""
     cigar = F.array_join(F.transform("cigar", lambda c: F.concat(c["len"].cast("string"), F.substring(F.lit("MIDNSHP=X"), c["op"] + 1, F.lit(1)))), "")
     tag = lambda n, kind, c: F.when(C(c).isNotNull(), F.concat(F.lit(f"{n}:{kind}:"), C(c).cast("string")))
+    others = F.transform(F.filter(F.map_entries("tags"), lambda t: ~t["key"].isin("SA", "XA", "NM", "MQ")), lambda t: F.concat_ws(":", t["key"], t["value"]))
     qual = F.array_join(F.transform("qual", lambda q: F.char(q + 33)), "")
     fields = ["qname", C("flag").cast("string"), "chrom", (C("pos") + 1).cast("string"), C("mapq").cast("string"), cigar, "next_chrom", (C("next_pos") + 1).cast("string"), C("tlen").cast("string"), "seq", qual]
     fields = [F.coalesce(C(f) if isinstance(f, str) else f, F.lit("*")) for f in fields]
-    return reads.select(F.concat_ws("\t", *fields, tag("SA", "Z", "sa"), tag("XA", "Z", "xa"), tag("NM", "i", "nm"), tag("MQ", "i", "mq")).alias("value"))
+    return reads.select(F.concat_ws("\t", *fields, tag("SA", "Z", "sa"), tag("XA", "Z", "xa"), tag("NM", "i", "nm"), tag("MQ", "i", "mq"), others).alias("value"))
 
 
 def write_sam(reads: DataFrame, path: str) -> None:

@@ -276,8 +276,11 @@ def test_bam_round_trip(spark, tmp_path):
     with pytest.raises(ValueError):
         bam.require_order(spark, str(tmp_path / "x.bam"), "coordinate")
     (tmp_path / "u.bam").write_bytes(bam.bam_bytes(some_reads(), contigs))
-    with pytest.warns(UserWarning):
+    with pytest.raises(ValueError):
         bam.require_order(spark, str(tmp_path / "u.bam"), "queryname")
+    (tmp_path / "n.bam").write_bytes(bam.bam_bytes(some_reads(), contigs, "unknown"))
+    with pytest.warns(UserWarning):
+        bam.require_order(spark, str(tmp_path / "n.bam"), "queryname")
     bam.write_bam(got.coalesce(1), str(tmp_path / "out"), contigs)
     again = bam.read_bam(spark, str(tmp_path / "out"))
     assert rows(again, "qname", "pos", "seq") == rows(got, "qname", "pos", "seq")
