@@ -175,10 +175,10 @@ def located(path: str, lo: int, hi: int, size: int, begin: int | None = None, en
 
     With begin, the virtual offset of a record, what is read begins there, and ends before the virtual offset end.
     """
-    _, contigs, first, inside = header(path)
     if begin is not None:
-        at, inside, hi = begin >> 16, begin & 0xFFFF, end >> 16
+        contigs, at, inside, hi = [], begin >> 16, begin & 0xFFFF, end >> 16
     else:
+        _, contigs, first, inside = header(path)
         if hi <= first:
             return
         at = max(lo, first)
@@ -189,12 +189,14 @@ def located(path: str, lo: int, hi: int, size: int, begin: int | None = None, en
     if start < 0 or (begin is None and at + start >= hi):
         return
     places, parts, total = [], [], 0
-    stop = None
+    stop, runs_on = None, begin is None  # without an index, what follows proves where records begin
     while True:
         consumed = start
         for place, content in blocks(raw, start):
+            if stop is not None and not runs_on:
+                break
             if at + place >= hi and stop is None:
-                # records that begin from here on are another's
+                # records that begin from here on are another's; this block may end the last one
                 stop = total + (end & 0xFFFF if at + place == hi else 0)
             places.append((total, at + place))
             parts.append(content)
@@ -209,10 +211,10 @@ def located(path: str, lo: int, hi: int, size: int, begin: int | None = None, en
         while done + 4 <= len(data) and done < limit:
             starts.append(done)
             done += 4 + struct.unpack_from("<i", data, done)[0]
-        if done <= len(data) or at + len(raw) >= size:
+        if done <= len(data) or (consumed >= len(raw) and at + len(raw) >= size):
             break
         more = read_bytes(path, at + len(raw), min(size, at + len(raw) + tail))  # the last record runs on
-        raw, start, tail = raw + more, consumed, 4 * tail
+        raw, start, tail, runs_on = raw + more, consumed, 4 * tail, True
     if done > len(data) and starts:
         starts.pop()
     if starts:
