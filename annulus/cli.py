@@ -11,6 +11,7 @@ from pyspark.sql import SparkSession
 from annulus.plans import pipelines as P
 from annulus.session import ship
 from annulus.sources import bam, text
+from annulus.sources.fasta import Fasta
 
 #: Short options of the realignment commands, by parameter.
 SHORT = {
@@ -116,7 +117,7 @@ def main(argv: list[str] | None = None) -> None:
     else:
         p = P.Params(**{f.name: getattr(a, f.name) for f in fields(P.Params) if hasattr(a, f.name)})
         bam.require_order(spark, a.qbam, "queryname")
-        candidates, named, genome = bam.read_bam(spark, a.i), bam.read_bam(spark, a.qbam), text.read_fasta(spark, a.fasta)
+        candidates, named, genome = bam.read_bam(spark, a.i), bam.read_bam(spark, a.qbam), Fasta(spark, a.fasta)
         contigs = bam.read_contigs(spark, a.i)
         if a.command == "realign":
             bam.require_order(spark, a.sbam, "coordinate")

@@ -16,6 +16,7 @@ from annulus.operators.kernel import accepted, first_hit, realign_column
 from annulus.operators.pairs import extract_candidates, insert_size, mate_pairs, read_side_discordants
 from annulus.operators.priors import mate_intervals, mate_priors
 from annulus.shared import Store
+from annulus.sources.fasta import Fasta, genome_chunks
 from annulus.sources.text import chunks, fetch
 
 C = F.col
@@ -72,7 +73,7 @@ def _tiled(candidates: DataFrame, p: Params) -> DataFrame:
     return overlap_join(spans, cut).drop("start", "end", "r_chrom", "r_start", "r_end")
 
 
-def _evidence(candidates: DataFrame, genome: DataFrame | None, contigs: DataFrame, size: tuple[float, float], p: Params, store: Store) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+def _evidence(candidates: DataFrame, genome: Fasta | DataFrame | None, contigs: DataFrame, size: tuple[float, float], p: Params, store: Store) -> tuple[DataFrame, DataFrame, DataFrame | None]:
     """Split evidence, discordant spans and (with a genome) accepted realignments.
 
     With p.remap_splits reads with an SA tag are realigned like the others, and give no split evidence.
@@ -91,7 +92,8 @@ def _evidence(candidates: DataFrame, genome: DataFrame | None, contigs: DataFram
         "tile_id", "qname", "pos", R.rightmost().alias("read_end"), "cigar", C("longest.seq").alias("clip"), C("longest.qual").alias("clip_qual")
     )
     shift = lambda df, by: df.withColumns({"start": C("start") + by, "end": C("end") + by})
-    windows = store.keep(shift(fetch(shift(intervals, p.sequence_shift), store.keep(chunks(genome), "genome")), -p.sequence_shift), "windows")
+    placed = shift(intervals, p.sequence_shift)
+    windows = store.keep(shift(fetch(placed, store.keep(genome_chunks(genome, placed), "genome")), -p.sequence_shift), "windows")
     both = loose.join(windows, "tile_id").where(F.coalesce(R.non_colinear(C("cigar"), C("pos"), C("start"), C("end")), F.lit(False)))
     scored = both.withColumn("realigned", realign_column(C("clip"), C("clip_qual"), C("bases"), p.hits, p.gap_open, p.gap_extend, p.edit_share))
     hits = accepted(scored, least=p.probability, edit_share=p.edit_share).drop("bases").withColumn("hit", first_hit())
@@ -103,11 +105,11 @@ def read_side_discordants_by_tile(tiled: DataFrame) -> DataFrame:
     return read_side_discordants(keyed).select(C("read.tile_id").alias("tile_id"), "chrom", "start", "end", C("read.qname").alias("read"))
 
 
-def realign(candidates: DataFrame, qname_reads: DataFrame, all_reads: DataFrame, contigs: DataFrame, genome: DataFrame | None, p: Params = Params(), store: Store | None = None) -> DataFrame:  # noqa: B008
+def realign(candidates: DataFrame, qname_reads: DataFrame, all_reads: DataFrame, contigs: DataFrame, genome: Fasta | DataFrame | None, p: Params = Params(), store: Store | None = None) -> DataFrame:  # noqa: B008
     """Circles of candidate reads.
 
     candidates: reads of ``extract``; qname_reads: all reads in name order, for the insert size;
-    all_reads: for depth; genome: chrom and seq (None leaves realignment out). Returns chrom, start,
+    all_reads: for depth; genome: a Fasta file, or chrom and seq (None leaves realignment out). Returns chrom, start,
     end, discordants, sc and score, and coverage columns where p.coverage. The result reads tables of
     the store, so ``store.close()`` comes after its use.
     """
@@ -136,7 +138,7 @@ def realign(candidates: DataFrame, qname_reads: DataFrame, all_reads: DataFrame,
     return cov.filter_by_ratio(cov.coverage_stats(store.keep(circles, "circles"), cov.covering_blocks(all_reads, p.coverage_quality), contigs, p.extension, p.inside), p.ratio)
 
 
-def realign_reads(candidates: DataFrame, qname_reads: DataFrame, contigs: DataFrame, genome: DataFrame, p: Params = Params(), store: Store | None = None) -> DataFrame:  # noqa: B008
+def realign_reads(candidates: DataFrame, qname_reads: DataFrame, contigs: DataFrame, genome: Fasta | DataFrame, p: Params = Params(), store: Store | None = None) -> DataFrame:  # noqa: B008
     """Reads that support circles: SA-supported ones as they are, realigned ones with a new SA tag where the hit lies downstream."""
     store = store or Store(candidates.sparkSession, "realign-reads")
     found = insert_size(qname_reads, p.insert_mapq, p.sample).first()
