@@ -90,7 +90,10 @@ def test_near_duplicates_of_documents(spark):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute_components([tuple(r) for r in df.collect()])
 
 
-def test_components_of_a_long_chain(spark):
+@pytest.mark.parametrize("few", [0, 1 << 16])
+def test_components_of_a_long_chain(spark, monkeypatch, few):
+    """Dealt out, and in one task."""
+    monkeypatch.setattr(components, "FEW", few)
     n = 40
     edges = spark.createDataFrame([(i, i + 1) for i in range(n)] + [(100, 101), (7, 7)], "u long, v long")
     got = {r.node: r.label for r in components.connected_components(edges, storage.Store(spark, "t")).collect()}
