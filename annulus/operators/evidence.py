@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from annulus.functions import reads as R
-from annulus.operators.intervals import identical_islands, point_depth, reciprocal_islands, touching_islands
+from annulus.operators.intervals import merge_reciprocal, merge_touching, point_depth
 from annulus.schema import REVERSE
 
 C = F.col
@@ -70,21 +70,13 @@ def assign_discordants(splits: DataFrame, discordants: DataFrame, reach: float,
 
 def discordant_islands(discordants: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     """Islands of touching discordant spans: first start, last end and number of reads."""
-    return (
-        touching_islands(discordants, [*keys, "chrom"])
-        .groupBy(*keys, "chrom", "island")
-        .agg(F.min("start").alias("start"), F.max_by("end", F.struct("start", "end")).alias("end"), F.count("*").alias("discordants"))
-        .drop("island")
-    )
+    return merge_touching(discordants.withColumn("discordants", F.lit(1).cast("long")), [*keys, "chrom"], {"discordants": F.sum})
 
 
 def merge_iterations(rows: DataFrame, keys: tuple[str, ...] = ("tile_id",)) -> DataFrame:
-    """Rows of one iteration with identical spans, one after another, as one."""
-    return (
-        identical_islands(rows, [*keys, "iteration", "chrom"])
-        .groupBy(*keys, "iteration", "chrom", "island")
-        .agg(F.min("start").alias("start"), F.max("end").alias("end"), F.max("discordants").alias("discordants"), F.sum("sc").alias("sc"), F.sum("score").alias("score"))
-        .drop("island")
+    """Rows of one iteration with identical spans as one; in order of their spans they stand one after another."""
+    return rows.groupBy(*keys, "iteration", "chrom", "start", "end").agg(
+        F.max("discordants").alias("discordants"), F.sum("sc").alias("sc"), F.sum("score").alias("score")
     )
 
 
@@ -107,31 +99,19 @@ def passes(splits: int = 0, score: float = 0.0, discordants: int = 3, af: float
 
 def merge_circles(rows: DataFrame, share: float = 0.99, least: int = 0) -> DataFrame:
     """Final circles: neighbours that overlap enough as one, supported by at least least reads; a start over 0 is moved up by one."""
-    merged = (
-        reciprocal_islands(rows, share, order=("sc", "score"))
-        .groupBy("chrom", "island")
-        .agg(F.min("start").alias("start"), F.max("end").alias("end"), F.max("discordants").alias("discordants"), F.sum("sc").alias("sc"), F.sum("score").alias("score"))
-    )
+    merged = merge_reciprocal(rows, share, {"discordants": F.max, "sc": F.sum, "score": F.sum})
     return merged.where(C("sc") + C("discordants") >= least).select(
         "chrom", F.when(C("start") != 0, C("start") + 1).otherwise(C("start")).alias("start"), "end", "discordants", "sc", "score"
     )
 
 
 def merge_repeats(rows: DataFrame, share: float = 0.8, least: int = 20) -> DataFrame:
-    """Two rounds of merging repeat spans (chrom, start, end, item); the first round drops those under least reads."""
-    once = (
-        reciprocal_islands(rows, share)
-        .groupBy("chrom", "island")
-        .agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sum("item").alias("item"))
-        .where(C("item") >= least)
-        .select("chrom", "start", "end", "item")
-    )
-    return (
-        reciprocal_islands(once, share)
-        .groupBy("chrom", "island")
-        .agg(F.min("start").alias("start"), F.max_by("end", F.struct("start", "end")).alias("end"), F.sum("item").alias("item"))
-        .drop("island")
-    )
+    """Two rounds of merging repeat spans (chrom, start, end, item); the first round drops those under least reads.
+
+    Spans of the first round reach to the farthest end, those of the second to the last one.
+    """
+    once = merge_reciprocal(rows, share, {"item": F.sum}).where(C("item") >= least).drop("last_end")
+    return merge_reciprocal(once, share, {"item": F.sum}).select("chrom", "start", C("last_end").alias("end"), "item")
 
 
 def repeat_spans(reads: DataFrame, most_edits: int = 2) -> DataFrame:

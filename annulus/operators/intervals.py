@@ -6,7 +6,6 @@ Intervals are half-open, [start, end), on a chromosome.
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -45,98 +44,105 @@ def exclude_regions(intervals: DataFrame, regions: DataFrame) -> DataFrame:
     return overlap_join(intervals, regions, how="left_anti")
 
 
-def point_depth(points: DataFrame, spans: DataFrame) -> DataFrame:
-    """Number of spans over each point (chrom, point), 0 where there is none."""
-    at = points.select("chrom", "point").distinct().withColumn("start", F.col("point")).withColumn("end", F.col("point") + 1)
-    hits = overlap_join(at, spans.select("chrom", "start", "end")).groupBy("chrom", "point").agg(F.count("*").alias("depth"))
-    return points.join(hits, ["chrom", "point"], "left").withColumn("depth", F.coalesce("depth", F.lit(0)))
-
-
-#: Bases of the stretches by which a chromosome's rows are dealt out.
-STRETCH = 1_000_000
-
-
-def _numbered(flagged: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """flagged (_part, _new) with island: how many rows of the key up to this one are new.
-
-    Of rows that are equal in order only the first can be new, so the new one is put first again.
-    """
-    along = Window.partitionBy(*keys, "_part").orderBy(*order, C("_new").desc())
-    before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    counts = flagged.groupBy(*keys, "_part").agg(F.sum("_new").alias("_n")).withColumn("_base", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-    running = F.sum("_new").over(along.rowsBetween(Window.unboundedPreceding, 0))
-    return _with(flagged, counts.drop("_n"), keys).withColumn("island", C("_base") + running).drop("_new", "_base", "_part")
-
-
-def _with(df: DataFrame, parts: DataFrame, keys: list[str]) -> DataFrame:
-    """df with what parts says of its key and stretch; nulls are keys like others."""
-    names = [*keys, "_part"]
-    other = parts.select(*[C(k).alias(f"_of_{k}") for k in names], *[c for c in parts.columns if c not in names])
-    met = reduce(lambda x, y: x & y, [C(k).eqNullSafe(C(f"_of_{k}")) for k in names])
-    return df.join(other, met, "left").drop(*[f"_of_{k}" for k in names])
+#: Bases of the stretches in which the depth of points is counted.
+RANK_STRETCH = 1 << 14
 
 
-def islands(df: DataFrame, keys: list[str], order: list[str], begins: Callable[[Column, Column], Column], stretch: int | None = None) -> DataFrame:
-    """Column island: a running number that rises where begins(lagged start, lagged end) holds for a row.
+def point_depth(points: DataFrame, spans: DataFrame, stretch: int = RANK_STRETCH) -> DataFrame:
+    """Number of spans over each point (chrom, point), 0 where there is none.
 
-    The rows of one key are compared in order with the row just before them. With a stretch (order
-    then begins with start and holds end) a key's rows are dealt out by it, and the first row of a stretch is compared with
-    the last one of the stretch before, so no key is a single task.
+    The depth is a difference of two ranks: starts up to the point less ends up to it. Starts and ends are
+    counted by place before any shuffle, so what moves are counts of places and not reads; a point adds up the
+    places of its own stretch on top of one number for all stretches before.
     """
-    if stretch is None:
-        window = Window.partitionBy(*keys).orderBy(*order)
-        new = begins(F.lag("start").over(window), F.lag("end").over(window))
-        flagged = df.withColumn("_new", F.coalesce(new, F.lit(True)).cast("int"))
-        return flagged.withColumn("island", F.sum("_new").over(window.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
-    dealt = df.withColumn("_part", F.floor(C("start") / stretch))
-    along = Window.partitionBy(*keys, "_part").orderBy(*order)
-    parts = Window.partitionBy(*keys).orderBy("_part")
-    last = dealt.groupBy(*keys, "_part").agg(F.max(F.struct(*order)).alias("_l"))
-    carried = last.select(*keys, "_part", F.lag(F.struct("_l.start", "_l.end")).over(parts).alias("_carried"))
-    before = F.coalesce(F.lag(F.struct("start", "end")).over(along), C("_carried"))
-    flagged = _with(dealt, carried, keys).withColumn("_before", before)
-    flagged = flagged.withColumn("_new", F.coalesce(begins(C("_before.start"), C("_before.end")), F.lit(True)).cast("int"))
-    return _numbered(flagged.drop("_carried", "_before"), keys, order)
-
-
-def merge_within(df: DataFrame, gap: int = 0, stretch: int = STRETCH) -> DataFrame:
-    """Column island over (chrom): rows start one where they lie more than gap behind all before them.
-
-    A stretch's rows are compared with what lies before it by the farthest end of the stretches before.
-    """
-    dealt = df.withColumn("_part", F.floor(C("start") / stretch))
-    along = Window.partitionBy("chrom", "_part").orderBy("start", "end")
-    parts = Window.partitionBy("chrom").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    ends = dealt.groupBy("chrom", "_part").agg(F.max("end").alias("_e"))
-    carried = ends.select("chrom", "_part", F.max("_e").over(parts).alias("_carried"))
-    reach = F.greatest(F.max("end").over(along.rowsBetween(Window.unboundedPreceding, -1)), C("_carried"))
-    flagged = _with(dealt, carried, ["chrom"]).withColumn("_new", F.coalesce(C("start") > reach + gap, F.lit(True)).cast("int"))
-    return _numbered(flagged.drop("_carried"), ["chrom"], ["start", "end"])
-
-
-def interval_union(df: DataFrame, gap: int = 0) -> DataFrame:
-    return merge_within(df, gap).groupBy("chrom", "island").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("island")
-
+    wanted = points.select("chrom", "point").where("chrom IS NOT NULL AND point IS NOT NULL").distinct().withColumn("_part", F.floor(C("point") / stretch))
+    change = lambda at, d: F.struct(C(at).cast("long").alias("at"), F.lit(d).cast("long").alias("d"))
+    edges = spans.where("end > start").select("chrom", F.explode(F.array(change("start", 1), change("end", -1))).alias("e")).select("chrom", "e.at", "e.d")
+    edges = edges.withColumn("_part", F.floor(C("at") / stretch))
+    here = wanted.select("chrom", "_part").distinct()
+    before = Window.partitionBy("chrom").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    sums = edges.groupBy("chrom", "_part").agg(F.sum("d").alias("d")).union(here.withColumn("d", F.lit(0).cast("long")))
+    base = sums.groupBy("chrom", "_part").agg(F.sum("d").alias("d")).withColumn("_base", F.coalesce(F.sum("d").over(before), F.lit(0))).drop("d")
+    near = edges.groupBy("chrom", "_part", "at").agg(F.sum("d").alias("d")).where("d <> 0").join(here, ["chrom", "_part"], "left_semi")
+    rows = near.select("chrom", "_part", "at", "d", F.lit(False).alias("_asked")).union(
+        wanted.select("chrom", "_part", C("point").cast("long"), F.lit(0).cast("long"), F.lit(True))
+    )
+    along = Window.partitionBy("chrom", "_part").orderBy("at").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = rows.withColumn("_within", F.sum("d").over(along)).where("_asked").join(base, ["chrom", "_part"])
+    hits = ranked.select("chrom", C("at").alias("point"), (C("_base") + C("_within")).alias("depth"))
+    return points.join(hits, ["chrom", "point"], "left").withColumn("depth", F.coalesce("depth", F.lit(0)))
 
-def _stretch(keys: list[str]) -> int | None:
-    """Whole chromosomes are dealt out by stretches; keys with a tile are small."""
-    return STRETCH if list(keys) == ["chrom"] else None
 
+#: Bases of the stretches by which a key's rows are dealt out.
+STRETCH = 1_000_000
 
-def touching_islands(df: DataFrame, keys: list[str]) -> DataFrame:
-    """Islands of rows that begin at or before the end of the row before them."""
-    return islands(df, keys, ["start", "end"], lambda start, end: F.col("start") > end, _stretch(keys))
+#: A sum of a merge: the function that makes it of rows, and then again of what it made (sum, max, min).
+Sums = dict[str, Callable[[str], Column]]
 
 
-def identical_islands(df: DataFrame, keys: list[str]) -> DataFrame:
-    """Islands of rows with the span of the row before them."""
-    return islands(df, keys, ["start", "end"], lambda start, end: ~((F.col("start") == start) & (F.col("end") == end)), _stretch(keys))
+def merge_islands(spans: DataFrame, keys: list[str], begins: Callable[[Column, Column], Column], sums: Sums, stretch: int | None = None) -> DataFrame:
+    """One row for each island of spans (keys, start, end): keys, start, end (the farthest), last_end (of its last span) and the sums.
 
+    Spans of a key stand by (start, end). One begins an island where begins(before, span) holds or is null;
+    before has start and end of the span just before it, and reach, the farthest end of all before it. A span must not begin an island
+    behind itself, as spans that are equal count as one. Null keys are keys like others.
 
-def reciprocal_islands(df: DataFrame, share: float, keys: tuple[str, ...] = ("chrom",), order: tuple[str, ...] = ()) -> DataFrame:
-    """Islands of rows whose overlap with the row before comes to 2 * share of the two lengths together."""
-    apart = lambda start, end: reciprocal(start, end, F.col("start"), F.col("end")) < 2 * share
-    return islands(df, list(keys), ["start", "end", *order], lambda start, end: F.when(start.isNotNull(), apart(start, end)), _stretch(list(keys)))
+    Nothing that is as large as a key goes through one task: equal spans are summed before any shuffle, the
+    rest is dealt out by stretches of a key, and only a stretch's first and last island meet those of the stretches
+    beside it. With reach in begins, spans must lie inside their stretch (see ``within_stretches``).
+    """
+    folded = lambda: [f(name).alias(name) for name, f in sums.items()]
+    whole = [F.min("start").alias("start"), F.max("end").alias("end"), F.min("_first").alias("_first"), F.max("_last").alias("_last")]
+    once = spans.groupBy(*keys, "start", "end").agg(*folded()) if sums else spans.select(*keys, "start", "end").distinct()
+    span = F.struct("start", "end")
+    once = once.withColumns({"_part": F.floor(C("start") / (stretch or STRETCH)), "_first": span, "_last": span})
+
+    def running(df: DataFrame, lane: list[str], order: list[str], kept_apart: Column) -> DataFrame:
+        along = Window.partitionBy(*lane).orderBy(*order)
+        reach = F.max("end").over(along.rowsBetween(Window.unboundedPreceding, -1))
+        last = F.lag("_last").over(along)
+        before = F.struct(last["start"].alias("start"), last["end"].alias("end"), reach.alias("reach"))
+        flagged = df.withColumn("_new", (kept_apart | F.coalesce(begins(before, C("_first")), F.lit(True))).cast("int"))
+        return flagged.withColumn("_no", F.sum("_new").over(along.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
+
+    inside = [*keys, "_part"]
+    local = running(once, inside, ["start", "end"], F.lit(False)).groupBy(*inside, "_no").agg(*whole, *folded())
+    # islands between the first and the last of a stretch are whole; the others go along the key, two for each stretch
+    ends = (C("_no") == 1) | F.lead("_no").over(Window.partitionBy(*inside).orderBy("_no")).isNull()
+    dealt = local.withColumn("_lane", F.when(~ends, C("_part"))).withColumnRenamed("_no", "_at")
+    across = running(dealt, [*keys, "_lane"], ["_part", "_at"], C("_lane").isNotNull() | (C("_at") > 1))
+    out = across.groupBy(*keys, "_lane", "_no").agg(*whole, *folded())
+    return out.select(*keys, "start", "end", C("_last.end").alias("last_end"), *sums)
+
+
+def within_stretches(spans: DataFrame, stretch: int | None = None) -> DataFrame:
+    """spans cut at the borders of stretches; _own is 1 in the first piece of each, 0 in the others."""
+    size = stretch or STRETCH
+    first = F.floor(C("start") / size)
+    parts = F.sequence(first, F.greatest(first, F.floor((C("end") - 1) / size)))
+    piece = spans.withColumn("_own", first).withColumn("_part", F.explode(parts))
+    low, high, own = C("_part") * size, (C("_part") + 1) * size, C("_part") == C("_own")
+    cut = {"start": F.greatest(C("start"), low), "end": F.least(C("end"), high), "_own": own.cast("int")}
+    return piece.withColumns(cut).drop("_part")
+
+
+def interval_union(df: DataFrame, gap: int = 0, sums: Sums | None = None) -> DataFrame:
+    """Unions (chrom, start, end) of intervals that lie no more than gap apart; sums add up columns of within_stretches(df)."""
+    apart = lambda before, span: span["start"] > before["reach"] + gap
+    pieces = df if "_own" in df.columns else within_stretches(df.select("chrom", "start", "end"))
+    return merge_islands(pieces, ["chrom"], apart, sums or {}).drop("last_end")
+
+
+def merge_touching(df: DataFrame, keys: list[str], sums: Sums) -> DataFrame:
+    """Islands of spans that begin at or before the end of the span before them: first start, last end and the sums."""
+    found = merge_islands(df, keys, lambda before, span: span["start"] > before["end"], sums)
+    return found.withColumn("end", C("last_end")).drop("last_end")
+
+
+def merge_reciprocal(df: DataFrame, share: float, sums: Sums, keys: tuple[str, ...] = ("chrom",)) -> DataFrame:
+    """Islands of spans whose overlap with the span before comes to 2 * share of the two lengths together."""
+    apart = lambda before, span: reciprocal(before["start"], before["end"], span["start"], span["end"]) < 2 * share
+    return merge_islands(df, list(keys), lambda before, span: F.when(before["start"].isNotNull(), apart(before, span)), sums)
 
 
 def coverage_runs(spans: DataFrame, stretch: int = STRETCH) -> DataFrame:
@@ -166,12 +172,9 @@ def coverage_runs(spans: DataFrame, stretch: int = STRETCH) -> DataFrame:
 
 def peaks(runs: DataFrame, gap: int) -> DataFrame:
     """Runs merged over gaps up to gap, with the plain mean of their depths."""
-    return (
-        merge_within(runs, gap)
-        .groupBy("chrom", "island")
-        .agg(F.min("start").alias("start"), F.max("end").alias("end"), F.avg("depth").alias("mean_depth"))
-        .drop("island")
-    )
+    pieces = within_stretches(runs).withColumn("_depth", C("depth") * C("_own"))
+    found = interval_union(pieces, gap, {"_depth": F.sum, "_own": F.sum})
+    return found.select("chrom", "start", "end", (C("_depth") / C("_own")).alias("mean_depth"))
 
 
 def tiles(intervals: DataFrame, longest: int = 500, size: int = 300) -> DataFrame:

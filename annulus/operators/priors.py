@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from annulus.functions import reads as R
-from annulus.operators.intervals import touching_islands
+from annulus.operators import intervals as iv
 from annulus.schema import MATE_REVERSE, MATE_UNMAPPED, REVERSE, UNMAPPED
 
 C = F.col
@@ -59,25 +59,30 @@ def mate_priors(tile_reads: DataFrame, contigs: DataFrame, mapq: int = 20, only_
     return good.withColumn("p", rule).where("p IS NOT NULL").select("tile_id", "qname", "chrom", "p.*")
 
 
+#: Decimal places to which shares are compared: those that differ only by the order of their sums are equal.
+PLACES = 9
+
+
 def mate_intervals(priors: DataFrame, extension: float, least: float = 0.01) -> DataFrame:
     """Merged, weighed and widened priors: tile_id, iteration, chrom, start, end and probability.
 
     Tiles with whole-contig priors alone have none; such priors are dropped beside others. Weights
     come to 1 in a tile. least = 0 keeps only the likeliest interval of a tile. Intervals are
     widened by extension on both sides if any prior of the tile points right, else at their
-    start alone. iteration ranks a tile's intervals from the likeliest.
+    start alone. iteration ranks a tile's intervals from the likeliest; equals stand by their place.
+
+    Shares come to 1, so a tile keeps 1 / least intervals at most, and only these are ranked.
     """
-    tile = Window.partitionBy("tile_id")
-    points_right = F.max(C("orientation").contains("R").cast("int")).over(tile) == 1
-    known = F.max((C("read_type") != "SC").cast("int")).over(tile) == 1
-    used = priors.withColumn("_right", points_right).withColumn("_known", known).where("_known AND read_type <> 'SC'")
-    merged = merge_priors(used.drop("_known"))
-    ranked = merged.withColumn("_rank", F.row_number().over(tile.orderBy(C("probability").desc(), "start", "end")))
-    chosen = ranked.where(C("probability") >= least) if least > 0 else ranked.where("_rank = 1")
+    merged = merge_priors(priors).withColumn("_share", F.round("probability", PLACES))
+    if least > 0:
+        chosen = merged.where(C("_share") >= least)
+    else:
+        likeliest = F.max_by(F.struct("chrom", "start", "end", "probability", "_share", "_right"), F.struct(C("_share"), -C("start"), -C("end")))
+        chosen = merged.groupBy("tile_id").agg(likeliest.alias("m")).select("tile_id", "m.*")
     wide = F.bround(F.lit(float(extension))).cast("long")
     return chosen.select(
         "tile_id",
-        (F.row_number().over(tile.orderBy("_rank"))).cast("long").alias("iteration"),
+        F.row_number().over(Window.partitionBy("tile_id").orderBy(C("_share").desc(), "start", "end")).cast("long").alias("iteration"),
         "chrom",
         F.greatest(F.lit(0), C("start") - wide).alias("start"),
         F.when(C("_right"), C("end") + wide).otherwise(C("end")).alias("end"),
@@ -86,12 +91,19 @@ def mate_intervals(priors: DataFrame, extension: float, least: float = 0.01) ->
 
 
 def merge_priors(priors: DataFrame) -> DataFrame:
-    """Islands of touching priors of a tile, with their first start, last end and share of the tile's weight."""
-    right = F.max("_right").alias("_right") if "_right" in priors.columns else F.lit(True).alias("_right")
-    summed = (
-        touching_islands(priors, ["tile_id", "chrom"])
-        .groupBy("tile_id", "chrom", "island")
-        .agg(F.min("start").alias("start"), F.max_by("end", F.struct("start", "end")).alias("end"), F.sum("probability").alias("_p"), right)
-    )
-    share = F.try_divide(C("_p"), F.sum("_p").over(Window.partitionBy("tile_id")))
-    return summed.withColumn("probability", share).select("tile_id", "chrom", "start", "end", "probability", "_right")
+    """Islands of a tile's touching priors, with their first start, last end, share of the tile's weight, and _right (any prior of the tile points right).
+
+    Whole-contig priors (SC) count for _right alone. Priors without a tile or a chromosome are left out. What a tile
+    comes to is summed by stretch first and handed back to each of its stretches, so that a
+    tile with any number of priors is no single task.
+    """
+    known = F.coalesce(C("read_type") != "SC", F.lit(False))
+    placed = priors.where("tile_id IS NOT NULL AND chrom IS NOT NULL").withColumns({"_kind": known, "_known": known, "_right": C("orientation").contains("R")})
+    # one merge serves both sides of the join: _known is a sum of it, so that neither side filters the priors on its own
+    merged = iv.merge_touching(placed, ["tile_id", "chrom", "_kind"], {"probability": F.sum, "_right": F.max, "_known": F.max})
+    merged = merged.withColumn("_part", F.floor(C("start") / iv.STRETCH))
+    stretches = merged.groupBy("tile_id", "chrom", "_part").agg(F.sum(F.when(C("_known"), C("probability"))).alias("_weight"), F.max("_right").alias("_any"))
+    tile = Window.partitionBy("tile_id")
+    totals = stretches.select("tile_id", "chrom", "_part", F.sum("_weight").over(tile).alias("_weight"), F.max("_any").over(tile).alias("_any"))
+    both = merged.where("_known").join(totals, ["tile_id", "chrom", "_part"])
+    return both.select("tile_id", "chrom", "start", "end", F.try_divide("probability", "_weight").alias("probability"), C("_any").alias("_right"))

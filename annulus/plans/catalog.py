@@ -303,20 +303,19 @@ def prior_merge_normalise(spark, sf_dir):
     return merged(spark, sf_dir).drop("_right").withColumn("probability", ROUND("probability", 5))
 
 
-@query(
-    WITH + PRIORS + MERGED + """, o AS (SELECT tile_id, max(CASE WHEN orientation LIKE '%R%' THEN 1 ELSE 0 END) AS pr FROM pri WHERE probability IS NOT NULL GROUP BY tile_id), n2 AS (SELECT *, round(probability, 6) AS rp FROM nm),
- f AS (SELECT *, row_number() OVER (PARTITION BY tile_id ORDER BY start, "end") AS k, rp = max(rp) OVER (PARTITION BY tile_id) AS top FROM n2)
- SELECT tile_id, count(*) AS n, CAST(min(greatest(0, start - 371)) AS BIGINT) AS start, CAST(max("end" + CASE WHEN pr = 1 THEN 371 ELSE 0 END) AS BIGINT) AS "end" FROM f JOIN o USING (tile_id) WHERE probability >= CAST(0.2 AS DOUBLE) GROUP BY tile_id"""
-)
+RANKED = """, n2 AS (SELECT *, round(probability, 9) AS rp FROM nm), o AS (SELECT tile_id, max(CASE WHEN orientation LIKE '%R%' THEN 1 ELSE 0 END) AS pr FROM pri WHERE probability IS NOT NULL GROUP BY tile_id),
+ f AS (SELECT tile_id, row_number() OVER (PARTITION BY tile_id ORDER BY rp DESC, start, "end") AS iteration, chrom, CAST(greatest(0, start - 371) AS BIGINT) AS start, CAST("end" + CASE WHEN pr = 1 THEN 371 ELSE 0 END AS BIGINT) AS "end", rp
+ FROM n2 JOIN o USING (tile_id))"""
+
+
+@query(WITH + PRIORS + MERGED + RANKED + ' SELECT tile_id, iteration, chrom, start, "end", round(rp, 5) AS probability FROM f WHERE rp >= CAST(0.2 AS DOUBLE)')
 def mate_interval_extension(spark, sf_dir):
-    found = pi.mate_intervals(priors(spark, sf_dir).where("probability IS NOT NULL"), 371.4, 0.2)
-    return found.groupBy("tile_id").agg(F.count("*").alias("n"), F.min("start").alias("start"), F.max("end").alias("end"))
+    return pi.mate_intervals(priors(spark, sf_dir).where("probability IS NOT NULL"), 371.4, 0.2).withColumn("probability", ROUND(ROUND("probability", 9), 5))
 
 
-@query(WITH + PRIORS + MERGED + " SELECT tile_id, round(max(probability), 5) AS probability, CAST(1 AS BIGINT) AS n FROM nm GROUP BY tile_id")
+@query(WITH + PRIORS + MERGED + RANKED + ' SELECT tile_id, iteration, chrom, start, "end", round(rp, 5) AS probability FROM f WHERE iteration = 1')
 def prior_argmax(spark, sf_dir):
-    found = pi.mate_intervals(priors(spark, sf_dir).where("probability IS NOT NULL"), 371.4, 0)
-    return found.groupBy("tile_id").agg(ROUND(F.max("probability"), 5).alias("probability"), F.count("*").alias("n"))
+    return pi.mate_intervals(priors(spark, sf_dir).where("probability IS NOT NULL"), 371.4, 0).withColumn("probability", ROUND(ROUND("probability", 9), 5))
 
 
 # ---------------------------------------------------------------- evidence

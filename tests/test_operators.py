@@ -334,7 +334,6 @@ def test_stretches_do_not_change_islands(spark, seed, monkeypatch):
 
     whole = all_of()
     monkeypatch.setattr(intervals, "STRETCH", 200)
-    monkeypatch.setattr(intervals.merge_within, "__defaults__", (0, 200))
     assert all_of() == whole
 
 
