@@ -184,7 +184,8 @@ def _chosen_rows(batches: Iterator[pa.RecordBatch], chosen: np.ndarray) -> Itera
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, store: Store | None = None) -> OrdinalModel:
     """Fit on at most ``rows`` toxic documents and twice as many others, those of least hash of doc_id.
 
-    Several labels of a document count as the worst of them; nulls are left out. Features are counted by
+    Several labels of a document count as the worst of them; nulls are left out. Rows of one doc_id are one
+    document, with the least of their texts, so the sample is never larger than said. Features are counted by
     Spark; the driver gets two numbers for each feature (2**BITS at most) and then, of each document, the
     chosen features alone, so what it gets does not grow with the texts' lengths.
     """
@@ -193,8 +194,9 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, store: Sto
     sample = known.where("toxic").orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     sample = sample.union(known.where("NOT toxic").orderBy(F.xxhash64("doc_id"), "doc_id").limit(2 * rows))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    # the sample has 3 * rows rows at most, so it is broadcast
-    found = store.keep(texts.join(F.broadcast(sample), "doc_id").select("toxic", "text").distinct().mapInArrow(_feature_rows, "toxic boolean, ids array<int>"), "features")
+    # the sample has 3 * rows rows at most, so it is broadcast; of several texts of a document the least one is taken
+    one = texts.join(F.broadcast(sample), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+    found = store.keep(one.select("toxic", "text").mapInArrow(_feature_rows, "toxic boolean, ids array<int>"), "features")
     counts = found.select("toxic", F.explode("ids").alias("id")).groupBy("id").agg(F.sum(F.col("toxic").cast("long")).alias("bad"), F.count("*").alias("n")).toArrow()
     bad, both = np.zeros(1 << BITS, np.int64), np.zeros(1 << BITS, np.int64)
     ids = counts.column("id").to_numpy()
