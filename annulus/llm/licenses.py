@@ -181,6 +181,16 @@ class Scanner:
                 share = len(matched) / len(template)
                 if share >= self.coverage and share > best.get(name, (0,))[0]:
                     best[name] = (share, lo + matched[0][0], lo + matched[-1][0] + 1)
+        # a license whose words lie far apart fills no region; its words must all be there, however far apart they are
+        apart = [t for t in sorted(maybe) if self.templates[t][0] not in best]
+        counts = Counter(words) if apart else Counter()
+        for t in apart:
+            name, template, _ = self.templates[t]
+            if (counts & Counter(template)).total() >= self.coverage * len(template) - 1e-9:
+                matched = patience(words, template)
+                share = len(matched) / len(template)
+                if share >= self.coverage and share > best.get(name, (0,))[0]:
+                    best[name] = (share, matched[0][0], matched[-1][0] + 1)
         return [(name, *found) for name, found in sorted(best.items())]
 
 
@@ -212,6 +222,8 @@ def scan_licenses(docs: DataFrame, templates: dict[str, list[str]] = TEMPLATES,
     Returns, for each row, doc_id and licenses: an array, by name, of the license, its best
     coverage (matched words over template words, at least the given share) and the words of
     the text from first_word to before last_word. Words are runs of letters and digits.
+    Regions around a license's rare words are aligned first; where none of them holds the license, but the text
+    as a whole has enough of its words, the whole text is aligned, so words between its words hide no license.
 
     Null and empty texts hold none. Ties in coverage go to the earliest template and
     place. Repeated rows give equal rows; a null doc_id stays null. No rows are shuffled.
