@@ -3,9 +3,9 @@
 The kernel finds the clip in the interval by infix edit distance (free ends in the
 interval). Every equally good place is a hit, scored with a position-specific matrix, and
 masked; then the next best places follow, until there are enough hits or a score falls under
-``LEAST_SCORE``. A batch of clips is aligned at once with numpy, the clips on one axis; a clip
-none of whose parts stands in its interval (with e edits allowed one of e + 1 parts must)
-is never aligned. Everything around the Arrow-batched UDF is column expressions.
+``LEAST_SCORE``. A batch of clips is aligned at once with numpy, the clips on one axis and 64 bases of a
+clip in one word (bit vectors of the table's differences); a clip none of whose parts stands in its
+interval (with e edits allowed one of e + 1 parts must) is never aligned. Everything around the Arrow-batched UDF is column expressions.
 
 Bases other than A, C, G, T match nothing and score 0. Of the alignments that end at one
 base the one that starts first counts; of the paths of a place, the one with most pairs.
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 LEAST_SCORE = -10.0
 #: Cells (clips by interval bases) that are aligned at a time.
-CELLS = 1 << 20
+CELLS = 1 << 21
 _CODES = np.zeros(256, np.int8)
 for _k, _b in enumerate(b"ACGT", 1):
     _CODES[_b] = _k
@@ -44,29 +44,96 @@ def _stacked(rows: list[np.ndarray], fill: int = 0) -> tuple[np.ndarray, np.ndar
 
 
 def infix_ends(queries: np.ndarray, m: np.ndarray, targets: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(edits, first start) of the best alignment of each query that ends before each place of its target (0 to its length).
+    """(edits, first start) of the best alignment of each query that ends before each place of its target (0 to its length)."""
+    edits = infix_edits(queries, m, targets, n)
+    starts = np.zeros(edits.shape, np.int64)
+    row, place = np.nonzero(edits < _FAR)
+    starts[row, place] = first_starts(queries, m, targets, row, place, edits[row, place])
+    return edits, starts
 
-    Rows are padded to equal lengths; m and n are the true ones. A cell holds edits and start as
-    one number, so the least of two is the better one and, if equal, the one that starts first.
-    """
-    width = targets.shape[1]
-    one = np.int64(width + 1)
-    place = np.arange(width + 1) * one
-    row = np.broadcast_to(np.arange(width + 1), (len(queries), width + 1)).copy()
-    known = (targets > 0) & (targets != _MASK)
-    last = row.copy()
+
+def _peq(queries: np.ndarray) -> np.ndarray:
+    """Where each base stands in each query, as bits: rows by code (0 to 4; none for 0) by words of 64 query bases."""
+    words = max(1, -(-queries.shape[1] // 64))
+    out = np.zeros((len(queries), 5, words), np.uint64)
     for i in range(queries.shape[1]):
-        differs = ~((targets == queries[:, i : i + 1]) & known)
-        new = row + one
-        np.minimum(new[:, 1:], row[:, :-1] + differs * one, out=new[:, 1:])
-        new -= place
-        np.minimum.accumulate(new, axis=1, out=new)
-        row = new + place
-        done = m == i + 1
-        last[done] = row[done]
-    edits, starts = np.divmod(last, one)
-    edits[np.arange(width + 1) > n[:, None]] = _FAR
-    return edits, starts
+        bit = np.uint64(1 << (i % 64))
+        for code in range(1, 5):
+            out[:, code, i // 64] |= np.where(queries[:, i] == code, bit, np.uint64(0))
+    return out
+
+
+def _edit_rows(peq: np.ndarray, m: np.ndarray, targets: np.ndarray, anchored: bool) -> np.ndarray:
+    """Edits of each whole query against its target up to each place (rows by places, 0 first).
+
+    Columns of the edit table are kept as differences between neighbouring cells, in one bit each, 64 query bases to
+    a word; a step takes one target base of all rows. anchored: the alignment begins where the target does, not anywhere.
+    """
+    rows, words = len(peq), peq.shape[2]
+    one, top, zero = np.uint64(1), np.uint64(63), np.zeros(rows, np.uint64)
+    plus = [np.full(rows, ~np.uint64(0)) for _ in range(words)]
+    minus = [zero.copy() for _ in range(words)]
+    last_word, last_bit = (np.maximum(m, 1) - 1) // 64, ((np.maximum(m, 1) - 1) % 64).astype(np.uint64)
+    ending = [last_word == w for w in range(words)]
+    codes = np.where(targets > 4, 0, targets).T.copy()
+    out = np.zeros((targets.shape[1] + 1, rows), np.int32)
+    out[0] = m
+    each, edits = np.arange(rows), m.astype(np.int32)
+    for j in range(targets.shape[1]):
+        equal = peq[each, codes[j]]
+        rises, falls = (np.ones(rows, np.uint64) if anchored else zero), zero
+        change = np.zeros(rows, np.int32)
+        for w in range(words):
+            pv, mv = plus[w], minus[w]
+            eq = equal[:, w]
+            vertical = eq | mv
+            eq = eq | falls
+            horizontal = (((eq & pv) + pv) ^ pv) | eq
+            up, down = mv | ~(horizontal | pv), pv & horizontal
+            step = ((up >> last_bit) & one).astype(np.int32) - ((down >> last_bit) & one).astype(np.int32)
+            change += step * ending[w]
+            out_up, out_down = up >> top, down >> top
+            up, down = (up << one) | rises, (down << one) | falls
+            plus[w], minus[w] = down | ~(vertical | up), up & vertical
+            rises, falls = out_up, out_down
+        edits = edits + change
+        out[j + 1] = edits
+    # a query without bases has no edits where it may begin anywhere, and one for each base otherwise
+    empty = m == 0
+    if empty.any():
+        out[:, empty] = np.arange(len(out))[:, None] if anchored else 0
+    return out.T
+
+
+def infix_edits(queries: np.ndarray, m: np.ndarray, targets: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Edits of the best alignment of each query that ends before each place of its target (0 to its length).
+
+    Rows are padded to equal lengths; m and n are the true ones.
+    """
+    edits = _edit_rows(_peq(queries), m, targets, anchored=False).astype(np.int64)
+    edits[np.arange(targets.shape[1] + 1) > n[:, None]] = _FAR
+    return edits
+
+
+def first_starts(queries: np.ndarray, m: np.ndarray, targets: np.ndarray, rows: np.ndarray, ends: np.ndarray, edits: np.ndarray) -> np.ndarray:
+    """Where the alignment of queries[rows] that ends before place ends with so many edits starts, the first such place.
+
+    The query and the target before the end are read backwards; the farthest place with these edits is the first start.
+    """
+    out = np.zeros(len(rows), np.int64)
+    step = max(1, CELLS // (2 * queries.shape[1] + 2))
+    for lo in range(0, len(rows), step):
+        r, e, best = rows[lo : lo + step], ends[lo : lo + step], edits[lo : lo + step]
+        size = m[r]
+        reach = np.minimum(e, size + best)  # longer alignments have more edits
+        back = np.arange(queries.shape[1])
+        flipped = np.where(back < size[:, None], np.take_along_axis(queries[r], np.clip(size[:, None] - 1 - back, 0, None), axis=1), 0) if queries.shape[1] else queries[r]
+        far = np.arange(int(reach.max(initial=0)))
+        before = targets[r[:, None], np.clip(e[:, None] - 1 - far, 0, None)]
+        found = _edit_rows(_peq(flipped), size, before, anchored=True)
+        fits = (found == best[:, None]) & (np.arange(found.shape[1]) <= reach[:, None])
+        out[lo : lo + step] = e - (found.shape[1] - 1 - fits[:, ::-1].argmax(axis=1))
+    return out
 
 
 def paths(queries: np.ndarray, m: np.ndarray, regions: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -169,19 +236,28 @@ def _realign_chunk(chunk, clips, qualities, intervals, hits, gap_open, gap_exten
     active = np.arange(len(chunk))
     first = True
     while len(active):
-        edits, starts = infix_ends(queries[active], m[active], targets[active], n[active])
+        edits = infix_edits(queries[active], m[active], targets[active], n[active])
         best = edits.min(axis=1)
         good = best <= m[active] * edit_share if first else np.ones(len(active), bool)
-        ends = (edits == best[:, None]) & (starts < np.arange(edits.shape[1]))
-        good &= ends.any(axis=1)
+        active, best, edits = active[good], best[good], edits[good]
+        ends = edits == best[:, None]
+        starts = np.zeros(edits.shape, np.int64)
+        row, place = np.nonzero(ends)
+        starts[row, place] = first_starts(queries[active], m[active], targets[active], row, place, best[row])
+        ends &= starts < np.arange(edits.shape[1])
+        good = ends.any(axis=1)
         active, best, ends, starts = active[good], best[good], ends[good], starts[good]
         if not len(active):
             break
         # the path of the first place scores all places of this round, as they have equal edits
         end = ends.argmax(axis=1)
         start = starts[np.arange(len(active)), end]
-        regions, size = _stacked([targets[r, a:b] for r, a, b in zip(active, start, end)])
-        steps = paths(queries[active], m[active], regions, size)
+        steps = np.zeros((len(active), queries.shape[1] + 2), np.int32)
+        steps[:, :-2][np.arange(queries.shape[1]) < m[active][:, None]] = ord("=")
+        edited = np.flatnonzero(best > 0)
+        if len(edited):
+            regions, size = _stacked([targets[active[i], start[i] : end[i]] for i in edited])
+            steps[edited] = paths(queries[active[edited]], m[active[edited]], regions, size)
         scores = matrix_scores(queries[active], errors[active], steps, background[active], gap_open, gap_extend)
         on = np.zeros(len(active), bool)
         for i, r in enumerate(active):
