@@ -19,6 +19,7 @@ from annulus.operators import intervals as iv
 from annulus.operators import kernel as kn
 from annulus.operators import pairs as pr
 from annulus.operators import priors as pi
+from annulus.operators import seeds as sd
 from annulus.operators import simulate as sm
 from annulus.plans import pipelines as pp
 from annulus.plans.proxies import ALN_SQL, CONTIG_LENGTH, READS_SQL, orders_view, proxy_contigs, proxy_reads
@@ -526,6 +527,22 @@ def exact_hits(spark, sf_dir):
     return done.withColumn("hit", kn.first_hit()).select("rid", "hit.start", C("hit.end").alias("stop"), "hit.edits")
 
 
+@query(
+    WITH + ", w AS (SELECT rid // 64 AS tile_id, rid AS iteration, seq AS bases FROM r WHERE rid % 3 <> 0),"
+    " c AS (SELECT rid, rid // 64 AS tile_id, CASE WHEN cl >= cr THEN substring(seq, 1, CAST(cl AS INT)) ELSE substring(seq, CAST(101 - cr AS INT), CAST(cr AS INT)) END AS clip FROM r WHERE cl + cr > 0 AND NOT hard),"
+    " k AS (SELECT *, length(clip) // 2 AS half FROM c)"
+    " SELECT rid, tile_id, iteration, CAST(length(clip) AS INT) AS n FROM k JOIN w USING (tile_id) WHERE CASE WHEN length(clip) < 20 THEN contains(bases, clip)"
+    " ELSE contains(bases, substring(clip, 1, half)) OR contains(bases, substring(clip, half + 1, length(clip) - half)) END"
+)
+def clip_seed_pairs(spark, sf_dir):
+    """Clips with those of their tile's intervals in which an unchanged part of them stands; clips are of 5 to 34 bases, so one edit is allowed at most."""
+    r = proxy_reads(spark, sf_dir).withColumns({"tile_id": F.floor(C("ordinal") / 64), "c": R.longest_clip()})
+    store = Store(spark, "seeds")
+    clips = store.keep(r.where("length(c.seq) > 0").select(C("ordinal").alias("rid"), "tile_id", C("c.seq").alias("clip")), "clips")
+    windows = store.keep(r.where("ordinal % 3 <> 0").select("tile_id", C("ordinal").alias("iteration"), C("seq").alias("bases")), "windows")
+    return sd.seed_pairs(clips, windows).select("rid", "tile_id", "iteration", F.length("clip").alias("n"))
+
+
 @query(WITH + ", n AS (SELECT chrom, count(*) AS length FROM aln GROUP BY chrom) SELECT chrom, length, round(length / CAST(sum(length) OVER () AS DOUBLE), 9) AS weight, round(sum(length) OVER (ORDER BY chrom) / CAST(sum(length) OVER () AS DOUBLE), 9) AS hi FROM n")
 def contig_weights(spark, sf_dir):
     lengths = aln(spark, sf_dir).groupBy("chrom").agg(F.count("*").alias("length"))

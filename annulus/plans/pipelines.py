@@ -15,6 +15,7 @@ from annulus.operators.intervals import coverage_runs, overlap_join, peaks, tile
 from annulus.operators.kernel import accepted, first_hit, realign_column
 from annulus.operators.pairs import extract_candidates, insert_size, mate_pairs, read_side_discordants
 from annulus.operators.priors import mate_intervals, mate_priors
+from annulus.operators.seeds import seed_pairs
 from annulus.shared import Store
 from annulus.sources.fasta import Fasta, genome_chunks
 from annulus.sources.text import chunks, fetch
@@ -94,7 +95,7 @@ def _evidence(candidates: DataFrame, genome: Fasta | DataFrame | None, contigs:
     shift = lambda df, by: df.withColumns({"start": C("start") + by, "end": C("end") + by})
     placed = shift(intervals, p.sequence_shift)
     windows = store.keep(shift(fetch(placed, store.keep(genome_chunks(genome, placed), "genome")), -p.sequence_shift), "windows")
-    both = loose.join(windows, "tile_id").where(F.coalesce(R.non_colinear(C("cigar"), C("pos"), C("start"), C("end")), F.lit(False)))
+    both = seed_pairs(loose, windows, p.edit_share).where(F.coalesce(R.non_colinear(C("cigar"), C("pos"), C("start"), C("end")), F.lit(False)))
     scored = both.withColumn("realigned", realign_column(C("clip"), C("clip_qual"), C("bases"), p.hits, p.gap_open, p.gap_extend, p.edit_share))
     hits = accepted(scored, least=p.probability, edit_share=p.edit_share).drop("bases").withColumn("hit", first_hit())
     return store.keep(splits, "splits"), discordants, store.keep(hits, "hits")
