@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from annulus.functions import reads as R
+from annulus.operators import balance as ba
 from annulus.operators import coverage as cov
 from annulus.operators import evidence as ev
 from annulus.operators import intervals as iv
@@ -232,6 +233,33 @@ def merge_peaks_mean(spark, sf_dir):
     return iv.peaks(iv.coverage_runs(spans(spark, sf_dir)).where("depth >= 12"), 5).withColumn("mean_depth", ROUND("mean_depth"))
 
 
+@query(
+    WITH + RUNS + """, h AS (SELECT * FROM g WHERE depth >= 12), m AS (SELECT *, max("end") OVER (PARTITION BY chrom ORDER BY start, "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM h),
+ i AS (SELECT *, sum(CASE WHEN reach IS NULL OR start > reach + 5 THEN 1 ELSE 0 END) OVER (PARTITION BY chrom ORDER BY start, "end" ROWS UNBOUNDED PRECEDING) AS island FROM m),
+ k AS (SELECT chrom, min(start) AS start, max("end") AS "end", round(avg(depth), 6) AS mean_depth FROM i GROUP BY chrom, island)
+ SELECT chrom, start, "end", mean_depth, row_number() OVER (ORDER BY mean_depth DESC, chrom, start, "end") AS place FROM k"""
+)
+def peaks_by_depth(spark, sf_dir):
+    """Peaks numbered from the deepest."""
+    found = iv.peaks(iv.coverage_runs(spans(spark, sf_dir)).where("depth >= 12"), 5).withColumn("mean_depth", ROUND("mean_depth"))
+    return ba.by_depth(found)
+
+
+@query(
+    WITH + """, t AS (SELECT chrom, pos // 300 * 300 AS start, pos // 300 * 300 + 300 AS "end", CAST(sum(CASE WHEN pos < 600 THEN mapq * 40 ELSE mapq END) AS DOUBLE) AS weight FROM aln GROUP BY ALL),
+ n AS (SELECT *, greatest(1, CAST(ceil(weight * 2 * 40 / (SELECT sum(weight) FROM t)) AS INT)) AS pieces FROM t),
+ p AS (SELECT chrom, start, "end", unnest(range(0, pieces)) AS piece, pieces, weight / pieces AS weight FROM n),
+ dealt AS (SELECT *, row_number() OVER (ORDER BY weight DESC, chrom, start, "end", piece) - 1 AS k FROM p)
+ SELECT chrom, start, "end", CAST(piece AS INT) AS piece, CAST(pieces AS INT) AS pieces, round(weight, 6) AS weight, CAST(CASE WHEN k // 40 % 2 = 0 THEN k % 40 ELSE 39 - k % 40 END AS INT) AS chunk FROM dealt"""
+)
+def balanced_chunks(spark, sf_dir):
+    """Tiles weighed by the qualities of their reads, those at the start of a contig forty times, dealt out over forty chunks."""
+    bin_ = F.floor(C("pos") / 300) * 300
+    weight = F.sum(F.when(C("pos") < 600, C("mapq") * 40).otherwise(C("mapq"))).alias("weight")
+    tiles = aln(spark, sf_dir).groupBy("chrom", bin_.alias("start"), (bin_ + 300).alias("end")).agg(weight)
+    return ba.balanced_chunks(tiles, 40).withColumn("weight", ROUND("weight"))
+
+
 @query(WITH + ", t AS (SELECT DISTINCT chrom, pos AS t0, pos + 300 AS t1 FROM aln WHERE cl > 20) SELECT t.chrom, t0, t1, rid FROM t JOIN aln a ON a.chrom = t.chrom AND pos < t1 AND pos + 100 > t0")
 def tile_read_overlap_join(spark, sf_dir):
     t = aln(spark, sf_dir).where("cl > 20").select("chrom", C("pos").alias("start"), (C("pos") + 300).alias("end")).distinct()
