@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from math import ceil
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from annulus.functions import reads as R
-from annulus.operators.intervals import merge_reciprocal, merge_touching, point_depth
+from annulus.operators.intervals import box_counts, merge_reciprocal, merge_touching, point_depth
 from annulus.schema import REVERSE
 
 C = F.col
@@ -56,16 +58,15 @@ def support(evidence: DataFrame, keys: tuple[str, ...] = ("tile_id",)) -> DataFr
 
 
 def assign_discordants(splits: DataFrame, discordants: DataFrame, reach: float, keys: tuple[str, ...] = ("tile_id",)) -> DataFrame:
-    """splits with the number of discordant spans just inside each (both ends within reach, strictly)."""
-    d = discordants.select(*keys, "chrom", C("start").alias("_ds"), C("end").alias("_de"))
-    spans = splits.select(*keys, "chrom", "start", "end").distinct()
-    inside = (C("_ds") > C("start")) & (C("_ds") - C("start") < reach) & (C("_de") < C("end")) & (C("end") - C("_de") < reach)
-    # both starts lie within reach of each other, so equal or neighbouring cells of that size meet
-    cell = max(1, int(-(-reach // 1)))
-    near = d.withColumn("_cell", F.explode(F.array(F.floor(C("_ds") / cell), F.floor(C("_ds") / cell) - 1)))
-    found = spans.withColumn("_cell", F.floor(C("start") / cell)).join(near, [*keys, "chrom", "_cell"]).where(inside)
-    counts = found.groupBy(*keys, "chrom", "start", "end").agg(F.count("*").alias("discordants"))
-    return splits.join(counts, [*keys, "chrom", "start", "end"], "left").withColumn("discordants", F.coalesce("discordants", F.lit(0)))
+    """splits with the number of discordant spans just inside each (both ends within reach, strictly).
+
+    Starts and ends are whole numbers. Equal spans of either side are counted once, and no span meets another: see ``box_counts``.
+    """
+    by, wide = [*keys, "chrom"], ceil(reach) - 1
+    points = discordants.groupBy(*by, C("start").alias("x"), C("end").alias("y")).agg(F.count("*").alias("n"))
+    boxes = splits.select(*by, (C("start") + 1).alias("x"), (C("end") - wide).alias("y")).distinct()
+    counts = box_counts(boxes, points, wide, by).select(*by, (C("x") - 1).alias("start"), (C("y") + wide).alias("end"), C("inside").alias("discordants"))
+    return splits.join(counts, [*by, "start", "end"], "left").withColumn("discordants", F.coalesce("discordants", F.lit(0)))
 
 
 def discordant_islands(discordants: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:

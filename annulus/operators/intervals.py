@@ -73,6 +73,38 @@ def point_depth(points: DataFrame, spans: DataFrame, stretch: int = RANK_STRETCH
     return points.join(hits, ["chrom", "point"], "left").withColumn("depth", F.coalesce("depth", F.lit(0)))
 
 
+def box_counts(boxes: DataFrame, points: DataFrame, wide: int, keys: list[str]) -> DataFrame:
+    """boxes (keys, x, y), no two alike, with inside: the sum of n of points (keys, x, y, n) in [x, x + wide) by [y, y + wide).
+
+    A point stands in one block of x of each power of two, and a box's x fall into a few whole blocks (two a power at most); inside a block
+    the points up to either border of y are a running sum. So a point gives log2(wide) rows and a box at most some
+    six times as many, however many points stand in it. Running sums go along strips little wider than a box. Nulls stand in no box.
+    """
+    if wide < 1:
+        return boxes.select(*keys, "x", "y", F.lit(0).cast("long").alias("inside"))
+    powers, strip = range(wide.bit_length()), wide.bit_length()
+    block = lambda at, k: F.shiftright(at.cast("long"), k)
+    node = lambda k, no: F.struct(F.lit(k).alias("k"), no.alias("no"))
+    placed = points.where("x IS NOT NULL AND y IS NOT NULL").withColumn("_b", F.explode(F.array(*[node(k, block(C("x"), k)) for k in powers])))
+    blank = F.lit(None).cast("long")
+    held = placed.select(*keys, "_b", C("y").cast("long").alias("_at"), "n", blank.alias("x"), blank.alias("y"), F.lit(0).alias("_sign"))
+    whole = []
+    for k in powers:
+        first, behind = block(C("x") + ((1 << k) - 1), k), block(C("x") + wide, k)
+        some = first < behind
+        whole += [F.when(some & (first % 2 != 0), node(k, first)), F.when(some & (behind % 2 != 0), node(k, behind - 1))]
+    edge = lambda at, sign: F.struct(at.cast("long").alias("at"), F.lit(sign).alias("sign"))
+    low, high = C("y") - 1, C("y") + (wide - 1)
+    between = F.when(block(low, strip) != block(high, strip), edge(((block(low, strip) + 1) * (1 << strip)) - 1, 1))
+    asked = boxes.where("x IS NOT NULL AND y IS NOT NULL").withColumn("_b", F.explode(F.array_compact(F.array(*whole))))
+    asked = asked.withColumn("_e", F.explode(F.array_compact(F.array(edge(low, -1), edge(high, 1), between))))
+    asked = asked.select(*keys, "_b", C("_e.at").alias("_at"), F.lit(0).cast("long").alias("n"), C("x").cast("long").alias("x"), C("y").cast("long").alias("y"), C("_e.sign").alias("_sign"))
+    rows = held.union(asked).withColumns({"_k": C("_b.k"), "_no": C("_b.no"), "_strip": block(C("_at"), strip)}).drop("_b")
+    along = Window.partitionBy(*keys, "_k", "_no", "_strip").orderBy("_at").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = rows.withColumn("_up", F.sum("n").over(along)).where("_sign <> 0")
+    return ranked.groupBy(*keys, "x", "y").agg(F.sum(C("_sign") * C("_up")).alias("inside"))
+
+
 #: Bases of the stretches by which a key's rows are dealt out.
 STRETCH = 1_000_000
 
