@@ -19,6 +19,8 @@ C = F.col
 SEEDS = (8, 12)
 #: Bases of an interval that are cut into stretches at a time; the places of a text are counted from its start, so short texts are cheaper.
 _PIECE = 256
+#: Clips up to which a tile's clips meet its intervals one by one: that costs less than the index, which has about two rows for each base of an interval.
+FEW = 256
 
 
 def parts(clip: Column, edit_share: float) -> Column:
@@ -75,9 +77,23 @@ def seed_pairs(clips: DataFrame, windows: DataFrame, edit_share: float = 0.05) -
     """Clips with the intervals of their tile in which one of their parts stands: all columns of both.
 
     clips: tile_id, clip and others; windows: tile_id, iteration (unique in its tile), bases and others that clips has not. Rows without a
-    tile, a clip or bases have no pair; equal rows of clips stay as many as they are. Equal clips of a tile are looked up once;
-    every join here is of the kind that Spark splits where one key (a tile's commonest seed, clip or interval) is hot.
+    tile, a clip or bases have no pair; equal rows of clips stay as many as they are. In tiles of ``FEW`` clips at most every clip is
+    held against every interval, and such intervals come into no index; in others equal clips are looked up once, by seeds.
+    Every join here is of the kind that Spark splits where one key (a tile's commonest seed, clip or interval) is hot.
     """
-    named = clip_intervals(clips, windows, edit_share)
-    met = clips.join(named, ["tile_id", "clip"]).withColumn("iteration", F.explode("iterations")).drop("iterations")
-    return met.join(windows, ["tile_id", "iteration"]).where(part_stands(C("clip"), C("bases"), edit_share))
+    stands = part_stands(C("clip"), C("bases"), edit_share)
+    asked = clips.where("tile_id IS NOT NULL AND clip <> ''")
+    counted = asked.groupBy("tile_id").agg(F.count("*").alias("_n"))
+    few, many = counted.where(C("_n") <= FEW).select("tile_id"), counted.where(C("_n") > FEW).select("tile_id")
+    # the parts are cut once a clip and not once a pair; the first ones are columns, as a test of a list is many times as slow
+    cut = asked.join(few, "tile_id", "left_semi").withColumn("_parts", parts(F.upper("clip"), edit_share))
+    cut = cut.withColumns({f"_p{k}": F.get("_parts", F.lit(k)) for k in range(4)}).withColumn("_rest", F.slice("_parts", 5, 1 << 20)).drop("_parts")
+    upper = windows.withColumn("_upper", F.upper("bases"))
+    standing = C("_p0").isNotNull() & F.contains(C("_upper"), C("_p0"))
+    for k in range(1, 4):
+        standing = standing | (C(f"_p{k}").isNotNull() & F.contains(C("_upper"), C(f"_p{k}")))
+    standing = standing | ((F.size("_rest") > 0) & F.exists("_rest", lambda part: F.contains(C("_upper"), part)))
+    met = cut.join(upper, "tile_id").where(standing).drop("_p0", "_p1", "_p2", "_p3", "_rest", "_upper")
+    clips, searched = asked.join(many, "tile_id", "left_semi"), windows.join(many, "tile_id", "left_semi")
+    named = clips.join(clip_intervals(clips, searched, edit_share), ["tile_id", "clip"]).withColumn("iteration", F.explode("iterations")).drop("iterations")
+    return met.unionByName(named.join(searched, ["tile_id", "iteration"]).where(stands))

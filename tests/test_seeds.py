@@ -72,3 +72,24 @@ def test_one_tile_and_one_clip_are_not_one_row_each(spark):
 def test_nothing_to_pair(spark):
     empty = made(spark, [], [], 0.05)
     assert empty.count() == 0 and empty.select(F.length("clip"), "bases").count() == 0
+
+
+def test_small_tiles_need_no_index(spark, monkeypatch):
+    """Pairs are the same by index and one by one, where the clips of a tile lie over and under the limit; tiles under it come into no index."""
+    rng = random.Random(3)
+    draw = lambda n: "".join(rng.choices("ACGTa", k=n))
+    windows = [(t, k, draw(rng.choice((60, 300)))) for t in range(3) for k in range(1, 5)]
+    clips = []
+    for rid in range(90):
+        tile, _, source = windows[rng.choice((0, 1, 1, 5, 9, 9, 9, 9))]
+        n, at = rng.choice((6, 12, 21, 45, 58)), rng.randrange(3)
+        clips.append((rid, tile, source[at : at + n][: n // 2] + rng.choice(("", "G")) + source[at + n // 2 : at + n]))
+    pairs = lambda: sorted((r.rid, r.tile_id, r.iteration) for r in made(spark, clips, windows, 0.1).collect())
+    expected = sorted((r, t, k) for r, t, c in clips for u, k, b in windows if u == t and stands(c, b, 0.1))
+    asked, index = [], seeds.seed_index
+    monkeypatch.setattr(seeds, "seed_index", lambda windows: asked.append(windows) or index(windows))
+    for few, tiles in ((0, {0, 1, 2}), (40, {2}), (1000, set())):
+        monkeypatch.setattr(seeds, "FEW", few)
+        asked.clear()
+        assert pairs() == expected
+        assert {r.tile_id for r in asked[0].select("tile_id").collect()} == tiles
