@@ -39,6 +39,18 @@ def overlap_join(left: DataFrame, right: DataFrame, bin_size: int = BIN, how: st
     return a.join(b, met & near).drop("_a0", "_b0", "_bin", "_rbin")
 
 
+def overlap_rows(left: DataFrame, right: DataFrame, bin_size: int = BIN) -> DataFrame:
+    """overlap_join for a right side with many rows to a span: its different spans meet the left once, its rows then take over their span's pairs.
+
+    The sort-merge join gives the pairs row by row, with the rows of a span one after another and the left's rows each time in
+    the same order, so that Parquet keeps what comes again as runs and repeats; in any other order a pair takes some four bytes.
+    """
+    clash = set(left.columns)
+    rows = right.select([F.col(c).alias(f"r_{c}" if c in clash else c) for c in right.columns])
+    met = overlap_join(left, right.select("chrom", "start", "end").distinct(), bin_size)
+    return rows.hint("merge").join(met, ["r_chrom", "r_start", "r_end"]).select(*left.columns, *rows.columns)
+
+
 def exclude_regions(intervals: DataFrame, regions: DataFrame) -> DataFrame:
     """Intervals that overlap none of the regions."""
     return overlap_join(intervals, regions, how="left_anti")

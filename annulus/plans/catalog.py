@@ -263,7 +263,7 @@ def balanced_chunks(spark, sf_dir):
 @query(WITH + ", t AS (SELECT DISTINCT chrom, pos AS t0, pos + 300 AS t1 FROM aln WHERE cl > 20) SELECT t.chrom, t0, t1, rid FROM t JOIN aln a ON a.chrom = t.chrom AND pos < t1 AND pos + 100 > t0")
 def tile_read_overlap_join(spark, sf_dir):
     t = aln(spark, sf_dir).where("cl > 20").select("chrom", C("pos").alias("start"), (C("pos") + 300).alias("end")).distinct()
-    return iv.overlap_join(t, spans(spark, sf_dir)).select("chrom", C("start").alias("t0"), C("end").alias("t1"), "rid")
+    return iv.overlap_rows(t, spans(spark, sf_dir)).select("chrom", C("start").alias("t0"), C("end").alias("t1"), "rid")
 
 
 @query(WITH + ', x AS (SELECT DISTINCT chrom, pos AS x0, pos + 150 AS x1 FROM aln WHERE cr > 32) SELECT rid, chrom, pos AS start, pos + 100 AS "end" FROM aln a WHERE NOT EXISTS (SELECT 1 FROM x WHERE x.chrom = a.chrom AND pos < x1 AND pos + 100 > x0)')
