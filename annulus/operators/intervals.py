@@ -70,12 +70,14 @@ def point_depth(points: DataFrame, spans: DataFrame, stretch: int = RANK_STRETCH
     wanted = points.select("chrom", "point").where("chrom IS NOT NULL AND point IS NOT NULL").distinct().withColumn("_part", F.floor(C("point") / stretch))
     change = lambda at, d: F.struct(C(at).cast("long").alias("at"), F.lit(d).cast("long").alias("d"))
     edges = spans.where("end > start").select("chrom", F.explode(F.array(change("start", 1), change("end", -1))).alias("e")).select("chrom", "e.at", "e.d")
-    edges = edges.withColumn("_part", F.floor(C("at") / stretch))
+    # counted once, for both uses below: Spark runs the exchange of equal plans once, and with these filters they are equal
+    placed = edges.withColumn("_part", F.floor(C("at") / stretch)).where("chrom IS NOT NULL AND _part IS NOT NULL")
+    counted = placed.groupBy("chrom", "_part", "at").agg(F.sum("d").alias("d")).where("d <> 0")
     here = wanted.select("chrom", "_part").distinct()
     before = Window.partitionBy("chrom").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    sums = edges.groupBy("chrom", "_part").agg(F.sum("d").alias("d")).union(here.withColumn("d", F.lit(0).cast("long")))
+    sums = counted.groupBy("chrom", "_part").agg(F.sum("d").alias("d")).union(here.withColumn("d", F.lit(0).cast("long")))
     base = sums.groupBy("chrom", "_part").agg(F.sum("d").alias("d")).withColumn("_base", F.coalesce(F.sum("d").over(before), F.lit(0))).drop("d")
-    near = edges.groupBy("chrom", "_part", "at").agg(F.sum("d").alias("d")).where("d <> 0").join(here, ["chrom", "_part"], "left_semi")
+    near = counted.join(here, ["chrom", "_part"], "left_semi")
     rows = near.select("chrom", "_part", "at", "d", F.lit(False).alias("_asked")).union(
         wanted.select("chrom", "_part", C("point").cast("long"), F.lit(0).cast("long"), F.lit(True))
     )

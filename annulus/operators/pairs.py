@@ -83,7 +83,8 @@ def insert_size(reads: DataFrame, mapq: int = 60, sample: int = 100_000) -> Data
         & R.has_flag(REVERSE, C("r2.flag"))
         & (C("r1.tlen") > 0)
     )
-    first = mate_pairs(reads).where(good).select(C("r2.ordinal").alias("o"), C("r1.tlen").alias("tlen")).orderBy("o").limit(sample)
+    needed = reads.select("qname", "ordinal", "flag", "mapq", "cigar", "tlen")  # whole reads would all be shuffled
+    first = mate_pairs(needed).where(good).select(C("r2.ordinal").alias("o"), C("r1.tlen").alias("tlen")).orderBy("o").limit(sample)
     return first.agg(F.count("*").alias("pairs"), F.avg("tlen").alias("mean"), F.stddev_pop("tlen").alias("std"))
 
 

@@ -23,7 +23,7 @@ from annulus.operators import priors as pi
 from annulus.operators import seeds as sd
 from annulus.operators import simulate as sm
 from annulus.plans import pipelines as pp
-from annulus.plans.proxies import ALN_SQL, CONTIG_LENGTH, READS_SQL, orders_view, proxy_contigs, proxy_reads
+from annulus.plans.proxies import ALN_SQL, BASES_SQL, CONTIG_LENGTH, READS_SQL, orders_view, proxy_contigs, proxy_reads
 from annulus.shared import Store
 
 C = F.col
@@ -379,7 +379,8 @@ def circle_from_sa(spark, sf_dir):
 def evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All split evidence, with three made-up iterations."""
     t = tiled(spark, sf_dir)
-    whole = t.select("tile_id", "chrom").distinct().select("tile_id", "chrom", F.lit(-1000).cast("long").alias("start"), F.lit(1 << 40).alias("end"), F.explode(F.array(*[F.lit(i).cast("long") for i in range(3)])).alias("iteration"))
+    tiles = aln(spark, sf_dir).selectExpr(TILE, "chrom").distinct()  # those of all records; the mates need not be joined for them
+    whole = tiles.select("tile_id", "chrom", F.lit(-1000).cast("long").alias("start"), F.lit(1 << 40).alias("end"), F.explode(F.array(*[F.lit(i).cast("long") for i in range(3)])).alias("iteration"))
     keyed = t.withColumn("qname", F.struct("qname", (C("ordinal") % 3).alias("i")))
     found = ev.split_evidence(keyed, whole).where("read.i = iteration")
     return found.withColumn("read", C("read.qname"))
@@ -579,7 +580,8 @@ def contig_weights(spark, sf_dir):
 
 def proxy_genome(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A contig for each chromosome: the reads' bases at every hundredth place, those of the first read of a place."""
-    r = orders_view(spark, sf_dir, READS_SQL).groupBy("chrom", F.floor(C("pos") / 100).alias("k")).agg(F.min_by("seq", "rid").alias("seq"))
+    r = orders_view(spark, sf_dir, READS_SQL).groupBy("chrom", F.floor(C("pos") / 100).alias("k")).agg(F.min("rid").alias("rid"))
+    r = r.withColumn("seq", F.expr(BASES_SQL.replace("a.rid", "rid")))  # bases of the first reads alone
     return r.groupBy("chrom").agg(F.array_sort(F.collect_list(F.struct("k", "seq"))).alias("s")).select("chrom", F.array_join("s.seq", "").alias("seq"))
 
 

@@ -92,6 +92,8 @@ def _evidence(candidates: DataFrame, genome: Fasta | DataFrame | None, contigs:
     loose = loose.where(F.length("longest.seq") >= p.min_clip).select(
         "tile_id", "qname", "pos", R.rightmost().alias("read_end"), "cigar", C("longest.seq").alias("clip"), C("longest.qual").alias("clip_qual")
     )
+    # kept, as the parts of a clip name it many times over, and each would find the longest clip of the read again
+    loose = store.keep(loose, "loose")
     shift = lambda df, by: df.withColumns({"start": C("start") + by, "end": C("end") + by})
     placed = shift(intervals, p.sequence_shift)
     windows = store.keep(shift(fetch(placed, store.keep(genome_chunks(genome, placed), "genome")), -p.sequence_shift), "windows")

@@ -22,6 +22,10 @@ SELECT o_orderkey AS rid, o_orderkey - o_orderkey % 2 AS qid, o_orderkey % 2 = 0
        o_orderkey % 13 = 0 AS hard, o_orderkey % 17 = 0 AS unmapped
 FROM orders"""
 
+#: Bases of the read a.rid; they follow from its number alone.
+BASES_SQL = """substring(translate(concat(md5(CAST(a.rid AS STRING)), md5(CAST(a.rid + 1 AS STRING)), md5(CAST(a.rid + 2 AS STRING)), md5(CAST(a.rid + 3 AS STRING))),
+                 '0123456789abcdef', 'ACGTACGTACGTACGT'), 1, 100)"""
+
 READS_SQL = f"""
 SELECT a.rid, a.qid, a.is_read1, a.chrom, a.pos, a.mapq, a.rev, a.cl, a.cr, a.hard, a.unmapped,
        m.pos AS mpos, m.rev AS mrev, m.mapq AS mmapq, m.unmapped AS munmapped,
@@ -31,8 +35,7 @@ SELECT a.rid, a.qid, a.is_read1, a.chrom, a.pos, a.mapq, a.rev, a.cl, a.cr, a.ha
        CASE WHEN a.rid % 3 = 0 THEN '+' WHEN a.rev THEN '-' ELSE '+' END AS sa_strand,
        a.cl + a.cr AS sa_m, a.rid % 4 AS sa_d, 10 + a.rid % 50 AS sa_mapq,
        a.rid % 4 = 0 AS has_xa, a.rid % 8 = 0 AS two_xa, a.pos + (a.rid % 11 - 5) * 40 AS xa_pos, a.rid % 5 AS nm,
-       substring(translate(concat(md5(CAST(a.rid AS STRING)), md5(CAST(a.rid + 1 AS STRING)), md5(CAST(a.rid + 2 AS STRING)), md5(CAST(a.rid + 3 AS STRING))),
-                 '0123456789abcdef', 'ACGTACGTACGTACGT'), 1, 100) AS seq
+       {BASES_SQL} AS seq
 FROM ({ALN_SQL}) a JOIN ({ALN_SQL}) m ON a.qid = m.qid AND a.rid <> m.rid"""
 
 
