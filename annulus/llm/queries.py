@@ -21,7 +21,7 @@ from annulus.llm.ranks import joined_sha256, same
 from annulus.llm.storage import Store
 from annulus.llm.token_counts import TOKENIZERS, TokenLedger, count_tokens, deletes, inserts, revisions
 from annulus.llm.toxicity import grade_toxicity
-from annulus.llm.warc import ARCHIVE_PAGES, audit, records, stored_records
+from annulus.llm.warc import ARCHIVE_PAGES, audit, laid_out, measured, replica_records, responses, with_slots
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -106,12 +106,13 @@ def op10_warc_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every record of the pages' stored archives, and whether the audit finds it damaged in a replica where some stored records have a byte overwritten."""
     pages = table(spark, sf_dir, "pages")
     store = Store(spark, "warc")
-    stored = store.keep(records(pages).drop("digest", "length"), "archives")
+    stored = store.keep(with_slots(responses(pages)), "archives")
     rotten = F.substring(F.sha2(F.concat(F.lit("rot:"), F.col("page_id").cast("string")), 256), 1, 2) == "00"
     # the fifth byte from the end of a record is the last one of its body
     damaged = F.overlay("record", F.lit(b"\x00"), F.length("record") - 4, F.lit(1))
-    replica = store.keep(stored.withColumn("record", F.when(rotten, damaged).otherwise(F.col("record"))), "copies")
-    first, second = (store.keep(stored_records(x), n) for x, n in ((stored, "records"), (replica, "replica")))
+    replica = store.keep(stored.select("slot", F.when(rotten, damaged).otherwise(F.col("record")).alias("record")), "copies")
+    first = store.keep(laid_out(measured(stored)), "records")
+    second = store.keep(replica_records(first, replica), "replica")
     found = audit(first, second, store).select("archive", "place", "fault")
     return first.join(found, ["archive", "place"], "left").select(
         "page_id", "archive", "place", "offset", "length", F.col("digest").alias("record_sha256"), F.coalesce("fault", F.lit("intact")).alias("status")

@@ -1,7 +1,8 @@
 """WARC records and a Merkle audit of their replicas.
 
-Archives are stored record by record, with the places of their bytes; a replica's records (archive, place,
-offset, length, digest) are made from its stored bytes. The leaves of an
+Archives are stored record by record, each where its page is read, under a slot number; a layout names the
+archive, place and offset of every slot, so records are put in order without moving their bytes. A replica's
+records (archive, place, offset, length, digest) are made from its stored bytes. The leaves of an
 archive's tree hash each record's digest with its offset range, in order; a node hashes
 ``FANOUT`` children and covers their range. The audit compares the roots of two replicas and
 goes down only below nodes that differ, one level at a time, so a damaged record costs a
@@ -42,27 +43,41 @@ def record_bytes(page_id: Column, url: Column, html: Column) -> Column:
     return text.cast("binary")
 
 
-def records(pages: DataFrame) -> DataFrame:
-    """Records of pages in archives of ARCHIVE_PAGES ids.
+def responses(pages: DataFrame) -> DataFrame:
+    """page_id and record of pages (page_id, url and html; other columns are ignored, whatever their names)."""
+    return pages.select(F.col("page_id").cast("long").alias("page_id"), record_bytes(F.col("page_id"), F.col("url"), F.col("html")).alias("record"))
+
+
+def with_slots(made: DataFrame) -> DataFrame:
+    """``responses`` with a slot, a number no other row has. It depends on how the pages are read, so keep the rows before using it."""
+    return made.select(F.monotonically_increasing_id().alias("slot"), "page_id", "record")
+
+
+def measured(stored: DataFrame) -> DataFrame:
+    """Rows with length and digest (SHA-256) of the stored bytes in place of the record."""
+    others = [c for c in stored.columns if c not in ("record", "length", "digest")]
+    return stored.select(*others, F.length("record").cast("long").alias("length"), F.sha2("record", 256).alias("digest"))
+
 
-    pages: page_id, url and html; other columns are ignored, whatever their names. Returns
-    archive, place (from 0), page_id, offset, length, digest (SHA-256 of the record) and record, in
-    the order of page_id, then digest. Repeated rows are records of their own. Pages without page_id
+def laid_out(sized: DataFrame) -> DataFrame:
+    """Where records lie in archives of ARCHIVE_PAGES ids: rows with archive, place (from 0) and offset.
+
+    sized: page_id, length, digest and what else is to be carried along, which travels through the
+    shuffle: leave the bytes out where a slot will do. Records stand in the order of page_id, then digest.
+    Repeated rows are records of their own. Pages without page_id
     are dealt out over 65,536 archives, -1 and down, by the first four hex digits of their digest.
 
     Places are counted along the rows of one page_id and first four hex digits (for pages without
     page_id, the first eight), on top of what lies before them in the archive, so pages of one id do not
     meet in one task unless they are equal.
     """
-    made = pages.select(F.col("page_id").cast("long").alias("page_id"), record_bytes(F.col("page_id"), F.col("url"), F.col("html")).alias("record"))
-    made = made.select("page_id", F.length("record").cast("long").alias("length"), F.sha2("record", 256).alias("digest"), "record")
     lost = -1 - F.conv(F.substring("digest", 1, 4), 16, 10).cast("long")
-    made = made.select(
+    made = sized.select(
         F.coalesce(F.floor(F.col("page_id") / ARCHIVE_PAGES), lost).cast("long").alias("archive"),
         F.when(F.col("page_id").isNull(), F.substring("digest", 1, 8)).otherwise(F.substring("digest", 1, 4)).alias("lot"),
         "*",
     )
-    # the records' bytes are dealt out once, by archive and lot, which serves the windows and the join alike
+    # rows are dealt out once, by archive and lot, which serves the windows and the join alike
     dealt = made.repartition("archive", "lot")
     lots = ["archive", "page_id", "lot"]
     within = Window.partitionBy("archive").orderBy("page_id", "lot").rowsBetween(Window.unboundedPreceding, -1)
@@ -76,17 +91,26 @@ def records(pages: DataFrame) -> DataFrame:
     return counted.join(base, ["archive", "lot"]).withColumn("own", own).select(
         "archive",
         (F.col("own.places") + F.col("k")).cast("long").alias("place"),
-        "page_id",
         (F.col("own.start") + F.col("upto") - F.col("length")).alias("offset"),
-        "length",
-        "digest",
-        "record",
+        *sized.columns,
     )
 
 
+def records(pages: DataFrame) -> DataFrame:
+    """Records of pages, laid out with their bytes: archive, place, page_id, offset, length, digest and record."""
+    made = responses(pages)
+    sized = made.select("page_id", F.length("record").cast("long").alias("length"), F.sha2("record", 256).alias("digest"), "record")
+    return laid_out(sized).select("archive", "place", "page_id", "offset", "length", "digest", "record")
+
+
 def stored_records(stored: DataFrame) -> DataFrame:
     """Records (without their bytes) as they are found in storage: length and digest are those of the stored bytes."""
-    return stored.select("archive", "place", "page_id", "offset", F.length("record").cast("long").alias("length"), F.sha2("record", 256).alias("digest"))
+    return measured(stored.select("archive", "place", "page_id", "offset", "record"))
+
+
+def replica_records(layout: DataFrame, replica: DataFrame) -> DataFrame:
+    """Records of a replica (slot and record) at the places of a layout (slot, archive, place, page_id and offset)."""
+    return layout.select("slot", "archive", "place", "page_id", "offset").join(measured(replica.select("slot", "record")), "slot")
 
 
 def leaves(replica: DataFrame) -> DataFrame:

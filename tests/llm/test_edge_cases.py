@@ -1,11 +1,15 @@
 """Nulls, empty and long texts, ties, repeated rows, empty tables and clashing extra columns."""
 
+import random
+from collections import Counter
+from hashlib import sha256
+
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 from annulus.llm import bpe, decontaminate, langid, licenses, line_dedup, media, minhash, toxicity, warc
-from annulus.llm.queries import word_vocabulary
+from annulus.llm.queries import op10_warc_audit, word_vocabulary
 from annulus.llm.token_counts import TokenLedger, count_tokens, counted, counted_bpe, deletes, inserts, revisions
 
 SCHEMA = "doc_id long, text string, lang string, source string, rep long, label string, sig string, winners string, u long, kept string"
@@ -196,6 +200,33 @@ def test_warc_audit_and_round_trip(spark, tmp_path):
         list(warc.parse_records(b"WARC/1.1\r\nContent-Length: 9\r\n\r\nshort"))
 
 
+def test_warc_audit_shuffles_no_bytes_of_records(spark, tmp_path):
+    """Two megabytes of bodies that do not compress, some rows twice, and the whole result held against plain Python."""
+    bodies = [random.Random(i).randbytes(10_000).hex() for i in range(100)]
+    rows = [(i * 100, f"http://x/{i}", b) for i, b in enumerate(bodies)] + [(0, "http://x/0", bodies[0]), (100, "http://y", None), (6700, "http://x/67", bodies[67])]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    context = spark.sparkContext._jsc.sc()
+
+    def shuffled() -> int:
+        context.listenerBus().waitUntilEmpty()
+        return context.statusStore().executorList(True).apply(0).totalShuffleWrite()
+
+    before = shuffled()
+    got = op10_warc_audit(spark, str(tmp_path)).collect()
+    assert shuffled() - before < 500_000
+    expected, ends, places = [], Counter(), Counter()
+    record = lambda i, url, b: f"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:{i}>\r\nWARC-Target-URI: {url}\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(b or '')}\r\n\r\n{b or ''}\r\n\r\n"
+    sized = [(i, sha256((r := record(i, url, b)).encode()).hexdigest(), len(r)) for i, url, b in rows]
+    for i, digest, n in sorted(sized):
+        archive = i // warc.ARCHIVE_PAGES
+        status = "corrupt" if sha256(f"rot:{i}".encode()).hexdigest()[:2] == "00" else "intact"
+        expected.append((i, archive, places[archive], ends[archive], n, digest, status))
+        places[archive] += 1
+        ends[archive] += n
+    assert sorted(tuple(r) for r in got) == sorted(expected)
+    assert {r.status for r in got} == {"corrupt", "intact"}
+
+
 CLASHES = "doc_id int, text string, n_lines long, n_kept int, winners string, ids string, doc_ids int, decoded string, n_tokens long, node long, label string, key string, passages string, toxic int, rep long"
 
 
