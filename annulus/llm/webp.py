@@ -14,6 +14,7 @@ from __future__ import annotations
 import heapq
 import struct
 from dataclasses import dataclass, field
+from functools import cache
 
 import numpy as np
 
@@ -32,7 +33,7 @@ DISTANCE_PLANE = (
 )
 HASH = 0x1E35A7BD
 #: Bits whose symbols are looked up at a time.
-WINDOW_BITS = 1 << 18
+WINDOW_BITS = 1 << 16
 MOST_SIDE = 1 << 14
 
 
@@ -53,13 +54,15 @@ def code_lengths(counts: np.ndarray, most: int) -> np.ndarray:
         return lengths
     weights = counts[used]
     while True:
-        heap = [(int(w), i) for i, w in enumerate(weights)]
+        shift = (2 * len(used)).bit_length()  # a heap of weights, with the node in the low bits
+        heap = [(w << shift) | i for i, w in enumerate(weights.tolist())]
         heapq.heapify(heap)
-        parent = [0] * (2 * len(used) - 1)
+        mask, parent = (1 << shift) - 1, [0] * (2 * len(used) - 1)
         for node in range(len(used), 2 * len(used) - 1):
-            a, b = heapq.heappop(heap), heapq.heappop(heap)
-            parent[a[1]] = parent[b[1]] = node
-            heapq.heappush(heap, (a[0] + b[0], node))
+            a = heapq.heappop(heap)
+            b = heap[0]
+            parent[a & mask] = parent[b & mask] = node
+            heapq.heapreplace(heap, (((a >> shift) + (b >> shift)) << shift) | node)
         depth = [0] * (2 * len(used) - 1)
         for node in range(2 * len(used) - 3, -1, -1):
             depth[node] = depth[parent[node]] + 1
@@ -69,18 +72,27 @@ def code_lengths(counts: np.ndarray, most: int) -> np.ndarray:
         weights = (weights + 1) // 2
 
 
+@cache
+def _reversal(bits: int) -> np.ndarray:
+    """Each number of ``bits`` bits with its bits in reverse order."""
+    found = np.zeros(1, np.int64)
+    for _ in range(bits):
+        found = np.concatenate((found << 1, (found << 1) | 1))
+    return found
+
+
+def _in_code_order(lengths: np.ndarray) -> np.ndarray:
+    """The used symbols in the order of their canonical codes."""
+    used = np.flatnonzero(lengths)
+    return used[np.argsort(lengths[used], kind="stable")]
+
+
 def reversed_codes(lengths: np.ndarray) -> np.ndarray:
-    """Canonical codes, with the bit that is read first lowest."""
+    """Canonical codes of at most 15 bits, with the bit that is read first lowest."""
     codes = np.zeros(len(lengths), np.int64)
-    by_size: dict[int, list[int]] = {}
-    for symbol in np.flatnonzero(lengths).tolist():
-        by_size.setdefault(int(lengths[symbol]), []).append(symbol)
-    code = 0
-    for size in range(1, int(lengths.max(initial=0)) + 1):
-        for symbol in by_size.get(size, ()):
-            codes[symbol] = int(format(code, f"0{size}b")[::-1], 2)
-            code += 1
-        code <<= 1
+    order = _in_code_order(lengths)
+    spans = 1 << (15 - lengths[order])
+    codes[order] = _reversal(15)[np.cumsum(spans) - spans]
     return codes
 
 
@@ -88,21 +100,31 @@ class PrefixCode:
     """Lookup from the next ``bits`` bits to symbol * 16 + length."""
 
     def __init__(self, lengths: np.ndarray):
-        lengths = np.asarray(lengths)
-        used = np.flatnonzero(lengths)
-        if not len(used):
+        lengths = np.asarray(lengths, np.int64)
+        order = _in_code_order(lengths)
+        if not len(order):
             raise WebpError("a prefix code has no symbols")
-        self.single = int(used[0]) if len(used) == 1 else None
-        if self.single is not None:
-            self.bits, self.table = 0, np.array([self.single << 4], np.uint32)
+        self.single, self.highest = None, int(order.max())
+        if len(order) == 1:
+            self._of_one(self.highest)
             return
-        self.bits = int(lengths.max())
-        if sum(1 << (self.bits - int(x)) for x in lengths[used]) != 1 << self.bits:
+        sizes = lengths[order]
+        self.bits = int(sizes[-1])
+        spans = 1 << (self.bits - sizes)
+        if spans.sum() != 1 << self.bits:
             raise WebpError("a prefix code is not complete")
-        self.table = np.zeros(1 << self.bits, np.uint32)
-        for symbol, code in zip(used, reversed_codes(lengths)[used]):
-            size = int(lengths[symbol])
-            self.table[int(code) :: 1 << size] = (int(symbol) << 4) | size
+        self.table = np.repeat(((order << 4) | sizes).astype(np.uint32), spans)[_reversal(self.bits)]
+
+    def _of_one(self, symbol: int) -> None:
+        self.single = self.highest = symbol
+        self.bits, self.table = 0, np.array([symbol << 4], np.uint32)
+
+    @classmethod
+    def of_one(cls, symbol: int) -> PrefixCode:
+        """The code of one symbol, which takes no bits."""
+        code = cls.__new__(cls)
+        code._of_one(symbol)
+        return code
 
 
 class BitReader:
@@ -131,35 +153,45 @@ class BitReader:
 
 
 def _read_code(bits: BitReader, alphabet: int) -> PrefixCode:
-    lengths = np.zeros(alphabet, np.int64)
     if bits.read(1):
         two = bits.read(1)
         first = bits.read(8 if bits.read(1) else 1)
         symbols = [first, bits.read(8)] if two else [first]
         if max(symbols) >= alphabet:
             raise WebpError("a symbol is not in its alphabet")
+        if len(set(symbols)) == 1:
+            return PrefixCode.of_one(first)
+        lengths = np.zeros(alphabet, np.int64)
         lengths[symbols] = 1
         return PrefixCode(lengths)
-    first = np.zeros(19, np.int64)
-    for k in CODE_LENGTH_ORDER[: 4 + bits.read(4)]:
-        first[k] = bits.read(3)
+    first, listed = [0] * 19, 4 + bits.read(4)
+    stated = bits.read(3 * listed)
+    for k in CODE_LENGTH_ORDER[:listed]:
+        first[k] = stated & 7
+        stated >>= 3
     code = PrefixCode(first)
     left = 2 + bits.read(2 + 2 * bits.read(3)) if bits.read(1) else alphabet
-    at, last = 0, 8
-    while at < alphabet and left:
+    table, mask, data, at = code.table.tolist(), (1 << code.bits) - 1, bits.data, bits.at
+    sizes, last = [], 8
+    while len(sizes) < alphabet and left:
         left -= 1
-        size = bits.symbol(code)
+        byte = at >> 3
+        ahead = int.from_bytes(data[byte : byte + 4], "little") >> (at & 7)  # 25 bits, of which 14 are needed at most
+        entry = table[ahead & mask]
+        size = entry >> 4
+        at += entry & 15
         if size < 16:
-            lengths[at] = size
+            sizes.append(size)
             last = size or last
-            at += 1
             continue
-        repeat = bits.read((2, 3, 7)[size - 16]) + (3, 3, 11)[size - 16]
-        if at + repeat > alphabet:
-            raise WebpError("code lengths run over their alphabet")
-        lengths[at : at + repeat] = last if size == 16 else 0
-        at += repeat
-    return PrefixCode(lengths)
+        more = (2, 3, 7)[size - 16]
+        repeat = ((ahead >> (entry & 15)) & ((1 << more) - 1)) + (3, 3, 11)[size - 16]
+        at += more
+        sizes += [last if size == 16 else 0] * repeat
+    bits.skip(at - bits.at)
+    if len(sizes) > alphabet:
+        raise WebpError("code lengths run over their alphabet")
+    return PrefixCode(sizes)
 
 
 # ---------------------------------------------------------------- entropy-coded images
@@ -191,37 +223,37 @@ class _Literals:
         self.lo = self.bits.at & ~7
         first = self.lo >> 3
         n_bytes = min(WINDOW_BITS >> 3, len(self.raw) - 8 - first)
-        own = self.raw[first : first + n_bytes + 8].astype(np.uint32)
-        triple = own[:-2] | (own[1:-1] << 8) | (own[2:] << 16)
-        ahead = ((triple[:, None] >> np.arange(8, dtype=np.uint32)) & np.uint32(0xFFFF)).ravel()
+        own = self.raw[first : first + n_bytes + 2].astype(np.int64)
+        ahead = ((own[:-2] | (own[1:-1] << 8) | (own[2:] << 16))[:, None] >> np.arange(8)).ravel()  # 17 bits at least
         n = n_bytes * 8
         self.hi = self.lo + n
         self.looked = []
-        follow = literal = None
+        follow = None
         for code in self.codes[:4]:  # green, red, blue, alpha
             if code.single is not None:
                 self.looked.append(None)
-                if literal is None:
-                    literal = np.full(n, code.single < 256)
                 continue
-            entry = code.table[ahead[:n] & np.uint32((1 << code.bits) - 1)]
+            entry = code.table.take(ahead & ((1 << code.bits) - 1), mode="clip")  # all are inside; "clip" spares numpy a look
             self.looked.append(entry)
-            if literal is None:
-                literal = entry < (256 << 4)
             if follow is None:
-                follow = np.arange(n, dtype=np.int32) + (entry & np.uint32(15)).astype(np.int32)
+                follow = np.arange(n)
+                follow += entry & np.uint32(15)
                 continue
             inside = np.minimum(follow, n - 1)
-            follow = np.where(follow < n, inside + (entry[inside] & np.uint32(15)).astype(np.int32), n)
-        if not literal.all():
-            follow[~literal] = -1
+            follow = np.where(follow < n, inside + (entry[inside] & np.uint32(15)), n)
+        green = self.codes[0]
+        if green.highest >= 256:  # a single one is a literal here, see run
+            follow[self.looked[0] >= (256 << 4)] = -1
         self.next = memoryview(follow)
         self.size = n
-        self.by_four = None
-        if literal.all():  # then four pixels can be stepped over at a time
-            self.one = np.append(np.minimum(follow, n), np.int32(n))
-            self.two = self.one[self.one]
-            self.by_four = memoryview(self.two[self.two])
+        self.hops = None
+        if green.highest < 256:  # then sixteen pixels can be stepped over at a time
+            one = np.full(n + 1, n)
+            np.minimum(follow, n, out=one[:n])
+            hops = [one]
+            while len(hops) < 5:
+                hops.append(hops[-1].take(hops[-1], mode="clip"))
+            self.by_sixteen, self.hops = memoryview(hops.pop()), hops[::-1]
 
     def run(self, most: int) -> np.ndarray:
         """Up to ``most`` literal pixels from the reader's place on, and moves it behind them."""
@@ -237,18 +269,19 @@ class _Literals:
             stop = self.size - 64 if self.hi < self.bits.end else self.size
             p, places, following = self.bits.at - self.lo, [], self.next
             add = places.append
-            if self.by_four is not None and most >= 64:
-                by_four, last = self.by_four, min(stop, self.size - 256)
-                for _ in range(most >> 2):
+            if self.hops is not None and most >= 64:
+                by_sixteen, last = self.by_sixteen, min(stop, self.size - 16 * sum(c.bits for c in self.codes[:4]))
+                for _ in range(most >> 4):
                     if p >= last:
                         break
                     add(p)
-                    p = by_four[p]
+                    p = by_sixteen[p]
                 if places:
-                    first = np.array(places)
-                    third = self.two[first]
-                    parts.append(self._pixels(np.stack((first, self.one[first], third, self.one[third]), axis=1).ravel()))
-                    most -= 4 * len(places)
+                    starts = np.array(places)
+                    for hop in self.hops:
+                        starts = np.stack((starts, hop[starts]), axis=1).ravel()
+                    parts.append(self._pixels(starts))
+                    most -= len(starts)
                     self.bits.at = self.lo + p
                     continue
             for _ in range(most):
@@ -523,10 +556,12 @@ def decode_stream(bits: BitReader, width: int, height: int) -> np.ndarray:
 
 
 class BitWriter:
+    """Values and their sizes (60 bits at most), packed at the end."""
+
     def __init__(self):
         self.values: list[int] = []
         self.sizes: list[int] = []
-        self.done: list[np.ndarray] = []
+        self.done: list[tuple[np.ndarray, np.ndarray]] = []
 
     def write(self, value: int, size: int) -> None:
         if size:
@@ -535,23 +570,37 @@ class BitWriter:
 
     def write_many(self, values: np.ndarray, sizes: np.ndarray) -> None:
         self._flush()
-        self.done.append(_bits_of(values, sizes))
+        self.done.append((values, sizes))
 
     def _flush(self) -> None:
         if self.values:
-            self.done.append(_bits_of(np.array(self.values, np.int64), np.array(self.sizes, np.int64)))
+            self.done.append((np.array(self.values, np.int64), np.array(self.sizes, np.int64)))
             self.values, self.sizes = [], []
 
     def bytes(self) -> bytes:
         self._flush()
-        return np.packbits(np.concatenate(self.done), bitorder="little").tobytes() if self.done else b""
+        return _packed_bits(*(np.concatenate(x) for x in zip(*self.done))) if self.done else b""
 
 
-def _bits_of(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """The bits of each value, lowest first."""
+def _packed_bits(values: np.ndarray, sizes: np.ndarray) -> bytes:
+    """The bits of each value, lowest first, one behind the other."""
     ends = np.cumsum(sizes)
-    place = np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - sizes, sizes)
-    return ((np.repeat(values, sizes) >> place) & 1).astype(np.uint8)
+    at, total = ends - sizes, int(ends[-1]) if len(ends) else 0
+    word, shift, low = at >> 5, at & 31, np.int64(0xFFFFFFFF)
+    # values share no bit, so the bits of a word of 32 are the sum of what falls into it
+    n = (total >> 5) + 4
+    words = lambda first, parts: np.bincount(word + first, parts, n).astype(np.int64)
+    near = (values & low) << shift
+    found = words(0, near & low) + words(1, near >> 32)
+    if sizes.max(initial=0) > 32:
+        far = (values >> 32) << shift
+        found += words(1, far & low) + words(2, far >> 32)
+    return found.astype("<u4").tobytes()[: (total + 7) >> 3]
+
+
+def _write_single(out: BitWriter, symbol: int) -> None:
+    """The code of one symbol under 256."""
+    out.write(0b101 | (symbol << 3), 11)
 
 
 def _write_code(out: BitWriter, lengths: np.ndarray) -> None:
@@ -564,32 +613,28 @@ def _write_code(out: BitWriter, lengths: np.ndarray) -> None:
         for s in symbols:
             out.write(s, 8)
         return
-    tokens, at, n = [], 0, len(lengths)
-    listed = lengths.tolist()
-    while at < n:
-        if listed[at]:
-            tokens.append((listed[at], 0, 0))
-            at += 1
-            continue
-        end = at
-        while end < n and end - at < 138 and not listed[end]:
-            end += 1
-        run = end - at
-        tokens += [(18, run - 11, 7)] if run >= 11 else [(17, run - 3, 3)] if run >= 3 else [(0, 0, 0)] * run
-        at = end
+    tokens, at = [], 0
+    for symbol, size in [*zip(used.tolist(), lengths[used].tolist()), (len(lengths), 0)]:
+        gap = symbol - at
+        while gap:
+            run = min(gap, 138)
+            tokens += [(18, run - 11, 7)] if run >= 11 else [(17, run - 3, 3)] if run >= 3 else [(0, 0, 0)] * run
+            gap -= run
+        if size:
+            tokens.append((size, 0, 0))
+        at = symbol + 1
     inner = code_lengths(np.bincount([t for t, _, _ in tokens], minlength=19), 7)
-    codes = reversed_codes(inner)
+    codes, single, inner = reversed_codes(inner).tolist(), np.count_nonzero(inner) == 1, inner.tolist()
     count = max(4, max(k for k, s in enumerate(CODE_LENGTH_ORDER) if inner[s]) + 1)
-    single = np.count_nonzero(inner) == 1
     out.write(0, 1)
     out.write(count - 4, 4)
     for s in CODE_LENGTH_ORDER[:count]:
-        out.write(int(inner[s]), 3)
+        out.write(inner[s], 3)
     out.write(0, 1)
-    for t, extra, size in tokens:
-        if not single:
-            out.write(int(codes[t]), int(inner[t]))
-        out.write(extra, size)
+    if single:  # it takes no bits
+        codes = inner = [0] * 19
+    out.values += [codes[t] | (extra << inner[t]) for t, extra, _ in tokens]
+    out.sizes += [inner[t] + size for t, _, size in tokens]
 
 
 def _prefix_symbol(value: int) -> tuple[int, int, int]:
@@ -604,27 +649,36 @@ def _prefix_symbol(value: int) -> tuple[int, int, int]:
 
 def _write_runs(out: BitWriter, channels: np.ndarray, copies: list[tuple[int, int, int]]) -> None:
     """Codes and tokens of an image of literal pixels and back-references, without a colour cache; a token is one value of at most 60 bits."""
-    covered = np.zeros(len(channels), bool)
-    for place, length, _ in copies:
-        covered[place : place + length] = True
-    literal = np.flatnonzero(~covered)
-    own = channels[literal]
+    own = channels
+    if copies:
+        covered = np.zeros(len(channels), bool)
+        for place, length, _ in copies:
+            covered[place : place + length] = True
+        literal = np.flatnonzero(~covered)
+        own = channels[literal]
     pairs = [(_prefix_symbol(length), _prefix_symbol(distance + 120)) for _, length, distance in copies]
-    streams = [np.concatenate((own[:, 1].astype(np.int64), [256 + x[0] for x, _ in pairs])).astype(np.int64), own[:, 2], own[:, 0], own[:, 3], np.array([y[0] for _, y in pairs], np.int64)]
-    stated = [code_lengths(np.bincount(s, minlength=n), 15) for s, n in zip(streams, (280, 256, 256, 256, 40))]
-    for own_lengths in stated:
-        _write_code(out, own_lengths)
-    codes = [reversed_codes(x) for x in stated]
-    lengths = [x if np.count_nonzero(x) > 1 else np.zeros_like(x) for x in stated]  # a single symbol takes no bits
-    values, sizes = np.zeros(len(literal), np.int64), np.zeros(len(literal), np.int64)
-    for s, code, size in zip((streams[0][: len(literal)], *streams[1:4]), codes, lengths):
-        values |= np.where(size[s] > 0, code[s], 0) << sizes
-        sizes += size[s]
+    green = np.concatenate((own[:, 1], np.array([256 + x[0] for x, _ in pairs], np.int64)))
+    streams = [green, own[:, 2], own[:, 0], own[:, 3], np.array([y[0] for _, y in pairs], np.int64)]
+    values, sizes, stated = np.zeros(len(own), np.int64), np.zeros(len(own), np.int64), []
+    for k, (symbols, alphabet) in enumerate(zip(streams, (280, 256, 256, 256, 40))):
+        only = int(symbols[0]) if len(symbols) else 0
+        if only < 256 and (symbols == only).all():
+            _write_single(out, only)
+            stated.append(None)
+            continue
+        lengths = code_lengths(np.bincount(symbols, minlength=alphabet), 15)
+        _write_code(out, lengths)
+        stated.append((reversed_codes(lengths), lengths) if np.count_nonzero(lengths) > 1 else None)  # a single symbol takes no bits
+        if k < 4 and stated[-1]:
+            used = symbols[: len(own)]
+            values |= stated[-1][0][used] << sizes
+            sizes += lengths[used]
     if copies:
         more, wide = [], []
+        coded = lambda k, symbol: (int(stated[k][0][symbol]), int(stated[k][1][symbol])) if stated[k] else (0, 0)
         for (symbol, extra, bits), (far, far_extra, far_bits) in pairs:
             value, size = 0, 0
-            for v, n in ((int(codes[0][256 + symbol]), int(lengths[0][256 + symbol])), (extra, bits), (int(codes[4][far]), int(lengths[4][far])), (far_extra, far_bits)):
+            for v, n in (coded(0, 256 + symbol), (extra, bits), coded(4, far), (far_extra, far_bits)):
                 value, size = value | (v << size if n else 0), size + n
             more.append(value)
             wide.append(size)

@@ -1,8 +1,10 @@
 """Operators against plain versions of themselves, libraries, exact round trips and held-out labels."""
 
 import base64
+import cProfile
 import hashlib
 import itertools
+import pstats
 import random
 import re
 import struct
@@ -256,6 +258,24 @@ def test_webp_of_another_encoder():
         assert alpha[y].tolist() == row
 
 
+def test_media_of_short_texts_takes_few_calls():
+    """The calls of a text of usual length, which are most of its time, and files as they were when these were over twice as many."""
+    rng = random.Random(5)
+    signs = "etaoin shrdlu.cmfwyp,vbgkjqxzETAOIN0123456789\n"
+    usual = "".join(rng.choices(signs, weights=range(46, 0, -1), k=3000))
+    skewed = "".join(rng.choices(signs[:26], weights=[2**k for k in range(26)], k=200_000))  # codes of up to 15 bits, several windows
+    files = {}
+    for name, text in (("usual", usual), ("skewed", skewed)):
+        payload = media.padded(text.encode())
+        files[name] = media.to_media(payload)
+        assert b"".join(((p >> np.uint32(8)) & np.uint32(255)).astype(np.uint8).tobytes() for p in media.from_media(files[name])) == payload
+    assert {k: hashlib.sha256(f).hexdigest()[:16] for k, f in files.items()} == {"usual": "f4b7be3d5415d50b", "skewed": "4ebd23d3f28e5c3f"}
+    for function, given, most in ((media.to_media, media.padded(usual.encode()), 800), (media.from_media, files["usual"], 1000)):
+        profile = cProfile.Profile()
+        profile.runcall(function, given)
+        assert pstats.Stats(profile).total_calls < most
+
+
 def test_media_query_round_trips_whole_texts(spark, tmp_path):
     """Repeated lines, few bytes, equal rows, several images and empty texts; against the contract's columns worked out plainly."""
     rng = random.Random(9)
